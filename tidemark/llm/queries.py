@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op3_superminhash_near_dedup": "near_dedup",
+    "op8_length_buckets": "packing",
+    "op9_mix_sources": "mixing",
+    "op10_paragraph_dedup": "substring",
 }
 
 
