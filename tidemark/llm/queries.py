@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
     "op3_superminhash_near_dedup": "near_dedup",
+    "op6_rule_quality": "quality",
+    "op7_language_id": "language",
     "op8_length_buckets": "packing",
     "op9_mix_sources": "mixing",
     "op10_paragraph_dedup": "substring",
