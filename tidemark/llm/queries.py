@@ -8,6 +8,8 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 _MODULES = {
+    "op1_warc_captures": "warc",
+    "op2_scaled_fingerprints": "fingerprint",
     "op3_superminhash_near_dedup": "near_dedup",
     "op6_rule_quality": "quality",
     "op7_language_id": "language",
