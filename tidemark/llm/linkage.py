@@ -1,13 +1,14 @@
 """Band signatures, verify candidate pairs on full sets and group them, without emitting all pairs of a bucket.
 
 A first round compares every bucket's members with its smallest id only, so a bucket of any size gives as many pairs
-as it has members. Members that share a component need no further test. What is left, buckets that still hold more
-than one component, is worked through in rounds: up to ``LEADERS`` members of a bucket, those of its rarer
-components first, meet all others of the bucket, dealt out in chunks of ``CHUNK``; pairs of one component, of sizes
-that rule the threshold out, or whose signatures differ by more than five standard deviations from the threshold
-are dropped before anything leaves the task, and the rest is verified on the full sets. Leaders are then done, and
-rounds end when each bucket's untried members lie in one component: then every colliding pair has been verified, ruled
-out, or joined already.
+as it has members. Members that share a component need no further test. What is left are buckets that still hold more
+than one component. In those of at most ``CHUNK`` members, the members outside the bucket's most frequent component meet
+all others, inside one task. Larger ones are worked through in rounds: up to ``LEADERS`` members of a bucket, those of its
+rarer components first, meet all others of the bucket, dealt out in chunks of ``CHUNK``; leaders are then done, and
+rounds end when each bucket's untried members lie in one component. Pairs of one component, of sizes that rule the
+threshold out, or whose signatures differ by more than five standard deviations from the threshold are dropped before
+anything leaves the task, and the rest is verified on the full sets. In the end every colliding pair has been verified,
+ruled out, or joined already.
 """
 
 from __future__ import annotations
@@ -77,11 +78,12 @@ def _against_leaders(percent: int):
                 found += [(min(i, x), max(i, x)) for x in ids[fit[alike >= percent / 100 - slack]].tolist()]
         return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(group: list[pd.DataFrame]) -> list[tuple[int, int]]:
-            own = pd.concat(group) if len(group) > 1 else group[0]
-            return compare(own[own["leads"]], own[~own["again"]])
+    def one(own: pd.DataFrame) -> list[tuple[int, int]]:
+        if own["chunk"].iloc[0] < 0:  # a whole bucket
+            own = own.assign(leads=own["component"] != own["component"].mode().iloc[0])
+        return compare(own[own["leads"]], own[~own["again"]])
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         at = None
         for batch in batches:
@@ -92,23 +94,22 @@ def _against_leaders(percent: int):
                 if y == x:
                     continue
                 if held and tags[x] != at:
-                    found += done(held)
+                    found += one(pd.concat(held))
                     held = []
                 held.append(batch.iloc[x:y])
                 at = tags[x]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if held:
-            yield pd.DataFrame(done(held), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(one(pd.concat(held)), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _torn(members: DataFrame) -> DataFrame:
-    """Members of buckets in which an untried member meets another component."""
-    untried = F.when(~F.col("tried"), F.col("component"))
-    buckets = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(untried).alias("low_u"), F.max(untried).alias("high_u"), F.count(F.lit(1)).alias("size"))
-    open_ones = stage(buckets.where("low_u is not null and low <> high and low_u <> high_u").select("key", "size"), "open")
-    return members.join(open_ones, "key")
+_DEALT = ["key", "chunk", "id", "component", "n", "sig", "leads", "again"]
+
+
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    return dealt.select(*_DEALT).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_against_leaders(percent), PAIRS).distinct()
 
 
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, bands: int, rows: int, percent: int) -> DataFrame:
@@ -118,39 +119,49 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, bands:
     ``(id, hashes)``, the sets (ascending uint64, binary) of the ids in the table given.
     """
     keyed = stage(_bands(items, bands, rows), "bands")
-    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last"), "buckets")
+    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("leader <> last").drop("last"), "buckets")
     members = stage(keyed.join(buckets, "key"), "members")
     pairs = stage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = stage(sets_of(ids), "sets")
     links = stage(_verified(pairs, sets, percent), "links")
     labels = connected_components(links)
-    members = members.select("key", "id", (F.col("id") == F.col("leader")).alias("tried"))
-    facts = stage(items.join(ids, "id", "left_semi"), "facts")
+
+    def labelled(table: DataFrame) -> DataFrame:
+        return stage(table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+
+    now = labelled(members.where(F.col("size") <= CHUNK).select("key", "id"))
+    torn = stage(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "torn")
+    dealt = now.join(torn, "key").join(items, "id").withColumns({"chunk": F.lit(-1), "leads": F.lit(False), "again": F.lit(False)})
+    pairs = stage(_compared(dealt, percent), "pairs")
+    giants = members.where(F.col("size") > CHUNK).select("key", "id", "size", (F.col("id") == F.col("leader")).alias("tried"))
     while True:
-        labelled = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = stage(_torn(stage(labelled, "labelled")), "torn")
-        if members.isEmpty():
-            return labels.select(F.col("node").alias("id"), "component")
-        members, pairs = _next_round(members, facts, percent)
-        pairs = stage(pairs, "pairs")
         if not pairs.isEmpty():
-            links = stage(links.union(_verified(pairs, sets, percent)).distinct(), "links")
+            links = stage(links.union(_verified(pairs, sets, percent)), "links")
             labels = connected_components(links)
+        if giants.isEmpty():
+            return labels.select(F.col("node").alias("id"), "component")
+        giants, pairs = _giant_round(labelled(giants), items, percent)
 
 
-def _next_round(members: DataFrame, facts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _giant_round(members: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Leaders of each bucket that isn't done against the rest of it: the buckets' members thereafter, and the pairs to verify."""
+    untried = F.when(~F.col("tried"), F.col("component"))
+    state = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(untried).alias("low_u"), F.max(untried).alias("high_u"))
+    # untried members of one component still have to meet the tried ones only as far as those met them as leaders: they have
+    todo = stage(state.where("low <> high and low_u <> high_u").select("key"), "todo")
+    members = stage(members.join(todo, "key"), "members")
     weight = stage(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("weight")), "weight")
-    ranked = members.where("not tried").join(weight, ["key", "component"]).withColumn("salt", F.when(F.col("size") > 8 * LEADERS, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    ranked = members.where("not tried").join(weight, ["key", "component"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     order = [F.col("weight"), F.col("component"), F.col("id")]
     near = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("place") <= LEADERS)
     leaders = stage(near.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= LEADERS).select("key", "id"), "leaders")
-    marked = stage(members.join(leaders.withColumn("leads", F.lit(True)), ["key", "id"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))).join(facts, "id"), "marked")
+    marked = stage(members.join(leaders.withColumn("leads", F.lit(True)), ["key", "id"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "marked")
     pieces = F.ceil(F.col("size") / CHUNK).cast("int")
-    shared = ["key", "chunk", "id", "component", "n", "sig", "leads", "again"]
-    own = marked.withColumn("chunk", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("again", F.lit(False))
+    home = F.pmod(F.xxhash64("id"), pieces).cast("int")
+    full = marked.join(items, "id")
+    own = full.withColumn("chunk", home).withColumn("again", F.lit(False))
     # in its own chunk a leader stands among the members already; elsewhere it only leads
-    lead = marked.where("leads").withColumn("chunk", F.explode(F.sequence(F.lit(0), pieces - 1))).where(F.col("chunk") != F.pmod(F.xxhash64("id"), pieces)).withColumn("again", F.lit(True))
-    dealt = own.select(*shared).union(lead.select(*shared)).repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    pairs = dealt.mapInPandas(_against_leaders(percent), PAIRS).distinct()
-    return marked.select("key", "id", (F.col("tried") | F.col("leads")).alias("tried")), pairs
+    lead = full.where("leads").withColumn("chunk", F.explode(F.sequence(F.lit(0), pieces - 1))).where(F.col("chunk") != home).withColumn("again", F.lit(True))
+    pairs = stage(_compared(own.select(*_DEALT).union(lead.select(*_DEALT)), percent), "pairs")
+    return stage(marked.select("key", "id", "size", (F.col("tried") | F.col("leads")).alias("tried")), "giants"), pairs

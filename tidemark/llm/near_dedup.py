@@ -49,28 +49,18 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     A row's set is its distinct ``width``-word shingles (fewer words: the whole sequence; null or blank text: empty and
     linked with nothing). Rows link at a Jaccard of ``percent`` hundredths or more. Equal sets are grouped first, by a
     128-bit digest; one row of each goes on to banding, verification on full sets and union-find.
-    Rows that repeat an id are one node. A null id is no node: its component is null and it is kept. Other columns
-    are not read.
+    Rows that repeat an id are rows of their own, each grouped by its own set. A row with a null id is linked with
+    nothing: its component is null and it is kept. Other columns are not read.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body"))
     signed = stage(_signed(docs, width, bands * rows), "signed")
-    solid = signed.where("n > 0 and id is not null")
-    classes = stage(solid.groupBy("high", "low").agg(F.min(F.struct("id", "n", "sig")).alias("first")), "classes")
-    items = stage(classes.select("first.*").groupBy("id").agg(F.min("n").alias("n"), F.min("sig").alias("sig")), "items")
-    found = link(items, lambda ids: _sets(docs.join(ids, "id", "left_semi"), width), bands=bands, rows=rows, percent=percent)
-    same = solid.join(classes.select("high", "low", F.col("first.id").alias("twin")), ["high", "low"]).select("id", "twin")
-    # an id that carries several sets ties their classes together
-    several = stage(same.distinct().groupBy("id").agg(F.min("twin").alias("twin"), F.max("twin").alias("most")), "twins")
-    if several.where("twin <> most").isEmpty():
-        labels = several.join(found.withColumnRenamed("id", "twin"), "twin", "left").select("id", F.coalesce("component", "twin").alias("component"))
-    else:
-        from .components import connected_components
-
-        edges = same.select(F.col("id").alias("a"), F.col("twin").alias("b")).union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = connected_components(edges).withColumnRenamed("node", "id")
+    classes = stage(signed.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min(F.struct("id", "n", "sig")).alias("first")), "classes")
+    found = link(classes.select("first.*"), lambda ids: _sets(docs.join(ids, "id", "left_semi"), width), bands=bands, rows=rows, percent=percent)
+    firsts = classes.select("high", "low", F.col("first.id").alias("first"))
+    labels = stage(firsts.join(found.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("component")), "labels")
     return (
-        signed.select("id", "n").join(stage(labels, "labels"), "id", "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        signed.select("id", "n", "high", "low").join(labels, ["high", "low"], "left")
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

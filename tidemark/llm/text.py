@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _P = 0x9E6C63D0876A9A55
 _P_INV = pow(_P, -1, 1 << 64)
 _STEP = np.array([0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], U)
