@@ -11,6 +11,8 @@ _MODULES = {
     "op1_warc_captures": "warc",
     "op2_scaled_fingerprints": "fingerprint",
     "op3_superminhash_near_dedup": "near_dedup",
+    "op4_ppm_scores": "ppm",
+    "op5_projected_neighbours": "neighbours",
     "op6_rule_quality": "quality",
     "op7_language_id": "language",
     "op8_length_buckets": "packing",
