@@ -1,15 +1,63 @@
-"""Corpus pipeline: the stages and their order."""
+"""Corpus pipeline over ``documents``: low quality goes, one document of each near-duplicate group stays, repeated paragraphs are
+cut, sources are mixed to target weights, and what is left is packed in batches.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; all but the last return the columns of
+``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import THRESHOLD, learn, with_quality
+from tidemark.llm.shared import stage
+from tidemark.llm.substring import cut_repeats, repeated_paragraphs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold; the rules are learnt from the labels of the rows given."""
+    rules = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_quality(docs, rules, score_column="__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group (of rows that repeat an id, all stay)."""
+    gone = stage(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later copies of repeated paragraphs."""
+    cut = cut_repeats(docs, repeated_paragraphs(docs))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    taken = docs.join(stage(copies, "copies"), F.col("doc_id") == F.col("__id")).drop("__id")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, bucket, bucket_len, batch, slot)``, a row for each row given."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("packing", packing)]
 
-STAGES: list = []
+# near-duplicate banding, the lasso's rules and both dynamic programmes have no SQL form; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stage(docs, name)
     return docs
