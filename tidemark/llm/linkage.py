@@ -1,14 +1,12 @@
-"""Band signatures, verify candidate pairs on full sets and group them, without emitting all pairs of a bucket.
-
-A first round compares every bucket's members with its smallest id only, so a bucket of any size gives as many pairs
-as it has members. Members that share a component need no further test. What is left are buckets that still hold more
-than one component. In those of at most ``CHUNK`` members, the members outside the bucket's most frequent component meet
-all others, inside one task. Larger ones are worked through in rounds: up to ``LEADERS`` members of a bucket, those of its
-rarer components first, meet all others of the bucket, dealt out in chunks of ``CHUNK``; leaders are then done, and
-rounds end when each bucket's untried members lie in one component. Pairs of one component, of sizes that rule the
-threshold out, or whose signatures differ by more than five standard deviations from the threshold are dropped before
-anything leaves the task, and the rest is verified on the full sets. In the end every colliding pair has been verified,
-ruled out, or joined already.
+"""Group sets that share band keys, verified on the full sets, without emitting all pairs of a bucket.
+
+A first round compares each set with one other: the smallest leader (smallest id) among its buckets. Members that share a
+component need no further test. What is left are buckets that still hold more than one component. In those of at most
+``CHUNK`` members, the members outside the bucket's most frequent component meet all others inside one task, which counts
+common elements by a matrix product over the elements that more than one member has, and emits no more links than members.
+Larger buckets are worked through in rounds: up to ``LEADERS`` members of a bucket, those of its rarer components first,
+meet all others, dealt out in chunks of ``CHUNK``; leaders are then done, and rounds end when each bucket's untried members
+lie in one component. In the end every colliding pair has been compared on its full sets or lies in one component.
 """
 
 from __future__ import annotations
@@ -22,29 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .minhash import band_keys
 from .shared import stage
 from .text import U
 
 LEADERS = 128
 CHUNK = 1024
 SALTS = 16
+CELLS = 20_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
 PAIRS = "a long, b long"
 
 
-def _bands(items: DataFrame, bands: int, rows: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), -1)
-            keys = band_keys(signatures, bands, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, bands))], ["key", "id"])
-
-    return items.select("id", "sig").mapInArrow(run, "key long, id long")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B|."""
 
@@ -65,23 +50,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "left_set", "right_set").mapInArrow(run, PAIRS)
 
 
-def _against_leaders(percent: int):
-    def compare(lead: pd.DataFrame, rest: pd.DataFrame) -> list[tuple[int, int]]:
-        matrix = np.frombuffer(b"".join(rest["sig"]), np.uint32).reshape(len(rest), -1)
-        ids, comps, sizes = (rest[c].to_numpy() for c in ("id", "component", "n"))
-        slack = 5 * np.sqrt(percent / 100 * (1 - percent / 100) / matrix.shape[1])
-        found = []
-        for i, comp, n, sig in zip(lead["id"], lead["component"], lead["n"], lead["sig"], strict=True):
-            fit = np.flatnonzero((comps != comp) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-            if len(fit):
-                alike = (matrix[fit] == np.frombuffer(sig, np.uint32)).mean(axis=1)
-                found += [(min(i, x), max(i, x)) for x in ids[fit[alike >= percent / 100 - slack]].tolist()]
-        return found
+def _common(sets: list[bytes], lead: np.ndarray) -> np.ndarray:
+    """Elements that each of the ``lead`` sets has in common with every set."""
+    values = [np.frombuffer(s, U) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in values])
+    _, element, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = n > 1
+    number = np.cumsum(shared) - 1
+    use = shared[element]
+    owner, element = owner[use], number[element[use]]
+    width, step = int(shared.sum()), max(1, CELLS // len(sets))
+    out = np.zeros((len(lead), len(sets)), np.float32)
+    for at in range(0, width, step):
+        part = (element >= at) & (element < at + step)
+        block = np.zeros((len(sets), min(step, width - at)), np.float32)
+        block[owner[part], element[part] - at] = 1
+        out += block[lead] @ block.T
+    return out
+
+
+def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of the ``lead`` rows with any row of another component, as a forest over the components they join."""
+    size = np.array([len(s) // 8 for s in sets])
+    common = _common(sets, lead)
+    alike = (100 * common >= percent * (size[lead][:, None] + size[None, :] - common)) & (components[lead][:, None] != components[None, :])
+    root = {c: c for c in components.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(alike), strict=True):
+        x, y = find(int(components[lead[i]])), find(int(components[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            found.append((int(ids[lead[i]]), int(ids[j])))
+    return found
+
+
+def _grouped_links(percent: int):
+    """For mapInPandas over rows sorted by (key, chunk): a run of rows is one bucket, or one chunk of a large one."""
 
     def one(own: pd.DataFrame) -> list[tuple[int, int]]:
+        components = own["component"].to_numpy()
         if own["chunk"].iloc[0] < 0:  # a whole bucket
-            own = own.assign(leads=own["component"] != own["component"].mode().iloc[0])
-        return compare(own[own["leads"]], own[~own["again"]])
+            names, place, n = np.unique(components, return_inverse=True, return_counts=True)
+            lead = np.flatnonzero(place != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
+        else:
+            lead = np.flatnonzero(own["leads"].to_numpy())
+        return _links_within(own["id"].to_numpy(), components, own["hashes"].tolist(), lead, percent) if len(lead) else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -105,26 +125,25 @@ def _against_leaders(percent: int):
     return run
 
 
-_DEALT = ["key", "chunk", "id", "component", "n", "sig", "leads", "again"]
+_DEALT = ["key", "chunk", "id", "component", "leads", "hashes"]
 
 
 def _compared(dealt: DataFrame, percent: int) -> DataFrame:
-    return dealt.select(*_DEALT).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_against_leaders(percent), PAIRS).distinct()
+    return stage(dealt.select(*_DEALT).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_grouped_links(percent), PAIRS), "links")
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, bands: int, rows: int, percent: int) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent: int) -> DataFrame:
     """``(id, component)`` of every item linked to another.
 
-    ``items(id long, n int, sig binary)``: one row for each distinct set, none empty. ``sets_of(ids)`` returns
-    ``(id, hashes)``, the sets (ascending uint64, binary) of the ids in the table given.
+    ``items(id long, keys array<long>)``: one row for each distinct set, none empty, with the keys of its bands. ``sets_of(ids)``
+    returns ``(id, hashes)``, the sets (ascending uint64, binary) of the ids in the table given.
     """
-    keyed = stage(_bands(items, bands, rows), "bands")
-    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).where("leader <> last").drop("last"), "buckets")
+    keyed = items.select(F.explode("keys").alias("key"), "id")
+    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = stage(keyed.join(buckets, "key"), "members")
-    pairs = stage(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(sets_of(ids), "sets")
-    links = stage(_verified(pairs, sets, percent), "links")
+    pairs = stage(members.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
+    sets = stage(sets_of(pairs.select(F.col("b").alias("id"))), "sets")
+    links = stage(_verified(pairs.where("a <> b"), sets, percent), "links")
     labels = connected_components(links)
 
     def labelled(table: DataFrame) -> DataFrame:
@@ -132,23 +151,22 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, bands:
 
     now = labelled(members.where(F.col("size") <= CHUNK).select("key", "id"))
     torn = stage(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "torn")
-    dealt = now.join(torn, "key").join(items, "id").withColumns({"chunk": F.lit(-1), "leads": F.lit(False), "again": F.lit(False)})
-    pairs = stage(_compared(dealt, percent), "pairs")
-    giants = members.where(F.col("size") > CHUNK).select("key", "id", "size", (F.col("id") == F.col("leader")).alias("tried"))
+    more = _compared(now.join(torn, "key").join(sets, "id").withColumns({"chunk": F.lit(-1), "leads": F.lit(False)}), percent)
+    giants = members.where(F.col("size") > CHUNK).select("key", "id", "size", F.lit(False).alias("tried"))
     while True:
-        if not pairs.isEmpty():
-            links = stage(links.union(_verified(pairs, sets, percent)), "links")
+        if not more.isEmpty():
+            links = links.union(more)
             labels = connected_components(links)
         if giants.isEmpty():
             return labels.select(F.col("node").alias("id"), "component")
-        giants, pairs = _giant_round(labelled(giants), items, percent)
+        giants, more = _giant_round(labelled(giants), sets, percent)
 
 
-def _giant_round(members: DataFrame, items: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Leaders of each bucket that isn't done against the rest of it: the buckets' members thereafter, and the pairs to verify."""
+def _giant_round(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Leaders of each bucket that isn't done against the rest of it: the buckets' members thereafter, and the links found."""
     untried = F.when(~F.col("tried"), F.col("component"))
     state = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(untried).alias("low_u"), F.max(untried).alias("high_u"))
-    # untried members of one component still have to meet the tried ones only as far as those met them as leaders: they have
+    # where all untried members lie in one component, they have met the tried ones of others, which led
     todo = stage(state.where("low <> high and low_u <> high_u").select("key"), "todo")
     members = stage(members.join(todo, "key"), "members")
     weight = stage(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("weight")), "weight")
@@ -159,9 +177,8 @@ def _giant_round(members: DataFrame, items: DataFrame, percent: int) -> tuple[Da
     marked = stage(members.join(leaders.withColumn("leads", F.lit(True)), ["key", "id"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "marked")
     pieces = F.ceil(F.col("size") / CHUNK).cast("int")
     home = F.pmod(F.xxhash64("id"), pieces).cast("int")
-    full = marked.join(items, "id")
-    own = full.withColumn("chunk", home).withColumn("again", F.lit(False))
-    # in its own chunk a leader stands among the members already; elsewhere it only leads
-    lead = full.where("leads").withColumn("chunk", F.explode(F.sequence(F.lit(0), pieces - 1))).where(F.col("chunk") != home).withColumn("again", F.lit(True))
-    pairs = stage(_compared(own.select(*_DEALT).union(lead.select(*_DEALT)), percent), "pairs")
-    return stage(marked.select("key", "id", "size", (F.col("tried") | F.col("leads")).alias("tried")), "giants"), pairs
+    full = marked.join(sets, "id")
+    own = full.withColumn("chunk", home)
+    lead = full.where("leads").withColumn("chunk", F.explode(F.sequence(F.lit(0), pieces - 1))).where(F.col("chunk") != home)
+    more = _compared(own.select(*_DEALT).union(lead.select(*_DEALT)), percent)
+    return stage(marked.select("key", "id", "size", (F.col("tried") | F.col("leads")).alias("tried")), "giants"), more

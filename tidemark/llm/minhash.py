@@ -64,11 +64,11 @@ def minhash(values: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
 
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key (int64) for each band of each signature; the band's number is part of its key."""
+    """A key of 48 bits for each band of each signature; the band's number is part of its key."""
     if bands * rows > signatures.shape[1]:
         raise ValueError("more rows in the bands than in the signature")
     parts = signatures[:, : bands * rows].reshape(-1, bands, rows).astype(U)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(_GOLD), parts.shape[:2]).copy()
     for i in range(rows):
         key = mix64(key * U(0xD6E8FEB86659FD93) + parts[:, :, i])
-    return key.view(np.int64)
+    return (key >> U(16)).view(np.int64)

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import link
-from .minhash import minhash
+from .minhash import band_keys, minhash
 from .shared import stage
-from .text import Chunk, binary, chunks, column, distinct_sorted, set_digest, shingle_hashes, word_bounds, word_hashes
+from .text import Chunk, binary, chunks, column, distinct_sorted, lists, set_digest, shingle_hashes, word_bounds, word_hashes
 
-BANDS, ROWS = 16, 3  # a pair at 0.8 collides nowhere with probability 1e-5
+BANDS, ROWS = 8, 2  # a pair at 0.8 collides nowhere with probability 2.8e-4, at 0.9 with 1.7e-6
 MIN_WORDS = 20
 
 
@@ -42,7 +42,7 @@ def _long_paragraphs(c: Chunk, width: int, min_words: int):
     return owner[pick], place[pick], n, *sets
 
 
-def _occurrences(docs: DataFrame, width: int, min_words: int, slots: int) -> DataFrame:
+def _occurrences(docs: DataFrame, width: int, min_words: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "id")
@@ -50,13 +50,13 @@ def _occurrences(docs: DataFrame, width: int, min_words: int, slots: int) -> Dat
                 row, place, n_words, values, offsets = _long_paragraphs(c, width, min_words)
                 if not len(row):
                     continue
-                sig = minhash(values, offsets, slots)
+                keys = band_keys(minhash(values, offsets, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[c.rows].take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n_words), pa.array(set_digest(values, offsets)[0]), pa.array(np.diff(offsets)), binary(sig.reshape(-1), np.arange(len(sig) + 1) * slots)],
-                    ["doc", "place", "n_words", "class", "n", "sig"],
+                    [ids[c.rows].take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n_words), pa.array(set_digest(values, offsets)[0]), lists(keys)],
+                    ["doc", "place", "n_words", "class", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc long, place int, n_words long, class long, n long, sig binary")
+    return docs.mapInArrow(run, "doc long, place int, n_words long, class long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -80,16 +80,16 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
-    found = stage(_occurrences(docs, width, min_words, bands * rows), "paragraphs")
-    classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    items = classes.select(F.col("class").alias("id"), "n", "sig")
+    found = stage(_occurrences(docs, width, min_words, bands, rows), "paragraphs")
+    classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
+    items = classes.select(F.col("class").alias("id"), "keys")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = classes.select(F.col("class").alias("id"), F.col("first.doc").alias("doc")).join(ids, "id", "left_semi")
         holders = wanted.select(F.col("doc").alias("id")).distinct()
         return _sets(docs.join(holders, "id", "left_semi"), width, min_words).join(ids, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes"))
 
-    labels = link(items, sets_of, bands=bands, rows=rows, percent=percent)
+    labels = link(items, sets_of, percent=percent)
     groups = stage(classes.select("class", "first", "copies").join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "groups")
     keepers = stage(groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies"), "keepers")
     repeated = stage(groups.select("class", "component").join(keepers, "component").select("class", "keeper"), "repeated")

@@ -161,3 +161,8 @@ def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of fixed-width numbers as a binary column."""
     values = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.dtype.itemsize).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def lists(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix of int64 as a list column."""
+    return pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.array(values.reshape(-1)))
