@@ -1,4 +1,4 @@
-"""Registry of the engine's own queries; see the modules under ``tidemark.plans``."""
+"""Registry of the engine's own queries and their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import operator_queries
+
+_SETS = (operator_queries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for part in _SETS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _SETS for name, sql in part.ORACLES.items()}
