@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,27 @@ ORACLES: dict[str, str] = {}
 N = 5
 
 
+Made = Callable[[SimpleNamespace], Column]
+
+
 def c(name: str) -> Column:
     return F.col(name)
 
 
+def _columns() -> SimpleNamespace:
+    """The panels' columns; made when a query runs, as columns need a session."""
+    return SimpleNamespace(**{k: c(k) for k in "zyxpv"})
+
+
 _NAN, _INF = "CAST('nan' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
 _WINDOWS = f"""WINDOW w AS (PARTITION BY asset ORDER BY time, event_id),
  wn AS (PARTITION BY asset ORDER BY time, event_id ROWS BETWEEN {N - 1} PRECEDING AND CURRENT ROW),
  wc AS (PARTITION BY asset ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-def _tick(name: str, column: Column, sql: str, ctes: str = "", source: str = "t") -> None:
+def _tick(name: str, column: Made, sql: str, ctes: str = "", source: str = "t") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return ticks(spark, sf_dir).select("event_id", column.cast("double").alias("r")).select("event_id", finite(c("r")).alias("out"), kind(c("r")).alias("kind"))
+        return ticks(spark, sf_dir).select("event_id", column(_columns()).cast("double").alias("r")).select("event_id", finite(c("r")).alias("out"), kind(c("r")).alias("kind"))
 
     QUERIES[name] = query
     ORACLES[name] = f"WITH {TICKS_SQL}{ctes}, o AS (SELECT event_id, CAST({sql} AS DOUBLE) AS r FROM {source} {_WINDOWS}) SELECT event_id, {finite_sql('r')} AS out, {kind_sql('r')} AS kind FROM o"
@@ -43,77 +52,76 @@ def _compare(test: str) -> str:
     return _guard(f"WHEN isnan(z) OR isnan(y) THEN 0 WHEN {test} THEN 1 ELSE 0", "z", "y")
 
 
-z, y, x, p, v = c("z"), c("y"), c("x"), c("p"), c("v")
-_tick("ew_add", e.add(z, y), "z + y")
-_tick("ew_sub", e.sub(z, y), "z - y")
-_tick("ew_mul", e.mul(z, y), "z * y")
-_tick("ew_div", e.div(z, y), f"CASE WHEN y <> 0 THEN z / y WHEN z IS NULL THEN NULL WHEN isnan(z) OR z = 0 THEN {_NAN} WHEN z > 0 THEN {_INF} ELSE -{_INF} END")
-_tick("ew_neg", e.neg(z), "-z")
-_tick("ew_abs", e.absolute(z), "abs(z)")
-_tick("ew_sign", e.sign(z), "CASE WHEN z IS NULL THEN NULL WHEN isnan(z) THEN 0 WHEN z > 0 THEN 1 WHEN z < 0 THEN -1 ELSE 0 END")
-_tick("ew_log", e.log(y), f"CASE WHEN y > 0 THEN ln(greatest(y, 1e-300)) WHEN y = 0 THEN -{_INF} ELSE {_NAN} END")
-_tick("ew_log10", e.log10(y), f"CASE WHEN y > 0 THEN log10(greatest(y, 1e-300)) WHEN y = 0 THEN -{_INF} ELSE {_NAN} END")
-_tick("ew_exp", e.exp(y), "exp(y)")
-_tick("ew_pow", e.power(y, 3.0), "y * y * y")
-_tick("ew_clip", e.clip(z, -10.0, 20.0), "CASE WHEN isnan(z) THEN -10 WHEN z IS NOT NULL THEN least(greatest(z, -10.0), 20.0) END")
-_tick("ew_sqrt", e.sqrt(y), f"CASE WHEN y < 0 THEN {_NAN} ELSE sqrt(abs(y)) END")
-_tick("ew_floor", e.floor(x), "floor(x)")
-_tick("ew_ceil", e.ceil(x), "ceil(x)")
-_tick("ew_round", e.round_half_away(y / 4.0, 0), "sign(y) * floor(abs(y / 4.0) + 0.5)")
-_tick("ew_mod", e.modulo(x, y), f"CASE WHEN y <> 0 THEN x - y * trunc(x / y) WHEN y = 0 THEN {_NAN} END")
-_tick("ew_min", e.minimum(z, y), _guard("WHEN isnan(z) THEN y WHEN isnan(y) THEN z ELSE least(z, y)", "z", "y"))
-_tick("ew_max", e.maximum(z, y), _guard("WHEN isnan(z) THEN y WHEN isnan(y) THEN z ELSE greatest(z, y)", "z", "y"))
-for _name, _made, _test in (("gt", e.gt, "z > y"), ("lt", e.lt, "z < y"), ("ge", e.ge, "z >= y"), ("le", e.le, "z <= y")):
-    _tick(f"cmp_{_name}", _made(z, y), _compare(_test))
-_tick("cmp_eq", e.eq(F.round(z / 10.0), y), _compare("abs(round(z / 10.0) - y) < 1e-10"))
-_tick("cmp_ne", e.ne(F.round(z / 10.0), y), _compare("abs(round(z / 10.0) - y) >= 1e-10"))
-_tick("logic_and", e.both(z, y), _guard("WHEN z <> 0 AND y <> 0 THEN 1 ELSE 0", "z", "y"))
-_tick("logic_or", e.either(z - z, y), _guard("WHEN z - z <> 0 OR y <> 0 THEN 1 ELSE 0", "z", "y"))
-_tick("logic_not", e.negation(y), "CASE WHEN y = 0 THEN 1 ELSE 0 END")
-_tick("logic_where", e.where(y, z, x), _guard("WHEN y <> 0 THEN z ELSE x", "y", "z", "x"))
-_tick("data_is_nan", e.is_nan(z), "CASE WHEN z IS NULL THEN NULL WHEN isnan(z) THEN 1 ELSE 0 END")
-_tick("data_fill_nan", e.fill_nan(z, 7.0), "CASE WHEN isnan(z) THEN 7 ELSE z END")
-_tick("data_coalesce", e.first_known(z, y), "coalesce(CASE WHEN NOT isnan(z) THEN z END, y)")
-_tick("data_cumsum", ts.cumsum(x, TICKS), "sum(coalesce(x, 0)) OVER wc")
-_tick("data_cumprod", ts.cumprod(x / 50.0, TICKS), "product(coalesce(x / 50.0, 1)) OVER wc")
-_tick("data_cummax", ts.cummax(z, TICKS), f"coalesce(max(CASE WHEN NOT isnan(z) THEN z END) OVER wc, -{_INF})")
-_tick("data_cummin", ts.cummin(z, TICKS), f"coalesce(min(CASE WHEN NOT isnan(z) THEN z END) OVER wc, {_INF})")
-_tick("data_ffill", ts.ffill(z, TICKS), "last_value(CASE WHEN NOT isnan(z) THEN z END IGNORE NULLS) OVER wc")
+_tick("ew_add", lambda t: e.add(t.z, t.y), "z + y")
+_tick("ew_sub", lambda t: e.sub(t.z, t.y), "z - y")
+_tick("ew_mul", lambda t: e.mul(t.z, t.y), "z * y")
+_tick("ew_div", lambda t: e.div(t.z, t.y), f"CASE WHEN y <> 0 THEN z / y WHEN z IS NULL THEN NULL WHEN isnan(z) OR z = 0 THEN {_NAN} WHEN z > 0 THEN {_INF} ELSE -{_INF} END")
+_tick("ew_neg", lambda t: e.neg(t.z), "-z")
+_tick("ew_abs", lambda t: e.absolute(t.z), "abs(z)")
+_tick("ew_sign", lambda t: e.sign(t.z), "CASE WHEN z IS NULL THEN NULL WHEN isnan(z) THEN 0 WHEN z > 0 THEN 1 WHEN z < 0 THEN -1 ELSE 0 END")
+_tick("ew_log", lambda t: e.log(t.y), f"CASE WHEN y > 0 THEN ln(greatest(y, 1e-300)) WHEN y = 0 THEN -{_INF} ELSE {_NAN} END")
+_tick("ew_log10", lambda t: e.log10(t.y), f"CASE WHEN y > 0 THEN log10(greatest(y, 1e-300)) WHEN y = 0 THEN -{_INF} ELSE {_NAN} END")
+_tick("ew_exp", lambda t: e.exp(t.y), "exp(y)")
+_tick("ew_pow", lambda t: e.power(t.y, 3.0), "y * y * y")
+_tick("ew_clip", lambda t: e.clip(t.z, -10.0, 20.0), "CASE WHEN isnan(z) THEN -10 WHEN z IS NOT NULL THEN least(greatest(z, -10.0), 20.0) END")
+_tick("ew_sqrt", lambda t: e.sqrt(t.y), f"CASE WHEN y < 0 THEN {_NAN} ELSE sqrt(abs(y)) END")
+_tick("ew_floor", lambda t: e.floor(t.x), "floor(x)")
+_tick("ew_ceil", lambda t: e.ceil(t.x), "ceil(x)")
+_tick("ew_round", lambda t: e.round_half_away(t.y / 4.0, 0), "sign(y) * floor(abs(y / 4.0) + 0.5)")
+_tick("ew_mod", lambda t: e.modulo(t.x, t.y), f"CASE WHEN y <> 0 THEN x - y * trunc(x / y) WHEN y = 0 THEN {_NAN} END")
+_tick("ew_min", lambda t: e.minimum(t.z, t.y), _guard("WHEN isnan(z) THEN y WHEN isnan(y) THEN z ELSE least(z, y)", "z", "y"))
+_tick("ew_max", lambda t: e.maximum(t.z, t.y), _guard("WHEN isnan(z) THEN y WHEN isnan(y) THEN z ELSE greatest(z, y)", "z", "y"))
+for _name, _test in (("gt", "z > y"), ("lt", "z < y"), ("ge", "z >= y"), ("le", "z <= y")):
+    _tick(f"cmp_{_name}", lambda t, made=getattr(e, _name): made(t.z, t.y), _compare(_test))
+_tick("cmp_eq", lambda t: e.eq(F.round(t.z / 10.0), t.y), _compare("abs(round(z / 10.0) - y) < 1e-10"))
+_tick("cmp_ne", lambda t: e.ne(F.round(t.z / 10.0), t.y), _compare("abs(round(z / 10.0) - y) >= 1e-10"))
+_tick("logic_and", lambda t: e.both(t.z, t.y), _guard("WHEN z <> 0 AND y <> 0 THEN 1 ELSE 0", "z", "y"))
+_tick("logic_or", lambda t: e.either(t.z - t.z, t.y), _guard("WHEN z - z <> 0 OR y <> 0 THEN 1 ELSE 0", "z", "y"))
+_tick("logic_not", lambda t: e.negation(t.y), "CASE WHEN y = 0 THEN 1 ELSE 0 END")
+_tick("logic_where", lambda t: e.where(t.y, t.z, t.x), _guard("WHEN y <> 0 THEN z ELSE x", "y", "z", "x"))
+_tick("data_is_nan", lambda t: e.is_nan(t.z), "CASE WHEN z IS NULL THEN NULL WHEN isnan(z) THEN 1 ELSE 0 END")
+_tick("data_fill_nan", lambda t: e.fill_nan(t.z, 7.0), "CASE WHEN isnan(z) THEN 7 ELSE z END")
+_tick("data_coalesce", lambda t: e.first_known(t.z, t.y), "coalesce(CASE WHEN NOT isnan(z) THEN z END, y)")
+_tick("data_cumsum", lambda t: ts.cumsum(t.x, TICKS), "sum(coalesce(x, 0)) OVER wc")
+_tick("data_cumprod", lambda t: ts.cumprod(t.x / 50.0, TICKS), "product(coalesce(x / 50.0, 1)) OVER wc")
+_tick("data_cummax", lambda t: ts.cummax(t.z, TICKS), f"coalesce(max(CASE WHEN NOT isnan(z) THEN z END) OVER wc, -{_INF})")
+_tick("data_cummin", lambda t: ts.cummin(t.z, TICKS), f"coalesce(min(CASE WHEN NOT isnan(z) THEN z END) OVER wc, {_INF})")
+_tick("data_ffill", lambda t: ts.ffill(t.z, TICKS), "last_value(CASE WHEN NOT isnan(z) THEN z END IGNORE NULLS) OVER wc")
 
 _MEAN, _STD = "avg(coalesce(x, 0)) OVER wn", "stddev_pop(coalesce(x, 0)) OVER wn"
 _VARIES = "CASE WHEN " + _STD + " > 1e-10 THEN {} ELSE 0 END"
-_tick("ts_lag", ts.lag(x, TICKS, 2), "lag(x, 2) OVER w")
-_tick("ts_lead", ts.lead(x, TICKS, 1), "lead(x, 1) OVER w")
-_tick("ts_ret", ts.ret(p, TICKS, 1), "p / (lag(p, 1) OVER w) - 1")
-_tick("ts_delta", ts.delta(x, TICKS, 2), "x - lag(x, 2) OVER w")
-_tick("ts_rolling_mean", ts.rolling_mean(x, TICKS, N), _MEAN)
-_tick("ts_rolling_std", ts.rolling_std(x, TICKS, N), _STD)
-_tick("ts_rolling_var", ts.rolling_var(x, TICKS, N), "var_pop(coalesce(x, 0)) OVER wn")
-_tick("ts_rolling_sum", ts.rolling_sum(x, TICKS, N), "sum(coalesce(x, 0)) OVER wn")
-_tick("ts_rolling_min", ts.rolling_min(z, TICKS, N), f"coalesce(min(CASE WHEN NOT isnan(z) THEN z END) OVER wn, {_INF})")
-_tick("ts_rolling_max", ts.rolling_max(z, TICKS, N), f"coalesce(max(CASE WHEN NOT isnan(z) THEN z END) OVER wn, -{_INF})")
-_tick("ts_rolling_cov", ts.rolling_cov(x, y, TICKS, N), "covar_pop(coalesce(x, 0), y) OVER wn")
-_tick("ts_rolling_corr", ts.rolling_corr(x, y, TICKS, N), f"CASE WHEN ({_STD}) * (stddev_pop(y) OVER wn) > 1e-10 THEN (covar_pop(coalesce(x, 0), y) OVER wn) / (({_STD}) * (stddev_pop(y) OVER wn)) ELSE 0 END")
-_tick("ts_rolling_beta", ts.rolling_beta(x, y, TICKS, N), "CASE WHEN (var_pop(y) OVER wn) > 1e-10 THEN (covar_pop(coalesce(x, 0), y) OVER wn) / (var_pop(y) OVER wn) ELSE 0 END")
+_tick("ts_lag", lambda t: ts.lag(t.x, TICKS, 2), "lag(x, 2) OVER w")
+_tick("ts_lead", lambda t: ts.lead(t.x, TICKS, 1), "lead(x, 1) OVER w")
+_tick("ts_ret", lambda t: ts.ret(t.p, TICKS, 1), "p / (lag(p, 1) OVER w) - 1")
+_tick("ts_delta", lambda t: ts.delta(t.x, TICKS, 2), "x - lag(x, 2) OVER w")
+_tick("ts_rolling_mean", lambda t: ts.rolling_mean(t.x, TICKS, N), _MEAN)
+_tick("ts_rolling_std", lambda t: ts.rolling_std(t.x, TICKS, N), _STD)
+_tick("ts_rolling_var", lambda t: ts.rolling_var(t.x, TICKS, N), "var_pop(coalesce(x, 0)) OVER wn")
+_tick("ts_rolling_sum", lambda t: ts.rolling_sum(t.x, TICKS, N), "sum(coalesce(x, 0)) OVER wn")
+_tick("ts_rolling_min", lambda t: ts.rolling_min(t.z, TICKS, N), f"coalesce(min(CASE WHEN NOT isnan(z) THEN z END) OVER wn, {_INF})")
+_tick("ts_rolling_max", lambda t: ts.rolling_max(t.z, TICKS, N), f"coalesce(max(CASE WHEN NOT isnan(z) THEN z END) OVER wn, -{_INF})")
+_tick("ts_rolling_cov", lambda t: ts.rolling_cov(t.x, t.y, TICKS, N), "covar_pop(coalesce(x, 0), y) OVER wn")
+_tick("ts_rolling_corr", lambda t: ts.rolling_corr(t.x, t.y, TICKS, N), f"CASE WHEN ({_STD}) * (stddev_pop(y) OVER wn) > 1e-10 THEN (covar_pop(coalesce(x, 0), y) OVER wn) / (({_STD}) * (stddev_pop(y) OVER wn)) ELSE 0 END")
+_tick("ts_rolling_beta", lambda t: ts.rolling_beta(t.x, t.y, TICKS, N), "CASE WHEN (var_pop(y) OVER wn) > 1e-10 THEN (covar_pop(coalesce(x, 0), y) OVER wn) / (var_pop(y) OVER wn) ELSE 0 END")
 _ROWS = f"least(row_number() OVER w, {N})"
-_tick("ts_decay_linear", ts.decay_linear(x, TICKS, N), "(" + " + ".join(f"greatest({_ROWS} - {k}, 0) * coalesce(lag(coalesce(x, 0), {k}) OVER w, 0)" for k in range(N)) + f") / {N * (N + 1) / 2}")
+_tick("ts_decay_linear", lambda t: ts.decay_linear(t.x, TICKS, N), "(" + " + ".join(f"greatest({_ROWS} - {k}, 0) * coalesce(lag(coalesce(x, 0), {k}) OVER w, 0)" for k in range(N)) + f") / {N * (N + 1) / 2}")
 _LISTED = ", l AS (SELECT *, list(y) OVER wn AS ys FROM t " + _WINDOWS + ")"
-_tick("ts_argmax", ts.ts_argmax(y, TICKS, N), "len(ys) - list_position(list_reverse(ys), list_max(ys))", _LISTED, "l")
-_tick("ts_argmin", ts.ts_argmin(y, TICKS, N), "list_position(ys, list_min(ys)) - 1", _LISTED, "l")
-_tick("ts_rank", ts.ts_rank(y, TICKS, N), "len(list_filter(ys, lambda q: q < y)) / greatest(len(ys) - 1, 1)", _LISTED, "l")
-_tick("ts_skew", ts.ts_skew(x, TICKS, N), _VARIES.format(f"((avg(pow(coalesce(x, 0), 3)) OVER wn) - 3 * (avg(pow(coalesce(x, 0), 2)) OVER wn) * ({_MEAN}) + 2 * pow({_MEAN}, 3)) / pow({_STD}, 3)"))
-_tick("ts_kurt", ts.ts_kurt(x, TICKS, N), _VARIES.format("kurtosis_pop(coalesce(x, 0)) OVER wn"))
-_tick("ts_product", ts.ts_product(x / 50.0, TICKS, N), "product(coalesce(x / 50.0, 1)) OVER wn")
-_tick("ts_zscore", ts.ts_zscore(x, TICKS, N), _VARIES.format(f"(coalesce(x, 0) - ({_MEAN})) / ({_STD})"))
+_tick("ts_argmax", lambda t: ts.ts_argmax(t.y, TICKS, N), "len(ys) - list_position(list_reverse(ys), list_max(ys))", _LISTED, "l")
+_tick("ts_argmin", lambda t: ts.ts_argmin(t.y, TICKS, N), "list_position(ys, list_min(ys)) - 1", _LISTED, "l")
+_tick("ts_rank", lambda t: ts.ts_rank(t.y, TICKS, N), "len(list_filter(ys, lambda q: q < y)) / greatest(len(ys) - 1, 1)", _LISTED, "l")
+_tick("ts_skew", lambda t: ts.ts_skew(t.x, TICKS, N), _VARIES.format(f"((avg(pow(coalesce(x, 0), 3)) OVER wn) - 3 * (avg(pow(coalesce(x, 0), 2)) OVER wn) * ({_MEAN}) + 2 * pow({_MEAN}, 3)) / pow({_STD}, 3)"))
+_tick("ts_kurt", lambda t: ts.ts_kurt(t.x, TICKS, N), _VARIES.format("kurtosis_pop(coalesce(x, 0)) OVER wn"))
+_tick("ts_product", lambda t: ts.ts_product(t.x / 50.0, TICKS, N), "product(coalesce(x / 50.0, 1)) OVER wn")
+_tick("ts_zscore", lambda t: ts.ts_zscore(t.x, TICKS, N), _VARIES.format(f"(coalesce(x, 0) - ({_MEAN})) / ({_STD})"))
 _CHANGE = ", l AS (SELECT *, coalesce(abs(p - lag(p) OVER w), 0) AS tr, coalesce(greatest(p - (p - v), abs(p - lag(p - v / 2) OVER w), abs(p - v - lag(p - v / 2) OVER w)), v) AS tr3 FROM t " + _WINDOWS + ")"
-_tick("tech_atr", ts.atr(p, TICKS, N), "avg(tr) OVER wn", _CHANGE, "l")
-_tick("tech_vwap", ts.vwap(p, v, TICKS), "(sum(p * v) OVER wc) / (sum(v) OVER wc)")
-_tick("ts_scale_vol", ts.scale_vol(x, TICKS, 0.1, N), f"CASE WHEN ({_STD}) * sqrt(252) > 1e-10 THEN x * 0.1 / (({_STD}) * sqrt(252)) ELSE 0 END")
-_tick("ts_full_window_mean", ts.full_window(ts.rolling_mean(x, TICKS, N), TICKS, N), f"CASE WHEN row_number() OVER w >= {N} THEN {_MEAN} END")
+_tick("tech_atr", lambda t: ts.atr(t.p, TICKS, N), "avg(tr) OVER wn", _CHANGE, "l")
+_tick("tech_vwap", lambda t: ts.vwap(t.p, t.v, TICKS), "(sum(p * v) OVER wc) / (sum(v) OVER wc)")
+_tick("ts_scale_vol", lambda t: ts.scale_vol(t.x, TICKS, 0.1, N), f"CASE WHEN ({_STD}) * sqrt(252) > 1e-10 THEN x * 0.1 / (({_STD}) * sqrt(252)) ELSE 0 END")
+_tick("ts_full_window_mean", lambda t: ts.full_window(ts.rolling_mean(t.x, TICKS, N), TICKS, N), f"CASE WHEN row_number() OVER w >= {N} THEN {_MEAN} END")
 
 
 def _atr3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = ticks(spark, sf_dir).withColumns({"high": p, "low": p - v, "close": p - v / 2.0})
+    panel = ticks(spark, sf_dir).withColumns({"high": c("p"), "low": c("p") - c("v"), "close": c("p") - c("v") / 2.0})
     return panel.select("event_id", finite(ts.true_range_atr(c("high"), c("low"), c("close"), TICKS, N)).alias("out"))
 
 
@@ -143,39 +151,39 @@ _RSI = f""", g AS (SELECT *, coalesce(p - lag(p) OVER w, 0) AS ch FROM t {_WINDO
 _recursive("tech_rsi", "rsi", (14,), "CASE WHEN k = 1 THEN 50.0 WHEN loss > 1e-10 THEN 100 - 100 / (1 + gain / loss) WHEN gain > 1e-10 THEN 100.0 ELSE 50.0 END", _RSI)
 
 
-def _month(name: str, column: Column, sql: str, ctes: str = "", source: str = "m") -> None:
+def _month(name: str, column: Made, sql: str, ctes: str = "", source: str = "m") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return months(spark, sf_dir).select("time", "asset", finite(column.cast("double"), 4).alias("out"))
+        return months(spark, sf_dir).select("time", "asset", finite(column(_columns()).cast("double"), 7).alias("out"))
 
     QUERIES[name] = query
-    ORACLES[name] = f"WITH {MONTHS_SQL}{ctes}, o AS (SELECT time, asset, CAST({sql} AS DOUBLE) AS r FROM {source} WINDOW s AS (PARTITION BY time), so AS (PARTITION BY time ORDER BY x ASC NULLS LAST, asset)) SELECT time, asset, {finite_sql('r', 4)} AS out FROM o"
+    ORACLES[name] = f"WITH {MONTHS_SQL}{ctes}, o AS (SELECT time, asset, CAST({sql} AS DOUBLE) AS r FROM {source} WINDOW s AS (PARTITION BY time), so AS (PARTITION BY time ORDER BY x ASC NULLS LAST, asset)) SELECT time, asset, {finite_sql('r', 7)} AS out FROM o"
 
 
 _RANK = "(row_number() OVER so) / (count(*) OVER s)"
-_month("xs_rank", xs.rank(x, MONTHS), _RANK)
-_month("xs_rank_pct", xs.rank_pct(x, MONTHS), f"100 * {_RANK}")
-_month("xs_mean", xs.mean(x, MONTHS), "avg(x) OVER s")
-_month("xs_std", xs.std(x, MONTHS), "stddev_pop(x) OVER s")
-_month("xs_sum", xs.total(x, MONTHS), "sum(x) OVER s")
-_month("xs_count", xs.count(x, MONTHS), "count(x) OVER s")
-_month("xs_zscore", xs.zscore(x, MONTHS), "CASE WHEN x IS NULL THEN NULL WHEN (stddev_pop(x) OVER s) > 1e-10 THEN (x - avg(x) OVER s) / (stddev_pop(x) OVER s) ELSE 0 END")
-_month("xs_zscore_sample", xs.zscore(x, MONTHS, 1), "CASE WHEN x IS NULL THEN NULL WHEN (stddev_samp(x) OVER s) > 1e-10 THEN (x - avg(x) OVER s) / (stddev_samp(x) OVER s) ELSE 0 END")
-_month("xs_scale_gross", xs.scale(x - 30000.0, MONTHS), "CASE WHEN x IS NULL THEN NULL WHEN (sum(abs(x - 30000.0)) OVER s) > 1e-10 THEN (x - 30000.0) / (sum(abs(x - 30000.0)) OVER s) ELSE 0 END")
-_month("xs_scale_net", xs.scale(x, MONTHS, "net"), "CASE WHEN abs(sum(x) OVER s) < 1e-10 THEN x ELSE x / (sum(x) OVER s) END")
-_month("xs_demean", xs.demean(x, MONTHS), "x - avg(x) OVER s")
-_month("xs_neutralize", xs.neutralize(x, MONTHS, "sector"), "x - avg(x) OVER (PARTITION BY time, sector)")
-_month("xs_group_mean", xs.group_mean(x, MONTHS, "sector"), "avg(x) OVER (PARTITION BY time, sector)")
+_month("xs_rank", lambda t: xs.rank(t.x, MONTHS), _RANK)
+_month("xs_rank_pct", lambda t: xs.rank_pct(t.x, MONTHS), f"100 * {_RANK}")
+_month("xs_mean", lambda t: xs.mean(t.x, MONTHS), "avg(x) OVER s")
+_month("xs_std", lambda t: xs.std(t.x, MONTHS), "stddev_pop(x) OVER s")
+_month("xs_sum", lambda t: xs.total(t.x, MONTHS), "sum(x) OVER s")
+_month("xs_count", lambda t: xs.count(t.x, MONTHS), "count(x) OVER s")
+_month("xs_zscore", lambda t: xs.zscore(t.x, MONTHS), "CASE WHEN x IS NULL THEN NULL WHEN (stddev_pop(x) OVER s) > 1e-10 THEN (x - avg(x) OVER s) / (stddev_pop(x) OVER s) ELSE 0 END")
+_month("xs_zscore_sample", lambda t: xs.zscore(t.x, MONTHS, 1), "CASE WHEN x IS NULL THEN NULL WHEN (stddev_samp(x) OVER s) > 1e-10 THEN (x - avg(x) OVER s) / (stddev_samp(x) OVER s) ELSE 0 END")
+_month("xs_scale_gross", lambda t: xs.scale(t.x - 30000.0, MONTHS), "CASE WHEN x IS NULL THEN NULL WHEN (sum(abs(x - 30000.0)) OVER s) > 1e-10 THEN (x - 30000.0) / (sum(abs(x - 30000.0)) OVER s) ELSE 0 END")
+_month("xs_scale_net", lambda t: xs.scale(t.x, MONTHS, "net"), "CASE WHEN abs(sum(x) OVER s) < 1e-10 THEN x ELSE x / (sum(x) OVER s) END")
+_month("xs_demean", lambda t: xs.demean(t.x, MONTHS), "x - avg(x) OVER s")
+_month("xs_neutralize", lambda t: xs.neutralize(t.x, MONTHS, "sector"), "x - avg(x) OVER (PARTITION BY time, sector)")
+_month("xs_group_mean", lambda t: xs.group_mean(t.x, MONTHS, "sector"), "avg(x) OVER (PARTITION BY time, sector)")
 _SORTED = ", l AS (SELECT *, list_sort(list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY time)) AS xl FROM m)"
-_month("xs_winsor", xs.winsor(x, MONTHS, 0.1), "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.1) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.9), len(xl) - 1) AS INT) + 1]) END", _SORTED, "l")
-_month("xs_quantile", xs.quantile(x, MONTHS, 0.5), "xl[CAST(floor((len(xl) - 1) * 0.5) AS INT) + 1]", _SORTED, "l")
-_month("xs_bucket", xs.bucket(x, MONTHS, 5), f"least(greatest(ceil({_RANK} * 5), 1), 5)")
-_month("xs_median", xs.median(x, MONTHS), "median(x) OVER s")
-_month("xs_long_short", xs.long_short(x, MONTHS, 0.2, 0.2, 0.05), f"CASE WHEN {_RANK} >= 1 - 0.2 THEN least(0.05, 1.0 / ((count(*) OVER s) * 0.2)) WHEN {_RANK} <= 0.2 THEN greatest(-0.05, -1.0 / ((count(*) OVER s) * 0.2)) ELSE 0 END")
-_month("xs_extreme_weights", xs.extreme_weights(x, MONTHS), "CASE WHEN row_number() OVER so > count(*) OVER s - ceil((count(*) OVER s) * 0.2) THEN 1.0 / ceil((count(*) OVER s) * 0.2) WHEN row_number() OVER so <= ceil((count(*) OVER s) * 0.2) THEN -1.0 / ceil((count(*) OVER s) * 0.2) ELSE 0 END")
+_month("xs_winsor", lambda t: xs.winsor(t.x, MONTHS, 0.1), "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.1) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.9), len(xl) - 1) AS INT) + 1]) END", _SORTED, "l")
+_month("xs_quantile", lambda t: xs.quantile(t.x, MONTHS, 0.5), "xl[CAST(floor((len(xl) - 1) * 0.5) AS INT) + 1]", _SORTED, "l")
+_month("xs_bucket", lambda t: xs.bucket(t.x, MONTHS, 5), f"least(greatest(ceil({_RANK} * 5), 1), 5)")
+_month("xs_median", lambda t: xs.median(t.x, MONTHS), "median(x) OVER s")
+_month("xs_long_short", lambda t: xs.long_short(t.x, MONTHS, 0.2, 0.2, 0.05), f"CASE WHEN {_RANK} >= 1 - 0.2 THEN least(0.05, 1.0 / ((count(*) OVER s) * 0.2)) WHEN {_RANK} <= 0.2 THEN greatest(-0.05, -1.0 / ((count(*) OVER s) * 0.2)) ELSE 0 END")
+_month("xs_extreme_weights", lambda t: xs.extreme_weights(t.x, MONTHS), "CASE WHEN row_number() OVER so > count(*) OVER s - ceil((count(*) OVER s) * 0.2) THEN 1.0 / ceil((count(*) OVER s) * 0.2) WHEN row_number() OVER so <= ceil((count(*) OVER s) * 0.2) THEN -1.0 / ceil((count(*) OVER s) * 0.2) ELSE 0 END")
 
 
 def _mad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = months(spark, sf_dir).withColumn("deviation", e.n0(x) - xs.median(x, MONTHS))
+    panel = months(spark, sf_dir).withColumn("deviation", e.n0(c("x")) - xs.median(c("x"), MONTHS))
     return panel.select("time", "asset", finite(xs.mad(c("deviation"), MONTHS)).alias("out"))
 
 
