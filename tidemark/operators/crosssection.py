@@ -103,8 +103,8 @@ def long_short(x: Column, s: Section, top: float = 0.2, bottom: float = 0.2, cap
 
 
 def extreme_weights(x: Column, s: Section, share: float = 0.2) -> Column:
-    """1/k for the k = ceil(share n) greatest, -1/k for the k least; the longs go first where both overlap."""
-    n = F.count(F.lit(1)).over(s.rows())
+    """1/k for the k = ceil(share n) greatest of the n known values, -1/k for the k least, 0 for the rest; the longs go first where both overlap."""
+    n = F.count(known(x)).over(s.rows())
     k = F.ceil(n * F.lit(share))
     place = F.row_number().over(s.by(x))
-    return F.when(place > n - k, 1.0 / k).when(place <= k, -1.0 / k).otherwise(0.0)
+    return F.when(place > n, 0.0).when(place > n - k, 1.0 / k).when(place <= k, -1.0 / k).otherwise(0.0)

@@ -179,7 +179,8 @@ _month("xs_quantile", lambda t: xs.quantile(t.x, MONTHS, 0.5), "xl[CAST(floor((l
 _month("xs_bucket", lambda t: xs.bucket(t.x, MONTHS, 5), f"least(greatest(ceil({_RANK} * 5), 1), 5)")
 _month("xs_median", lambda t: xs.median(t.x, MONTHS), "median(x) OVER s")
 _month("xs_long_short", lambda t: xs.long_short(t.x, MONTHS, 0.2, 0.2, 0.05), f"CASE WHEN {_RANK} >= 1 - 0.2 THEN least(0.05, 1.0 / ((count(*) OVER s) * 0.2)) WHEN {_RANK} <= 0.2 THEN greatest(-0.05, -1.0 / ((count(*) OVER s) * 0.2)) ELSE 0 END")
-_month("xs_extreme_weights", lambda t: xs.extreme_weights(t.x, MONTHS), "CASE WHEN row_number() OVER so > count(*) OVER s - ceil((count(*) OVER s) * 0.2) THEN 1.0 / ceil((count(*) OVER s) * 0.2) WHEN row_number() OVER so <= ceil((count(*) OVER s) * 0.2) THEN -1.0 / ceil((count(*) OVER s) * 0.2) ELSE 0 END")
+_K = "ceil((count(x) OVER s) * 0.2)"
+_month("xs_extreme_weights", lambda t: xs.extreme_weights(t.x, MONTHS), f"CASE WHEN row_number() OVER so > count(x) OVER s THEN 0 WHEN row_number() OVER so > count(x) OVER s - {_K} THEN 1.0 / {_K} WHEN row_number() OVER so <= {_K} THEN -1.0 / {_K} ELSE 0 END")
 
 
 def _mad(spark: SparkSession, sf_dir: str) -> DataFrame:

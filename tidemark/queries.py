@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import operator_queries
+from .plans import analysis_queries, operator_queries
 
-_SETS = (operator_queries,)
+_SETS = (operator_queries, analysis_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
