@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,24 +29,23 @@ CELLS = 20_000_000  # of a task's matrix of members and elements; more elements
 PAIRS = "a long, b long"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * |A and B| >= percent * |A or B|."""
+def _verified(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of sets with their leaders' sets: 100 * |A and B| >= percent * |A or B|."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
             for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
+                both = np.frombuffer(x + y, U)
+                total, both = len(both), np.sort(both, kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(100 * common >= percent * (total - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    first = sets.select(F.col("id").alias("a"), F.col("hashes").alias("left_set"))
-    second = sets.select(F.col("id").alias("b"), F.col("hashes").alias("right_set"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "left_set", "right_set").mapInArrow(run, PAIRS)
+    leaders = sets.select(F.col("id").alias("leader"), F.col("hashes").alias("leader_set"))
+    led = sets.where("id <> leader").join(leaders, "leader")
+    return led.select(F.col("leader").alias("a"), F.col("id").alias("b"), "leader_set", "hashes").mapInArrow(run, PAIRS)
 
 
 def _common(sets: list[bytes], lead: np.ndarray) -> np.ndarray:
@@ -74,6 +72,8 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
     size = np.array([len(s) // 8 for s in sets])
     common = _common(sets, lead)
     alike = (100 * common >= percent * (size[lead][:, None] + size[None, :] - common)) & (components[lead][:, None] != components[None, :])
+    if not alike.any():
+        return []
     root = {c: c for c in components.tolist()}
 
     def find(x: int) -> int:
@@ -83,7 +83,7 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
         return x
 
     found = []
-    for i, j in zip(*np.nonzero(alike), strict=True):
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
         x, y = find(int(components[lead[i]])), find(int(components[j]))
         if x != y:
             root[max(x, y)] = min(x, y)
@@ -92,35 +92,36 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
 
 
 def _grouped_links(percent: int):
-    """For mapInPandas over rows sorted by (key, chunk): a run of rows is one bucket, or one chunk of a large one."""
+    """For mapInArrow over rows sorted by (key, chunk): a run of rows is one bucket, or one chunk of a large one."""
 
-    def one(own: pd.DataFrame) -> list[tuple[int, int]]:
-        components = own["component"].to_numpy()
-        if own["chunk"].iloc[0] < 0:  # a whole bucket
+    def one(rows: pa.Table) -> list[tuple[int, int]]:
+        if rows.num_rows < 2:
+            return []
+        ids, components, chunk, leads = (rows.column(k).to_numpy() for k in ("id", "component", "chunk", "leads"))
+        if chunk[0] < 0:  # a whole bucket
             names, place, n = np.unique(components, return_inverse=True, return_counts=True)
             lead = np.flatnonzero(place != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
         else:
-            lead = np.flatnonzero(own["leads"].to_numpy())
-        return _links_within(own["id"].to_numpy(), components, own["hashes"].tolist(), lead, percent) if len(lead) else []
+            lead = np.flatnonzero(leads)
+        return _links_within(ids, components, rows.column("hashes").to_pylist(), lead, percent) if len(lead) else []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        at = None
+    def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            tags = batch["key"].to_numpy() * np.int64(1_000_003) + batch["chunk"].to_numpy()
-            cuts = [0, *(np.flatnonzero(tags[1:] != tags[:-1]) + 1).tolist(), len(tags)]
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            key, chunk = rows.column("key").to_numpy(), rows.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
+            found = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y == x:
-                    continue
-                if held and tags[x] != at:
-                    found += one(pd.concat(held))
-                    held = []
-                held.append(batch.iloc[x:y])
-                at = tags[x]
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if held:
-            yield pd.DataFrame(one(pd.concat(held)), columns=["a", "b"], dtype="int64")
+                found += one(rows.slice(x, y - x))
+            rest = rows.slice(cuts[-1])
+            yield links(found)
+        if rest is not None:
+            yield links(one(rest))
 
     return run
 
@@ -129,21 +130,21 @@ _DEALT = ["key", "chunk", "id", "component", "leads", "hashes"]
 
 
 def _compared(dealt: DataFrame, percent: int) -> DataFrame:
-    return stage(dealt.select(*_DEALT).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInPandas(_grouped_links(percent), PAIRS), "links")
+    return stage(dealt.select(*_DEALT).repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_grouped_links(percent), PAIRS), "links")
 
 
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent: int) -> DataFrame:
     """``(id, component)`` of every item linked to another.
 
-    ``items(id long, keys array<long>)``: one row for each distinct set, none empty, with the keys of its bands. ``sets_of(ids)``
-    returns ``(id, hashes)``, the sets (ascending uint64, binary) of the ids in the table given.
+    ``items(id long, keys array<long>)``: one row for each distinct set, none empty, with the keys of its bands. ``sets_of(led)``
+    takes ``(id, leader)`` and returns ``(id, leader, hashes)``, with the sets (ascending uint64, binary) of the ids.
     """
     keyed = items.select(F.explode("keys").alias("key"), "id")
     buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = stage(keyed.join(buckets, "key"), "members")
-    pairs = stage(members.groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b"), "pairs")
-    sets = stage(sets_of(pairs.select(F.col("b").alias("id"))), "sets")
-    links = stage(_verified(pairs.where("a <> b"), sets, percent), "links")
+    sets = stage(sets_of(members.groupBy("id").agg(F.min("leader").alias("leader"))), "sets")
+    links = stage(_verified(sets, percent), "links")
+    sets = sets.select("id", "hashes")
     labels = connected_components(links)
 
     def labelled(table: DataFrame) -> DataFrame:

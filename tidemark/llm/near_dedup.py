@@ -38,9 +38,9 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids = column(batch, "id")
             for c in chunks(column(batch, "body")):
-                yield pa.RecordBatch.from_arrays([ids[c.rows], binary(*shingle_sets(c, width))], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([ids[c.rows], column(batch, "leader")[c.rows], binary(*shingle_sets(c, width))], ["id", "leader", "hashes"])
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.mapInArrow(run, "id long, leader long, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -55,7 +55,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body"))
     signed = stage(_signed(docs, width, bands, rows), "signed")
     classes = stage(signed.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), "classes")
-    found = link(classes.select(F.col("first").alias("id"), "keys"), lambda ids: _sets(docs.join(ids, "id", "left_semi"), width), percent=percent)
+    found = link(classes.select(F.col("first").alias("id"), "keys"), lambda led: _sets(docs.join(led, "id"), width), percent=percent)
     labels = stage(classes.select("high", "low", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("component")), "labels")
     return (
         signed.select("id", "n", "high", "low").join(labels, ["high", "low"], "left")

@@ -60,14 +60,21 @@ def _occurrences(docs: DataFrame, width: int, min_words: int, bands: int, rows:
 
 
 def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
+    """Sets of the paragraphs that each row of ``(body, wanted)`` names: ``wanted`` is a list of (id, leader, place)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = column(batch, "wanted").to_pylist()
             for c in chunks(column(batch, "body")):
-                row, _, _, values, offsets = _long_paragraphs(c, width, min_words)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(set_digest(values, offsets)[0]), binary(values, offsets)], ["id", "hashes"])
+                row, place, _, values, offsets = _long_paragraphs(c, width, min_words)
+                at = {k: i for i, k in enumerate(zip(row.tolist(), place.tolist(), strict=True))}
+                out = [(w["id"], w["leader"], at[r, w["place"]]) for r, own in enumerate(wanted[c.rows]) for w in own if (r, w["place"]) in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([values[offsets[x[2]] : offsets[x[2] + 1]].tobytes() for x in out], pa.binary())],
+                    ["id", "leader", "hashes"],
+                )
 
-    return docs.mapInArrow(run, "id long, hashes binary")
+    return docs.select("body", "wanted").mapInArrow(run, "id long, leader long, hashes binary")
 
 
 def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -83,11 +90,13 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     found = stage(_occurrences(docs, width, min_words, bands, rows), "paragraphs")
     classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
     items = classes.select(F.col("class").alias("id"), "keys")
+    repeats = not found.groupBy("doc", "place").count().where("count > 1").isEmpty()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.select(F.col("class").alias("id"), F.col("first.doc").alias("doc")).join(ids, "id", "left_semi")
-        holders = wanted.select(F.col("doc").alias("id")).distinct()
-        return _sets(docs.join(holders, "id", "left_semi"), width, min_words).join(ids, "id", "left_semi").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    def sets_of(led: DataFrame) -> DataFrame:
+        firsts = classes.select(F.col("class").alias("id"), "first").join(led, "id")
+        wanted = firsts.groupBy(F.col("first.doc").alias("id")).agg(F.collect_list(F.struct("id", "leader", F.col("first.place").alias("place"))).alias("wanted"))
+        # where rows repeat an id, the paragraph may be there more than once or not at all
+        return _sets(docs.join(wanted, "id"), width, min_words).dropDuplicates(["id"]) if repeats else _sets(docs.join(wanted, "id"), width, min_words)
 
     labels = link(items, sets_of, percent=percent)
     groups = stage(classes.select("class", "first", "copies").join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "groups")
