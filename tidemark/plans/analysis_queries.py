@@ -375,3 +375,122 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("asset"), F.col("c_nationkey").alias("nation"))
     return an.universe_intersect(rows.where("asset % 2 = 0"), rows.where("asset % 3 = 0"))
+
+
+@_query(
+    "rigor_adjusted_p_values",
+    f"""WITH {_WEIGHTED}, t AS (SELECT asset AS test, 1 / (1 + abs(avg(r) / stddev_samp(r)) * sqrt(count(r)) * 40) AS p FROM g GROUP BY asset), k AS (SELECT *, row_number() OVER (ORDER BY p, test) AS k, count(*) OVER () AS m FROM t),
+ c AS (SELECT sum(1.0 / i) AS c FROM range(1, 1 + (SELECT count(*) FROM t)) q(i)),
+ o AS (SELECT test, p, least(p * m, 1.0) AS bonferroni, least(max((m - k + 1) * p) OVER (ORDER BY p, test ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0) AS holm,
+  least(min(p * m * CAST(c AS DOUBLE) / k) OVER (ORDER BY p, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS bhy FROM k, c) SELECT test, {_tidy_sql('p bonferroni holm bhy')} FROM o""",
+)
+def _(spark, d):
+    from .rigor import adjusted_p_values
+
+    t = F.abs(F.avg("r") / F.stddev_samp("r")) * F.sqrt(F.count("r")) * 40
+    tests = weighted(spark, d).groupBy(F.col("asset").alias("test")).agg((1.0 / (1.0 + t)).alias("p"))
+    return tidy(adjusted_p_values(tests))
+
+
+@_query(
+    "rigor_return_stats",
+    f"""WITH {_RETURNS}, f AS (SELECT count(*) AS n, avg(ret) AS mean, stddev_pop(ret) AS std FROM pr), o AS (SELECT any_value(n) AS n, any_value(mean) AS mean, any_value(std) AS std, avg(pow((ret - mean) / std, 3)) AS skew,
+ avg(pow((ret - mean) / std, 4)) AS kurtosis, any_value(mean / std) AS sharpe FROM pr, f) SELECT n, {_tidy_sql('mean std skew kurtosis sharpe')} FROM o""",
+)
+def _(spark, d):
+    from .rigor import return_stats
+
+    return tidy(return_stats(returns(spark, d)))
+
+
+@_query("rigor_permutation")
+def _(spark, d):
+    from .rigor import permutation_p_value
+
+    return permutation_p_value(returns(spark, d))
+
+
+@_query("rigor_overfitting")
+def _(spark, d):
+    from .rigor import overfitting_probability
+
+    trials = weighted(spark, d).where("r is not null").groupBy("time", (F.col("asset") % 10).alias("trial")).agg(F.avg("r").alias("ret"))
+    return overfitting_probability(trials)
+
+
+@_query("optimise_weights")
+def _(spark, d):
+    from . import optimise as op
+
+    panel = days(spark, d).withColumn("ret", ts.ret(F.col("px"), MONTHLY))
+    names, mean, cov = op.moments(panel)
+    made = {"min_variance": op.min_variance(cov), "max_sharpe": op.max_sharpe(mean, cov), "risk_parity": op.risk_parity(cov), "hierarchical": op.hierarchical_risk_parity(cov)}
+    return spark.createDataFrame([(k, n, float(x)) for k, w in made.items() for n, x in zip(names, w, strict=True)], "method string, asset string, weight double")
+
+
+@_query(
+    "grid_search",
+    f"""WITH {MONTHS_SQL}, k AS (SELECT unnest([1, 3, 6]) AS n), s AS (SELECT n, unnest([0.1, 0.2]) AS share FROM k),
+ g1 AS (SELECT time, asset, px / lag(px, 1) OVER a - 1 AS r, px / lag(px, 1) OVER a - 1 AS m1, px / lag(px, 3) OVER a - 1 AS m3, px / lag(px, 6) OVER a - 1 AS m6 FROM m WINDOW a AS (PARTITION BY asset ORDER BY time)),
+ g AS (SELECT n, share, time, asset, r, CASE n WHEN 1 THEN m1 WHEN 3 THEN m3 ELSE m6 END AS s FROM g1, s),
+ h AS (SELECT *, count(s) OVER p AS c, ceil((count(s) OVER p) * CAST(share AS DOUBLE)) AS k, row_number() OVER (PARTITION BY n, share, time ORDER BY s ASC NULLS LAST, asset) AS pl FROM g WINDOW p AS (PARTITION BY n, share, time)),
+ w AS (SELECT *, CASE WHEN pl > c THEN 0.0 WHEN pl > c - k THEN 1.0 / k WHEN pl <= k THEN -1.0 / k ELSE 0.0 END AS weight FROM h),
+ l AS (SELECT *, lag(weight) OVER (PARTITION BY n, share, asset ORDER BY time) AS held FROM w),
+ pr AS (SELECT n, share, time, coalesce(sum(held * r), 0) AS ret FROM l GROUP BY n, share, time), o AS (SELECT n AS periods, CAST(share AS DOUBLE) AS share, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM pr GROUP BY n, share)
+ SELECT CAST(periods AS INT) AS periods, share, {_tidy_sql('sharpe', 7)} FROM o""",
+)
+def _(spark, d):
+    """All combinations in one plan: parameters are a key of the panel, not a loop of jobs."""
+    from ..operators.axes import Section
+
+    px = F.col("px")
+    moves = months(spark, d).select("time", "asset", ts.ret(px, MONTHLY).alias("r"), F.array(*(F.struct(F.lit(n).alias("periods"), ts.ret(px, MONTHLY, n).alias("s")) for n in (1, 3, 6))).alias("tries"))
+    each = moves.select("time", "asset", "r", F.explode("tries").alias("t")).select("time", "asset", "r", "t.*").withColumn("share", F.explode(F.array(F.lit(0.1), F.lit(0.2))))
+    section = Section("time", "asset", ("periods", "share"))
+    w = {k: xs.extreme_weights(F.col("s"), section, k) for k in (0.1, 0.2)}
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("periods", "share", "asset").orderBy("time")
+    legs = each.withColumn("weight", F.when(F.col("share") == 0.1, w[0.1]).otherwise(w[0.2])).withColumn("held", F.lag("weight").over(own))
+    daily = legs.groupBy("periods", "share", "time").agg(F.coalesce(F.sum(F.col("held") * F.col("r")), F.lit(0.0)).alias("ret"))
+    return tidy(daily.groupBy("periods", "share").agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("sharpe")), 7)
+
+
+@_query("panel_wide_prices", f"WITH {DAYS_SQL} PIVOT (SELECT time, asset, px FROM d) ON asset USING last(px) GROUP BY time")
+def _(spark, d):
+    from ..sources.files import to_wide
+
+    return to_wide(days(spark, d).select("time", "asset", "px"))
+
+
+@_query("panel_date_range", f"WITH {MONTHS_SQL} SELECT time, asset, {finite_sql('px', 7)} AS px FROM m WHERE time BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'")
+def _(spark, d):
+    from ..sources.files import between
+
+    return tidy(between(months(spark, d).select("time", "asset", "px"), "1995-01-01", "1995-06-30"), 7)
+
+
+@_query(
+    "stream_bars",
+    """SELECT time_bucket(INTERVAL '1 day', ts) AS time, event_type AS asset, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS n
+ FROM (SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) AS rn FROM events) e WHERE rn = 1 GROUP BY 1, 2""",
+)
+def _(spark, d):
+    from pyspark.sql import Window
+
+    from ..streaming.online import bars
+
+    first = F.row_number().over(Window.partitionBy("event_type", "ts").orderBy("event_id"))
+    ticks = table(spark, d, "events").withColumn("rn", first).where("rn = 1").select(F.col("event_type").alias("asset"), F.col("ts").alias("time"), F.col("value").alias("px"))
+    return bars(ticks, every="1 day")
+
+
+@_query(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+ SELECT user_id AS asset, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def _(spark, d):
+    from ..streaming.online import sessions
+
+    return sessions(table(spark, d, "events").select(F.col("user_id").alias("asset"), F.col("ts").alias("time")), gap="6 hours")
