@@ -67,13 +67,24 @@ def _common(sets: list[bytes], lead: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of a ``lead`` row and a row of another component whose sets are alike."""
+    size = np.array([len(s) // 8 for s in sets])
+    fit = (100 * np.minimum(size[lead][:, None], size) >= percent * np.maximum(size[lead][:, None], size)) & (components[lead][:, None] != components)
+    i, j = (x.tolist() for x in np.nonzero(fit))
+    if len(i) > 2 * len(sets):
+        common = _common(sets, lead)
+        return tuple(x.tolist() for x in np.nonzero(fit & (100 * common >= percent * (size[lead][:, None] + size - common))))
+    kept = []
+    for x, y in zip(i, j, strict=True):
+        both = np.sort(np.frombuffer(sets[lead[x]] + sets[y], U), kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        kept.append(100 * common >= percent * (len(both) - common))
+    return [x for x, k in zip(i, kept, strict=True) if k], [y for y, k in zip(j, kept, strict=True) if k]
+
+
 def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links of the ``lead`` rows with any row of another component, as a forest over the components they join."""
-    size = np.array([len(s) // 8 for s in sets])
-    common = _common(sets, lead)
-    alike = (100 * common >= percent * (size[lead][:, None] + size[None, :] - common)) & (components[lead][:, None] != components[None, :])
-    if not alike.any():
-        return []
     root = {c: c for c in components.tolist()}
 
     def find(x: int) -> int:
@@ -83,7 +94,7 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
         return x
 
     found = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+    for i, j in zip(*_alike(components, sets, lead, percent), strict=True):
         x, y = find(int(components[lead[i]])), find(int(components[j]))
         if x != y:
             root[max(x, y)] = min(x, y)
@@ -94,34 +105,40 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
 def _grouped_links(percent: int):
     """For mapInArrow over rows sorted by (key, chunk): a run of rows is one bucket, or one chunk of a large one."""
 
-    def one(rows: pa.Table) -> list[tuple[int, int]]:
-        if rows.num_rows < 2:
+    def one(ids: np.ndarray, components: np.ndarray, whole: bool, leads: np.ndarray, sets: list[bytes]) -> list[tuple[int, int]]:
+        if len(ids) < 2:
             return []
-        ids, components, chunk, leads = (rows.column(k).to_numpy() for k in ("id", "component", "chunk", "leads"))
-        if chunk[0] < 0:  # a whole bucket
+        if whole:
             names, place, n = np.unique(components, return_inverse=True, return_counts=True)
-            lead = np.flatnonzero(place != n.argmax()) if len(names) > 1 else np.zeros(0, np.int64)
-        else:
-            lead = np.flatnonzero(leads)
-        return _links_within(ids, components, rows.column("hashes").to_pylist(), lead, percent) if len(lead) else []
+            leads = place != n.argmax()
+        lead = np.flatnonzero(leads)
+        return _links_within(ids, components, sets, lead, percent) if len(lead) else []
 
     def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
+    def groups(rows: pa.Table) -> list[tuple[int, int]]:
+        if not rows.num_rows:
+            return []
+        key, chunk, ids, components, leads = (rows.column(k).to_numpy() for k in ("key", "chunk", "id", "component", "leads"))
+        sets = rows.column("hashes").to_pylist()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(key)]
+        found = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            found += one(ids[x:y], components[x:y], chunk[x] < 0, leads[x:y], sets[x:y])
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([rest, rows]) if rest is not None else rows
             key, chunk = rows.column("key").to_numpy(), rows.column("chunk").to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist()]
-            found = []
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                found += one(rows.slice(x, y - x))
-            rest = rows.slice(cuts[-1])
-            yield links(found)
+            cut = int(np.flatnonzero((key != key[-1]) | (chunk != chunk[-1]))[-1]) + 1 if len(key) and (key[0] != key[-1] or chunk[0] != chunk[-1]) else 0
+            yield links(groups(rows.slice(0, cut)))
+            rest = rows.slice(cut)  # its group may go on
         if rest is not None:
-            yield links(one(rest))
+            yield links(groups(rest))
 
     return run
 
