@@ -22,10 +22,11 @@ from .components import connected_components
 from .shared import stage
 from .text import U
 
-LEADERS = 128
-CHUNK = 1024
+LEADERS = 512
+CHUNK = 4096
 SALTS = 16
-CELLS = 20_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
+CELLS = 16_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
+SLICE = 256  # leading members at a time
 PAIRS = "a long, b long"
 
 
@@ -48,39 +49,54 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
     return led.select(F.col("leader").alias("a"), F.col("id").alias("b"), "leader_set", "hashes").mapInArrow(run, PAIRS)
 
 
-def _common(sets: list[bytes], lead: np.ndarray) -> np.ndarray:
-    """Elements that each of the ``lead`` sets has in common with every set."""
-    values = [np.frombuffer(s, U) for s in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(v) for v in values])
-    _, element, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-    shared = n > 1
-    number = np.cumsum(shared) - 1
-    use = shared[element]
-    owner, element = owner[use], number[element[use]]
-    width, step = int(shared.sum()), max(1, CELLS // len(sets))
-    out = np.zeros((len(lead), len(sets)), np.float32)
-    for at in range(0, width, step):
-        part = (element >= at) & (element < at + step)
-        block = np.zeros((len(sets), min(step, width - at)), np.float32)
-        block[owner[part], element[part] - at] = 1
-        out += block[lead] @ block.T
-    return out
-
-
-def _alike(components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+class _Counter:
+    """Counts the elements that members of a bucket have in common, by products of 0/1 matrices over the elements shared by any two."""
+
+    def __init__(self, sets: list[bytes]) -> None:
+        values = [np.frombuffer(s, U) for s in sets]
+        owner = np.repeat(np.arange(len(sets)), [len(v) for v in values])
+        _, element, n = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        shared = n > 1
+        use = shared[element]
+        self.members, self.owner, self.element = len(sets), owner[use], (np.cumsum(shared) - 1)[element[use]]
+        self.width, self.step = int(shared.sum()), max(1, CELLS // len(sets))
+        self.only = self._block(0) if self.width <= self.step else None
+
+    def _block(self, at: int) -> np.ndarray:
+        part = (self.element >= at) & (self.element < at + self.step)
+        block = np.zeros((self.members, min(self.step, self.width - at)), np.float32)
+        block[self.owner[part], self.element[part] - at] = 1
+        return block
+
+    def common(self, lead: np.ndarray) -> np.ndarray:
+        if self.only is not None:
+            return self.only[lead] @ self.only.T
+        out = np.zeros((len(lead), self.members), np.float32)
+        for at in range(0, self.width, self.step):
+            block = self._block(at)
+            out += block[lead] @ block.T
+        return out
+
+
+def _alike(components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of a ``lead`` row and a row of another component whose sets are alike."""
-    size = np.array([len(s) // 8 for s in sets])
-    fit = (100 * np.minimum(size[lead][:, None], size) >= percent * np.maximum(size[lead][:, None], size)) & (components[lead][:, None] != components)
-    i, j = (x.tolist() for x in np.nonzero(fit))
-    if len(i) > 2 * len(sets):
-        common = _common(sets, lead)
-        return tuple(x.tolist() for x in np.nonzero(fit & (100 * common >= percent * (size[lead][:, None] + size - common))))
-    kept = []
-    for x, y in zip(i, j, strict=True):
-        both = np.sort(np.frombuffer(sets[lead[x]] + sets[y], U), kind="stable")
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        kept.append(100 * common >= percent * (len(both) - common))
-    return [x for x, k in zip(i, kept, strict=True) if k], [y for y, k in zip(j, kept, strict=True) if k]
+    size, counter = np.array([len(s) // 8 for s in sets], np.int32), None
+    for part in (lead[i : i + SLICE] for i in range(0, len(lead), SLICE)):
+        own = size[part][:, None]
+        fit = (100 * np.minimum(own, size) >= percent * np.maximum(own, size)) & (components[part][:, None] != components)
+        i, j = np.nonzero(fit)
+        if counter is None and len(i) > 2 * len(sets):
+            counter = _Counter(sets)
+        if counter is not None:
+            common = counter.common(part)
+            i, j = np.nonzero(fit & (100 * common >= percent * (own + size - common)))
+            yield from zip(part[i].tolist(), j.tolist(), strict=True)
+            continue
+        for x, y in zip(part[i].tolist(), j.tolist(), strict=True):
+            both = np.sort(np.frombuffer(sets[x] + sets[y], U), kind="stable")
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            if 100 * common >= percent * (len(both) - common):
+                yield x, y
 
 
 def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], lead: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -94,11 +110,11 @@ def _links_within(ids: np.ndarray, components: np.ndarray, sets: list[bytes], le
         return x
 
     found = []
-    for i, j in zip(*_alike(components, sets, lead, percent), strict=True):
-        x, y = find(int(components[lead[i]])), find(int(components[j]))
+    for i, j in _alike(components, sets, lead, percent):
+        x, y = find(int(components[i])), find(int(components[j]))
         if x != y:
             root[max(x, y)] = min(x, y)
-            found.append((int(ids[lead[i]]), int(ids[j])))
+            found.append((int(ids[i]), int(ids[j])))
     return found
 
 
