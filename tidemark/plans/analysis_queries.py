@@ -494,3 +494,68 @@ def _(spark, d):
     from ..streaming.online import sessions
 
     return sessions(table(spark, d, "events").select(F.col("user_id").alias("asset"), F.col("ts").alias("time")), gap="6 hours")
+
+
+_SIGNAL = "SELECT time, asset, CASE WHEN q IS NULL THEN NULL WHEN (stddev_pop(q) OVER s) > 1e-10 THEN (q - avg(q) OVER s) / (stddev_pop(q) OVER s) ELSE 0 END AS signal FROM q WINDOW s AS (PARTITION BY time)"
+
+
+def _signal_sql(raw: str, windows: str = "") -> str:
+    own = "PARTITION BY asset ORDER BY time"
+    return f"""WITH {MONTHS_SQL}, f AS (SELECT *, px / (lag(px) OVER ({own})) - 1 AS one FROM m), u AS (SELECT time, asset, {raw} AS x FROM f WINDOW a AS ({own}), a6 AS ({own} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), a12 AS ({own} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+ l AS (SELECT *, list_sort(list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY time)) AS xl FROM u),
+ q AS (SELECT time, asset, CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.01) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.99), len(xl) - 1) AS INT) + 1]) END AS q FROM l), o AS ({_SIGNAL}) SELECT time, asset, {_tidy_sql('signal', 7)} FROM o"""
+
+
+def _signal_query(name: str, raw: str, **options) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from . import signals
+
+        return tidy(getattr(signals, name)(months(spark, sf_dir), **options, along=MONTHLY, across=MONTHS).select("time", "asset", "signal"), 7)
+
+    QUERIES[f"signal_{name}"] = query
+    ORACLES[f"signal_{name}"] = _signal_sql(raw)
+
+
+_signal_query("momentum", "px / (lag(px, 6) OVER a) - 1", n=6)
+_signal_query("mean_reversion", "-CASE WHEN (stddev_pop(px) OVER a6) > 1e-10 THEN (px - avg(px) OVER a6) / (stddev_pop(px) OVER a6) ELSE 0 END", n=6)
+_signal_query("vol_adjusted_momentum", "(px / (lag(px, 3) OVER a) - 1) / greatest(stddev_pop(coalesce(one, 0)) OVER a6, 1e-6)", n=3, window=6)
+_signal_query("trend", "(avg(px) OVER a6) / (avg(px) OVER a12) - 1", fast=6, slow=12)
+_signal_query("breakout", "CASE WHEN (max(px) OVER a6) > (min(px) OVER a6) THEN 2 * (px - min(px) OVER a6) / ((max(px) OVER a6) - (min(px) OVER a6)) - 1 ELSE 0 END", n=6)
+
+
+@_query("signal_rsi_reversal")
+def _(spark, d):
+    from .signals import rsi_reversal
+
+    return tidy(rsi_reversal(months(spark, d), 6, MONTHLY, MONTHS).select("time", "asset", "signal"), 7)
+
+
+@_query(
+    "signal_ranked_momentum",
+    f"WITH {MONTHS_SQL}, q AS (SELECT time, asset, (lag(px, 1) OVER a) / (lag(px, 6) OVER a) - 1 AS x FROM m WINDOW a AS (PARTITION BY asset ORDER BY time)), o AS (SELECT time, asset, (row_number() OVER (PARTITION BY time ORDER BY x ASC NULLS LAST, asset)) / (count(*) OVER (PARTITION BY time)) AS signal FROM q) SELECT time, asset, {_tidy_sql('signal')} FROM o",
+)
+def _(spark, d):
+    from .signals import ranked_momentum
+
+    return tidy(ranked_momentum(months(spark, d), 6, 1, MONTHLY, MONTHS).select("time", "asset", "signal"))
+
+
+@_query("signal_quality", f"WITH {MONTHS_SQL}, o AS (SELECT time, asset, ((CASE WHEN (stddev_pop(px) OVER s) > 1e-10 THEN (px - avg(px) OVER s) / (stddev_pop(px) OVER s) ELSE 0 END) - (CASE WHEN (stddev_pop(volume) OVER s) > 1e-10 THEN (volume - avg(volume) OVER s) / (stddev_pop(volume) OVER s) ELSE 0 END)) / 2 AS signal FROM m WINDOW s AS (PARTITION BY time)) SELECT time, asset, {_tidy_sql('signal', 7)} FROM o")
+def _(spark, d):
+    from .signals import quality
+
+    return tidy(quality(months(spark, d), ["px"], ["volume"], MONTHS).select("time", "asset", "signal"), 7)
+
+
+@_query("regime_hidden")
+def _(spark, d):
+    from .regimes import hidden_regimes
+
+    return hidden_regimes(market(spark, d).withColumn("asset", F.lit("market")), "ret", s=MONTHLY).select("time", "asset", "state", "chance")
+
+
+@_query("regime_clusters")
+def _(spark, d):
+    from .regimes import clustered_regimes
+
+    return clustered_regimes(market(spark, d).withColumn("asset", F.lit("market")), "ret", n=6, s=MONTHLY).select("time", "asset", "cluster")
