@@ -38,9 +38,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
     """How many documents of each length to take so that the lengths sum to ``budget`` as nearly as can be.
 
-    Lengths share the budget in proportion to their counts, rounded down; what is left is first filled with single
-    documents of lengths in seeded order until at most ``FIT`` words remain. Those are fitted by bounded-knapsack
-    dynamic programming over the reachable sums (bit i: sum i), of which the one nearest the remainder is taken.
+    All of the budget but ``FIT`` words is shared by the lengths in proportion to their counts, rounded down, and topped up with
+    single documents of lengths in seeded order. The last words, about ``FIT``, are fitted by bounded-knapsack dynamic programming
+    over the reachable sums (bit i: sum i), of which the one nearest the remainder is taken.
     """
     total = int((lengths * counts).sum())
     taken = np.zeros(len(lengths), np.int64)
@@ -48,14 +48,15 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
         return taken
     if budget >= total:
         return counts.copy()
-    taken = np.array([int(c) * budget // total for c in counts], np.int64)
+    if budget > FIT:
+        taken = np.array([int(c) * (budget - FIT) // total for c in counts], np.int64)
     left = budget - int((lengths * taken).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
     moved = True
     while left > FIT and moved:
         moved = False
         for i in order:
-            if taken[i] < counts[i] and 0 < lengths[i] <= left and left > FIT:
+            if taken[i] < counts[i] and 0 < lengths[i] <= left - FIT // 2 and left > FIT:
                 taken[i] += 1
                 left -= int(lengths[i])
                 moved = True
