@@ -102,3 +102,18 @@ def test_repeated_paragraphs_are_those_of_brute_force(spark):
         if i is not None and i != 52 and t is not None:
             assert (i, "\n".join(p for k, p in enumerate(t.split("\n")) if (i, k) not in got or got[i, k][1]), "x") in cut
     assert repeated_paragraphs(empty(spark)).collect() == []
+
+
+def test_passages_glued_into_longer_paragraphs(spark):
+    """A passage of three sentences amid words that differ: found from its second sentence on, cut from all texts but the first."""
+    rng = random.Random(8)
+    first, rest = prose(rng, 9) + ".", f"{prose(rng, 22)}. {prose(rng, 24)}."
+    rows = [(i, f"{prose(rng, 5)}\n{prose(rng, 30)} {first} {rest} {prose(rng, 40)}.") for i in range(6)]
+    rows += [(i, f"{prose(rng, 200)}. {prose(rng, 60)}?") for i in range(10, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = repeated_paragraphs(docs)
+    got = sorted((r["doc_id"], r["paragraph"], r["first_word"], r["n_words"], r["keeper_doc_id"], r["kept"]) for r in spans.collect())
+    assert got == [(i, 1, f, n, 0, i == 0) for i in range(6) for f, n in ((39, 22), (61, 24))]
+    for r in cut_repeats(docs, spans).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert r["text"] == (text.replace(rest + " ", "") if 0 < r["doc_id"] < 6 else text)

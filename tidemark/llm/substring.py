@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +14,14 @@ from pyspark.sql import functions as F
 from .linkage import link
 from .minhash import band_keys, minhash
 from .shared import stage
-from .text import Chunk, binary, chunks, column, distinct_sorted, lists, set_digest, shingle_hashes, word_bounds, word_hashes
+from .text import Chunk, U, chunks, column, distinct_sorted, lists, mix64, powers, set_digest, shingle_hashes, word_bounds, word_hashes
 
 BANDS, ROWS = 8, 2  # a pair at 0.8 collides nowhere with probability 2.8e-4, at 0.9 with 1.7e-6
 MIN_WORDS = 20
+LONGER_THAN = 50
+STOPS = np.zeros(256, bool)
+STOPS[[*b".!?"]] = True
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _lines(c: Chunk) -> tuple[Chunk, np.ndarray, np.ndarray]:
@@ -42,21 +47,59 @@ def _long_paragraphs(c: Chunk, width: int, min_words: int):
     return owner[pick], place[pick], n, *sets
 
 
-def _occurrences(docs: DataFrame, width: int, min_words: int, bands: int, rows: int) -> DataFrame:
+def _passages(c: Chunk, min_words: int, longer_than: int):
+    """Rows, numbers, first words, word counts and digests of the passages of each paragraph of over ``longer_than`` words: from every
+    sentence on, the fewest whole sentences that hold ``min_words`` words, unless that is the whole paragraph."""
+    lines, owner, place = _lines(c)
+    starts, ends, first = word_bounds(lines)
+    n = np.diff(first)
+    line = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(line))
+    stops = STOPS[lines.data[ends - 1]] | (at == first[line + 1] - 1)
+    opens = (at == first[line]) | np.concatenate(([True], stops[:-1]))[: len(at)]
+    begin, last = np.flatnonzero(opens & (n[line] > longer_than)), np.flatnonzero(stops)
+    to = np.searchsorted(last, begin + max(min_words, 1) - 1)
+    end = np.append(last, 0)[to] + 1
+    fit = (to < len(last)) & (end <= first[line[begin] + 1]) & (end - begin < n[line[begin]])
+    begin, end = begin[fit], end[fit]
+    p, inverse = powers(len(line) + 1)
+    total = np.zeros(len(line) + 1, U)
+    np.cumsum(word_hashes(lines, starts, ends) * p[:-1], out=total[1:])
+    digest = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U))
+    own = line[begin]
+    return owner[own], place[own], begin - first[own], end - begin, digest.view(np.int64)
+
+
+def _occurrences(docs: DataFrame, width: int, min_words: int, longer_than: int, bands: int, rows: int) -> DataFrame:
+    """A row for each paragraph, with the keys of its bands, and for each passage inside a longer one, without keys."""
+
+    def part(ids: pa.Array, row, place, first_word, n_words, digest, keys: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(first_word.astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(digest), keys],
+            ["doc", "place", "first_word", "n_words", "class", "keys"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "id")
             for c in chunks(column(batch, "body")):
+                ids = column(batch, "id")[c.rows]
                 row, place, n_words, values, offsets = _long_paragraphs(c, width, min_words)
-                if not len(row):
-                    continue
-                keys = band_keys(minhash(values, offsets, bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [ids[c.rows].take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n_words), pa.array(set_digest(values, offsets)[0]), lists(keys)],
-                    ["doc", "place", "n_words", "class", "keys"],
-                )
+                if len(row):
+                    keys = band_keys(minhash(values, offsets, bands * rows), bands, rows)
+                    yield part(ids, row, place, np.zeros(len(row)), n_words, set_digest(values, offsets)[0], lists(keys))
+                found = _passages(c, min_words, longer_than)
+                if len(found[0]):
+                    yield part(ids, *found, pa.nulls(len(found[0]), pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, "doc long, place int, n_words long, class long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, place int, first_word int, n_words int, class long, keys array<long>")
+
+
+def _repeated_passages(passages: DataFrame) -> DataFrame:
+    """The passages whose words occur more than once, each with its first occurrence as ``keeper``."""
+    again = stage(passages.groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class"), "again")
+    hits = stage(passages.join(again, "class"), "hits")
+    keepers = stage(hits.groupBy("class").agg(F.min(F.struct("doc", "place", "first_word")).alias("keeper")), "keepers")
+    return hits.join(keepers, "class").withColumn("kept", F.struct("doc", "place", "first_word") == F.col("keeper"))
 
 
 def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -77,17 +120,23 @@ def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     return docs.select("body", "wanted").mapInArrow(run, "id long, leader long, hashes binary")
 
 
-def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, paragraph, n_words, keeper_doc_id, keeper_paragraph, kept)`` for each occurrence of a repeated paragraph.
+def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, longer_than: int = LONGER_THAN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(doc_id, paragraph, first_word, n_words, keeper_doc_id, keeper_paragraph, kept)`` for each occurrence of a repeated paragraph or passage.
 
     Paragraphs are the pieces between line feeds, numbered from 0; those under ``min_words`` words are left alone.
     Two are alike when their sets of ``width``-word shingles (A-Z as a-z) have a Jaccard of ``percent`` hundredths or
     more; banding proposes, the full sets decide. Of each component of alike paragraphs the first occurrence by
-    (doc_id, paragraph) is kept. Equal sets are one class, named by 64 bits of their digest. Null or blank texts hold no
-    paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
+    (doc_id, paragraph) is kept. Equal sets are one class, named by 64 bits of their digest.
+
+    A repeat may also be glued into paragraphs that otherwise differ. So in paragraphs of over ``longer_than`` words that aren't
+    repeated as a whole, passages of whole sentences and at least ``min_words`` words are compared by 64 bits of their
+    digest; all occurrences but the first are not kept. Their rows may overlap; ``first_word`` counts from 0 in the paragraph.
+
+    Null or blank texts hold no paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
-    found = stage(_occurrences(docs, width, min_words, bands, rows), "paragraphs")
+    every = stage(_occurrences(docs, width, min_words, longer_than, bands, rows), "paragraphs")
+    found = every.where("keys is not null")
     classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
     items = classes.select(F.col("class").alias("id"), "keys")
     repeats = not found.groupBy("doc", "place").count().where("count > 1").isEmpty()
@@ -102,26 +151,38 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     groups = stage(classes.select("class", "first", "copies").join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "groups")
     keepers = stage(groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies"), "keepers")
     repeated = stage(groups.select("class", "component").join(keepers, "component").select("class", "keeper"), "repeated")
-    return found.select("doc", "place", "n_words", "class").join(repeated, "class").select(
-        F.col("doc").alias("doc_id"), F.col("place").alias("paragraph"), "n_words",
-        F.col("keeper.doc").alias("keeper_doc_id"), F.col("keeper.place").alias("keeper_paragraph"),
-        (F.struct(F.col("doc"), F.col("place")) == F.col("keeper")).alias("kept"),
-    )
+    place = ["doc", "place", "first_word", "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place")]
+    whole = stage(found.select("doc", "place", "first_word", "n_words", "class").join(repeated, "class").select(*place, (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
+    inside = _repeated_passages(every.where("keys is null").drop("keys")).select(*place, "kept").join(whole.select("doc", "place").distinct(), ["doc", "place"], "left_anti")
+    return whole.unionByName(inside).toDF("doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept")
+
+
+def _without(text: str | None, spans) -> str | None:
+    """The text without the spans (paragraph, first word, number of words); a paragraph that loses all words goes with its line feed."""
+    if text is None or spans is None:
+        return text
+    gone: dict[int, set[int]] = {}
+    for paragraph, first, n in spans:
+        gone.setdefault(int(paragraph), set()).update(range(first, first + n))
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        starts = [m.start() for m in WORD.finditer(line)] if i in gone else []
+        if starts:
+            left = [line[a:b] for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(line)], strict=True)) if k not in gone[i]]
+            if not left:
+                continue
+            line = "".join(left).rstrip()
+        out.append(line)
+    return "\n".join(out)
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with all columns, its texts without the paragraphs that ``spans`` doesn't keep; other texts are unchanged."""
-    gone = spans.where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` with all columns, its texts without the paragraphs and passages that ``spans`` doesn't keep; other texts are unchanged."""
+    gone = spans.where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.array("paragraph", "first_word", "n_words")).alias("__gone"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(text, places):
-            if text is None or places is None:
-                return text
-            drop = set(places)
-            return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-
-        return pd.Series([one(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
+        return pd.Series([_without(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
     joined = docs.join(stage(gone, "gone"), F.col(id_column) == F.col("__id"), "left")
     return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(without(F.col(text_column), F.col("__gone")))).drop("__id", "__gone")
