@@ -8,13 +8,15 @@ once for each longer context it is seen in (update exclusion). Contexts nest: wh
 seen, so exclusion takes two sums.
 
 Neither trie nor vocabulary is held in one place. Documents are dealt to blocks; each block asks for the words and grams
-(context and symbol) that it holds, and brings their counts if it is for training. Counts are summed by item, grams are
-turned into log-probabilities in groups that share the last two context bytes, and each block gets back its own items.
+(context and symbol) that it holds, and brings their counts in training texts. Items travel as packed sorted arrays, one for
+each block and group: grams are grouped by a hash of the last two context bytes, words by their own. A group sums the counts
+of all blocks, turns grams into log-probabilities, and answers each block in the order of the block's own items.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bucket_of, stage
-from .text import U, Chunk, chunks, row_sums, word_bounds, word_hashes
+from .text import U, Chunk, chunks, mix64, row_sums, word_bounds, word_hashes
 
 ORDER = 5
 SYMBOLS = 257
 END = -1  # the end token among the words
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 24_000_000
+GROUP_BYTES = 64_000_000  # of text for each group of items
+LEAST_GROUPS = 32
 TRAIN_PARTS, HELD_OUT_PART = 5, 1
 
 
@@ -66,14 +70,27 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return items[cut], np.add.reduceat(counts, cut)
 
 
-def _asked(table: pa.Table) -> pa.Table:
-    """The items of a block and their counts in its training texts."""
-    table = table.combine_chunks()
-    texts, train = table.column("body").combine_chunks(), table.column("train").to_numpy(zero_copy_only=False)
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.chunk(0)
+def _packed(values: np.ndarray) -> bytes:
+    """The array's bytes, plane by plane, compressed."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _texts(table: pa.Table) -> pa.Array:
+    texts = table.column("body").combine_chunks()
+    return texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+
+
+def _items(table: pa.Table, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct items, ascending, their counts in its training texts, the items' order by group, and where each group
+    starts in that order: grams are in the first ``groups`` groups, words in as many more."""
+    train = table.column("train").to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
     parts = [(np.array([END]), np.array([int(train.sum())]))]
-    for c in chunks(texts):
+    for c in chunks(_texts(table)):
         for values, first in (words_of(c), grams(c)):
             learns = np.repeat(train[c.rows], np.diff(first))
             for part, weight in ((values[learns], 1), (values[~learns], 0)):
@@ -83,7 +100,64 @@ def _asked(table: pa.Table) -> pa.Table:
         if len(parts) > 24:
             parts = [_merged(parts)]
     items, counts = _merged(parts)
-    return pa.table({"block": pa.array(np.full(len(items), table.column("block")[0].as_py(), np.int32)), "item": items, "n": counts.astype(np.int64)})
+    spread = mix64(np.where(items < 0, items, (items >> 9) & 65535).view(U)) % U(groups)
+    group = spread.astype(np.int64) + np.where(items < 0, groups, 0)
+    order = np.argsort(group, kind="stable")
+    return items, counts.astype(np.int64), order, np.searchsorted(group[order], np.arange(2 * groups + 1))
+
+
+def _asker(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each group that the block has items of: the items, their counts, and what training texts hold of them (of grams the
+        last two context bytes and the symbol)."""
+        table = table.combine_chunks()
+        items, counts, order, cuts = _items(table, groups)
+        out: list[tuple] = []
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            span = order[cuts[g] : cuts[g + 1]]
+            own, n = items[span], counts[span]
+            learnt = own[n > 0]
+            out.append((g, _packed(own), _packed(n), _packed(learnt if g >= groups else np.unique(learnt & ((1 << 25) - 1))), int(n.sum())))
+        columns = list(zip(*out, strict=True))
+        block = pa.array(np.full(len(out), table.column("block")[0].as_py(), np.int32))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([block, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["block", "group", "items", "counts", "learnt", "total"])
+
+    return run
+
+
+def _kinds(groups: int):
+    def run(table: pa.Table) -> pa.Table:
+        """How many of a group's learnt items there are: of words all together (as -1), of grams by last byte and symbol."""
+        is_words = table.column("group")[0].as_py() >= groups
+        held: list[np.ndarray] = []
+        for data in table.column("learnt").to_pylist():
+            held.append(_unpacked(data, np.int64))
+            if len(held) > 24:
+                held = [np.unique(np.concatenate(held))]
+        found = np.unique(np.concatenate(held))
+        names, n = np.unique(np.full(len(found), -1) if is_words else found & ((1 << 17) - 1), return_counts=True)
+        return pa.table({"pair": pa.array(names, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return run
+
+
+def _answerer(groups: int, first_order: np.ndarray, zero_order: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        """Each block's values of a group, in the order of its items: of words their training counts, of grams their log10 probabilities."""
+        is_words = table.column("group")[0].as_py() >= groups
+        asked = table.column("items").to_pylist()
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for data, counts in zip(asked, table.column("counts").to_pylist(), strict=True):
+            parts.append((_unpacked(data, np.int64), _unpacked(counts, np.int64)))
+            if len(parts) > 24:
+                parts = [_merged(parts)]
+        items, n = _merged(parts)
+        value = n if is_words else code_lengths(items, n, first_order, zero_order).astype(np.float32)
+        answers = [_packed(value[np.searchsorted(items, _unpacked(data, np.int64))]) for data in asked]
+        return pa.table({"block": table.column("block"), "group": table.column("group"), "answer": pa.array(answers, pa.binary())})
+
+    return run
 
 
 def code_lengths(items: np.ndarray, n: np.ndarray, first_order: np.ndarray, zero_order: np.ndarray) -> np.ndarray:
@@ -145,57 +219,45 @@ def code_lengths(items: np.ndarray, n: np.ndarray, first_order: np.ndarray, zero
     return out
 
 
-def _gram_values(counted: DataFrame, groups: int) -> DataFrame:
-    """``(item, value)``: log10 probability of each gram. Counts after one byte are a table of at most 256 x 257 rows."""
-    found = counted.where("item >= 0")
-    after_two = found.where("n > 0").groupBy(F.col("item").bitwiseAND((1 << 25) - 1).alias("item")).agg(F.lit(1).alias("n"))
-    low = after_two.groupBy(F.col("item").bitwiseAND((1 << 17) - 1).alias("pair")).agg(F.sum("n").alias("n")).collect()
-    first_order = np.zeros((256, SYMBOLS), np.int64)
-    for r in low:
-        first_order[r["pair"] >> 9, r["pair"] & 511] = r["n"]
-    zero_order = (first_order > 0).sum(axis=0)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        items = group["item"].to_numpy()
-        return pd.DataFrame({"item": items, "value": code_lengths(items, group["n"].to_numpy(), first_order, zero_order)})
-
-    ending = F.pmod(F.xxhash64(F.shiftright("item", 9).bitwiseAND(65535)), F.lit(groups))
-    return found.withColumn("ending", ending).groupBy("ending").applyInPandas(run, "item long, value double")
-
-
-def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row.
 
     Rows whose crc32 bucket of 5 is not 1 (null ids included) are learnt from. Null texts are empty: one end token. Words
-    are known by 63 bits of a hash. Without training rows every count is 0 and all symbols are alike. Rows that repeat
-    an id are scored each by its own text. Other columns are not read.
+    are known by 63 bits of a hash. A gram's log-probability has the 24 bits of a float. Without training rows every count is 0
+    and all symbols are alike. Rows that repeat an id are scored each by its own text. Other columns are not read.
     """
-    spark = docs.sparkSession
     held_out = F.coalesce(bucket_of("id", TRAIN_PARTS) == HELD_OUT_PART, F.lit(False))
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("body")).withColumn("train", ~held_out)
     size = named.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    dealt = named.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    asked = stage(dealt.groupBy("block").applyInArrow(_asked, "block int, item long, n long"), "asked")
-    counted = stage(asked.groupBy("item").agg(F.sum("n").alias("n")), "counted")
-    words = counted.where("item < 0")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    values = stage(words.select("item", F.col("n").cast("double").alias("value")).union(_gram_values(counted, groups)), "values")
-    told = asked.select("block", "item").join(values, "item")
-
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+    blocks, groups = max(1, math.ceil(size / block_bytes)), max(LEAST_GROUPS, math.ceil(size / group_bytes))
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("body")), F.lit(blocks)).cast("int"))
+    asked = stage(dealt.groupBy("block").applyInArrow(_asker(groups), "block int, group int, items binary, counts binary, learnt binary, total long"), "asked")
+    total = asked.where(F.col("group") >= groups).agg(F.sum("total")).first()[0] or 0
+    # one row for the words and at most 256 x 257 for last byte and symbol
+    known = {r["pair"]: r["n"] for r in asked.select("group", "learnt").groupBy("group").applyInArrow(_kinds(groups), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    kinds = known.pop(-1, 0)
+    first_order = np.zeros((256, SYMBOLS), np.int64)
+    for pair, n in known.items():
+        first_order[pair >> 9, pair & 511] = n
+    zero_order = (first_order > 0).sum(axis=0)
+    told = asked.select("block", "group", "items", "counts").groupBy("group").applyInArrow(_answerer(groups, first_order, zero_order), "block int, group int, answer binary")
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _SCHEMA.items()})
         texts = texts.combine_chunks()
-        index = pd.Index(known.column("item").to_numpy())
-        value = known.column("value").to_numpy()
+        items, _, order, cuts = _items(texts, groups)
+        value = np.empty(len(items))
+        for g, answer in zip(answers.column("group").to_pylist(), answers.column("answer").to_pylist(), strict=True):
+            got, span = _unpacked(answer, np.int64 if g >= groups else np.float32), order[cuts[g] : cuts[g + 1]]
+            if len(got) != len(span):
+                raise ValueError("the texts of a block have changed since they were counted")
+            value[span] = got
+        index = pd.Index(items)
         base_of = np.log10((np.maximum(value, 0) + 0.5) / (total + 0.5 * (kinds + 1)))
         end = value[index.get_indexer([END])[0]]
-        body = texts.column("body").combine_chunks()
-        body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
         columns: list[list[np.ndarray]] = [[], [], [], []]
-        for c in chunks(body):
+        for c in chunks(_texts(texts)):
             found, first = words_of(c)
             at = index.get_indexer(found)
             columns[0].append(np.diff(first) + 1)
