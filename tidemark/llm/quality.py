@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,15 +129,15 @@ def fit_rules(labelled: DataFrame, *, trees: int = 30, depth: int = 3, penalty:
         for path in _paths(tree._call_java("rootNode"), {}):
             found[tuple(sorted((STATISTICS[i], above, round(t, 12)) for (i, above), t in path.items()))] = None
     rules = list(found)
-    holds = {f"r{i}": np.logical_and.reduce([(rows[prefix + s] > t) if above else (rows[prefix + s] <= t) for s, above, t in rule]).astype(float) for i, rule in enumerate(rules)}
-    names = [k for k, v in holds.items() if 0 < v.sum() < n]
-    matrix = np.stack([holds[k] for k in names], axis=1)
-    from pyspark.ml.linalg import Vectors
-
-    data = labelled.sparkSession.createDataFrame([(float(y), Vectors.dense(x)) for y, x in zip(rows["label"], matrix, strict=True)], ["label", "features"]).coalesce(2)
+    own = {s: rows[prefix + s].to_numpy() for s in STATISTICS}
+    holds = np.stack([np.logical_and.reduce([own[s] > t if above else own[s] <= t for s, above, t in rule]) for rule in rules], axis=1).astype(np.int8)
+    used = np.flatnonzero((holds.sum(axis=0, dtype=np.int64) > 0) & (holds.sum(axis=0, dtype=np.int64) < n))
+    bits = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(used), pa.array(holds[:, used].reshape(-1)))
+    known = labelled.sparkSession.createDataFrame(pa.table({"label": rows["label"].to_numpy(), "holds": bits}))
+    data = known.select("label", array_to_vector("holds").alias("features")).coalesce(2)
     lasso = LogisticRegression(regParam=penalty, elasticNetParam=1.0, maxIter=60, standardization=True).fit(data)
     weights = lasso.coefficients.toArray()
-    return Rules(float(lasso.intercept), tuple((float(w), rules[int(k[1:])]) for k, w in zip(names, weights, strict=True) if abs(w) > 1e-9))
+    return Rules(float(lasso.intercept), tuple((float(w), rules[i]) for i, w in zip(used.tolist(), weights, strict=True) if abs(w) > 1e-9))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, **options) -> Rules:
