@@ -2,7 +2,8 @@
 cut, sources are mixed to target weights, and what is left is packed in batches.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; all but the last return the columns of
-``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there.
+``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there. The tables of ids that decide
+on documents grow with them, so stages merge-join them at every size rather than broadcast them while they are small.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate group (of rows that repeat an id, all stay)."""
     gone = stage(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(stage(copies, "copies"), F.col("doc_id") == F.col("__id")).drop("__id")
+    taken = docs.join(stage(copies, "copies").hint("merge"), F.col("doc_id") == F.col("__id")).drop("__id")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").select(*docs.columns)
 
 

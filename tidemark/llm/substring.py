@@ -184,7 +184,7 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_column: str = "doc_id",
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([_without(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    joined = docs.join(stage(gone, "gone"), F.col(id_column) == F.col("__id"), "left")
+    joined = docs.join(stage(gone, "gone").hint("merge"), F.col(id_column) == F.col("__id"), "left")
     return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(without(F.col(text_column), F.col("__gone")))).drop("__id", "__gone")
 
 
