@@ -16,7 +16,7 @@ from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import THRESHOLD, learn, with_quality
 from tidemark.llm.shared import stage
-from tidemark.llm.substring import cut_repeats, repeated_paragraphs
+from tidemark.llm.substring import cut_repeats, repeated_spans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of repeated paragraphs."""
-    cut = cut_repeats(docs, repeated_paragraphs(docs))
+    """Texts without the later copies of repeated paragraphs and passages."""
+    cut = cut_repeats(docs, repeated_spans(docs))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 

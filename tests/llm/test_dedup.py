@@ -9,7 +9,7 @@ from tests.llm.test_text import plain
 from tidemark.llm import components, linkage
 from tidemark.llm.components import connected_components
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.substring import cut_repeats, repeated_paragraphs
+from tidemark.llm.substring import SPANS, cut_repeats, repeated_paragraphs, repeated_spans, repeated_windows
 
 
 def grouped(sets, percent):
@@ -117,3 +117,48 @@ def test_passages_glued_into_longer_paragraphs(spark):
     for r in cut_repeats(docs, spans).collect():
         text = dict(rows)[r["doc_id"]]
         assert r["text"] == (text.replace(rest + " ", "") if 0 < r["doc_id"] < 6 else text)
+
+
+def windows_cut(rows, size):
+    """Words of each row that brute force leaves: a window that stood earlier goes, but for those that overlap the first."""
+    first, gone = {}, {}
+    for i, t in sorted(rows):
+        words = t.lower().split()
+        for k in range(len(words) - size + 1):
+            w = tuple(words[k : k + size])
+            d, at = first.setdefault(w, (i, k))
+            if d != i or k - at >= size:
+                gone.setdefault(i, set()).update(range(k, k + size))
+    return {i: [w for k, w in enumerate(t.split()) if k not in gone.get(i, ())] for i, t in rows}
+
+
+def test_every_exact_repeat_of_over_50_words_goes(spark):
+    """Repeats over several short lines, from mid-sentence, without a full stop, and a line that is one inside another text."""
+    rng = random.Random(12)
+    many = "\n".join(prose(rng, n) for n in (48, 19, 17))
+    short = "\n".join(prose(rng, 9) for _ in range(6))  # 54 words, each line too short for a paragraph
+    bare, sentence, just, under = prose(rng, 70), prose(rng, 60) + ".", prose(rng, 51), prose(rng, 50)
+    rows = []
+    for i, shared in enumerate((many, short, bare, sentence, just, under)):
+        rows += [(10 * i, f"{prose(rng, 30)} {shared} {prose(rng, 20)}"), (10 * i + 1, shared + "\n" + prose(rng, 7)), (10 * i + 2, f"{prose(rng, 5)}\n\n{prose(rng, 13)} {shared.replace(chr(10), ' ')} {prose(rng, 40)}")]
+    rows += [(90, " ".join(["again"] * 300)), (91, prose(rng, 400).title())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = repeated_spans(docs)
+    got = {r["doc_id"]: r["text"].split() for r in cut_repeats(docs, spans).collect()}
+    assert got == windows_cut(rows, 51)
+    keepers = {(r["keeper_doc_id"], r["kept"]) for r in spans.where("doc_id between 10 and 12").collect()}
+    assert keepers == {(10, True), (10, False)}
+    assert repeated_spans(empty(spark)).collect() == []
+
+
+def test_windows_of_texts_against_brute_force(spark):
+    rng = random.Random(13)
+    pool = [prose(rng, rng.randrange(3, 14), 60) for _ in range(14)]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice(["\n", " ", "\n\n"]) for _ in range(rng.randrange(1, 16)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    none = spark.createDataFrame([], "doc long, place int")
+    spans = repeated_windows(docs.toDF("id", "body"), none, 9).toDF(*SPANS)
+    assert {r["doc_id"]: r["text"].split() for r in cut_repeats(docs, spans).collect()} == windows_cut(rows, 9)
+    for r in spans.where("not kept").collect():
+        own, other = (dict(rows)[r[k]].split("\n")[r[p]] for k, p in (("doc_id", "paragraph"), ("keeper_doc_id", "keeper_paragraph")))
+        assert own.split()[r["first_word"]] in other.split()

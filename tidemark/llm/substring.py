@@ -1,4 +1,5 @@
-"""Substring dedup: repeated paragraphs are found by MinHash banding and all but one copy of each is cut out."""
+"""Substring dedup: repeated paragraphs are found by MinHash banding, repeated runs of words by window hashes that run across
+line feeds, and all but one copy of each is cut out."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linkage import link
@@ -120,6 +121,116 @@ def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     return docs.select("body", "wanted").mapInArrow(run, "id long, leader long, hashes binary")
 
 
+def _streams(c: Chunk, gone: pa.Array):
+    """The words of each row without the paragraphs ``gone`` (a list of numbers for each row), as one run across line feeds: hash, row and
+    position of each word, and row, number and first position of each paragraph that has words left."""
+    lines, owner, place = _lines(c)
+    starts, ends, first = word_bounds(lines)
+    n = np.diff(first)
+    out = np.zeros(len(n), bool)
+    top = np.searchsorted(owner, np.arange(len(c.offsets) - 1))
+    out[np.repeat(top, gone.value_lengths().fill_null(0).to_numpy()) + gone.flatten().to_numpy()] = True
+    hashes = word_hashes(lines, starts, ends)[np.repeat(~out, n)]
+    has = ~out & (n > 0)
+    owner, place, n = owner[has], place[has], n[has]
+    row = np.repeat(owner, n)
+    head = np.searchsorted(row, np.arange(len(c.offsets) - 1))
+    return hashes, row, np.arange(len(row)) - head[row], owner, place, np.cumsum(n) - n - head[owner]
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Digests of the runs of ``size`` words from every word on that has as many to come."""
+    p, inverse = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, U)
+    np.cumsum(words * p[:-1], out=total[1:])
+    return mix64((total[size:] - total[:-size]) * inverse[: len(words) + 1 - size] + U(size)) if len(words) >= size else np.zeros(0, U)
+
+
+def _anchors(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words within a row, the place of each one's anchor, and the digests of anchors by place.
+
+    The anchor is the least digest among a window's runs of about half its size: windows of equal words have it at the same
+    word, and neighbouring windows mostly share it.
+    """
+    short = (size + 1) // 2
+    digests = _runs(words, short)
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), digests
+    at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
+    return at, at + np.lib.stride_tricks.sliding_window_view(digests, size - short + 1).argmin(1)[at], digests
+
+
+def _anchor_rows(left: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(column(batch, "body")):
+                words, row, position, *_ = _streams(c, column(batch, "gone")[c.rows])
+                _, anchor, digests = _anchors(words, row, size)
+                anchor = np.unique(anchor)
+                yield pa.RecordBatch.from_arrays([column(batch, "row")[c.rows].take(pa.array(row[anchor])), pa.array(position[anchor].astype(np.int32)), pa.array(digests[anchor].view(np.int64))], ["row", "position", "digest"])
+
+    return left.select("row", "body", "gone").mapInArrow(run, "row long, position int, digest long")
+
+
+def _window_rows(marked: DataFrame, size: int) -> DataFrame:
+    """The windows whose anchor is among their row's ``marks``; and for each row its paragraphs' numbers and first positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(column(batch, "body")):
+                ids, names, marks = (column(batch, k)[c.rows] for k in ("id", "row", "marks"))
+                words, row, position, owner, place, start = _streams(c, column(batch, "gone")[c.rows])
+                at, anchor, _ = _anchors(words, row, size)
+                hot = np.zeros(len(words) + 1, bool)
+                head = np.searchsorted(row, np.arange(len(ids)))
+                hot[np.repeat(head, marks.value_lengths().to_numpy()) + marks.flatten().to_numpy()] = True
+                at = at[hot[anchor]]
+                own, none = pa.array(row[at]), pa.nulls(len(at), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([ids.take(own), names.take(own), pa.array(position[at].astype(np.int32)), pa.array(_runs(words, size)[at].view(np.int64)), none, none], ["id", "row", "position", "digest", "places", "starts"])
+                cuts = np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)
+                listed = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (place, start)]
+                yield pa.RecordBatch.from_arrays([ids, names, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), *listed], ["id", "row", "position", "digest", "places", "starts"])
+
+    return marked.select("id", "row", "body", "gone", "marks").mapInArrow(run, "id long, row long, position int, digest long, places array<int>, starts array<int>")
+
+
+def repeated_windows(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
+    """``(doc, place, first_word, n_words, keeper_doc, keeper_place, kept)`` of all repeats of ``size`` words or more in ``docs(id, body)``
+    without the paragraphs ``gone(doc, place)``.
+
+    A row's words are one run across line feeds and gone paragraphs. Rows' anchors, chosen by content in every window of ``size`` words, are
+    joined by digest; windows whose anchor occurs again are compared by 64 bits of their own digest. A window's first
+    occurrence by (doc, word) is kept and the others aren't, but for those that overlap the first. Windows in a run whose
+    keepers are in a run too make one span, given by paragraph.
+    """
+    lost = stage(gone.distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("gone")), "lost")
+    left = stage(docs.join(lost.hint("merge"), "id", "left").withColumn("row", F.monotonically_increasing_id()), "left")
+    anchors = stage(_anchor_rows(left, size), "anchors")
+    again = stage(anchors.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest"), "again")
+    marks = stage(anchors.join(again, "digest").groupBy("row").agg(F.collect_list("position").alias("marks")), "marks")
+    found = stage(_window_rows(left.join(marks.hint("merge"), "row"), size), "windows")
+    windows = found.where("digest is not null").select("id", "row", "position", "digest")
+    keepers = stage(windows.groupBy("digest").agg(F.min(F.struct("id", "position", "row")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "keepers")
+    ahead = F.col("position") - F.col("keeper.position")
+    hits = windows.join(keepers, "digest").where((F.col("id") != F.col("keeper.id")) | ~ahead.between(1, size - 1))
+    in_row = Window.partitionBy("row").orderBy("position")
+    follows = (F.lag("position").over(in_row) + 1 == F.col("position")) & (F.lag("ahead").over(in_row) == F.col("ahead")) & (F.lag("keeper.row").over(in_row) == F.col("keeper.row"))
+    runs = stage(hits.withColumn("ahead", ahead), "hits").withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_row))
+    spans = runs.groupBy("row", "run").agg(
+        F.min("id").alias("doc"), F.min("position").alias("begin"), (F.max("position") + size).alias("end"), F.min("keeper.id").alias("keeper_doc"), F.min("keeper.row").alias("keeper_row"), F.min("ahead").alias("ahead"),
+    )
+    lines = stage(found.where("digest is null").select("row", "places", "starts"), "lines")
+    of = lines.select(F.col("row").alias("keeper_row"), F.col("places").alias("keeper_places"), F.col("starts").alias("keeper_starts"))
+    first, last = F.size(F.filter("starts", lambda x: x <= F.col("begin"))), F.size(F.filter("starts", lambda x: x < F.col("end")))
+    pieces = stage(spans, "spans").join(lines, "row").withColumn("line", F.explode(F.sequence(first, last))).withColumns({"start": F.element_at("starts", F.col("line")), "next": F.get("starts", F.col("line")), "place": F.element_at("places", F.col("line"))})
+    pieces = pieces.withColumns({"from": F.greatest("begin", "start"), "to": F.least("end", "next")}).drop("places", "starts").join(of, "keeper_row")
+    keeper_place = F.element_at("keeper_places", F.size(F.filter("keeper_starts", lambda x: x <= F.col("from") - F.col("ahead"))))
+    return pieces.select("doc", "place", (F.col("from") - F.col("start")).alias("first_word"), (F.col("to") - F.col("from")).alias("n_words"), "keeper_doc", keeper_place.alias("keeper_place"), ((F.col("doc") == F.col("keeper_doc")) & (F.col("ahead") == 0)).alias("kept"))
+
+
+SPANS = ["doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept"]
+
+
 def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, longer_than: int = LONGER_THAN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(doc_id, paragraph, first_word, n_words, keeper_doc_id, keeper_paragraph, kept)`` for each occurrence of a repeated paragraph or passage.
 
@@ -134,7 +245,29 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
 
     Null or blank texts hold no paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
     """
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
+    whole, inside = _paragraphs(_named(docs, id_column, text_column), width, percent, min_words, longer_than, bands, rows)
+    return whole.unionByName(inside).toDF(*SPANS)
+
+
+def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, longer_than: int = LONGER_THAN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``repeated_paragraphs``, and every exact repeat of over ``longer_than`` words in what is left without the paragraphs that aren't kept,
+    wherever it begins and however many line feeds it runs across; a row for each paragraph that it touches.
+
+    A word goes only if the same word in the same passage stands earlier by (doc_id, paragraph, first_word) and stays there, or
+    was replaced by a yet earlier one in turn: a span that overlaps another's keeper may leave that keeper in two places.
+    """
+    docs = _named(docs, id_column, text_column)
+    whole, inside = _paragraphs(docs, width, percent, min_words, longer_than, bands, rows)
+    windows = repeated_windows(docs, whole.where("not kept").select("doc", "place"), longer_than + 1)
+    return whole.unionByName(inside).unionByName(windows).toDF(*SPANS)
+
+
+def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
+
+
+def _paragraphs(docs: DataFrame, width: int, percent: int, min_words: int, longer_than: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of paragraphs repeated as a whole, and of passages of whole sentences inside others."""
     every = stage(_occurrences(docs, width, min_words, longer_than, bands, rows), "paragraphs")
     found = every.where("keys is not null")
     classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -154,7 +287,7 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     place = ["doc", "place", "first_word", "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place")]
     whole = stage(found.select("doc", "place", "first_word", "n_words", "class").join(repeated, "class").select(*place, (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
     inside = _repeated_passages(every.where("keys is null").drop("keys")).select(*place, "kept").join(whole.select("doc", "place").distinct(), ["doc", "place"], "left_anti")
-    return whole.unionByName(inside).toDF("doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept")
+    return whole, inside
 
 
 def _without(text: str | None, spans) -> str | None:
@@ -189,4 +322,4 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_column: str = "doc_id",
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
