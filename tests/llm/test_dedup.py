@@ -162,3 +162,16 @@ def test_windows_of_texts_against_brute_force(spark):
     for r in spans.where("not kept").collect():
         own, other = (dict(rows)[r[k]].split("\n")[r[p]] for k, p in (("doc_id", "paragraph"), ("keeper_doc_id", "keeper_paragraph")))
         assert own.split()[r["first_word"]] in other.split()
+
+
+def test_keepers_of_passages_are_not_in_paragraphs_that_go(spark):
+    """A passage whose first copy goes with its paragraph stays elsewhere; a kept paragraph loses a passage that stood earlier."""
+    rng = random.Random(14)
+    lead, tail, passage, earlier = f"{prose(rng, 70)}.", f"{prose(rng, 70)}.", f"{prose(rng, 24)}.", f"{prose(rng, 23)}."
+    edited = passage.split()
+    edited[11] = "edited"
+    rows = [(5, f"{prose(rng, 40)}. {earlier} {prose(rng, 30)}."), (10, f"{lead} {' '.join(edited)} {earlier} {tail}"), (20, f"{lead} {passage} {earlier} {tail}"), (30, f"{prose(rng, 40)}. {passage} {prose(rng, 30)}.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for spans in (repeated_paragraphs(docs), repeated_spans(docs)):
+        left = {r["doc_id"]: r["text"] for r in cut_repeats(docs, spans).collect()}
+        assert left == {**dict(rows), 10: rows[1][1].replace(earlier + " ", ""), 20: ""}

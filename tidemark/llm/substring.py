@@ -95,11 +95,11 @@ def _occurrences(docs: DataFrame, width: int, min_words: int, longer_than: int,
     return docs.mapInArrow(run, "doc long, place int, first_word int, n_words int, class long, keys array<long>")
 
 
-def _repeated_passages(passages: DataFrame) -> DataFrame:
-    """The passages whose words occur more than once, each with its first occurrence as ``keeper``."""
+def _repeated_passages(passages: DataFrame, gone: DataFrame) -> DataFrame:
+    """The passages whose words occur more than once outside the paragraphs ``gone``, each with its first occurrence there as ``keeper``."""
     again = stage(passages.groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class"), "again")
-    hits = stage(passages.join(again, "class"), "hits")
-    keepers = stage(hits.groupBy("class").agg(F.min(F.struct("doc", "place", "first_word")).alias("keeper")), "keepers")
+    hits = stage(passages.join(again, "class").join(gone, ["doc", "place"], "left_anti"), "hits")
+    keepers = stage(hits.groupBy("class").agg(F.min(F.struct("doc", "place", "first_word")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "keepers")
     return hits.join(keepers, "class").withColumn("kept", F.struct("doc", "place", "first_word") == F.col("keeper"))
 
 
@@ -167,13 +167,13 @@ def _anchor_rows(left: DataFrame, size: int) -> DataFrame:
                 words, row, position, *_ = _streams(c, column(batch, "gone")[c.rows])
                 _, anchor, digests = _anchors(words, row, size)
                 anchor = np.unique(anchor)
-                yield pa.RecordBatch.from_arrays([column(batch, "row")[c.rows].take(pa.array(row[anchor])), pa.array(position[anchor].astype(np.int32)), pa.array(digests[anchor].view(np.int64))], ["row", "position", "digest"])
+                yield pa.RecordBatch.from_arrays([column(batch, "id")[c.rows].take(pa.array(row[anchor])), pa.array(position[anchor].astype(np.int32)), pa.array(digests[anchor].view(np.int64))], ["id", "position", "digest"])
 
-    return left.select("row", "body", "gone").mapInArrow(run, "row long, position int, digest long")
+    return left.select("id", "body", "gone").mapInArrow(run, "id long, position int, digest long")
 
 
 def _window_rows(marked: DataFrame, size: int) -> DataFrame:
-    """The windows whose anchor is among their row's ``marks``; and for each row its paragraphs' numbers and first positions."""
+    """The windows whose anchor is among their id's ``marks``; and for each row its paragraphs' numbers and first positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +183,8 @@ def _window_rows(marked: DataFrame, size: int) -> DataFrame:
                 at, anchor, _ = _anchors(words, row, size)
                 hot = np.zeros(len(words) + 1, bool)
                 head = np.searchsorted(row, np.arange(len(ids)))
-                hot[np.repeat(head, marks.value_lengths().to_numpy()) + marks.flatten().to_numpy()] = True
+                # where rows repeat an id, a mark may be another row's: windows are compared by their own digest
+                hot[np.minimum(np.repeat(head, marks.value_lengths().to_numpy()) + marks.flatten().to_numpy(), len(words))] = True
                 at = at[hot[anchor]]
                 own, none = pa.array(row[at]), pa.nulls(len(at), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([ids.take(own), names.take(own), pa.array(position[at].astype(np.int32)), pa.array(_runs(words, size)[at].view(np.int64)), none, none], ["id", "row", "position", "digest", "places", "starts"])
@@ -204,11 +205,13 @@ def repeated_windows(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
     keepers are in a run too make one span, given by paragraph.
     """
     lost = stage(gone.distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("gone")), "lost")
-    left = stage(docs.join(lost.hint("merge"), "id", "left").withColumn("row", F.monotonically_increasing_id()), "left")
+    if not docs.groupBy("id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["id", "body"])
+    left = docs.join(lost.hint("merge"), "id", "left").withColumn("row", F.xxhash64("id", "body"))
     anchors = stage(_anchor_rows(left, size), "anchors")
     again = stage(anchors.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest"), "again")
-    marks = stage(anchors.join(again, "digest").groupBy("row").agg(F.collect_list("position").alias("marks")), "marks")
-    found = stage(_window_rows(left.join(marks.hint("merge"), "row"), size), "windows")
+    marks = stage(anchors.join(again, "digest").groupBy("id").agg(F.collect_list("position").alias("marks")), "marks")
+    found = stage(_window_rows(left.join(marks.hint("merge"), "id"), size), "windows")
     windows = found.where("digest is not null").select("id", "row", "position", "digest")
     keepers = stage(windows.groupBy("digest").agg(F.min(F.struct("id", "position", "row")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "keepers")
     ahead = F.col("position") - F.col("keeper.position")
@@ -239,8 +242,8 @@ def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_colu
     more; banding proposes, the full sets decide. Of each component of alike paragraphs the first occurrence by
     (doc_id, paragraph) is kept. Equal sets are one class, named by 64 bits of their digest.
 
-    A repeat may also be glued into paragraphs that otherwise differ. So in paragraphs of over ``longer_than`` words that aren't
-    repeated as a whole, passages of whole sentences and at least ``min_words`` words are compared by 64 bits of their
+    A repeat may also be glued into paragraphs that otherwise differ. So in paragraphs of over ``longer_than`` words, but for those
+    that go as a whole, passages of whole sentences and at least ``min_words`` words are compared by 64 bits of their
     digest; all occurrences but the first are not kept. Their rows may overlap; ``first_word`` counts from 0 in the paragraph.
 
     Null or blank texts hold no paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
@@ -286,7 +289,7 @@ def _paragraphs(docs: DataFrame, width: int, percent: int, min_words: int, longe
     repeated = stage(groups.select("class", "component").join(keepers, "component").select("class", "keeper"), "repeated")
     place = ["doc", "place", "first_word", "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place")]
     whole = stage(found.select("doc", "place", "first_word", "n_words", "class").join(repeated, "class").select(*place, (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
-    inside = _repeated_passages(every.where("keys is null").drop("keys")).select(*place, "kept").join(whole.select("doc", "place").distinct(), ["doc", "place"], "left_anti")
+    inside = _repeated_passages(every.where("keys is null").drop("keys"), whole.where("not kept").select("doc", "place").distinct()).select(*place, "kept")
     return whole, inside
 
 
