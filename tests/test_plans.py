@@ -115,3 +115,13 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("told").orderBy("time").collect()
     assert [r["mean"] for r in got] == pytest.approx([3.0, 2.0, 2.666667, 2.0, 3.333333, 5.0], abs=1e-6)
     assert [r["ema"] for r in got] == pytest.approx([3.0, 2.0, 3.0, 2.0, 3.5, 6.25]) and [r["rsi"] for r in got] == pytest.approx([50.0, 0.0, 69.230769, 33.962264, 67.28972, 81.382979], abs=1e-5)
+
+
+def test_current_symbols_follow_chains_to_their_end(spark):
+    """Chains of 1 to 40 steps, two that meet, a cycle with a symbol that leads to it, and nothing."""
+    from tidemark.plans.analytics import current_symbols
+
+    rows = [(f"a{i}", f"a{i + 1}") for i in range(40)] + [("b", "a7"), ("c", "d"), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x")]
+    got = {r["symbol"]: r["current"] for r in current_symbols(spark.createDataFrame(rows, "symbol string, new_symbol string").repartition(3)).collect()}
+    assert got == {**{f"a{i}": "a40" for i in range(40)}, "b": "a40", "c": "d", **dict.fromkeys("xyzw")}
+    assert current_symbols(spark.createDataFrame([], "symbol string, new_symbol string")).collect() == []

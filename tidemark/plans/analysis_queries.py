@@ -354,6 +354,12 @@ def _(spark, d):
     return an.current_symbols(renames)
 
 
+@_query("corporate_symbol_chains", "WITH RECURSIVE r AS (SELECT CAST(s_suppkey AS BIGINT) AS symbol, CAST(s_suppkey + 1 + s_suppkey // 4 AS BIGINT) AS new_symbol FROM supplier), k AS (SELECT symbol, new_symbol AS current FROM r UNION ALL SELECT k.symbol, r.new_symbol FROM k JOIN r ON k.current = r.symbol) SELECT symbol, max(current) AS current FROM k GROUP BY symbol")
+def _(spark, d):
+    key = F.col("s_suppkey").cast("long")
+    return an.current_symbols(table(spark, d, "supplier").select(key.alias("symbol"), (key + 1 + F.floor(key / 4)).alias("new_symbol")))
+
+
 @_query(
     "universe_as_of",
     """WITH p AS (SELECT o_custkey AS asset, CAST(o_orderdate AS DATE) AS time, o_orderkey FROM orders), u AS (SELECT o_custkey AS asset, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2)

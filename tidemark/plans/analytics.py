@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON
+from ..llm.shared import stage
 from ..operators.axes import Section, Series
 from .backtest import YEAR
 
@@ -276,13 +277,21 @@ def adjust_prices(prices: DataFrame, actions: DataFrame, *, s: Series = Series()
     return out.select(*prices.columns, "factor", "adjusted", "adjusted_volume")
 
 
-def current_symbols(renames: DataFrame, depth: int = 8) -> DataFrame:
-    """``(symbol, current)``: renames ``(symbol, new_symbol)`` followed to their end, at most ``depth`` steps."""
-    known = renames.select("symbol", F.col("new_symbol").alias("current"))
-    for _ in range(depth):
-        step = renames.select(F.col("symbol").alias("__from"), F.col("new_symbol").alias("__to"))
-        known = known.join(step, known["current"] == step["__from"], "left").select("symbol", F.coalesce("__to", "current").alias("current"))
-    return known
+def current_symbols(renames: DataFrame) -> DataFrame:
+    """``(symbol, current)``: renames ``(symbol, new_symbol)`` followed to their end, however many steps; a row for each symbol.
+
+    Each round joins what is known with itself, so a chain of n steps takes about log2(n) rounds. Of several renames of a
+    symbol the greatest new one counts. Symbols on a cycle, or that lead to one, have no end: their ``current`` is null.
+    """
+    known = stage(renames.groupBy("symbol").agg(F.max("new_symbol").alias("current")), "renames")
+    for _ in range(known.count().bit_length()):
+        step = known.select(F.col("symbol").alias("__from"), F.col("current").alias("__to"))
+        moved = stage(known.join(step, F.col("current") == F.col("__from"), "left").select("symbol", F.coalesce("__to", "current").alias("current"), F.col("__from").isNotNull().alias("moved")), "renames")
+        known = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return known
+    renamed = known.select(F.col("symbol").alias("__from"))
+    return known.join(renamed, F.col("current") == F.col("__from"), "left").select("symbol", F.when(F.col("__from").isNull(), F.col("current")).alias("current"))
 
 
 # --- universes: ``(asset, date)`` with attributes
