@@ -4,6 +4,7 @@ cut, sources are mixed to target weights, and what is left is packed in batches.
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; all but the last return the columns of
 ``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there. The tables of ids that decide
 on documents grow with them, so stages merge-join them at every size rather than broadcast them while they are small.
+Where ids are null or repeat, stages decide by rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import THRESHOLD, learn, with_quality
+from tidemark.llm.ranking import ranked
 from tidemark.llm.shared import stage
 from tidemark.llm.substring import cut_repeats, repeated_spans
 
@@ -28,22 +30,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 NEAR = {"percent": 80, "bands": 28, "rows": 5}  # a pair at 0.8 collides nowhere with probability 1.5e-5
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row as ``__own``: its id where all rows have one of their own, else its place by id, null last."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("__own", F.col("doc_id"))
+    return ranked(docs.withColumn("__all", F.lit(0)), ["__all"], [F.col("doc_id").asc_nulls_last(), F.col("text")], "__own").drop("__all")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group linked by a Jaccard of 0.8 or more (of rows that repeat an id, all stay)."""
-    gone = stage(near_duplicates(docs, **NEAR).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """The row of smallest id of each group linked by a Jaccard of 0.8 or more."""
+    keyed = _keyed(docs)
+    gone = stage(near_duplicates(keyed, id_column="__own", **NEAR).where("not kept").select(F.col("doc_id").alias("__id")), "gone")
+    return keyed.join(gone.hint("merge"), F.col("__own") == F.col("__id"), "left_anti").drop("__own")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated paragraphs and passages."""
-    cut = cut_repeats(docs, repeated_spans(docs))
+    keyed = _keyed(docs)
+    cut = cut_repeats(keyed, repeated_spans(keyed, id_column="__own"), id_column="__own").drop("__own")
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    taken = docs.join(stage(copies, "copies").hint("merge"), F.col("doc_id") == F.col("__id")).drop("__id")
+    """Each row as often as the mix takes it."""
+    keyed = _keyed(docs)
+    copies = mix(keyed, id_column="__own").where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
+    taken = keyed.join(stage(copies, "copies").hint("merge"), F.col("__own") == F.col("__id")).drop("__id", "__own")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").select(*docs.columns)
 
 

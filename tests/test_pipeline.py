@@ -17,3 +17,22 @@ def test_near_dedup_links_at_four_fifths(spark):
     rows = [(1, " ".join(base)), (2, changed(20, 60)), (3, changed(40, 70, 90))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_stages_decide_by_rows_where_ids_are_null_or_repeat(spark):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 120, 10**6) for _ in range(4))
+    rows = [(3, a, "s", 1), (7, a, "s", 1), (7, b, "s", 1), (9, b, "s", 1), (9, b, "s", 1), (None, c, "s", 1), (None, b, "s", 1), (11, None, None, 1), (12, "", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3)
+
+    def found(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+    assert found(corpus_pipeline.near_dedup(spark, docs, "")) == sorted([(3, a), (7, b), (None, c), (11, None), (12, "")], key=repr)
+    assert found(corpus_pipeline.substring_dedup(spark, docs, "")) == sorted([(3, a), (7, ""), (7, b), (9, ""), (9, ""), (None, c), (None, ""), (11, None), (12, "")], key=repr)
+    one = spark.createDataFrame([(7, a, "s", 1), (7, f"{b} x", "s", 1), (None, f"{c} x y", "s", 1), (1, d, "t", 1)], docs.schema)
+    planned = corpus_pipeline.mix(corpus_pipeline._keyed(one), id_column="__own").agg({"taken": "sum"}).first()[0]
+    mixed = corpus_pipeline.mixing(spark, one, "").collect()
+    assert sum(len(r["text"].split()) for r in mixed) == planned and {r["text"] for r in mixed if r["doc_id"] is None} == {f"{c} x y"}
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup, corpus_pipeline.mixing):
+        assert stage(spark, docs.limit(0), "").collect() == []
