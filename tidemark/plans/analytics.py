@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON
-from ..llm.shared import stage
 from ..operators.axes import Section, Series
+from ..storage import stage
 from .backtest import YEAR
 
 # --- costs
