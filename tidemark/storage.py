@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +43,22 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at the end: no DataFrame that outlives the block may read them."""
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables staged inside are deleted at the end, so no DataFrame that outlives the block may read them, but for those staged
+    by the function given, which belong to the block around this one."""
     own: list[str] = []
+    outer = _scratch[-1] if _scratch else None
     _scratch.append(own)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        kept = stage(df, tag)
+        path = own.pop()
+        if outer is not None:
+            outer.append(path)
+        return kept
+
     try:
-        yield
+        yield keep
     finally:
         _scratch.pop()
         drop(spark, own)
