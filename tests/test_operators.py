@@ -73,8 +73,6 @@ ACROSS = {
     "zscore": (lambda x: xs.zscore(x, C), [-0.304855, -1.036508, 0.060971, -1.036508, 0.426798, 1.890103]),
     "zscore1": (lambda x: xs.zscore(x, C, 1), [-0.278294, -0.946198, 0.055659, -0.946198, 0.389611, 1.72542]),
     "scale": (lambda x: xs.scale(x, C), [0.130435, 0.043478, 0.173913, 0.043478, 0.217391, 0.391304]),
-    "winsor": (lambda x: xs.winsor(x, C, 0.2), [3.0, 1.0, 4.0, 1.0, 5.0, 5.0]),
-    "quantile": (lambda x: xs.quantile(x, C, 0.5), [3.0] * 6),
     "bucket": (lambda x: xs.bucket(x, Section("day", "name"), 3), [2, 1, 2, 1, 3, 3]),
     "median": (lambda x: xs.median(x, C), [3.5] * 6),
     "long_short": (lambda x: xs.long_short(x, Section("day", "name")), [0.0, -0.05, 0.0, 0.0, 0.05, 0.05]),
@@ -87,6 +85,12 @@ def test_across(rows, name):
     assert along(rows, made(F.col("x"))) == [pytest.approx(w, abs=1e-6) for w in wanted]
 
 
+def test_places_in_a_section(rows):
+    names = Section("day", "name")
+    assert [r["o"] for r in xs.winsor(rows, "x", names, 0.2, "o").orderBy("time").collect()] == [3.0, 1.0, 4.0, 1.0, 5.0, 5.0]
+    assert [r["o"] for r in xs.quantile(rows, "x", names, 0.5, "o").orderBy("time").collect()] == [3.0] * 6
+
+
 def test_ieee_corners(spark):
     df = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (float("nan"), 1.0), (None, 1.0), (4.0, 2.0)], "a double, b double")
     a, b = F.col("a"), F.col("b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON, known, n0
@@ -62,23 +62,27 @@ def group_mean(x: Column, s: Section, *groups: str) -> Column:
     return mean(x, Section(s.time, s.asset, tuple(groups)))
 
 
-def _ordered(x: Column, s: Section) -> Column:
-    return F.array_sort(F.collect_list(known(x)).over(s.rows()))
+def _at_places(df: DataFrame, column: str, s: Section, **places: Column) -> DataFrame:
+    """``df`` with the values at 0-based places among the section's known values (``__n`` in number), in ascending order.
 
+    Places and values are two windows over one sort of the section, so nothing is gathered in a row.
+    """
+    x = F.col(column)
+    placed = df.withColumns({"__place": F.row_number().over(s.by(x)) - 1, "__n": F.count(known(x)).over(s.rows())})
+    return placed.withColumns({k: F.max(F.when((F.col("__place") == at) & (F.col("__place") < F.col("__n")), x)).over(s.rows()) for k, at in places.items()}).drop("__place", "__n")
 
-def winsor(x: Column, s: Section, p: float = 0.01) -> Column:
-    """Clipped to the values at places floor(n p) and floor(n (1 - p)) of the section's known values, without interpolation."""
-    values = _ordered(x, s)
-    n = F.size(values)
-    low = F.try_element_at(values, (F.floor(n * F.lit(p)) + 1).cast("int"))
-    high = F.try_element_at(values, (F.least(F.floor(n * F.lit(1 - p)), n - 1) + 1).cast("int"))
-    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, low), high)).otherwise(x)
 
+def winsor(df: DataFrame, column: str, s: Section, p: float = 0.01, name: str | None = None) -> DataFrame:
+    """``column`` (or ``name``) clipped to the values at places floor(n p) and floor(n (1 - p)) of the section's known values, without interpolation."""
+    x, n = F.col(column), F.col("__n")
+    bounded = _at_places(df, column, s, __low=F.floor(n * F.lit(p)), __high=F.least(F.floor(n * F.lit(1 - p)), n - 1))
+    clipped = F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.col("__low")), F.col("__high"))).otherwise(x)
+    return bounded.withColumn(name or column, clipped).drop("__low", "__high")
 
-def quantile(x: Column, s: Section, q: float = 0.5) -> Column:
-    """The value at place floor((n - 1) q) of the known values."""
-    values = _ordered(x, s)
-    return F.try_element_at(values, (F.floor((F.size(values) - 1) * F.lit(q)) + 1).cast("int"))
+
+def quantile(df: DataFrame, column: str, s: Section, q: float = 0.5, name: str = "quantile") -> DataFrame:
+    """``name``: the value at place floor((n - 1) q) of the section's known values."""
+    return _at_places(df, column, s, __value=F.floor((F.col("__n") - 1) * F.lit(q))).withColumnRenamed("__value", name)
 
 
 def bucket(x: Column, s: Section, n: int = 5) -> Column:

@@ -19,6 +19,7 @@ N = 5
 
 
 Made = Callable[[SimpleNamespace], Column]
+Framed = Callable[[DataFrame], DataFrame]
 
 
 def c(name: str) -> Column:
@@ -152,8 +153,12 @@ _recursive("tech_rsi", "rsi", (14,), "CASE WHEN k = 1 THEN 50.0 WHEN loss > 1e-1
 
 
 def _month(name: str, column: Made, sql: str, ctes: str = "", source: str = "m") -> None:
+    _months(name, lambda panel: panel.select("time", "asset", column(_columns()).alias("out")), sql, ctes, source)
+
+
+def _months(name: str, made: Framed, sql: str, ctes: str = "", source: str = "m") -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return months(spark, sf_dir).select("time", "asset", finite(column(_columns()).cast("double"), 7).alias("out"))
+        return made(months(spark, sf_dir)).select("time", "asset", finite(c("out").cast("double"), 7).alias("out"))
 
     QUERIES[name] = query
     ORACLES[name] = f"WITH {MONTHS_SQL}{ctes}, o AS (SELECT time, asset, CAST({sql} AS DOUBLE) AS r FROM {source} WINDOW s AS (PARTITION BY time), so AS (PARTITION BY time ORDER BY x ASC NULLS LAST, asset)) SELECT time, asset, {finite_sql('r', 7)} AS out FROM o"
@@ -174,8 +179,8 @@ _month("xs_demean", lambda t: xs.demean(t.x, MONTHS), "x - avg(x) OVER s")
 _month("xs_neutralize", lambda t: xs.neutralize(t.x, MONTHS, "sector"), "x - avg(x) OVER (PARTITION BY time, sector)")
 _month("xs_group_mean", lambda t: xs.group_mean(t.x, MONTHS, "sector"), "avg(x) OVER (PARTITION BY time, sector)")
 _SORTED = ", l AS (SELECT *, list_sort(list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY time)) AS xl FROM m)"
-_month("xs_winsor", lambda t: xs.winsor(t.x, MONTHS, 0.1), "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.1) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.9), len(xl) - 1) AS INT) + 1]) END", _SORTED, "l")
-_month("xs_quantile", lambda t: xs.quantile(t.x, MONTHS, 0.5), "xl[CAST(floor((len(xl) - 1) * 0.5) AS INT) + 1]", _SORTED, "l")
+_months("xs_winsor", lambda panel: xs.winsor(panel, "x", MONTHS, 0.1, "out"), "CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.1) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.9), len(xl) - 1) AS INT) + 1]) END", _SORTED, "l")
+_months("xs_quantile", lambda panel: xs.quantile(panel, "x", MONTHS, 0.5, "out"), "xl[CAST(floor((len(xl) - 1) * 0.5) AS INT) + 1]", _SORTED, "l")
 _month("xs_bucket", lambda t: xs.bucket(t.x, MONTHS, 5), f"least(greatest(ceil({_RANK} * 5), 1), 5)")
 _month("xs_median", lambda t: xs.median(t.x, MONTHS), "median(x) OVER s")
 _month("xs_long_short", lambda t: xs.long_short(t.x, MONTHS, 0.2, 0.2, 0.05), f"CASE WHEN {_RANK} >= 1 - 0.2 THEN least(0.05, 1.0 / ((count(*) OVER s) * 0.2)) WHEN {_RANK} <= 0.2 THEN greatest(-0.05, -1.0 / ((count(*) OVER s) * 0.2)) ELSE 0 END")

@@ -17,7 +17,7 @@ from ..operators.axes import Section, Series
 
 def _scored(df: DataFrame, raw: Column, across: Section, p: float = 0.01) -> DataFrame:
     """z-scores of the winsorised values."""
-    return df.withColumn("__raw", raw).withColumn("__raw", xs.winsor(F.col("__raw"), across, p)).withColumn("signal", xs.zscore(F.col("__raw"), across)).drop("__raw")
+    return xs.winsor(df.withColumn("__raw", raw), "__raw", across, p).withColumn("signal", xs.zscore(F.col("__raw"), across)).drop("__raw")
 
 
 def momentum(df: DataFrame, n: int = 20, along: Series = Series(), across: Section = Section()) -> DataFrame:
