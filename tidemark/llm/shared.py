@@ -1,32 +1,10 @@
-"""Tables written to the folder that driver and executors share, and small column helpers."""
+"""Staged tables, and small column helpers."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or LOCAL_FALLBACK).rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing,
-    and joins on the result get plain exchanges that AQE can split when a key is hot."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import new_path, scratch, stage  # noqa: F401
 
 
 def bucket_of(column: str, parts: int):
