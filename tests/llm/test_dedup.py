@@ -9,7 +9,7 @@ from tests.llm.test_text import plain
 from tidemark.llm import components, linkage
 from tidemark.llm.components import connected_components
 from tidemark.llm.near_dedup import near_duplicates
-from tidemark.llm.substring import SPANS, cut_repeats, repeated_paragraphs, repeated_spans, repeated_windows
+from tidemark.llm.substring import cut_repeats, repeated_spans
 
 
 def grouped(sets, percent):
@@ -76,12 +76,34 @@ def test_components_of_paths_stars_and_rings(spark, monkeypatch, limit):
     assert got == {**{i: 10 for i in range(10, 23)}, **{i: 100 for i in range(100, 120)}, 30: 30, 31: 30, 32: 30}
 
 
+def cut_words(rows, least, percent=80):
+    """Words of each text that brute force leaves: paragraphs alike an earlier one go, then the words of windows that stand elsewhere."""
+    lines = {i: [p.split() for p in t.split("\n")] for i, t in rows}
+    sets = {(i, k): plain(" ".join(w)) for i, own in lines.items() for k, w in enumerate(own) if len(w) >= least}
+    gone = {k for k, g in grouped(sets, percent).items() if g != k}
+    words = {i: [(w.lower(), (i, k) in gone) for k, own in enumerate(own) for w in own] for i, own in lines.items()}
+    seen = {}
+    for i, own in words.items():
+        for k in range(len(own) - least + 1):
+            part = own[k : k + least]
+            if not all(g for _, g in part):
+                seen.setdefault(tuple(w for w, _ in part), []).append((i, k, not any(g for _, g in part)))
+    out = {i: {k for k, (_, g) in enumerate(own) if g} for i, own in words.items()}
+    for places in seen.values():
+        alive = sorted((i, k) for i, k, a in places if a)
+        for i, k, _ in places if alive else ():
+            firsts = [x for j, x in alive if j == i]
+            if i > alive[0][0] or (firsts and k - firsts[0] >= least):
+                out[i].update(range(k, k + least))
+    return {i: [w for k, w in enumerate(t.split()) if k not in out[i]] for i, t in rows}
+
+
 def test_repeated_paragraphs_are_those_of_brute_force(spark):
     rng = random.Random(5)
     shared = [prose(rng, n) for n in (60, 25, 80, 8)]
     rows = []
     for i in range(40):
-        parts = [prose(rng, rng.randrange(3, 50)) for _ in range(3)]
+        parts = [prose(rng, rng.randrange(3, 50), 10**6) for _ in range(3)]
         if i % 3 == 0:
             w = rng.choice(shared).split()
             if i % 2:
@@ -90,88 +112,68 @@ def test_repeated_paragraphs_are_those_of_brute_force(spark):
         rows.append((i, "\n".join(parts), "x"))
     rows += [(50, None, "x"), (51, "", "x"), (None, "\n".join(shared), "x"), (52, "\n\n" + shared[0] + "\n", "x"), (52, shared[0], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, class string").repartition(3)
-    spans = repeated_paragraphs(docs)
-    got = {(r["doc_id"], r["paragraph"]): ((r["keeper_doc_id"], r["keeper_paragraph"]), r["kept"]) for r in spans.collect()}
+    spans = repeated_spans(docs, least_words=20)
+    got = {(r["doc_id"], r["paragraph"]): ((r["keeper_doc_id"], r["keeper_paragraph"]), r["kept"]) for r in spans.where("keeper_paragraph is not null").collect()}
     sets = {(i, k): plain(p) for i, t, _ in rows if i is not None for k, p in enumerate((t or "").split("\n")) if len(p.split()) >= 20}
     groups = grouped(sets, 80)
     wanted = {k: (g, k == g) for k, g in groups.items() if list(groups.values()).count(g) > 1 or k[0] == 52}
     assert got == wanted
     cut = [(r["doc_id"], r["text"], r["class"]) for r in cut_repeats(docs, spans).collect()]
     assert len(cut) == len(rows)
-    for i, t, _ in rows:
-        if i is not None and i != 52 and t is not None:
-            assert (i, "\n".join(p for k, p in enumerate(t.split("\n")) if (i, k) not in got or got[i, k][1]), "x") in cut
-    assert repeated_paragraphs(empty(spark)).collect() == []
-
-
-def test_passages_glued_into_longer_paragraphs(spark):
-    """A passage of three sentences amid words that differ: found from its second sentence on, cut from all texts but the first."""
-    rng = random.Random(8)
-    first, rest = prose(rng, 9) + ".", f"{prose(rng, 22)}. {prose(rng, 24)}."
-    rows = [(i, f"{prose(rng, 5)}\n{prose(rng, 30)} {first} {rest} {prose(rng, 40)}.") for i in range(6)]
-    rows += [(i, f"{prose(rng, 200)}. {prose(rng, 60)}?") for i in range(10, 14)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = repeated_paragraphs(docs)
-    got = sorted((r["doc_id"], r["paragraph"], r["first_word"], r["n_words"], r["keeper_doc_id"], r["kept"]) for r in spans.collect())
-    assert got == [(i, 1, f, n, 0, i == 0) for i in range(6) for f, n in ((39, 22), (61, 24))]
-    for r in cut_repeats(docs, spans).collect():
-        text = dict(rows)[r["doc_id"]]
-        assert r["text"] == (text.replace(rest + " ", "") if 0 < r["doc_id"] < 6 else text)
-
-
-def windows_cut(rows, size):
-    """Words of each row that brute force leaves: a window that stood earlier goes, but for those that overlap the first."""
-    first, gone = {}, {}
-    for i, t in sorted(rows):
-        words = t.lower().split()
-        for k in range(len(words) - size + 1):
-            w = tuple(words[k : k + size])
-            d, at = first.setdefault(w, (i, k))
-            if d != i or k - at >= size:
-                gone.setdefault(i, set()).update(range(k, k + size))
-    return {i: [w for k, w in enumerate(t.split()) if k not in gone.get(i, ())] for i, t in rows}
+    left = cut_words([(i, t) for i, t, _ in rows if i is not None and i != 52 and t is not None], 20)
+    assert {i: t.split() for i, t, _ in cut if i in left} == left
+    assert {t for i, t, _ in cut if i is None} == {"\n".join(shared)} and (50, None, "x") in cut and (51, "", "x") in cut
+    assert repeated_spans(empty(spark)).collect() == []
 
 
 def test_every_exact_repeat_of_over_50_words_goes(spark):
     """Repeats over several short lines, from mid-sentence, without a full stop, and a line that is one inside another text."""
     rng = random.Random(12)
-    many = "\n".join(prose(rng, n) for n in (48, 19, 17))
-    short = "\n".join(prose(rng, 9) for _ in range(6))  # 54 words, each line too short for a paragraph
-    bare, sentence, just, under = prose(rng, 70), prose(rng, 60) + ".", prose(rng, 51), prose(rng, 50)
+    many = "\n".join(prose(rng, n, 10**6) for n in (48, 19, 17))
+    short = "\n".join(prose(rng, 9, 10**6) for _ in range(6))  # 54 words, each line too short for a paragraph
+    mixed = "\n".join(prose(rng, n, 10**6) for n in (30, 66, 20))  # 30 and 20 words beside a whole paragraph
+    bare, sentence, just, under = prose(rng, 70, 10**6), prose(rng, 60, 10**6) + ".", prose(rng, 51, 10**6), prose(rng, 50, 10**6)
     rows = []
-    for i, shared in enumerate((many, short, bare, sentence, just, under)):
-        rows += [(10 * i, f"{prose(rng, 30)} {shared} {prose(rng, 20)}"), (10 * i + 1, shared + "\n" + prose(rng, 7)), (10 * i + 2, f"{prose(rng, 5)}\n\n{prose(rng, 13)} {shared.replace(chr(10), ' ')} {prose(rng, 40)}")]
-    rows += [(90, " ".join(["again"] * 300)), (91, prose(rng, 400).title())]
+    for i, shared in enumerate((many, short, mixed, bare, sentence, just, under)):
+        rows += [(10 * i, f"{prose(rng, 30, 10**6)} {shared} {prose(rng, 20, 10**6)}"), (10 * i + 1, shared + "\n" + prose(rng, 7, 10**6)), (10 * i + 2, f"{prose(rng, 5, 10**6)}\n\n{prose(rng, 13, 10**6)} {shared.replace(chr(10), ' ')} {prose(rng, 40, 10**6)}")]
+    rows += [(90, " ".join(["again"] * 300)), (91, prose(rng, 400, 10**6).title())]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     spans = repeated_spans(docs)
     got = {r["doc_id"]: r["text"].split() for r in cut_repeats(docs, spans).collect()}
-    assert got == windows_cut(rows, 51)
-    keepers = {(r["keeper_doc_id"], r["kept"]) for r in spans.where("doc_id between 10 and 12").collect()}
-    assert keepers == {(10, True), (10, False)}
-    assert repeated_spans(empty(spark)).collect() == []
+    assert got == cut_words(rows, 51)
+    for i, shared in enumerate((many, short, mixed, bare, sentence, just)):
+        left = shared.split()
+        assert [w for w in got[10 * i + 1] if w in left] == [w for w in got[10 * i + 2] if w in left] == []
+    assert {r["keeper_doc_id"] for r in spans.where("doc_id between 10 and 12").collect()} == {10}
 
 
-def test_windows_of_texts_against_brute_force(spark):
+def test_spans_of_texts_against_brute_force(spark):
+    """Texts from a pool of pieces and edited pieces, so that paragraphs are alike, runs cross line feeds and both meet."""
     rng = random.Random(13)
-    pool = [prose(rng, rng.randrange(3, 14), 60) for _ in range(14)]
-    rows = [(i, "".join(rng.choice(pool) + rng.choice(["\n", " ", "\n\n"]) for _ in range(rng.randrange(1, 16)))) for i in range(40)]
+    pool = [prose(rng, rng.randrange(3, 14), 60) for _ in range(12)]
+    pool += [prose(rng, 25, 10**6) for _ in range(3)]
+    pool += [" ".join("edited" if k == 12 else w for k, w in enumerate(p.split())) for p in pool[-3:]]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice(["\n", " ", "\n\n"]) for _ in range(rng.randrange(1, 16)))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    none = spark.createDataFrame([], "doc long, place int")
-    spans = repeated_windows(docs.toDF("id", "body"), none, 9).toDF(*SPANS)
-    assert {r["doc_id"]: r["text"].split() for r in cut_repeats(docs, spans).collect()} == windows_cut(rows, 9)
-    for r in spans.where("not kept").collect():
-        own, other = (dict(rows)[r[k]].split("\n")[r[p]] for k, p in (("doc_id", "paragraph"), ("keeper_doc_id", "keeper_paragraph")))
-        assert own.split()[r["first_word"]] in other.split()
+    for least in (9, 15):
+        spans = repeated_spans(docs, least_words=least, percent=60)
+        assert {r["doc_id"]: r["text"].split() for r in cut_repeats(docs, spans).collect()} == cut_words(rows, least, 60)
 
 
-def test_keepers_of_passages_are_not_in_paragraphs_that_go(spark):
-    """A passage whose first copy goes with its paragraph stays elsewhere; a kept paragraph loses a passage that stood earlier."""
+def test_a_passage_whose_first_copy_goes_with_its_paragraph_stays(spark):
+    """A kept, A with an edit before passage P cut, P in other words: P's only text left is the third's, and it stays."""
     rng = random.Random(14)
-    lead, tail, passage, earlier = f"{prose(rng, 70)}.", f"{prose(rng, 70)}.", f"{prose(rng, 24)}.", f"{prose(rng, 23)}."
+    lead, tail, passage = prose(rng, 200, 10**6), prose(rng, 200, 10**6), prose(rng, 60, 10**6)
     edited = passage.split()
-    edited[11] = "edited"
-    rows = [(5, f"{prose(rng, 40)}. {earlier} {prose(rng, 30)}."), (10, f"{lead} {' '.join(edited)} {earlier} {tail}"), (20, f"{lead} {passage} {earlier} {tail}"), (30, f"{prose(rng, 40)}. {passage} {prose(rng, 30)}.")]
+    edited[11] = edited[40] = "edited"
+    rows = [(10, f"{lead} {' '.join(edited)} {tail}"), (20, f"{lead} {passage} {tail}"), (30, f"{prose(rng, 40)}. {passage} {prose(rng, 30)}."), (40, f"{prose(rng, 30)} {passage}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for spans in (repeated_paragraphs(docs), repeated_spans(docs)):
-        left = {r["doc_id"]: r["text"] for r in cut_repeats(docs, spans).collect()}
-        assert left == {**dict(rows), 10: rows[1][1].replace(earlier + " ", ""), 20: ""}
+    left = {r["doc_id"]: r["text"] for r in cut_repeats(docs, repeated_spans(docs)).collect()}
+    assert left == {10: rows[0][1], 20: "", 30: rows[2][1], 40: rows[3][1].removesuffix(" " + passage)}
+
+
+def test_repeats_under_51_words_stay(spark):
+    rng = random.Random(15)
+    shared = [prose(rng, n, 10**6) for n in (20, 42, 50)]
+    rows = [(i, "\n".join([prose(rng, 30, 10**6), shared[i % 3], prose(rng, 30, 10**6)])) for i in range(9)]
+    assert repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []

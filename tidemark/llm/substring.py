@@ -1,4 +1,4 @@
-"""Substring dedup: repeated paragraphs are found by MinHash banding, repeated runs of words by window hashes that run across
+"""Substring dedup: repeated paragraphs are found by MinHash banding, repeated runs of words by digests of windows that run across
 line feeds, and all but one copy of each is cut out."""
 
 from __future__ import annotations
@@ -18,10 +18,7 @@ from .shared import stage
 from .text import Chunk, U, chunks, column, distinct_sorted, lists, mix64, powers, set_digest, shingle_hashes, word_bounds, word_hashes
 
 BANDS, ROWS = 8, 2  # a pair at 0.8 collides nowhere with probability 2.8e-4, at 0.9 with 1.7e-6
-MIN_WORDS = 20
-LONGER_THAN = 50
-STOPS = np.zeros(256, bool)
-STOPS[[*b".!?"]] = True
+LEAST_WORDS = 51  # of a repeat
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -48,59 +45,52 @@ def _long_paragraphs(c: Chunk, width: int, min_words: int):
     return owner[pick], place[pick], n, *sets
 
 
-def _passages(c: Chunk, min_words: int, longer_than: int):
-    """Rows, numbers, first words, word counts and digests of the passages of each paragraph of over ``longer_than`` words: from every
-    sentence on, the fewest whole sentences that hold ``min_words`` words, unless that is the whole paragraph."""
-    lines, owner, place = _lines(c)
-    starts, ends, first = word_bounds(lines)
-    n = np.diff(first)
-    line = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(line))
-    stops = STOPS[lines.data[ends - 1]] | (at == first[line + 1] - 1)
-    opens = (at == first[line]) | np.concatenate(([True], stops[:-1]))[: len(at)]
-    begin, last = np.flatnonzero(opens & (n[line] > longer_than)), np.flatnonzero(stops)
-    to = np.searchsorted(last, begin + max(min_words, 1) - 1)
-    end = np.append(last, 0)[to] + 1
-    fit = (to < len(last)) & (end <= first[line[begin] + 1]) & (end - begin < n[line[begin]])
-    begin, end = begin[fit], end[fit]
-    p, inverse = powers(len(line) + 1)
-    total = np.zeros(len(line) + 1, U)
-    np.cumsum(word_hashes(lines, starts, ends) * p[:-1], out=total[1:])
-    digest = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U))
-    own = line[begin]
-    return owner[own], place[own], begin - first[own], end - begin, digest.view(np.int64)
-
-
-def _occurrences(docs: DataFrame, width: int, min_words: int, longer_than: int, bands: int, rows: int) -> DataFrame:
-    """A row for each paragraph, with the keys of its bands, and for each passage inside a longer one, without keys."""
-
-    def part(ids: pa.Array, row, place, first_word, n_words, digest, keys: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(first_word.astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(digest), keys],
-            ["doc", "place", "first_word", "n_words", "class", "keys"],
-        )
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """Digests of the runs of ``size`` words from every word on that has as many to come."""
+    p, inverse = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, U)
+    np.cumsum(words * p[:-1], out=total[1:])
+    return mix64((total[size:] - total[:-size]) * inverse[: len(words) + 1 - size] + U(size)) if len(words) >= size else np.zeros(0, U)
+
+
+def _anchors(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words within a row, the place of each one's anchor, and the digests of anchors by place.
+
+    The anchor is the least digest among a window's runs of about half its size: windows of equal words have it at the same
+    word, and neighbouring windows mostly share it.
+    """
+    short = (size + 1) // 2
+    digests = _runs(words, short)
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), digests
+    at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
+    return at, at + np.lib.stride_tricks.sliding_window_view(digests, size - short + 1).argmin(1)[at], digests
+
+
+def _read(docs: DataFrame, width: int, least: int, bands: int, rows: int) -> DataFrame:
+    """One pass over the texts: a row for each paragraph of ``least`` words or more, with the digest of its set and the keys of its bands,
+    and for each anchor, with its first word as ``place`` and its digest as ``anchor``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(column(batch, "body")):
                 ids = column(batch, "id")[c.rows]
-                row, place, n_words, values, offsets = _long_paragraphs(c, width, min_words)
+                row, place, n_words, values, offsets = _long_paragraphs(c, width, least)
+                starts, ends, first = word_bounds(c)
+                of = np.repeat(np.arange(len(ids)), np.diff(first))
+                _, at, digests = _anchors(word_hashes(c, starts, ends), of, least)
+                at = np.unique(at)
+                none = pa.nulls(len(at), pa.int64())
                 if len(row):
-                    keys = band_keys(minhash(values, offsets, bands * rows), bands, rows)
-                    yield part(ids, row, place, np.zeros(len(row)), n_words, set_digest(values, offsets)[0], lists(keys))
-                found = _passages(c, min_words, longer_than)
-                if len(found[0]):
-                    yield part(ids, *found, pa.nulls(len(found[0]), pa.list_(pa.int64())))
+                    high, low = set_digest(values, offsets)
+                    keys = lists(band_keys(minhash(values, offsets, bands * rows), bands, rows))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(high), pa.array(low), keys, pa.nulls(len(row), pa.int64())], _READ)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[at])), pa.array((at - first[of[at]]).astype(np.int32)), none.cast(pa.int32()), none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(digests[at].view(np.int64))], _READ)
 
-    return docs.mapInArrow(run, "doc long, place int, first_word int, n_words int, class long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, place int, n_words int, high long, low long, keys array<long>, anchor long")
 
 
-def _repeated_passages(passages: DataFrame, gone: DataFrame) -> DataFrame:
-    """The passages whose words occur more than once outside the paragraphs ``gone``, each with its first occurrence there as ``keeper``."""
-    again = stage(passages.groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class"), "again")
-    hits = stage(passages.join(again, "class").join(gone, ["doc", "place"], "left_anti"), "hits")
-    keepers = stage(hits.groupBy("class").agg(F.min(F.struct("doc", "place", "first_word")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "keepers")
-    return hits.join(keepers, "class").withColumn("kept", F.struct("doc", "place", "first_word") == F.col("keeper"))
+_READ = ["doc", "place", "n_words", "high", "low", "keys", "anchor"]
 
 
 def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -121,176 +111,131 @@ def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     return docs.select("body", "wanted").mapInArrow(run, "id long, leader long, hashes binary")
 
 
-def _streams(c: Chunk, gone: pa.Array):
-    """The words of each row without the paragraphs ``gone`` (a list of numbers for each row), as one run across line feeds: hash, row and
-    position of each word, and row, number and first position of each paragraph that has words left."""
-    lines, owner, place = _lines(c)
-    starts, ends, first = word_bounds(lines)
-    n = np.diff(first)
-    out = np.zeros(len(n), bool)
-    top = np.searchsorted(owner, np.arange(len(c.offsets) - 1))
-    out[np.repeat(top, gone.value_lengths().fill_null(0).to_numpy()) + gone.flatten().to_numpy()] = True
-    hashes = word_hashes(lines, starts, ends)[np.repeat(~out, n)]
-    has = ~out & (n > 0)
-    owner, place, n = owner[has], place[has], n[has]
-    row = np.repeat(owner, n)
-    head = np.searchsorted(row, np.arange(len(c.offsets) - 1))
-    return hashes, row, np.arange(len(row)) - head[row], owner, place, np.cumsum(n) - n - head[owner]
+def _repeated_paragraphs(docs: DataFrame, found: DataFrame, width: int, percent: int, least: int) -> DataFrame:
+    """``(doc, place, n_words, keeper, kept)`` of the paragraphs ``found`` that are alike another one."""
+    names = ["high", "low"]
+    grouped = found.groupBy(*names).agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    repeats = not found.groupBy("doc", "place").count().where("count > 1").isEmpty()
 
+    def sets_of(led: DataFrame) -> DataFrame:
+        wanted = classes.select("id", "first").join(led, "id").groupBy(F.col("first.doc").alias("id")).agg(F.collect_list(F.struct("id", "leader", F.col("first.place").alias("place"))).alias("wanted"))
+        # where rows repeat an id, the paragraph may be there more than once or not at all
+        return _sets(docs.join(wanted, "id"), width, least).dropDuplicates(["id"]) if repeats else _sets(docs.join(wanted, "id"), width, least)
 
-def _runs(words: np.ndarray, size: int) -> np.ndarray:
-    """Digests of the runs of ``size`` words from every word on that has as many to come."""
-    p, inverse = powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, U)
-    np.cumsum(words * p[:-1], out=total[1:])
-    return mix64((total[size:] - total[:-size]) * inverse[: len(words) + 1 - size] + U(size)) if len(words) >= size else np.zeros(0, U)
+    labels = link(classes.select("id", "keys"), sets_of, percent=percent)
+    groups = stage(classes.select("id", *names, "first", "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
+    keepers = stage(groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies"), "keepers")
+    repeated = stage(groups.select(*names, "component").join(keepers, "component").select(*names, "keeper"), "repeated")
+    return stage(found.select("doc", "place", "n_words", *names).join(repeated, names).select("doc", "place", "n_words", "keeper", (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
 
 
-def _anchors(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of all windows of ``size`` words within a row, the place of each one's anchor, and the digests of anchors by place.
+def _window_rows(marked: DataFrame, size: int) -> DataFrame:
+    """The windows whose anchor is among their row's ``marks``, but for those wholly in paragraphs ``gone``; and a row for each text with its
+    paragraphs' numbers and first words.
 
-    The anchor is the least digest among a window's runs of about half its size: windows of equal words have it at the same
-    word, and neighbouring windows mostly share it.
+    ``alive`` windows hold no word of a gone paragraph. ``again`` ones stand in the same text as an alive one of the same
+    words, ``size`` words or more after the first of these.
     """
-    short = (size + 1) // 2
-    digests = _runs(words, short)
-    if len(words) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), digests
-    at = np.flatnonzero(row[: len(row) - size + 1] == row[size - 1 :])
-    return at, at + np.lib.stride_tricks.sliding_window_view(digests, size - short + 1).argmin(1)[at], digests
-
-
-def _anchor_rows(left: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(column(batch, "body")):
-                words, row, position, *_ = _streams(c, column(batch, "gone")[c.rows])
-                _, anchor, digests = _anchors(words, row, size)
-                anchor = np.unique(anchor)
-                yield pa.RecordBatch.from_arrays([column(batch, "id")[c.rows].take(pa.array(row[anchor])), pa.array(position[anchor].astype(np.int32)), pa.array(digests[anchor].view(np.int64))], ["id", "position", "digest"])
-
-    return left.select("id", "body", "gone").mapInArrow(run, "id long, position int, digest long")
-
-
-def _window_rows(marked: DataFrame, size: int) -> DataFrame:
-    """The windows whose anchor is among their id's ``marks``; and for each row its paragraphs' numbers and first positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(column(batch, "body")):
-                ids, names, marks = (column(batch, k)[c.rows] for k in ("id", "row", "marks"))
-                words, row, position, owner, place, start = _streams(c, column(batch, "gone")[c.rows])
+                ids, names, marks, gone = (column(batch, k)[c.rows] for k in ("id", "row", "marks", "gone"))
+                lines, owner, place = _lines(c)
+                starts, ends, first = word_bounds(lines)
+                n, top = np.diff(first), np.searchsorted(owner, np.arange(len(ids) + 1))
+                out = np.zeros(len(n), bool)
+                out[np.repeat(top[:-1], gone.value_lengths().fill_null(0).to_numpy()) + gone.flatten().to_numpy()] = True
+                words, row, head = word_hashes(lines, starts, ends), np.repeat(owner, n), first[top]
                 at, anchor, _ = _anchors(words, row, size)
                 hot = np.zeros(len(words) + 1, bool)
-                head = np.searchsorted(row, np.arange(len(ids)))
                 # where rows repeat an id, a mark may be another row's: windows are compared by their own digest
-                hot[np.minimum(np.repeat(head, marks.value_lengths().to_numpy()) + marks.flatten().to_numpy(), len(words))] = True
+                hot[np.minimum(np.repeat(head[:-1], marks.value_lengths().to_numpy()) + marks.flatten().to_numpy(), len(words))] = True
+                dead = np.concatenate(([0], np.cumsum(np.repeat(out, n))))
                 at = at[hot[anchor]]
+                lost = dead[at + size] - dead[at]
+                at, alive = at[lost < size], lost[lost < size] == 0
+                digest = _runs(words, size)[at]
+                again = _again(row[at], digest, at, alive, size)
                 own, none = pa.array(row[at]), pa.nulls(len(at), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids.take(own), names.take(own), pa.array(position[at].astype(np.int32)), pa.array(_runs(words, size)[at].view(np.int64)), none, none], ["id", "row", "position", "digest", "places", "starts"])
-                cuts = np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)
-                listed = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (place, start)]
-                yield pa.RecordBatch.from_arrays([ids, names, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.int64()), *listed], ["id", "row", "position", "digest", "places", "starts"])
+                yield pa.RecordBatch.from_arrays([ids.take(own), names.take(own), pa.array((at - head[row[at]]).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(alive), pa.array(again), none, none], _WINDOWS)
+                has = n > 0
+                cuts = pa.array(np.concatenate(([0], np.cumsum(has)))[top].astype(np.int32))
+                listed = [pa.ListArray.from_arrays(cuts, pa.array(x[has].astype(np.int32))) for x in (place, first[:-1] - head[owner])]
+                nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.int64(), pa.bool_(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([ids, names, *nothing, *listed], _WINDOWS)
 
-    return marked.select("id", "row", "body", "gone", "marks").mapInArrow(run, "id long, row long, position int, digest long, places array<int>, starts array<int>")
+    return marked.select("id", "row", "body", "gone", "marks").mapInArrow(run, "id long, row long, position int, digest long, alive boolean, again boolean, places array<int>, starts array<int>")
 
 
-def repeated_windows(docs: DataFrame, gone: DataFrame, size: int) -> DataFrame:
-    """``(doc, place, first_word, n_words, keeper_doc, keeper_place, kept)`` of all repeats of ``size`` words or more in ``docs(id, body)``
-    without the paragraphs ``gone(doc, place)``.
+_WINDOWS = ["id", "row", "position", "digest", "alive", "again", "places", "starts"]
 
-    A row's words are one run across line feeds and gone paragraphs. Rows' anchors, chosen by content in every window of ``size`` words, are
-    joined by digest; windows whose anchor occurs again are compared by 64 bits of their own digest. A window's first
-    occurrence by (doc, word) is kept and the others aren't, but for those that overlap the first. Windows in a run whose
-    keepers are in a run too make one span, given by paragraph.
-    """
-    lost = stage(gone.distinct().groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("gone")), "lost")
-    if not docs.groupBy("id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["id", "body"])
-    left = docs.join(lost.hint("merge"), "id", "left").withColumn("row", F.xxhash64("id", "body"))
-    anchors = stage(_anchor_rows(left, size), "anchors")
-    again = stage(anchors.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest"), "again")
-    marks = stage(anchors.join(again, "digest").groupBy("id").agg(F.collect_list("position").alias("marks")), "marks")
-    found = stage(_window_rows(left.join(marks.hint("merge"), "id"), size), "windows")
-    windows = found.where("digest is not null").select("id", "row", "position", "digest")
-    keepers = stage(windows.groupBy("digest").agg(F.min(F.struct("id", "position", "row")).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "keepers")
-    ahead = F.col("position") - F.col("keeper.position")
-    hits = windows.join(keepers, "digest").where((F.col("id") != F.col("keeper.id")) | ~ahead.between(1, size - 1))
-    in_row = Window.partitionBy("row").orderBy("position")
-    follows = (F.lag("position").over(in_row) + 1 == F.col("position")) & (F.lag("ahead").over(in_row) == F.col("ahead")) & (F.lag("keeper.row").over(in_row) == F.col("keeper.row"))
-    runs = stage(hits.withColumn("ahead", ahead), "hits").withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_row))
-    spans = runs.groupBy("row", "run").agg(
-        F.min("id").alias("doc"), F.min("position").alias("begin"), (F.max("position") + size).alias("end"), F.min("keeper.id").alias("keeper_doc"), F.min("keeper.row").alias("keeper_row"), F.min("ahead").alias("ahead"),
-    )
-    lines = stage(found.where("digest is null").select("row", "places", "starts"), "lines")
-    of = lines.select(F.col("row").alias("keeper_row"), F.col("places").alias("keeper_places"), F.col("starts").alias("keeper_starts"))
-    first, last = F.size(F.filter("starts", lambda x: x <= F.col("begin"))), F.size(F.filter("starts", lambda x: x < F.col("end")))
-    pieces = stage(spans, "spans").join(lines, "row").withColumn("line", F.explode(F.sequence(first, last))).withColumns({"start": F.element_at("starts", F.col("line")), "next": F.get("starts", F.col("line")), "place": F.element_at("places", F.col("line"))})
-    pieces = pieces.withColumns({"from": F.greatest("begin", "start"), "to": F.least("end", "next")}).drop("places", "starts").join(of, "keeper_row")
-    keeper_place = F.element_at("keeper_places", F.size(F.filter("keeper_starts", lambda x: x <= F.col("from") - F.col("ahead"))))
-    return pieces.select("doc", "place", (F.col("from") - F.col("start")).alias("first_word"), (F.col("to") - F.col("from")).alias("n_words"), "keeper_doc", keeper_place.alias("keeper_place"), ((F.col("doc") == F.col("keeper_doc")) & (F.col("ahead") == 0)).alias("kept"))
-
-
-SPANS = ["doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept"]
 
+def _again(row: np.ndarray, digest: np.ndarray, at: np.ndarray, alive: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window follows the first alive one of its digest in its row by ``size`` words or more."""
+    order = np.lexsort((at, ~alive, digest, row))
+    r, d, a = row[order], digest[order], at[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
+    lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    out = np.empty(len(order), bool)
+    out[order] = alive[order][lead] & (a - a[lead] >= size)
+    return out
 
-def repeated_paragraphs(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, longer_than: int = LONGER_THAN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(doc_id, paragraph, first_word, n_words, keeper_doc_id, keeper_paragraph, kept)`` for each occurrence of a repeated paragraph or passage.
 
-    Paragraphs are the pieces between line feeds, numbered from 0; those under ``min_words`` words are left alone.
-    Two are alike when their sets of ``width``-word shingles (A-Z as a-z) have a Jaccard of ``percent`` hundredths or
-    more; banding proposes, the full sets decide. Of each component of alike paragraphs the first occurrence by
-    (doc_id, paragraph) is kept. Equal sets are one class, named by 64 bits of their digest.
+def _repeated_windows(docs: DataFrame, anchors: DataFrame, gone: DataFrame, size: int) -> DataFrame:
+    """``(doc, place, first_word, n_words, keeper_doc)`` of the repeats of ``size`` words or more in ``docs(id, body)`` that don't stay.
 
-    A repeat may also be glued into paragraphs that otherwise differ. So in paragraphs of over ``longer_than`` words, but for those
-    that go as a whole, passages of whole sentences and at least ``min_words`` words are compared by 64 bits of their
-    digest; all occurrences but the first are not kept. Their rows may overlap; ``first_word`` counts from 0 in the paragraph.
-
-    Null or blank texts hold no paragraph, rows with a null id are left alone, rows that repeat an id are read as occurrences like others.
+    ``anchors(doc, place, anchor)`` are chosen by content in every window of ``size`` words: equal windows have equal ones. Windows
+    whose anchor occurs again are compared by 64 bits of their own digest, and the words of a run of windows go together.
     """
-    whole, inside = _paragraphs(_named(docs, id_column, text_column), width, percent, min_words, longer_than, bands, rows)
-    return whole.unionByName(inside).toDF(*SPANS)
-
+    again = stage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("anchor"), "again")
+    lost = gone.groupBy("doc").agg(F.collect_set("place").alias("gone"))
+    marks = anchors.join(again, "anchor").groupBy("doc").agg(F.collect_list("place").alias("marks"))
+    marked = stage(marks.join(lost, "doc", "left").withColumnRenamed("doc", "id"), "marks")
+    found = stage(_window_rows(docs.withColumn("row", F.xxhash64("id", "body")).join(marked, "id"), size), "windows")
+    windows = found.where("digest is not null").select("id", "row", "position", "digest", "alive", "again")
+    keepers = windows.groupBy("digest").agg(F.min(F.when(F.col("alive"), F.col("id"))).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null").drop("copies")
+    hits = windows.join(stage(keepers, "keepers"), "digest").where("id > keeper or again").select("id", "row", "position", "keeper")
+    in_row = Window.partitionBy("row").orderBy("position")
+    follows = (F.lag("position").over(in_row) + 1 == F.col("position")) & (F.lag("keeper").over(in_row) == F.col("keeper"))
+    runs = stage(hits, "hits").withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_row))
+    spans = runs.groupBy("row", "run").agg(F.min("id").alias("doc"), F.min("position").alias("begin"), (F.max("position") + size).alias("end"), F.min("keeper").alias("keeper_doc"))
+    texts = stage(found.where("digest is null").select("row", "places", "starts").dropDuplicates(["row"]), "lines")
+    first, last = F.size(F.filter("starts", lambda x: x <= F.col("begin"))), F.size(F.filter("starts", lambda x: x < F.col("end")))
+    pieces = stage(spans, "spans").join(texts, "row").withColumn("line", F.explode(F.sequence(first, last)))
+    pieces = pieces.withColumns({"start": F.element_at("starts", F.col("line")), "next": F.get("starts", F.col("line")), "place": F.element_at("places", F.col("line"))})
+    pieces = pieces.withColumns({"from": F.greatest("begin", "start"), "to": F.least("end", "next")})
+    return pieces.select("doc", "place", (F.col("from") - F.col("start")).alias("first_word"), (F.col("to") - F.col("from")).alias("n_words"), "keeper_doc")
 
-def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, min_words: int = MIN_WORDS, longer_than: int = LONGER_THAN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``repeated_paragraphs``, and every exact repeat of over ``longer_than`` words in what is left without the paragraphs that aren't kept,
-    wherever it begins and however many line feeds it runs across; a row for each paragraph that it touches.
-
-    A word goes only if the same word in the same passage stands earlier by (doc_id, paragraph, first_word) and stays there, or
-    was replaced by a yet earlier one in turn: a span that overlaps another's keeper may leave that keeper in two places.
-    """
-    docs = _named(docs, id_column, text_column)
-    whole, inside = _paragraphs(docs, width, percent, min_words, longer_than, bands, rows)
-    windows = repeated_windows(docs, whole.where("not kept").select("doc", "place"), longer_than + 1)
-    return whole.unionByName(inside).unionByName(windows).toDF(*SPANS)
 
+SPANS = ["doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept"]
 
-def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
 
+def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, least_words: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``(doc_id, paragraph, first_word, n_words, keeper_doc_id, keeper_paragraph, kept)`` of every repeat of ``least_words`` words or more.
 
-def _paragraphs(docs: DataFrame, width: int, percent: int, min_words: int, longer_than: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of paragraphs repeated as a whole, and of passages of whole sentences inside others."""
-    every = stage(_occurrences(docs, width, min_words, longer_than, bands, rows), "paragraphs")
-    found = every.where("keys is not null")
-    classes = stage(found.groupBy("class").agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "classes")
-    items = classes.select(F.col("class").alias("id"), "keys")
-    repeats = not found.groupBy("doc", "place").count().where("count > 1").isEmpty()
+    Paragraphs are the pieces between line feeds, numbered from 0. Two of at least ``least_words`` words are alike when their
+    sets of ``width``-word shingles (A-Z as a-z) have a Jaccard of ``percent`` hundredths or more; banding proposes, the full
+    sets decide. Of each component of alike paragraphs the first by (doc_id, paragraph) is kept, the others go. Each has a
+    row, from its first word on. Equal sets are one class, told by 128 bits of their digest.
 
-    def sets_of(led: DataFrame) -> DataFrame:
-        firsts = classes.select(F.col("class").alias("id"), "first").join(led, "id")
-        wanted = firsts.groupBy(F.col("first.doc").alias("id")).agg(F.collect_list(F.struct("id", "leader", F.col("first.place").alias("place"))).alias("wanted"))
-        # where rows repeat an id, the paragraph may be there more than once or not at all
-        return _sets(docs.join(wanted, "id"), width, min_words).dropDuplicates(["id"]) if repeats else _sets(docs.join(wanted, "id"), width, min_words)
+    Beside that, exact repeats of at least ``least_words`` words are found wherever they begin and however many line feeds they run
+    across. Of equal windows of so many words one stays: the first in the smallest id that has one without words of paragraphs
+    that go; windows that overlap it in its own text stay with it. The others' words go, with a row for each run of
+    words and paragraph (``keeper_paragraph`` null, ``kept`` false). So a word only goes if the same passage stands in a text
+    of a smaller id, or earlier in its own, where it stays or has gone for one yet earlier in turn.
 
-    labels = link(items, sets_of, percent=percent)
-    groups = stage(classes.select("class", "first", "copies").join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "groups")
-    keepers = stage(groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies"), "keepers")
-    repeated = stage(groups.select("class", "component").join(keepers, "component").select("class", "keeper"), "repeated")
-    place = ["doc", "place", "first_word", "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place")]
-    whole = stage(found.select("doc", "place", "first_word", "n_words", "class").join(repeated, "class").select(*place, (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
-    inside = _repeated_passages(every.where("keys is null").drop("keys"), whole.where("not kept").select("doc", "place").distinct()).select(*place, "kept")
-    return whole, inside
+    Null, blank and short texts hold no repeats. Rows with a null id are left alone. Rows that repeat an id are one document to
+    the windows' choice: a passage that stands in both stays in both. Of equal rows of an id all are alike. Other columns are not read.
+    """
+    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
+    every = stage(_read(docs, width, least_words, bands, rows), "paragraphs")
+    whole = _repeated_paragraphs(docs, every.where("anchor is null").drop("anchor"), width, percent, least_words)
+    windows = _repeated_windows(docs, every.where("anchor is not null").select("doc", "place", "anchor"), whole.where("not kept").select("doc", "place"), least_words)
+    paragraphs = whole.select("doc", "place", F.lit(0).alias("first_word"), "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place"), "kept")
+    return paragraphs.unionByName(windows.withColumns({"keeper_place": F.lit(None).cast("int"), "kept": F.lit(False)})).toDF(*SPANS)
 
 
 def _without(text: str | None, spans) -> str | None:
@@ -313,16 +258,21 @@ def _without(text: str | None, spans) -> str | None:
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with all columns, its texts without the paragraphs and passages that ``spans`` doesn't keep; other texts are unchanged."""
+    """``docs`` with all columns, its texts without what ``spans`` doesn't keep; other texts, null ones too, are unchanged.
+
+    Rows with a null id keep their texts; rows that repeat an id all lose the spans of that id. A paragraph that loses all its words goes
+    with its line feed; a text that loses all is empty.
+    """
     gone = spans.where("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.array("paragraph", "first_word", "n_words")).alias("__gone"))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([_without(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    joined = docs.join(stage(gone, "gone").hint("merge"), F.col(id_column) == F.col("__id"), "left")
-    return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(without(F.col(text_column), F.col("__gone")))).drop("__id", "__gone")
+    joined = docs.join(stage(gone, "gone"), F.col(id_column) == F.col("__id"), "left").withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col(text_column)))
+    return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(without("__cut", "__gone"))).drop("__id", "__gone", "__cut")
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_spans`` of all ``documents``."""
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
