@@ -2,9 +2,8 @@
 cut, sources are mixed to target weights, and what is left is packed in batches.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``; all but the last return the columns of
-``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there. The tables of ids that decide
-on documents grow with them, so stages merge-join them at every size rather than broadcast them while they are small.
-Where ids are null or repeat, stages decide by rows.
+``docs``. Texts that a stage changes carry their new length in ``n_chars``, if that column is there. Where ids are null or
+repeat, stages decide by rows. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id of each group linked by a Jaccard of 0.8 or more."""
     keyed = _keyed(docs)
     gone = stage(near_duplicates(keyed, id_column="__own", **NEAR).where("not kept").select(F.col("doc_id").alias("__id")), "gone")
-    return keyed.join(gone.hint("merge"), F.col("__own") == F.col("__id"), "left_anti").drop("__own")
+    return keyed.join(gone, F.col("__own") == F.col("__id"), "left_anti").drop("__own")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
     keyed = _keyed(docs)
     copies = mix(keyed, id_column="__own").where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    taken = keyed.join(stage(copies, "copies").hint("merge"), F.col("__own") == F.col("__id")).drop("__id", "__own")
+    taken = keyed.join(stage(copies, "copies"), F.col("__own") == F.col("__id")).drop("__id", "__own")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").select(*docs.columns)
 
 
