@@ -125,3 +125,89 @@ def test_current_symbols_follow_chains_to_their_end(spark):
     got = {r["symbol"]: r["current"] for r in current_symbols(spark.createDataFrame(rows, "symbol string, new_symbol string").repartition(3)).collect()}
     assert got == {**{f"a{i}": "a40" for i in range(40)}, "b": "a40", "c": "d", **dict.fromkeys("xyzw")}
     assert current_symbols(spark.createDataFrame([], "symbol string, new_symbol string")).collect() == []
+
+
+def test_cost_models_by_hand():
+    """Presets as published; a short of 100 000 at a quarter of the day's volume for 25.2 days."""
+    assert an.COST_MODELS["retail"]["shape"] == "linear" and an.COST_MODELS["institutional"]["least"] == 10_000
+
+
+def test_costs_of_a_short(spark):
+    row = spark.range(1).select(*(c.alias(k) for k, c in an.trade_costs(F.lit(-100_000.0), F.lit(400_000.0), days=25.2, **an.COST_MODELS["default"]).items())).first()
+    assert (row["commission"], row["slippage"], row["impact"], row["borrow"]) == pytest.approx((10.0, 20.0, 5_000.0, 50.0)) and row["total"] == pytest.approx(5_080.0)
+    trades = spark.createDataFrame([(1, 1000.0, None, False), (1, -3000.0, None, True), (2, 0.0, 10.0, False)], "k int, notional double, adv double, is_short boolean")
+    got = {r["k"]: (r["total_cost"], r["total_notional"], r["avg_cost_bps"]) for r in an.rebalance_cost(trades, ["k"], days=252.0, **an.COST_MODELS["default"]).collect()}
+    assert got[1] == pytest.approx((1.2 + 15.0, 4000.0, 40.5)) and got[2] == (0.0, 0.0, 0.0)
+
+
+def test_rules_are_enforced_in_order(spark):
+    from tidemark.plans import constraints as cs
+
+    df = spark.createDataFrame([(1, a, w, p) for a, w, p in (("a", 0.09, 0.0), ("b", 0.02, 0.04), ("c", 0.0005, 0.5), ("d", -0.03, None))], "time int, asset string, weight double, previous double")
+
+    def left(*rules):
+        return {r["asset"]: r["weight"] for r in cs.enforce(df, rules, previous="previous").collect()}
+
+    assert left(*cs.LONG_SHORT_EQUITY[:2]) == pytest.approx({"a": 0.05, "b": 0.02, "c": 0.0, "d": -0.03})
+    assert left(("max_gross", 0.07), ("max_weight", 0.05), ("min_weight", 0.001)) == pytest.approx({"a": 0.035, "b": 0.014, "c": 0.0, "d": -0.021})
+    assert left(("max_longs", 1), ("max_positions", 1)) == pytest.approx({"a": 0.09, "b": 0.0, "c": 0.0, "d": 0.0})
+    assert left(("target_net", 0.0), ("max_short", 0.02))["d"] == pytest.approx(-0.1105)
+    # the removed asset c counts for nothing in turnover: (0.05 + 0.02 + 0.03) / 2
+    assert left(("max_weight", 0.05), ("min_weight", 0.001), ("turnover", 0.025)) == pytest.approx({"a": 0.025, "b": 0.03, "c": 0.0, "d": -0.015})
+    with pytest.raises(ValueError):
+        left(("no_such", 1))
+
+
+def test_names_and_members_at_a_date(spark):
+    renames = spark.createDataFrame([("a", "b", "2001-01-01"), ("b", "c", "2005-01-01"), ("x", "y", "1999-01-01")], "symbol string, new_symbol string, date string").withColumn("date", F.to_date("date"))
+    for at, wanted in (("2000-01-01", {"c": "a", "b": "a"}), ("2003-01-01", {"c": "b"}), ("2006-01-01", {})):
+        assert {r["symbol"]: r["name"] for r in an.symbols_at(renames, at).collect()} == wanted
+    members = spark.createDataFrame([("a", "2001-01-01"), ("b", "2001-01-01"), ("a", "2002-01-01")], "asset string, date string").withColumn("date", F.to_date("date"))
+    rows = spark.createDataFrame([(a, t) for a in "ab" for t in ("2000-06-01", "2001-01-01", "2002-06-01")], "asset string, time string").withColumn("time", F.to_date("time"))
+    assert sorted((r["asset"], str(r["time"])) for r in an.members_at(rows, members).collect()) == [("a", "2001-01-01"), ("a", "2002-06-01"), ("b", "2001-01-01")]
+
+
+def test_marginal_risk_adds_up_to_about_the_whole(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3, 400)) * np.array([[0.01], [0.02], [0.03]])
+    df = spark.createDataFrame([(int(t), int(i), [0.5, 0.3, 0.2][i], float(x[i, t])) for i in range(3) for t in range(400)], "time int, asset int, weight double, ret double")
+    got = {r["asset"]: r for r in an.marginal_var(df, delta=1e-6).collect()}
+    whole = -np.sort(np.array([0.5, 0.3, 0.2]) @ x)[20]
+    each = []
+    for i in range(3):
+        w = np.array([0.5, 0.3, 0.2])
+        w[i] += 1e-6
+        each.append((-np.sort(w / w.sum() @ x)[20] - whole) / 1e-6)
+    assert [got[i]["marginal"] for i in range(3)] == pytest.approx(each, rel=1e-4) and [got[i]["component"] for i in range(3)] == pytest.approx(np.array(each) * [0.5, 0.3, 0.2], rel=1e-4)
+
+
+def test_haircut_only_shrinks():
+    got = rigor.bonferroni_haircut(0.2, 250, 10)
+    assert 0 < got["haircut_sharpe"] < 0.2 and got["p_adjusted"] == pytest.approx(10 * got["p_single"]) and rigor.bonferroni_haircut(0.2, 250, 1)["haircut"] == pytest.approx(0.0, abs=1e-9)
+    assert rigor.bonferroni_haircut(-0.2, 250, 10)["haircut_sharpe"] == pytest.approx(-got["haircut_sharpe"]) and rigor.bonferroni_haircut(0.0, 250, 10)["haircut_sharpe"] == 0
+
+
+def test_results_are_replaced_filtered_and_compared(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    row = lambda *x: spark.createDataFrame([x], "total_return double, sharpe double, max_drawdown double")
+    files.save_result(row(0.1, 1.0, 0.2), path, "s", "1", tags={"desk": "x"}, result_id="a")
+    files.save_result(row(0.2, 1.5, 0.1), path, "s", "2", result_id="b")
+    files.save_result(row(0.3, 2.0, 0.1), path, "s", "1", tags={"desk": "x"}, result_id="a")
+    assert [r["sharpe"] for r in files.find_results(spark, path, strategy="s").collect()] == [2.0, 1.5]
+    assert [r["sharpe"] for r in files.find_results(spark, path, tags={"desk": "x"}, version="1").collect()] == [2.0]
+    a, b = (files.latest_results(spark, path).where(F.col("result_id") == k) for k in "ab")
+    got = files.compare_results(a, b).first()
+    assert (got["return_diff"], got["sharpe_diff"], got["drawdown_diff"], got["winner"]) == (pytest.approx(0.1), 0.5, 0.0, "a")
+    assert files.history(files.latest_results(spark, path)).first()["trend"] == "improving"
+    assert "Equity" in files.report_html(row(0.1, 1.0, 0.2), "t", spark.createDataFrame([(1, 1.0, 0.0)], "time int, equity double, drawdown double"))
+
+
+def test_moments_refuse_too_many_assets(spark):
+    df = spark.createDataFrame([(t, a, float(t * a % 5)) for t in range(9) for a in range(4) if (t, a) != (3, 2)], "time int, asset int, ret double")
+    names, mean, cov = op.moments(df)
+    x = np.array([[t * a % 5 for t in range(9)] for a in range(4)], float)
+    assert names == [0, 1, 2, 3] and mean[1] == pytest.approx(x[1].mean()) and cov[1, 3] == pytest.approx(np.cov(x[1], x[3])[0, 1])
+    keep = [t for t in range(9) if t != 3]
+    assert cov[1, 2] == pytest.approx(np.cov(x[1][keep], x[2][keep])[0, 1])
+    with pytest.raises(ValueError):
+        op.moments(df, most=3)

@@ -138,13 +138,13 @@ def _(spark, d):
 
 @_query(
     "cost_trades",
-    """SELECT l_orderkey, l_linenumber, round(n * 10.0 / 10000 + n * 0.1 * sqrt(n / (l_quantity * 100000.0)) + CASE WHEN s < 0 THEN n * 0.005 * 5.0 / 252 ELSE 0 END, 8) AS cost FROM
- (SELECT *, abs(s) AS n FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS s FROM lineitem) x) y""",
+    """SELECT l_orderkey, l_linenumber, round(n * 3.0 / 10000 + n * 0.1 * sqrt(n / (l_quantity * 100000.0)) + CASE WHEN s < 0 THEN n * 0.005 * 5.0 / 252 ELSE 0 END, 5) AS cost FROM
+ (SELECT *, abs(s) AS n FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END / 7 AS s FROM lineitem) x) y""",
 )
 def _(spark, d):
-    side = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    side = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")) / 7
     cost = an.trade_cost(side, F.col("l_quantity") * 100_000.0, **an.COST_MODELS["default"], short_days=F.lit(5.0))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 8).alias("cost"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 5).alias("cost"))
 
 
 _OUT = "SELECT time, asset, round(w, 8) + 0.0 AS weight FROM o"
@@ -283,12 +283,13 @@ def _(spark, d):
 
 @_query(
     "risk_stress",
-    """WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'market' WHEN 'view' THEN 'volatility' WHEN 'purchase' THEN 'rates' ELSE 'credit' END AS factor, avg(value) / 100 AS exposure FROM events GROUP BY 1),
- s AS (SELECT * FROM (VALUES ('equity_crash', 'market', -0.4), ('equity_crash', 'volatility', 0.6), ('rates_up', 'rates', 0.03), ('rates_up', 'market', -0.1), ('credit_crunch', 'credit', 0.05), ('credit_crunch', 'market', -0.25), ('calm', 'volatility', -0.2)) v(scenario, factor, shock))
+    """WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'market' WHEN 'view' THEN 'volatility' WHEN 'purchase' THEN 'smb' WHEN 'error' THEN 'momentum' ELSE 'value' END AS factor, avg(value) / 100 AS exposure FROM events GROUP BY 1),
+ s AS (SELECT * FROM (VALUES ('2008_crisis', 'market', -0.4), ('2008_crisis', 'smb', -0.1), ('2008_crisis', 'hml', -0.15), ('2008_crisis', 'volatility', 3.0), ('2020_covid', 'market', -0.35), ('2020_covid', 'smb', -0.2), ('2020_covid', 'momentum', -0.25),
+  ('2020_covid', 'volatility', 4.0), ('2022_rates', 'market', -0.2), ('2022_rates', 'growth', -0.3), ('2022_rates', 'value', 0.1), ('flash_crash', 'market', -0.1), ('flash_crash', 'volatility', 5.0)) v(scenario, factor, shock))
  SELECT scenario, round(sum(coalesce(exposure, 0.0) * CAST(shock AS DOUBLE)), 8) + 0.0 AS impact FROM s LEFT JOIN e USING (factor) GROUP BY scenario""",
 )
 def _(spark, d):
-    kinds = F.when(F.col("event_type") == "click", "market").when(F.col("event_type") == "view", "volatility").when(F.col("event_type") == "purchase", "rates").otherwise("credit")
+    kinds = F.when(F.col("event_type") == "click", "market").when(F.col("event_type") == "view", "volatility").when(F.col("event_type") == "purchase", "smb").when(F.col("event_type") == "error", "momentum").otherwise("value")
     exposures = table(spark, d, "events").groupBy(kinds.alias("factor")).agg((F.avg("value") / 100.0).alias("exposure"))
     return tidy(an.stress(exposures))
 
@@ -345,12 +346,14 @@ def _(spark, d):
     return tidy(an.adjust_prices(months(spark, d), actions, s=MONTHLY).select("time", "asset", "factor", "adjusted", "adjusted_volume"), 6)
 
 
-_CHAIN = "SELECT s_suppkey AS symbol, s_suppkey + 10 AS new_symbol FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey < 60"
+_CHAIN = "SELECT s_suppkey AS symbol, s_suppkey + 10 AS new_symbol FROM supplier WHERE s_suppkey % 50 <> 0"
 
 
-@_query("corporate_current_symbols", f"WITH RECURSIVE r AS ({_CHAIN}), k AS (SELECT symbol, new_symbol AS current, 0 AS n FROM r UNION ALL SELECT k.symbol, r.new_symbol, n + 1 FROM k JOIN r ON k.current = r.symbol WHERE n < 8) SELECT symbol, max(current) AS current FROM k GROUP BY symbol")
+@_query("corporate_current_symbols", f"WITH RECURSIVE r AS ({_CHAIN}), k AS (SELECT symbol, new_symbol AS current FROM r UNION ALL SELECT k.symbol, r.new_symbol FROM k JOIN r ON k.current = r.symbol) SELECT symbol, max(current) AS current FROM k GROUP BY symbol")
 def _(spark, d):
-    renames = table(spark, d, "supplier").where("s_suppkey % 4 = 0 and s_suppkey < 60").select(F.col("s_suppkey").alias("symbol"), (F.col("s_suppkey") + 10).alias("new_symbol"))
+    """Every supplier is renamed ten on, but for each fiftieth: chains of many steps."""
+    key = F.col("s_suppkey")
+    renames = table(spark, d, "supplier").select(F.when(key % 50 != 0, key).alias("symbol"), (key + 10).alias("new_symbol")).dropna()
     return an.current_symbols(renames)
 
 
@@ -409,14 +412,27 @@ def _(spark, d):
     return tidy(return_stats(returns(spark, d)))
 
 
-@_query("rigor_permutation")
+@_query(
+    "rigor_permutation",
+    f"""WITH {_RETURNS}, t AS (SELECT CAST(k AS BIGINT) AS trial, sum(CASE WHEN k = 0 OR substr(md5(concat_ws('|', CAST(k AS VARCHAR), CAST(time AS VARCHAR), '7')), 1, 1) < '8' THEN ret ELSE -ret END) AS s FROM pr, range(0, 1001) q(k) GROUP BY k)
+ SELECT count(*) FILTER (WHERE s >= (SELECT s FROM t WHERE trial = 0) - 1e-12) / 1001 AS p FROM t""",
+)
 def _(spark, d):
     from .rigor import permutation_p_value
 
     return permutation_p_value(returns(spark, d))
 
 
-@_query("rigor_overfitting")
+@_query(
+    "rigor_overfitting",
+    f"""WITH {_WEIGHTED}, tr AS (SELECT time, asset % 10 AS trial, avg(r) AS ret FROM g WHERE r IS NOT NULL GROUP BY 1, 2), bl AS (SELECT time, ntile(8) OVER (ORDER BY time) - 1 AS block FROM (SELECT DISTINCT time FROM tr) x),
+ su AS (SELECT trial, block, count(ret) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM tr JOIN bl USING (time) GROUP BY 1, 2), sp AS (SELECT b AS split FROM range(0, 256) t(b) WHERE bit_count(CAST(b AS INT)) = 4),
+ ha AS (SELECT split, trial, (CAST(split AS INT) >> CAST(block AS INT)) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM su, sp GROUP BY 1, 2, 3),
+ sh AS (SELECT split, trial, inside, CASE WHEN sqrt(greatest(q / n - pow(s / n, 2), 0)) > 1e-12 THEN (s / n) / sqrt(greatest(q / n - pow(s / n, 2), 0)) ELSE 0 END AS sr FROM ha),
+ pa AS (SELECT split, trial, max(CASE WHEN inside = 1 THEN sr END) AS i, max(CASE WHEN inside = 0 THEN sr END) AS o FROM sh GROUP BY 1, 2), be AS (SELECT split, first(o ORDER BY i DESC, trial) AS best FROM pa GROUP BY split),
+ wh AS (SELECT split, (count(*) FILTER (WHERE o < best) + 0.5 * (count(*) FILTER (WHERE o = best) + 1)) / (count(*) + 1) AS share FROM pa JOIN be USING (split) GROUP BY split)
+ SELECT avg(CASE WHEN share <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS splits FROM wh""",
+)
 def _(spark, d):
     from .rigor import overfitting_probability
 
@@ -462,11 +478,14 @@ def _(spark, d):
     return tidy(daily.groupBy("periods", "share").agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("sharpe")), 7)
 
 
-@_query("panel_wide_prices", f"WITH {DAYS_SQL} PIVOT (SELECT time, asset, px FROM d) ON asset USING last(px) GROUP BY time")
+_KINDS = ("click", "error", "purchase", "signup", "view")  # fixed values: the event types
+
+
+@_query("panel_wide_prices", f"WITH {DAYS_SQL} SELECT time, {', '.join(f'{finite_sql(f"max(CASE WHEN asset = {k!r} THEN px END)", 7)} AS {k}' for k in _KINDS)} FROM d GROUP BY time")
 def _(spark, d):
     from ..sources.files import to_wide
 
-    return to_wide(days(spark, d).select("time", "asset", "px"))
+    return tidy(to_wide(days(spark, d).select("time", "asset", "px"), assets=list(_KINDS)), 7)
 
 
 @_query("panel_date_range", f"WITH {MONTHS_SQL} SELECT time, asset, {finite_sql('px', 7)} AS px FROM m WHERE time BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'")
@@ -478,17 +497,13 @@ def _(spark, d):
 
 @_query(
     "stream_bars",
-    """SELECT time_bucket(INTERVAL '1 day', ts) AS time, event_type AS asset, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS n
- FROM (SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id) AS rn FROM events) e WHERE rn = 1 GROUP BY 1, 2""",
+    """SELECT time_bucket(INTERVAL '1 day', ts) AS time, event_type AS asset, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS n
+ FROM events GROUP BY 1, 2""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
     from ..streaming.online import bars
 
-    first = F.row_number().over(Window.partitionBy("event_type", "ts").orderBy("event_id"))
-    ticks = table(spark, d, "events").withColumn("rn", first).where("rn = 1").select(F.col("event_type").alias("asset"), F.col("ts").alias("time"), F.col("value").alias("px"))
-    return bars(ticks, every="1 day")
+    return bars(table(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("ts").alias("time"), F.col("value").alias("px"), "event_id"), every="1 day", ties="event_id")
 
 
 @_query(
@@ -505,11 +520,14 @@ def _(spark, d):
 _SIGNAL = "SELECT time, asset, CASE WHEN q IS NULL THEN NULL WHEN (stddev_pop(q) OVER s) > 1e-10 THEN (q - avg(q) OVER s) / (stddev_pop(q) OVER s) ELSE 0 END AS signal FROM q WINDOW s AS (PARTITION BY time)"
 
 
+_CLIPPED = f"""l AS (SELECT *, list_sort(list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY time)) AS xl FROM u),
+ q AS (SELECT time, asset, CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.01) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.99), len(xl) - 1) AS INT) + 1]) END AS q FROM l), o AS ({_SIGNAL}) SELECT time, asset, {_tidy_sql('signal', 7)} FROM o"""
+
+
 def _signal_sql(raw: str, windows: str = "") -> str:
     own = "PARTITION BY asset ORDER BY time"
     return f"""WITH {MONTHS_SQL}, f AS (SELECT *, px / (lag(px) OVER ({own})) - 1 AS one FROM m), u AS (SELECT time, asset, {raw} AS x FROM f WINDOW a AS ({own}), a6 AS ({own} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), a12 AS ({own} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
- l AS (SELECT *, list_sort(list(x) FILTER (WHERE x IS NOT NULL) OVER (PARTITION BY time)) AS xl FROM u),
- q AS (SELECT time, asset, CASE WHEN x IS NULL THEN NULL ELSE least(greatest(x, xl[CAST(floor(len(xl) * 0.01) AS INT) + 1]), xl[CAST(least(floor(len(xl) * 0.99), len(xl) - 1) AS INT) + 1]) END AS q FROM l), o AS ({_SIGNAL}) SELECT time, asset, {_tidy_sql('signal', 7)} FROM o"""
+ {_CLIPPED}"""
 
 
 def _signal_query(name: str, raw: str, **options) -> None:
@@ -529,7 +547,13 @@ _signal_query("trend", "(avg(px) OVER a6) / (avg(px) OVER a12) - 1", fast=6, slo
 _signal_query("breakout", "CASE WHEN (max(px) OVER a6) > (min(px) OVER a6) THEN 2 * (px - min(px) OVER a6) / ((max(px) OVER a6) - (min(px) OVER a6)) - 1 ELSE 0 END", n=6)
 
 
-@_query("signal_rsi_reversal")
+_RSI = """rs AS (SELECT *, coalesce(px - lag(px) OVER w, 0) AS ch FROM m WINDOW w AS (PARTITION BY asset ORDER BY time)),
+ rl AS (SELECT time, asset, row_number() OVER w AS k, list_reduce(list_prepend(0.0, list(greatest(ch, 0.0)) OVER w), lambda a, q: a + (q - a) / 6.0) AS gain, list_reduce(list_prepend(0.0, list(greatest(-ch, 0.0)) OVER w), lambda a, q: a + (q - a) / 6.0) AS loss
+  FROM rs WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ u AS (SELECT time, asset, 50.0 - CASE WHEN k = 1 THEN 50.0 WHEN loss > 1e-10 THEN 100 - 100 / (1 + gain / loss) WHEN gain > 1e-10 THEN 100.0 ELSE 50.0 END AS x FROM rl)"""
+
+
+@_query("signal_rsi_reversal", f"WITH {MONTHS_SQL}, {_RSI}, {_CLIPPED}")
 def _(spark, d):
     from .signals import rsi_reversal
 
@@ -555,13 +579,14 @@ def _(spark, d):
 
 @_query("regime_hidden")
 def _(spark, d):
+    """Each supplier's months, a task a supplier."""
     from .regimes import hidden_regimes
 
-    return hidden_regimes(market(spark, d).withColumn("asset", F.lit("market")), "ret", s=MONTHLY).select("time", "asset", "state", "chance")
+    return tidy(hidden_regimes(weighted(spark, d).select("time", "asset", "r"), "r", s=MONTHLY).select("time", "asset", "state", "chance"), 6)
 
 
 @_query("regime_clusters")
 def _(spark, d):
     from .regimes import clustered_regimes
 
-    return clustered_regimes(market(spark, d).withColumn("asset", F.lit("market")), "ret", n=6, s=MONTHLY).select("time", "asset", "cluster")
+    return clustered_regimes(weighted(spark, d).select("time", "asset", F.coalesce("r", F.lit(0.0)).alias("r")), "r", n=6, s=MONTHLY).select("time", "asset", "cluster")

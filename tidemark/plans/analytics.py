@@ -10,25 +10,57 @@ from pyspark.sql import functions as F
 from ..functions.elementwise import EPSILON
 from ..operators.axes import Section, Series
 from ..storage import stage
-from .backtest import YEAR
+from .backtest import YEAR, cumulative
 
 # --- costs
 
-COST_MODELS = {  # fixed values: basis points, impact coefficients and annual borrow rates by model
-    "zero": {"commission_bps": 0.0, "slippage_bps": 0.0, "impact": 0.0, "borrow": 0.0},
-    "default": {"commission_bps": 5.0, "slippage_bps": 5.0, "impact": 0.1, "borrow": 0.005},
-    "institutional": {"commission_bps": 1.0, "slippage_bps": 2.0, "impact": 0.1, "borrow": 0.003},
-    "retail": {"commission_bps": 10.0, "slippage_bps": 10.0, "impact": 0.0, "borrow": 0.02},
+COST_MODELS = {  # fixed values: basis points, shape and coefficient of impact, annual borrow rates and least sizes of a trade by model
+    "zero": {"commission_bps": 0.0, "slippage_bps": 0.0, "shape": "none", "impact": 0.0, "borrow": 0.0, "least": 0.0},
+    "default": {"commission_bps": 1.0, "slippage_bps": 2.0, "shape": "sqrt", "impact": 0.1, "borrow": 0.005, "least": 0.0},
+    "institutional": {"commission_bps": 0.5, "slippage_bps": 1.0, "shape": "sqrt", "impact": 0.05, "borrow": 0.003, "least": 10_000.0},
+    "retail": {"commission_bps": 5.0, "slippage_bps": 5.0, "shape": "linear", "impact": 0.5, "borrow": 0.02, "least": 0.0},
 }
 
 
-def trade_cost(notional: Column, adv: Column, *, commission_bps: float, slippage_bps: float, impact: float, borrow: float, shape: str = "sqrt", eta: float = 0.1, gamma: float = 0.1, short_days: Column | None = None) -> Column:
-    """Cost of a trade: commission and slippage, market impact by the share of daily volume (linear, sqrt or almgren-chriss), and borrow of a short."""
+def trade_costs(notional: Column, adv: Column, *, commission_bps: float, slippage_bps: float, impact: float, borrow: float, shape: str = "sqrt", eta: float = 0.1, gamma: float = 0.1, least: float = 0.0, is_short: Column | None = None, days: Column | float = 0.0) -> dict[str, Column]:
+    """A trade's ``commission``, ``slippage``, ``impact`` and ``borrow``, and their ``total``.
+
+    Impact is by the share of daily volume ``adv`` (linear, sqrt or almgren-chriss), 0 where that is NULL or not positive. Only a short
+    (given, or else of negative notional) is lent, for so many ``days``. ``least`` is what ``worth_trading`` tests, not a cost.
+    """
     size = F.abs(notional)
     share = F.when(adv > 0, size / adv).otherwise(0.0)
-    moved = {"none": F.lit(0.0), "linear": impact * share, "sqrt": impact * F.sqrt(share), "almgren-chriss": eta * share + gamma * F.sqrt(share)}[shape]
-    lent = F.lit(0.0) if short_days is None else F.when(notional < 0, size * borrow * short_days / YEAR).otherwise(0.0)
-    return size * (commission_bps + slippage_bps) / 10_000.0 + size * moved + lent
+    moved = {"none": lambda: F.lit(0.0), "linear": lambda: impact * share, "sqrt": lambda: impact * F.sqrt(share), "almgren-chriss": lambda: eta * share + gamma * F.sqrt(share)}[shape]()
+    lent = F.when(notional < 0 if is_short is None else is_short, size * borrow * days / YEAR).otherwise(0.0)
+    parts = {"commission": size * commission_bps / 10_000.0, "slippage": size * slippage_bps / 10_000.0, "impact": size * moved, "borrow": lent}
+    return {**parts, "total": reduce(Column.__add__, parts.values())}
+
+
+def trade_cost(notional: Column, adv: Column, *, short_days: Column | None = None, **model) -> Column:
+    """The total of ``trade_costs``; shorts are lent for ``short_days`` (none: not at all)."""
+    return trade_costs(notional, adv, days=F.lit(0.0) if short_days is None else short_days, **model)["total"]
+
+
+def cost_bps(cost: Column, notional: Column) -> Column:
+    """A cost in basis points of the notional, 0 for none."""
+    return F.when(F.abs(notional) > EPSILON, cost / F.abs(notional) * 10_000.0).otherwise(0.0)
+
+
+def worth_trading(notional: Column, least: float) -> Column:
+    """The notional, or 0 for a trade smaller than ``least``."""
+    return F.when(F.abs(notional) >= least, notional).otherwise(0.0)
+
+
+def rebalance_cost(trades: DataFrame, by: list[str], *, days: float = 1.0, **model) -> DataFrame:
+    """``(by, total_cost, total_notional, avg_cost_bps)`` of the trades ``(notional, adv, is_short)`` of each rebalance."""
+    total = trade_costs(F.col("notional"), F.col("adv"), is_short=F.col("is_short"), days=days, **model)["total"]
+    sums = trades.groupBy(*by).agg(F.coalesce(F.sum(total), F.lit(0.0)).alias("total_cost"), F.coalesce(F.sum(F.abs("notional")), F.lit(0.0)).alias("total_notional"))
+    return sums.withColumn("avg_cost_bps", cost_bps(F.col("total_cost"), F.col("total_notional")))
+
+
+def annual_cost(value: Column, turnover: Column, **model) -> Column:
+    """The cost a year of turning a portfolio of that value over so often, in equal trades each day; without volumes there is no impact."""
+    return trade_costs(value * turnover / YEAR, F.lit(None).cast("double"), is_short=F.lit(False), **model)["total"] * YEAR
 
 
 # --- constraints, each on ``(time, asset, weight)`` with whatever other columns
@@ -116,11 +148,12 @@ def factor_attribution(joined: DataFrame, factors: list[str], ret: str = "ret")
 
 Z = {0.9: 1.282, 0.95: 1.645, 0.99: 2.326, 0.999: 3.090}  # fixed values: normal quantiles by confidence
 SCENARIOS = {  # fixed values: factor shocks by scenario
-    "equity_crash": {"market": -0.4, "volatility": 0.6},
-    "rates_up": {"rates": 0.03, "market": -0.1},
-    "credit_crunch": {"credit": 0.05, "market": -0.25},
-    "calm": {"volatility": -0.2},
+    "2008_crisis": {"market": -0.40, "smb": -0.10, "hml": -0.15, "volatility": 3.0},
+    "2020_covid": {"market": -0.35, "smb": -0.20, "momentum": -0.25, "volatility": 4.0},
+    "2022_rates": {"market": -0.20, "growth": -0.30, "value": 0.10},
+    "flash_crash": {"market": -0.10, "volatility": 5.0},
 }
+RETURN_SHOCKS = {"2008_crisis": -0.50, "2020_covid": -0.35, "2022_rates": -0.25, "flash_crash": -0.10}  # fixed values: of the market as a whole
 
 
 def value_at_risk(returns: DataFrame, confidence: float = 0.95, ret: str = "ret") -> DataFrame:
@@ -152,6 +185,37 @@ def rolling_var(df: DataFrame, ret: str = "ret", n: int = 20, confidence: float
     return df.withColumn("var", F.when(F.row_number().over(s.rows()) >= n, -F.element_at(rows, at)))
 
 
+def risk_report(returns: DataFrame, ret: str = "ret") -> DataFrame:
+    """One row from ``(time, ret)``: historical value at risk and shortfall at 95 and 99 %, annual volatility (population), and the largest drawdown."""
+    known = returns.where(F.col(ret).isNotNull() & ~F.isnan(ret)).select("time", F.col(ret).alias("ret"))
+    told = {c: value_at_risk(known, c).select(F.col("historical").alias(f"var_{k}"), F.col("historical_shortfall").alias(f"cvar_{k}")) for c, k in ((0.95, 95), (0.99, 99))}
+    whole = cumulative(known).agg((F.stddev_pop("ret") * F.sqrt(F.lit(YEAR))).alias("volatility"), F.coalesce(F.max("drawdown"), F.lit(0.0)).alias("max_drawdown"))
+    return told[0.95].join(F.broadcast(told[0.99])).join(F.broadcast(whole)).select("var_95", "var_99", "cvar_95", "cvar_99", "volatility", "max_drawdown")  # one row each
+
+
+def marginal_var(panel: DataFrame, confidence: float = 0.95, delta: float = 0.001, s: Section = Section()) -> DataFrame:
+    """``(asset, weight, marginal, component)`` from ``(time, asset, weight, ret)`` with a fixed weight for each asset.
+
+    Marginal: the change of the historical value at risk over ``delta`` when the asset's weight grows by that and all are scaled back to a sum of
+    1. Component: weight times marginal. A row counts in its time's portfolio return; assets are worked through side by side.
+    """
+    n = F.count(F.lit(1))
+    whole = panel.groupBy(s.time).agg(F.sum(F.col("weight") * F.col("ret")).alias("__whole"))
+    weights = panel.groupBy(s.asset).agg(F.max("weight").alias("weight"))
+    total = weights.agg(F.sum("weight").alias("__sum"))
+    place = F.floor(F.round((1 - confidence) * n.over(Window.partitionBy("__of")), 9))
+
+    def at_risk(rows: DataFrame) -> DataFrame:
+        ordered = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__of").orderBy("__r")) - 1).withColumn("__place", place)
+        return ordered.where("__at = __place").select("__of", (-F.col("__r")).alias("__var"))
+
+    now = at_risk(whole.select(F.lit(0).alias("__of"), F.col("__whole").alias("__r"))).select(F.col("__var").alias("__now"))
+    moved = panel.select(F.col(s.asset).alias("__of"), s.time, "ret").join(whole, s.time).join(F.broadcast(total))  # one row
+    told = at_risk(moved.select("__of", ((F.col("__whole") + delta * F.col("ret")) / (F.col("__sum") + delta)).alias("__r"))).join(F.broadcast(now))
+    marginal = told.select(F.col("__of").alias(s.asset), ((F.col("__var") - F.col("__now")) / delta).alias("marginal"))
+    return weights.join(marginal, s.asset).withColumn("component", F.col("weight") * F.col("marginal"))
+
+
 def stress(exposures: DataFrame, scenarios: dict[str, dict[str, float]] = SCENARIOS) -> DataFrame:
     """``(scenario, impact)``: exposure times shock, summed over the factors both have, from ``(factor, exposure)``."""
     shocks = exposures.sparkSession.createDataFrame([(s, f, x) for s, own in scenarios.items() for f, x in own.items()], "scenario string, factor string, shock double")
@@ -184,6 +248,38 @@ def portfolio_exposures(panel: DataFrame, factors: list[str], s: Section = Secti
     return panel.groupBy(s.time).agg(*(F.sum(F.col("weight") * F.col(f)).alias(f) for f in factors))
 
 
+def factor_risk(exposures: DataFrame, factors: list[str], covariance: DataFrame | None = None) -> DataFrame:
+    """``exposures`` with ``risk``: the root of e'Se, S from ``covariance(a, b, cov)`` (of a pair one row is enough), or of e'e without it."""
+    if covariance is None:
+        return exposures.withColumn("risk", F.sqrt(reduce(Column.__add__, (F.col(f) * F.col(f) for f in factors))))
+    # one number for each pair of the factors named
+    known = {tuple(sorted((r["a"], r["b"]))): float(r["cov"]) for r in covariance.where(F.col("a").isin(factors) & F.col("b").isin(factors)).collect()}
+    terms = [F.col(a) * F.col(b) * known.get(tuple(sorted((a, b))), 0.0) for a in factors for b in factors]
+    return exposures.withColumn("risk", F.sqrt(reduce(Column.__add__, terms)))
+
+
+def covariances(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(a, b, cov)``: sample covariances of every two columns and of each with itself, from one pass."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(*(F.covar_samp(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("cov")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
+
+
+def value_factor(price: Column, earnings: Column) -> Column:
+    return F.when(price != 0, earnings / price).otherwise(F.when(price.isNotNull() & earnings.isNotNull(), 0.0))
+
+
+def size_factor(market_cap: Column) -> Column:
+    """Its natural logarithm; NULL where that has none."""
+    return F.when(market_cap > 0, F.log(market_cap))
+
+
+def volatility_factor(ret: Column, n: int = 20, s: Series = Series()) -> Column:
+    """Sample deviation over windows of n known returns, NULL before and across gaps."""
+    w = s.last(n)
+    return F.when(F.count(ret).over(w) == n, F.stddev_samp(ret).over(w))
+
+
 def factor_summary(df: DataFrame, factors: list[str]) -> DataFrame:
     """``(factor, annual_mean, sharpe)`` of factor return columns."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("r")) for f in factors))).alias("x")).select("x.*").where("r is not null and not isnan(r)")
@@ -294,6 +390,15 @@ def current_symbols(renames: DataFrame) -> DataFrame:
     return known.join(renamed, F.col("current") == F.col("__from"), "left").select("symbol", F.when(F.col("__from").isNull(), F.col("current")).alias("current"))
 
 
+def symbols_at(renames: DataFrame, as_of: str, date: str = "date") -> DataFrame:
+    """``(symbol, name)``: under what name each symbol that was renamed after ``as_of`` went on that day, from ``(symbol, new_symbol, date)``.
+
+    Renames after the day are followed back to the first of them; symbols without one kept their name and have no row.
+    """
+    later = renames.where(F.col(date) > F.lit(as_of).cast(renames.schema[date].dataType))
+    return current_symbols(later.select(F.col("new_symbol").alias("symbol"), F.col("symbol").alias("new_symbol"))).withColumnRenamed("current", "name")
+
+
 # --- universes: ``(asset, date)`` with attributes
 
 
@@ -313,3 +418,16 @@ def universe_union(a: DataFrame, b: DataFrame, key: str = "asset") -> DataFrame:
 
 def universe_intersect(a: DataFrame, b: DataFrame, key: str = "asset") -> DataFrame:
     return a.join(b.select(key).distinct(), key, "left_semi")
+
+
+def members_at(rows: DataFrame, membership: DataFrame, *, key: str = "asset", time: str = "time", date: str = "date") -> DataFrame:
+    """The ``rows`` whose asset is in the universe at their time: in the last snapshot of ``membership(asset, date)`` at or before it.
+
+    Snapshots count as a whole: an asset that the last one leaves out is no member, whatever earlier ones say. Before the first there are none.
+    """
+    dates = membership.select(F.col(date).alias(time), F.col(date).alias("__snapshot")).distinct()
+    times = rows.select(time).distinct().withColumn("__snapshot", F.lit(None).cast(membership.schema[date].dataType))
+    laid = times.unionByName(dates).groupBy(time).agg(F.max("__snapshot").alias("__snapshot"))  # one row for each time
+    known = laid.withColumn("__snapshot", F.last("__snapshot", ignorenulls=True).over(Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
+    members = membership.select(F.col(key), F.col(date).alias("__snapshot")).distinct()
+    return rows.join(known, time).join(members, [key, "__snapshot"], "left_semi").select(*rows.columns)

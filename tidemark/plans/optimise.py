@@ -1,30 +1,55 @@
 """Portfolio optimisers: means and covariances come from one Spark aggregation, the small problem is solved with NumPy.
 
-The matrix is assets by assets, so these are for universes of up to a few thousand assets, which the caller chooses.
+The matrix is assets by assets, so these are for universes of up to ``MOST_ASSETS`` assets, which the caller chooses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 YEAR = 252.0
 
 
-def moments(panel: DataFrame, *, ret: str = "ret", asset: str = "asset", time: str = "time") -> tuple[list, np.ndarray, np.ndarray]:
-    """Assets in order, their mean returns and sample covariances over the times two of them share."""
-    known = panel.where(F.col(ret).isNotNull()).select(asset, time, ret)
-    left, right = known.toDF("a", "t", "x"), known.toDF("b", "u", "y")
-    pairs = left.join(right, (F.col("t") == F.col("u")) & (F.col("a") <= F.col("b"))).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.avg("x").alias("m")).collect()
-    names = sorted({r["a"] for r in pairs})
-    at = {n: i for i, n in enumerate(names)}
-    mean, cov = np.zeros(len(names)), np.zeros((len(names), len(names)))
-    for r in pairs:
-        i, j = at[r["a"]], at[r["b"]]
-        cov[i, j] = cov[j, i] = r["cov"] or 0.0
-        if i == j:
-            mean[i] = r["m"]
+MOST_ASSETS = 1_000
+
+
+def moments(panel: DataFrame, *, ret: str = "ret", asset: str = "asset", time: str = "time", most: int = MOST_ASSETS) -> tuple[list, np.ndarray, np.ndarray]:
+    """Assets in order, their mean returns and sample covariances over the times two of them share.
+
+    Times become rows of one column for each asset, tasks sum products of their rows, and one cell for each pair reaches the driver; more
+    than ``most`` assets are an error.
+    """
+    known = panel.where(F.col(ret).isNotNull()).select(F.col(asset).alias("asset"), F.col(time).alias("time"), F.col(ret).cast("double").alias("ret"))
+    names = [r["asset"] for r in known.select("asset").distinct().orderBy("asset").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} assets")
+    n = len(names)
+    if not n:
+        return [], np.zeros(0), np.zeros((0, 0))
+    wide = known.groupBy("time").pivot("asset", names).agg(F.max("ret")).drop("time").toDF(*(f"c{i}" for i in range(n)))
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, n, n))
+        for part in parts:
+            x = part.to_numpy(float)
+            has = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            sums += np.stack((has.T @ has, x.T @ has, has.T @ x, x.T @ x))
+        i, j = np.triu_indices(n)
+        yield pd.DataFrame({"i": i, "j": j, **{k: v[i, j] for k, v in zip("nxyp", sums, strict=True)}})
+
+    cells = wide.mapInPandas(summed, "i int, j int, n double, x double, y double, p double").groupBy("i", "j").agg(*(F.sum(k).alias(k) for k in "nxyp")).toPandas()
+    mean, cov = np.zeros(n), np.zeros((n, n))
+    i, j, count = cells["i"].to_numpy(), cells["j"].to_numpy(), cells["n"].to_numpy()
+    shared = (cells["p"] - cells["x"] * cells["y"] / np.maximum(count, 1)).to_numpy() / np.maximum(count - 1, 1)
+    cov[i, j] = cov[j, i] = np.where(count > 1, shared, 0.0)
+    own = i == j
+    mean[i[own]] = cells["x"].to_numpy()[own] / np.maximum(count[own], 1)
     return names, mean, cov
 
 

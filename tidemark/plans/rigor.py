@@ -6,9 +6,7 @@ import math
 from itertools import combinations
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NORMAL = NormalDist()
@@ -70,45 +68,64 @@ def adjusted_p_values(tests: DataFrame, p: str = "p", name: str = "test") -> Dat
     }).drop("__k", "__m")
 
 
+def bonferroni_haircut(sharpe: float, n: int, trials: int) -> dict[str, float]:
+    """The Sharpe ratio that is left when its two-sided p-value is multiplied by the number of trials."""
+    t = sharpe * math.sqrt(max(n, 1))
+    p = 2 * (1 - norm_cdf(abs(t)))
+    adjusted = min(p * max(trials, 1), 1.0)
+    left = min(max(norm_ppf(1 - adjusted / 2) if adjusted > 0 else math.inf, 0.0), abs(t)) / math.sqrt(max(n, 1))
+    return {"p_single": p, "p_adjusted": adjusted, "haircut_sharpe": math.copysign(left, sharpe) if sharpe else 0.0, "haircut": min(max(1 - left / abs(sharpe), 0.0), 1.0) if sharpe else 0.0}
+
+
+def rigor_report(returns: DataFrame, *, trials: int = 1, variance: float = 0.0, periods: float = 252.0, ret: str = "ret", time: str = "time", permutations: int = 1000, seed: int = 7) -> DataFrame:
+    """One row: moments, annual Sharpe, probabilistic and deflated Sharpe, the haircut for ``trials``, the permutation p-value and the least track record.
+
+    ``variance`` is that of the trials' Sharpe ratios a period. Spark makes the moments, one row; formulas of six numbers follow on the driver.
+    """
+    facts = return_stats(returns, ret).first()
+    n, sharpe, skew, kurtosis = facts["n"], facts["sharpe"] or 0.0, facts["skew"], facts["kurtosis"]
+    told = {
+        "n": n, "sharpe": sharpe, "annualized_sharpe": sharpe * math.sqrt(periods), "psr": probabilistic_sharpe(sharpe, 0.0, n, skew, kurtosis),
+        "deflated_sharpe": deflated_sharpe(sharpe, trials, variance, n, skew, kurtosis), **bonferroni_haircut(sharpe, n, trials), "least_track_record": least_track_record(sharpe, 0.0, skew, kurtosis),
+    }
+    made = permutation_p_value(returns, ret, time, permutations, seed)
+    return made.select(*(F.lit(v).cast("long" if k == "n" else "double").alias(k) for k, v in told.items()), F.col("p").alias("permutation_p"))
+
+
 def permutation_p_value(returns: DataFrame, ret: str = "ret", time: str = "time", trials: int = 1000, seed: int = 7) -> DataFrame:
     """One row: the share of sign-flipped histories whose mean is at least the real one's, (k + 1) / (trials + 1).
 
-    Signs are bits of a hash of trial and time, so reruns agree; histories are short, trials are dealt over tasks.
+    Signs are bits of a hash of trial and time, so reruns agree. Rows are spread over the trials where they are, and summed before they move.
     """
-    spark = returns.sparkSession
-    flips = spark.range(trials).withColumnRenamed("id", "trial")
-    real = returns.agg(F.sum(ret).alias("real"))
-    sign = F.when(F.xxhash64("trial", F.col(time).cast("string"), F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
-    sums = flips.join(F.broadcast(returns.select(time, ret))).groupBy("trial").agg(F.sum(F.col(ret) * sign).alias("flipped"))
-    return sums.join(F.broadcast(real)).agg(((F.count(F.when(F.col("flipped") >= F.col("real"), 1)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    each = returns.where(F.col(ret).isNotNull()).select(F.col(time).cast("string").alias("__t"), F.col(ret).alias("__r")).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials))))
+    bit = F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.col("__t"), F.lit(str(seed))))
+    # trial 0 is the real history
+    sums = each.groupBy("trial").agg(F.sum(F.when((F.col("trial") == 0) | (F.substring(bit, 1, 1) < "8"), F.col("__r")).otherwise(-F.col("__r"))).alias("s"))
+    real = F.max(F.when(F.col("trial") == 0, F.col("s")))
+    return sums.agg(real.alias("real"), F.collect_list("s").alias("all")).select((F.size(F.filter("all", lambda x: x >= F.col("real") - 1e-12)) / (trials + 1)).alias("p"))
 
 
 def overfitting_probability(trials: DataFrame, parts: int = 8) -> DataFrame:
-    """One row from ``(trial, time, ret)``: in what share of the splits of ``parts`` time blocks in halves the trial best in one half is
-    below the median in the other. Block sums of each trial are made by Spark; a split is a row of the job."""
-    placed = trials.join(F.broadcast(trials.select("time").distinct().withColumn("block", (F.ntile(parts).over(Window.orderBy("time")) - 1).cast("int"))), "time")
+    """One row ``(pbo, splits)`` from ``(trial, time, ret)``: in what share of the splits of ``parts`` time blocks in halves the trial best in one half is
+    below the median in the other.
+
+    Block sums of each trial are spread over the splits, of which there are few whatever the input; of equal trials the smaller
+    one is best. Distinct times, one row each, are cut in blocks by one task.
+    """
+    placed = trials.join(trials.select("time").distinct().withColumn("block", (F.ntile(parts).over(Window.orderBy("time")) - 1).cast("int")), "time")
     sums = placed.groupBy("trial", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    table = sums.groupBy().agg(F.collect_list(F.struct("trial", "block", "n", "s", "q")).alias("cells"))
-    splits = trials.sparkSession.createDataFrame([(list(c),) for c in combinations(range(parts), parts // 2)], "inside array<int>")
-
-    @F.pandas_udf("double")
-    def logit(inside: pd.Series, cells: pd.Series) -> pd.Series:
-        def one(chosen, rows) -> float:
-            frame = pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in rows])
-            cube = frame.pivot_table(index="trial", columns="block", values=["n", "s", "q"], fill_value=0.0)
-            here = np.isin(np.arange(parts), list(chosen))
-
-            def sharpe(mask: np.ndarray) -> np.ndarray:
-                n, s, q = (cube[k].reindex(columns=range(parts), fill_value=0.0).to_numpy()[:, mask].sum(axis=1) for k in ("n", "s", "q"))
-                mean = s / np.maximum(n, 1)
-                spread = np.sqrt(np.maximum(q / np.maximum(n, 1) - mean**2, 0))
-                return np.where(spread > 1e-12, mean / np.maximum(spread, 1e-12), 0.0)
-
-            best = int(sharpe(here).argmax())
-            out = sharpe(~here)
-            share = ((out < out[best]).sum() + 0.5 * ((out == out[best]).sum() + 1)) / (len(out) + 1)
-            return math.log(share / (1 - share))
-
-        return pd.Series([one(i, c) for i, c in zip(inside, cells, strict=True)])
-
-    return splits.join(F.broadcast(table)).select(logit("inside", "cells").alias("logit")).agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("splits"))
+    splits = F.array(*(F.struct(F.lit(i).alias("split"), F.array(*(F.lit(b) for b in inside)).alias("inside")) for i, inside in enumerate(combinations(range(parts), parts // 2))))
+    spread = sums.withColumn("x", F.explode(splits)).select("trial", "block", "n", "s", "q", "x.*")
+    here = F.array_contains("inside", F.col("block"))
+
+    def sharpe(rows) -> Column:
+        n, s, q = (F.coalesce(F.sum(F.when(rows, F.col(k))), F.lit(0)) for k in "nsq")
+        mean = s / F.greatest(n, F.lit(1))
+        deviation = F.sqrt(F.greatest(q / F.greatest(n, F.lit(1)) - mean * mean, F.lit(0.0)))
+        return F.when(deviation > 1e-12, mean / deviation).otherwise(0.0)
+
+    told = spread.groupBy("split", "trial").agg(sharpe(here).alias("inner"), sharpe(~here).alias("outer"))
+    best = told.groupBy("split").agg(F.min(F.struct((-F.col("inner")).alias("rank"), "trial", "outer")).getField("outer").alias("of_best"))
+    below = F.count(F.when(F.col("outer") < F.col("of_best"), 1)) + 0.5 * (F.count(F.when(F.col("outer") == F.col("of_best"), 1)) + 1)
+    share = told.join(best, "split").groupBy("split").agg((below / (F.count(F.lit(1)) + 1)).alias("share"))
+    return share.agg(F.avg((F.col("share") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("splits"))

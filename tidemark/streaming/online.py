@@ -48,13 +48,17 @@ def indicators(ticks: DataFrame, *, asset: str = "asset", time: str = "time", va
     return ticks.groupBy(asset).applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def bars(ticks: DataFrame, *, every: str = "5 minutes", late: str = "10 minutes", asset: str = "asset", time: str = "time", price: str = "px", volume: str | None = None) -> DataFrame:
-    """Open, high, low, close, volume and count by tumbling window and asset; rows later than the watermark are dropped by a stream."""
+def bars(ticks: DataFrame, *, every: str = "5 minutes", late: str = "10 minutes", asset: str = "asset", time: str = "time", price: str = "px", volume: str | None = None, ties: str | None = None) -> DataFrame:
+    """Open, high, low, close, volume and count by tumbling window and asset; rows later than the watermark are dropped by a stream.
+
+    Of ticks of one time those least and greatest by ``ties``, or else by price, open and close.
+    """
     if ticks.isStreaming:
         ticks = ticks.withWatermark(time, late)
+    order = F.struct(time, ties or price)
     size = F.sum(volume) if volume else F.count(F.lit(1)).cast("double")
     grouped = ticks.groupBy(F.window(time, every).alias("w"), F.col(asset).alias("asset")).agg(
-        F.min_by(price, time).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, time).alias("close"), size.alias("volume"), F.count(F.lit(1)).alias("n"),
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), size.alias("volume"), F.count(F.lit(1)).alias("n"),
     )
     return grouped.select(F.col("w.start").alias("time"), "asset", "open", "high", "low", "close", "volume", "n")
 
