@@ -139,10 +139,10 @@ def _(spark, d):
 @_query(
     "cost_trades",
     """SELECT l_orderkey, l_linenumber, round(n * 3.0 / 10000 + n * 0.1 * sqrt(n / (l_quantity * 100000.0)) + CASE WHEN s < 0 THEN n * 0.005 * 5.0 / 252 ELSE 0 END, 5) AS cost FROM
- (SELECT *, abs(s) AS n FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END / 7 AS s FROM lineitem) x) y""",
+ (SELECT *, abs(s) AS n FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END * 0.7071067811865476 AS s FROM lineitem) x) y""",
 )
 def _(spark, d):
-    side = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")) / 7
+    side = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")) * 0.7071067811865476
     cost = an.trade_cost(side, F.col("l_quantity") * 100_000.0, **an.COST_MODELS["default"], short_days=F.lit(5.0))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(cost, 5).alias("cost"))
 

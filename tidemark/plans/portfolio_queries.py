@@ -26,12 +26,12 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
-_TRADES = "t AS (SELECT l_orderkey, l_linenumber, o_orderdate, l_extendedprice / 7 AS notional, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity * 20000.0 END AS adv, l_returnflag = 'R' AS is_short FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+_TRADES = "t AS (SELECT l_orderkey, l_linenumber, o_orderdate, l_extendedprice * 0.7071067811865476 AS notional, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity * 20000.0 END AS adv, l_returnflag = 'R' AS is_short FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(
-        F.col("l_orderkey"), "l_linenumber", (F.col("l_extendedprice") / 7).alias("notional"),
+        F.col("l_orderkey"), "l_linenumber", (F.col("l_extendedprice") * 0.7071067811865476).alias("notional"),
         F.when(F.col("l_linenumber") % 5 != 0, F.col("l_quantity") * 20_000.0).alias("adv"), (F.col("l_returnflag") == "R").alias("is_short"),
     )
     return lines.join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
