@@ -9,8 +9,9 @@ seen, so exclusion takes two sums.
 
 Neither trie nor vocabulary is held in one place. Documents are dealt to blocks; each block asks for the words and grams
 (context and symbol) that it holds, and brings their counts in training texts. Items travel as packed sorted arrays, one for
-each block and group: grams are grouped by a hash of the last two context bytes, words by their own. A group sums the counts
-of all blocks, turns grams into log-probabilities, and answers each block in the order of the block's own items.
+each block and group: grams are grouped by a hash of the last two context bytes, words by their own. However hot a group is, a task
+merges its counts of ``FAN_IN`` blocks, then of as many merged parts, until one part holds each distinct item once; grams
+turn into log-probabilities there. Blocks are answered from it by ``ANSWERS`` at a time, in the order of the block's own items.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ END = -1  # the end token among the words
 BLOCK_BYTES = 24_000_000
 GROUP_BYTES = 64_000_000  # of text for each group of items
 LEAST_GROUPS = 32
+FAN_IN = 16
+ANSWERS = 64
 TRAIN_PARTS, HELD_OUT_PART = 5, 1
 
 
@@ -108,54 +111,69 @@ def _items(table: pa.Table, groups: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _asker(groups: int):
     def run(table: pa.Table) -> pa.Table:
-        """For each group that the block has items of: the items, their counts, and what training texts hold of them (of grams the
-        last two context bytes and the symbol)."""
+        """For each group that the block has items of: the items and their counts in training texts."""
         table = table.combine_chunks()
         items, counts, order, cuts = _items(table, groups)
         out: list[tuple] = []
         for g in np.flatnonzero(np.diff(cuts)).tolist():
             span = order[cuts[g] : cuts[g + 1]]
-            own, n = items[span], counts[span]
-            learnt = own[n > 0]
-            out.append((g, _packed(own), _packed(n), _packed(learnt if g >= groups else np.unique(learnt & ((1 << 25) - 1))), int(n.sum())))
+            out.append((g, _packed(items[span]), _packed(counts[span]), int(counts[span].sum())))
         columns = list(zip(*out, strict=True))
         block = pa.array(np.full(len(out), table.column("block")[0].as_py(), np.int32))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table([block, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["block", "group", "items", "counts", "learnt", "total"])
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([block, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["block", "group", "items", "counts", "total"])
 
     return run
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """One part's items of a group, with the sums of their counts."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for items, counts in zip(table.column("items").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        parts.append((_unpacked(items, np.int64), _unpacked(counts, np.int64)))
+    items, counts = _merged(parts)
+    return pa.table({"group": table.column("group").slice(0, 1), "part": table.column("part").slice(0, 1), "items": pa.array([_packed(items)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary())})
+
+
+def _whole(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A group's items and counts, from its one row."""
+    (items,), (counts,) = table.column("items").to_pylist(), table.column("counts").to_pylist()
+    return _unpacked(items, np.int64), _unpacked(counts, np.int64)
+
+
 def _kinds(groups: int):
     def run(table: pa.Table) -> pa.Table:
-        """How many of a group's learnt items there are: of words all together (as -1), of grams by last byte and symbol."""
-        is_words = table.column("group")[0].as_py() >= groups
-        held: list[np.ndarray] = []
-        for data in table.column("learnt").to_pylist():
-            held.append(_unpacked(data, np.int64))
-            if len(held) > 24:
-                held = [np.unique(np.concatenate(held))]
-        found = np.unique(np.concatenate(held))
-        names, n = np.unique(np.full(len(found), -1) if is_words else found & ((1 << 17) - 1), return_counts=True)
+        """How many of a group's learnt items there are: of words all together (as -1), of the last two context bytes with a symbol by last byte and symbol."""
+        items, counts = _whole(table)
+        learnt = items[counts > 0]
+        if table.column("group")[0].as_py() >= groups:
+            names, n = np.array([-1]), np.array([len(learnt)])
+        else:
+            names, n = np.unique(np.unique(learnt & ((1 << 25) - 1)) & ((1 << 17) - 1), return_counts=True)
         return pa.table({"pair": pa.array(names, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
-def _answerer(groups: int, first_order: np.ndarray, zero_order: np.ndarray):
+def _valuer(groups: int, first_order: np.ndarray, zero_order: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        """Each block's values of a group, in the order of its items: of words their training counts, of grams their log10 probabilities."""
-        is_words = table.column("group")[0].as_py() >= groups
-        asked = table.column("items").to_pylist()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for data, counts in zip(asked, table.column("counts").to_pylist(), strict=True):
-            parts.append((_unpacked(data, np.int64), _unpacked(counts, np.int64)))
-            if len(parts) > 24:
-                parts = [_merged(parts)]
-        items, n = _merged(parts)
-        value = n if is_words else code_lengths(items, n, first_order, zero_order).astype(np.float32)
-        answers = [_packed(value[np.searchsorted(items, _unpacked(data, np.int64))]) for data in asked]
-        return pa.table({"block": table.column("block"), "group": table.column("group"), "answer": pa.array(answers, pa.binary())})
+        """The values of a group's items: of words their training counts, of grams their log10 probabilities."""
+        items, counts = _whole(table)
+        value = counts if table.column("group")[0].as_py() >= groups else code_lengths(items, counts, first_order, zero_order).astype(np.float32)
+        return pa.table({"of": table.column("group"), "known": table.column("items"), "value": pa.array([_packed(value)], pa.binary())})
+
+    return run
+
+
+def _answerer(groups: int):
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        """Each block's values of a group, in the order of its items."""
+        out: list[bytes] = []
+        if asked.num_rows:
+            items = _unpacked(told.column("known")[0].as_py(), np.int64)
+            value = _unpacked(told.column("value")[0].as_py(), np.int64 if asked.column("group")[0].as_py() >= groups else np.float32)
+            out = [_packed(value[np.searchsorted(items, _unpacked(own.as_py(), np.int64))]) for own in asked.column("items")]
+        return pa.table({"block": asked.column("block"), "group": asked.column("group"), "answer": pa.array(out, pa.binary())})
 
     return run
 
@@ -224,23 +242,34 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
 
     Rows whose crc32 bucket of 5 is not 1 (null ids included) are learnt from. Null texts are empty: one end token. Words
     are known by 63 bits of a hash. A gram's log-probability has the 24 bits of a float. Without training rows every count is 0
-    and all symbols are alike. Rows that repeat an id are scored each by its own text. Other columns are not read.
+    and all symbols are alike. Rows that repeat an id are scored each by its own text. An empty table gives no rows. Whole texts are
+    read, however long; a block holds about ``block_bytes`` of them, or one longer text. Other columns are not read.
     """
     held_out = F.coalesce(bucket_of("id", TRAIN_PARTS) == HELD_OUT_PART, F.lit(False))
     named = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("body")).withColumn("train", ~held_out)
     size = named.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks, groups = max(1, math.ceil(size / block_bytes)), max(LEAST_GROUPS, math.ceil(size / group_bytes))
-    dealt = named.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("body")), F.lit(blocks)).cast("int"))
-    asked = stage(dealt.groupBy("block").applyInArrow(_asker(groups), "block int, group int, items binary, counts binary, learnt binary, total long"), "asked")
+    dealt = named.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)).cast("int"))
+    asked = stage(dealt.groupBy("block").applyInArrow(_asker(groups), "block int, group int, items binary, counts binary, total long"), "asked")
     total = asked.where(F.col("group") >= groups).agg(F.sum("total")).first()[0] or 0
+    parts, merged = blocks, asked.select("group", F.col("block").alias("part"), "items", "counts")
+    while True:
+        fewer = merged.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        merged = stage(fewer.groupBy("group", "part").applyInArrow(_merge, "group int, part int, items binary, counts binary"), "merged")
+        parts = math.ceil(parts / FAN_IN)
+        if parts <= 1:
+            break
     # one row for the words and at most 256 x 257 for last byte and symbol
-    known = {r["pair"]: r["n"] for r in asked.select("group", "learnt").groupBy("group").applyInArrow(_kinds(groups), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    known = {r["pair"]: r["n"] for r in merged.groupBy("group").applyInArrow(_kinds(groups), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
     kinds = known.pop(-1, 0)
     first_order = np.zeros((256, SYMBOLS), np.int64)
     for pair, n in known.items():
         first_order[pair >> 9, pair & 511] = n
     zero_order = (first_order > 0).sum(axis=0)
-    told = asked.select("block", "group", "items", "counts").groupBy("group").applyInArrow(_answerer(groups, first_order, zero_order), "block int, group int, answer binary")
+    valued = stage(merged.groupBy("group").applyInArrow(_valuer(groups, first_order, zero_order), "of int, known binary, value binary"), "values")
+    sliced = valued.withColumn("of_slice", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // ANSWERS))))
+    asks = asked.select("block", "group", "items", F.floor(F.col("block") / ANSWERS).cast("int").alias("slice"))
+    told = asks.groupBy("group", "slice").cogroup(sliced.groupBy("of", "of_slice")).applyInArrow(_answerer(groups), "block int, group int, answer binary")
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -279,4 +308,5 @@ _SCHEMA = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
 
 
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of all ``documents``."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
