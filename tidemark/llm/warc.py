@@ -2,8 +2,9 @@
 
 Records are written by the tasks that hold them, a file for each task and a gzip member for each record, to a folder that driver
 and executors share; only files named by rows of a finished job count, so a lost or repeated attempt leaves at most an
-orphan. The index is sorted by reversed-host URL key and cut in compressed blocks; a sparse directory holds each block's
-first key. A lookup binary-searches the directory, then the block, then reads the record's byte range.
+orphan. The index is sorted by reversed-host URL key and cut in compressed blocks, written to index files; a sparse directory, a table
+in the same order, holds each block's first key and byte range. A lookup binary-searches the directory, reads the byte
+ranges of the blocks it finds, binary-searches these, and reads the records' byte ranges.
 """
 
 from __future__ import annotations
@@ -16,10 +17,8 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +30,7 @@ from .text import column
 BLOCK_ROWS = 512
 SLICE_BYTES = 1 << 22
 ENTRY = "key string, url string, page_id long, file string, start long, length long, kind string, digest string"
+BLOCK = "first_key string, last_key string, n long, file string, start long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
@@ -106,70 +106,93 @@ def parse_record(raw: bytes) -> dict:
 
 @dataclass(frozen=True)
 class Archive:
-    """``blocks``: the index blocks (first_key, last_key, n, data) in order of their keys; ``directory``: the same without data."""
+    """``directory``: a row (first_key, last_key, n, file, start, length) for each block of the index, sorted by key within its partitions,
+    which hold ranges of keys."""
 
     root: str
-    blocks: DataFrame
-
-    @property
-    def directory(self) -> DataFrame:
-        return self.blocks.select("first_key", "last_key", "n")
+    directory: DataFrame
 
     def entries(self) -> DataFrame:
-        return self.blocks.select("data").mapInArrow(_open_blocks, ENTRY)
+        """The index: an ``ENTRY`` for each record."""
+        by_place = self.directory.select("file", "start", "length").repartition("file", F.floor(F.col("start") / SLICE_BYTES)).sortWithinPartitions("file", "start")
+        return by_place.mapInArrow(_opened, ENTRY)
 
     def records(self) -> DataFrame:
         """All records, read back by their byte ranges."""
         return read_records(self.entries())
 
+    def blocks_of(self, urls: list[str]) -> DataFrame:
+        """The rows of the directory whose blocks can hold one of the URLs, each with its ``keys``."""
+        keys = sorted({url_key(u) for u in urls})
+        in_range = self.directory.where((F.col("first_key") <= keys[-1]) & (F.col("last_key") >= keys[0])) if keys else self.directory.limit(0)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first, last = column(batch, "first_key").to_pylist(), column(batch, "last_key").to_pylist()
+                wanted: dict[int, list[str]] = {}
+                for key in keys[bisect.bisect_left(keys, first[0]) : bisect.bisect_right(keys, last[-1])] if first else ():
+                    at = bisect.bisect_right(first, key) - 1  # the last block that can hold it, and those before if equal keys run on
+                    while at >= 0 and last[at] >= key:
+                        wanted.setdefault(at, []).append(key)
+                        at -= 1
+                rows = sorted(wanted)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array([wanted[i] for i in rows], pa.list_(pa.string()))], [*batch.schema.names, "keys"])
+
+        return in_range.mapInArrow(find, f"{BLOCK}, keys array<string>")
+
     def lookup(self, urls: list[str]) -> DataFrame:
         """Records of the given URLs; reads only the blocks and byte ranges that can hold them."""
-        keys = sorted({url_key(u) for u in urls})
-        if not keys:
-            return read_records(self.entries().limit(0))
-        fits = reduce(Column.__or__, (F.col("first_key").__le__(k) & F.col("last_key").__ge__(k) for k in keys))
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in _open_blocks(batches):
-                column_of_keys = column(table, "key").to_pylist()
-                spans = [(bisect.bisect_left(column_of_keys, k), bisect.bisect_right(column_of_keys, k)) for k in keys]
-                for a, b in spans:
-                    if b > a:
-                        yield table.slice(a, b - a)
+            for batch in batches:
+                for wanted, table in zip(column(batch, "keys").to_pylist(), _opened([batch]), strict=True):
+                    own = column(table, "key").to_pylist()
+                    for key in wanted:
+                        a, b = bisect.bisect_left(own, key), bisect.bisect_right(own, key)
+                        if b > a:
+                            yield table.slice(a, b - a)
 
-        return read_records(self.blocks.where(fits).select("data").mapInArrow(find, ENTRY))
+        return read_records(self.blocks_of(urls).mapInArrow(find, ENTRY))
 
 
-def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of each block, read by its byte range."""
     names = [x.split()[0] for x in ENTRY.split(", ")]
     types = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in ENTRY.split(", ")]
-    for batch in batches:
-        for data in column(batch, "data").to_pylist():
-            rows = [json.loads(x) for x in zlib.decompress(data).decode().splitlines()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+    for data in _ranges(batches):
+        rows = [json.loads(x) for x in zlib.decompress(data).decode().splitlines()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
-def read_records(entries: DataFrame) -> DataFrame:
-    """The records that index entries point to, read in order of file and offset."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        handle, name = None, None
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of each row's (file, start, length); a file stays open while its rows follow each other."""
+    handle, name = None, None
+    try:
         for batch in batches:
-            got: list[dict] = []
             for file, start, length in zip(*(column(batch, k).to_pylist() for k in ("file", "start", "length")), strict=True):
                 if file != name:
                     if handle is not None:
                         handle.close()
                     fs, path = filesystem(file)
                     handle, name = fs.open_input_file(path), file
-                got.append(parse_record(handle.read_at(length, start)))
-                if len(got) == 500:
-                    yield _records(got)
-                    got = []
-            yield _records(got)
+                yield handle.read_at(length, start)
+    finally:
         if handle is not None:
             handle.close()
 
+
+def read_records(entries: DataFrame) -> DataFrame:
+    """The records that index entries point to, read in order of file and offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[dict] = []
+        for raw in _ranges(batches):
+            got.append(parse_record(raw))
+            if len(got) == 500:
+                yield _records(got)
+                got = []
+        yield _records(got)
+
     def _records(rows: list[dict]) -> pa.RecordBatch:
         kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))], [x.split()[0] for x in RECORD.split(", ")])
@@ -178,20 +201,49 @@ def read_records(entries: DataFrame) -> DataFrame:
     return by_place.mapInArrow(run, RECORD)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list] = []
+class _Appender:
+    """A file of the archive's folder that a task opens when it has something to write; it keeps the place."""
+
+    def __init__(self, root: str, ending: str) -> None:
+        self.root, self.ending, self.handle, self.name, self.at = root, ending, None, "", 0
+
+    def write(self, data: bytes) -> tuple[str, int, int]:
+        if self.handle is None:
+            self.name = f"{self.root}/{uuid.uuid4().hex}{self.ending}"
+            fs, path = filesystem(self.name)
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            self.handle = fs.open_output_stream(path, compression=None)
+        self.handle.write(data)
+        self.at += len(data)
+        return self.name, self.at - len(data), len(data)
+
+    def close(self) -> None:
+        if self.handle is not None:
+            self.handle.close()
+
 
-    def cut(rows: list[list]) -> pa.RecordBatch:
-        data = zlib.compress("\n".join(json.dumps(r) for r in rows).encode(), 6)
-        return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int64()), pa.array([data], pa.binary())], ["first_key", "last_key", "n", "data"])
+def _indexer(root: str):
+    """For entries in order: writes their blocks to an index file and gives the directory's rows, which follow the file's close."""
 
-    for batch in batches:
-        held += [list(r) for r in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
-        while len(held) >= BLOCK_ROWS:
-            yield cut(held[:BLOCK_ROWS])
-            held = held[BLOCK_ROWS:]
-    if held:
-        yield cut(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        out, rows = _Appender(root, ".cdx.z"), []
+
+        def cut(own: list[list]) -> None:
+            rows.append((own[0][0], own[-1][0], len(own), *out.write(zlib.compress("\n".join(json.dumps(r) for r in own).encode(), 6))))
+
+        for batch in batches:
+            held += [list(r) for r in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+            while len(held) >= BLOCK_ROWS:
+                cut(held[:BLOCK_ROWS])
+                held = held[BLOCK_ROWS:]
+        if held:
+            cut(held)
+        out.close()
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
+
+    return run
 
 
 def write_archive(pages: DataFrame, *, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> Archive:
@@ -208,31 +260,24 @@ def write_archive(pages: DataFrame, *, id_column: str = "page_id", url_column: s
     told = hashed.join(owners, F.col("digest") == F.col("of"), "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        handle, at, name = None, 0, ""
+        file = _Appender(root, ".warc.gz")
         for batch in batches:
             rows = zip(*(column(batch, k).to_pylist() for k in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)
             out = []
             for page_id, url, payload, digest, refers_to in rows:
-                if handle is None:
-                    name = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    fs, path = filesystem(name)
-                    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    handle = fs.open_output_stream(path, compression=None)
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                raw = packer.compress(_record(page_id, url, payload, digest, refers_to)) + packer.flush()
-                handle.write(raw)
-                out.append((url_key(url), url, page_id, name, at, len(raw), "response" if refers_to is None else "revisit", digest))
-                at += len(raw)
+                place = file.write(packer.compress(_record(page_id, url, payload, digest, refers_to)) + packer.flush())
+                out.append((url_key(url), url, page_id, *place, "response" if refers_to is None else "revisit", digest))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 8, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], [x.split()[0] for x in ENTRY.split(", ")])
-        if handle is not None:
-            handle.close()
+        file.close()
 
     written = stage(told.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, ENTRY), "captures")
     ordered = written.repartitionByRange("key", "page_id", "start").sortWithinPartitions("key", "page_id", "start")
-    return Archive(root, stage(ordered.mapInArrow(_blocks, "first_key string, last_key string, n long, data binary"), "cdx"))
+    return Archive(root, stage(ordered.mapInArrow(_indexer(root), BLOCK), "directory"))
 
 
 def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` written as WARC records, and what the records read back say."""
     archive = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
