@@ -131,7 +131,10 @@ def fit_tree(x: np.ndarray, languages: list[str]) -> Tree:
 
 def learn(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Tree | None:
     """Fit on rows with text and language whose crc32 bucket of 3 is not 1: about ``sample`` of them, chosen by hash, each language
-    as many as it has up to an equal share. None without such rows."""
+    as many as it has up to an equal share. None without such rows.
+
+    A null id is learnt from. Rows that repeat an id are chosen together. Texts are read as a whole, however long.
+    """
     known = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("body")).where("lang is not null and body is not null").where(F.coalesce(bucket_of("id", 3) != 1, F.lit(True)))
     counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
@@ -153,7 +156,11 @@ def learn(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
 
 
 def identify(docs: DataFrame, tree: Tree | None, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for each row; ``und`` with score 0 if the text is null or holds no letter, or nothing was learnt."""
+    """``(doc_id, lang_pred, score)`` for each row; ``und`` with score 0 if the text is null or holds no letter, or nothing was learnt.
+
+    Equal texts have equal answers, whatever their id, null ones too; ties of a decision go to the earlier language by
+    name. An empty table gives no rows. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,6 +175,7 @@ def identify(docs: DataFrame, tree: Tree | None, *, id_column: str = "doc_id", t
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all ``documents``, learnt from them; a null doc_id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, learn(docs))
-    return found.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

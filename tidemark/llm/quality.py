@@ -159,7 +159,11 @@ def fit_rules(labelled: DataFrame, *, trees: int = 30, depth: int = 3, penalty:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, **options) -> Rules:
-    """Fit on the labelled rows whose crc32 bucket of 4 is not 2; of more than ``sample`` of them, those of the least hashes."""
+    """Fit on the labelled rows whose crc32 bucket of 4 is not 2; of more than ``sample`` of them, those of the least hashes.
+
+    Labels with a null id or quality are not read; of several for an id the greatest counts. Documents with a null id have no label;
+    those that repeat an id are each a row of the sample. Null texts are empty ones. Without labelled rows every score is 0.5.
+    """
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
     texts = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
@@ -167,12 +171,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
 
 
 def with_quality(docs: DataFrame, rules: Rules, *, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """``docs`` with all its columns and its score by ``rules``. Null texts are scored as empty ones."""
+    """``docs`` with all its columns and its score by ``rules``, a row for each row.
+
+    Null texts are scored as empty ones, long ones as a whole; equal texts have equal scores, whatever their id, null ones too. Columns
+    of other names stay as they are (``__q_`` and a statistic's name are taken). An empty table gives no rows.
+    """
     return with_statistics(docs, text_column).withColumn(score_column, rules.score()).drop(*("__q_" + s for s in STATISTICS))
 
 
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by rules learnt from ``labels``; a null doc_id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = with_quality(docs.select("doc_id", "text"), rules)
-    return scored.select("doc_id", (bucket_of("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
