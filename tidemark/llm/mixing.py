@@ -113,7 +113,7 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
         group["whole"] = whole
         return group[["source", "size", "source_size", "target", "whole", "more"]]
 
-    known = lengths.join(F.broadcast(targets), lengths["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    known = lengths.join(targets, lengths["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     plans = stage(known.groupBy("source").applyInPandas(plan, "source string, size long, source_size long, target double, whole long, more long"), "plans")
     placed = ranked(sizes, ["source", "size"], [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")])
     right = plans.select(F.col("source").alias("of"), F.col("size").alias("length"), "source_size", "target", "whole", "more")
@@ -123,4 +123,5 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all ``documents``."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
