@@ -45,6 +45,21 @@ def test_archives_read_back(spark):
     assert sorted(keys) == sorted(keys, key=str) and archive.directory.agg(F.sum("n")).first()[0] == len(PAGES)
 
 
+def test_lookups_read_few_blocks(spark, monkeypatch):
+    """Keys that run on over several blocks, and one between two blocks; rows that repeat an id."""
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 4)
+    rows = [(i, f"http://h{i % 10}.example/p{i // 10}", f"page {i}") for i in range(200)] + [(i, "http://h3.example/hot", "hot") for i in range(300, 330)] + [(300, "http://h3.example/hot", "hot")]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    blocks = archive.directory.count()
+    assert blocks >= 58
+    for urls, wanted in (([f"http://h{i % 10}.example/p{i // 10}" for i in (5, 77, 140)], [5, 77, 140]), (["http://h3.example/hot"], [*range(300, 330), 300]), (["http://h3.example/hou", "http://zz.example/"], [])):
+        assert sorted(r["page_id"] for r in archive.lookup(urls).collect()) == sorted(wanted)
+        assert archive.blocks_of(urls).count() <= 1 + len(urls) + len(wanted) // 4 + 2
+    assert archive.blocks_of([f"http://h{k}.example/none" for k in range(3000)]).count() < blocks
+    got = [(r["record_type"], r["refers_to"]) for r in archive.records().where("page_id = 300").collect()]
+    assert got == [("revisit", 329)] * 2
+
+
 def test_archive_of_nothing(spark):
     assert warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string")).records().collect() == []
 
@@ -241,8 +256,41 @@ def test_bounds_are_optimal():
             return sum(c * (min(b for b in bounds if b >= n) - n) for n, c in zip(lengths, counts, strict=True))
 
         best = min(padding([*cut, lengths[-1]]) for cut in itertools.combinations(lengths[:-1], 2))
-        assert padding(packing.best_bounds(lengths, counts, lengths * counts, 3)) == best
-    assert packing.best_bounds(*(np.zeros(0, int),) * 3, 3) == []
+        assert padding(packing.best_bounds(lengths, counts, 3)) == best
+    assert packing.best_bounds(np.zeros(0, int), np.zeros(0, int), 3) == []
+
+
+def least_padding(lengths, buckets):
+    """Plain dynamic programme over the sorted lengths of all rows."""
+    own = sorted(lengths)
+    cost = [0] + [math.inf] * len(own)
+    for _ in range(buckets):
+        cost = [0] + [min(cost[i] + sum(own[j - 1] - x for x in own[i:j]) for i in range(j)) for j in range(1, len(own) + 1)]
+    return cost[-1]
+
+
+def test_padding_of_long_texts_is_the_least(spark):
+    """Lengths far above 256, with ties, a null and a repeated id."""
+    rng = random.Random(23)
+    lengths = [rng.choice([rng.randrange(300), rng.randrange(250, 3000), 700, 20_000]) for _ in range(70)] + [0]
+    rows = [(None if i == 5 else 7 if i == 6 else i, n or None, "x") for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long, bucket string").repartition(3), buckets=5).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(lengths)
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in got) == least_padding(lengths, 5)
+
+
+def test_bounds_of_many_lengths():
+    """Against the same programme solved without halving."""
+    rng = np.random.default_rng(9)
+    lengths = np.unique(rng.integers(0, 60_000, 700))
+    counts = rng.integers(1, 1000, len(lengths))
+    c, t = (np.concatenate(([0], np.cumsum(x))) for x in (counts, counts * lengths))
+    cost = np.full(len(lengths) + 1, 1 << 62)
+    cost[0] = 0
+    for _ in range(16):
+        cost = np.array([0] + [(cost[:j] + lengths[j - 1] * (c[j] - c[:j]) - (t[j] - t[:j])).min() for j in range(1, len(lengths) + 1)])
+    bounds = np.array(packing.best_bounds(lengths, counts, 16))
+    assert len(bounds) == 16 and ((bounds[np.searchsorted(bounds, lengths)] - lengths) * counts).sum() == cost[-1]
 
 
 def test_batches_hold_every_row_once(spark):

@@ -153,4 +153,5 @@ def fingerprints_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_
 
 
 def op2_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fingerprints_with_edits`` of all ``documents``."""
     return fingerprints_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

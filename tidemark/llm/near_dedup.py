@@ -65,4 +65,5 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 def op3_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
