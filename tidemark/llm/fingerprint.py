@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import U, chunks, column, set_digest, shingle_sets
+from .text import U, chunks, column, mix64, set_digest, shingle_sets
 
 FRACTION = 4  # one hash in so many is retained
 WIDTH = 5
@@ -73,18 +73,43 @@ def containment(part: pd.Series, whole: pd.Series) -> pd.Series:
     return pd.Series([_common(x, retained(b)) / len(x) if len(x := retained(a)) else None for a, b in zip(part, whole, strict=True)], dtype=float)
 
 
+def _sketch_of(hashes: np.ndarray) -> str:
+    """The sketch of a union: its count is an estimate, and its digest is that of the retained hashes, so equal unions have equal sketches."""
+    digest = int(mix64(hashes + U(1)).sum(dtype=U))
+    return f"{len(hashes) * FRACTION:x}.{digest:016x}.{b64encode(hashes.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}"
+
+
 @F.pandas_udf(T.StringType())
 def merged(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sketch of the union of two sketches' texts. Its count is an estimate, and its digest says only which two were merged."""
+    """Sketch of the union of two sketches' texts; two equal sketches are their own union."""
+    return pd.Series([a if a == b else _sketch_of(np.union1d(retained(a), retained(b))) for a, b in zip(left, right, strict=True)], dtype=object)
+
 
-    def one(a: str, b: str) -> str:
-        if a.split(".")[:2] == b.split(".")[:2]:
-            return a
-        x = np.union1d(retained(a), retained(b))
-        digest = (int(a.split(".")[1], 16) + int(b.split(".")[1], 16)) & 0xFFFFFFFFFFFFFFFF
-        return f"{len(x) * FRACTION:x}.{digest:016x}.{b64encode(x.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}"
+def merged_by(sketched: DataFrame, keys: list[str], *, sketch_column: str = "fingerprint") -> DataFrame:
+    """``(keys, sketch_column)``: the sketch of the union of each group's texts; null sketches count for nothing.
 
-    return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+    The retained hashes are summed up as sets: distinct before they move and after, then packed by ranges of the hash, so no task holds
+    more of a group than its distinct hashes, which are the sketch itself.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [retained(x) for x in column(batch, sketch_column).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([*(column(batch, k).take(at) for k in keys), pa.array(np.concatenate([np.zeros(0, U), *found]).view(np.int64))], [*keys, "hash"])
+
+    named = sketched.where(F.col(sketch_column).isNotNull()).select(*keys, sketch_column)
+    schema = T.StructType([*(sketched.schema[k] for k in keys), T.StructField("hash", T.LongType())])
+
+    @F.pandas_udf(T.StringType())
+    def packed(sets: pd.Series) -> pd.Series:
+        return pd.Series([_sketch_of(np.sort(np.asarray(x, np.int64)).view(U)) for x in sets], dtype=object)
+
+    unions = named.mapInArrow(hashes, schema).distinct().groupBy(*keys).agg(F.collect_list("hash").alias("__hashes"))
+    every = named.select(*keys).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    joined = every.join(unions.withColumnsRenamed({k: f"__{k}" for k in keys}), same, "left")
+    return joined.select(*keys, packed(F.coalesce("__hashes", F.array().cast("array<long>"))).alias(sketch_column))
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
