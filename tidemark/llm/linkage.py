@@ -2,10 +2,10 @@
 
 A first round compares each set with one other: the smallest leader (smallest id) among its buckets. Members that share a
 component need no further test. What is left are buckets that still hold more than one component. In those of at most
-``CHUNK`` members, the members outside the bucket's most frequent component meet all others inside one task, which counts
-common elements by a matrix product over the elements that more than one member has, and emits no more links than members.
-Larger buckets are worked through in rounds: up to ``LEADERS`` members of a bucket, those of its rarer components first,
-meet all others, dealt out in chunks of ``CHUNK``; leaders are then done, and rounds end when each bucket's untried members
+``CHUNK`` members and ``ELEMENTS`` elements, the members outside the bucket's most frequent component meet all others inside one task, which
+counts common elements by a matrix product over the elements that more than one member has, and emits no more links than
+members. Larger buckets are worked through in rounds: up to ``LEADERS`` members of a bucket, those of its rarer components first,
+meet all others, dealt out in chunks of that size; leaders are then done, and rounds end when each bucket's untried members
 lie in one component. In the end every colliding pair has been compared on its full sets or lies in one component.
 """
 
@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stage
+from .shared import scratch, stage
 from .text import U
 
 LEADERS = 512
 CHUNK = 4096
+ELEMENTS = 8_000_000  # of a chunk's sets, 8 bytes each
 SALTS = 16
 CELLS = 16_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
 SLICE = 256  # leading members at a time
@@ -169,12 +170,18 @@ def _compared(dealt: DataFrame, percent: int) -> DataFrame:
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent: int) -> DataFrame:
     """``(id, component)`` of every item linked to another.
 
-    ``items(id long, keys array<long>)``: one row for each distinct set, none empty, with the keys of its bands. ``sets_of(led)``
-    takes ``(id, leader)`` and returns ``(id, leader, hashes)``, with the sets (ascending uint64, binary) of the ids.
+    ``items(id long, n, keys array<long>)``: one row for each distinct set, none empty, with its size or about that and the keys of its
+    bands. ``sets_of(led)`` takes ``(id, leader)`` and returns ``(id, leader, hashes)``, with the sets (ascending uint64, binary) of the ids.
     """
-    keyed = items.select(F.explode("keys").alias("key"), "id")
-    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    members = stage(keyed.join(buckets, "key"), "members")
+    with scratch(items.sparkSession) as keep:
+        return keep(_linked(items, sets_of, percent), "linked")
+
+
+def _linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    keyed = items.select(F.explode("keys").alias("key"), "id", "n")
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / ELEMENTS)).cast("int")
+    buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("size"), pieces.alias("pieces")).where("size > 1").drop("size"), "buckets")
+    members = stage(keyed.drop("n").join(buckets, "key"), "members")
     sets = stage(sets_of(members.groupBy("id").agg(F.min("leader").alias("leader"))), "sets")
     links = stage(_verified(sets, percent), "links")
     sets = sets.select("id", "hashes")
@@ -183,10 +190,10 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], *, percent
     def labelled(table: DataFrame) -> DataFrame:
         return stage(table.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
 
-    now = labelled(members.where(F.col("size") <= CHUNK).select("key", "id"))
+    now = labelled(members.where("pieces = 1").select("key", "id"))
     torn = stage(now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "torn")
     more = _compared(now.join(torn, "key").join(sets, "id").withColumns({"chunk": F.lit(-1), "leads": F.lit(False)}), percent)
-    giants = members.where(F.col("size") > CHUNK).select("key", "id", "size", F.lit(False).alias("tried"))
+    giants = members.where("pieces > 1").select("key", "id", "pieces", F.lit(False).alias("tried"))
     while True:
         if not more.isEmpty():
             links = links.union(more)
@@ -209,10 +216,10 @@ def _giant_round(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     near = ranked.withColumn("place", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("place") <= LEADERS)
     leaders = stage(near.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= LEADERS).select("key", "id"), "leaders")
     marked = stage(members.join(leaders.withColumn("leads", F.lit(True)), ["key", "id"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "marked")
-    pieces = F.ceil(F.col("size") / CHUNK).cast("int")
+    pieces = F.col("pieces")
     home = F.pmod(F.xxhash64("id"), pieces).cast("int")
     full = marked.join(sets, "id")
     own = full.withColumn("chunk", home)
     lead = full.where("leads").withColumn("chunk", F.explode(F.sequence(F.lit(0), pieces - 1))).where(F.col("chunk") != home)
     more = _compared(own.select(*_DEALT).union(lead.select(*_DEALT)), percent)
-    return stage(marked.select("key", "id", "size", (F.col("tried") | F.col("leads")).alias("tried")), "giants"), more
+    return stage(marked.select("key", "id", "pieces", (F.col("tried") | F.col("leads")).alias("tried")), "giants"), more
