@@ -54,7 +54,11 @@ def moments(panel: DataFrame, *, ret: str = "ret", asset: str = "asset", time: s
 
 
 def _simplex(w: np.ndarray, most: float = 1.0) -> np.ndarray:
-    """The nearest weights in [0, most] that sum to 1 (bisection on the shift)."""
+    """The nearest weights in [0, most] that sum to 1: all less one shift, found from the ordered weights, or by bisection where ``most`` binds."""
+    if most >= 1.0:
+        ordered = np.sort(w)[::-1]
+        shifts = (np.cumsum(ordered) - 1.0) / np.arange(1, len(w) + 1)
+        return np.maximum(w - shifts[np.flatnonzero(ordered > shifts)[-1]], 0.0)
     low, high = w.min() - 1.0, w.max()
     for _ in range(80):
         mid = (low + high) / 2
