@@ -252,20 +252,42 @@ def _(spark, d):
     return tidy(told.select("n", "sharpe", "annualized_sharpe", "psr", "p_single", "p_adjusted", "least_track_record"), 6)
 
 
-@_query("black_litterman")
+_NATIONS = f"""WITH {MONTHS_SQL}, np AS (SELECT time, sector AS asset, avg(px) AS px FROM m GROUP BY 1, 2), nr AS (SELECT time, asset, px / (lag(px) OVER (PARTITION BY asset ORDER BY time)) - 1 AS ret FROM np),
+ kn AS (SELECT * FROM nr WHERE ret IS NOT NULL), cv AS (SELECT a.asset AS a, b.asset AS b, coalesce(covar_samp(a.ret, b.ret), 0) AS cov FROM kn a JOIN kn b USING (time) GROUP BY 1, 2)"""
+
+
+def _nation_moments(spark: SparkSession, d: str):
+    from ..operators import timeseries as ts
+    from . import optimise as op
+
+    panel = months(spark, d).groupBy("time", F.col("sector").alias("asset")).agg(F.avg("px").alias("px"))
+    return op.moments(panel.withColumn("ret", ts.ret(F.col("px"), MONTHLY)))
+
+
+@_query("optimise_moments", f"{_NATIONS} SELECT a, b, {_tidy_sql('cov')} FROM cv WHERE a <= b")
 def _(spark, d):
-    """Equilibrium and posterior returns of the nations' suppliers (a panel of 25), with the view that the first beats the second."""
+    """Covariances of the nations' mean prices (25 assets), what every optimiser starts from."""
+    names, _, cov = _nation_moments(spark, d)
+    return tidy(spark.createDataFrame([(int(a), int(b), float(cov[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i <= j], "a int, b int, cov double"))
+
+
+@_query(
+    "black_litterman",
+    f"""{_NATIONS}, pr AS (SELECT a AS asset, 2.5 * avg(cov) AS prior FROM cv GROUP BY a), rk AS (SELECT asset, row_number() OVER (ORDER BY asset) AS k FROM pr), v AS (SELECT asset, CASE k WHEN 1 THEN 1 ELSE -1 END AS x FROM rk WHERE k <= 2),
+ vc AS (SELECT a AS asset, sum(x * cov) AS cx FROM cv JOIN v ON b = asset GROUP BY a), vv AS (SELECT sum(x * cx) AS q FROM vc JOIN v USING (asset)), gap AS (SELECT 0.02 - sum(x * prior) AS g FROM pr JOIN v USING (asset)),
+ o AS (SELECT asset, prior, prior + cx * g / (2 * q) AS posterior FROM pr JOIN vc USING (asset), vv, gap) SELECT asset, {_tidy_sql('prior posterior')} FROM o""",
+)
+def _(spark, d):
+    """Equilibrium and posterior returns of the nations, with the view, half believed, that the first beats the second by 2 %."""
     import numpy as np
 
-    from ..operators import timeseries as ts
     from . import optimise as op
 
-    panel = months(spark, d).groupBy("time", F.col("sector").alias("asset")).agg(F.avg("px").alias("px")).withColumn("ret", ts.ret(F.col("px"), MONTHLY))
-    names, _, cov = op.moments(panel)
+    names, _, cov = _nation_moments(spark, d)
     views = np.zeros((1, len(names)))
     views[0, :2] = 1, -1
     prior, posterior = op.black_litterman(cov, np.full(len(names), 1 / len(names)), views, np.array([0.02]), np.array([0.5]))
-    return spark.createDataFrame([(int(a), float(x), float(y)) for a, x, y in zip(names, prior, posterior, strict=True)], "asset long, prior double, posterior double")
+    return tidy(spark.createDataFrame([(int(a), float(x), float(y)) for a, x, y in zip(names, prior, posterior, strict=True)], "asset int, prior double, posterior double"))
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
