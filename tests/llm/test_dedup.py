@@ -46,9 +46,10 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     check_near(documents(spark))
 
 
-def test_a_chain_of_copies_and_large_buckets(spark, monkeypatch):
-    """Copies each a little further from the first, in buckets beyond a task's limits."""
-    monkeypatch.setattr(linkage, "CHUNK", 8)
+@pytest.mark.parametrize("limit", ["CHUNK", "ELEMENTS"])
+def test_a_chain_of_copies_and_large_buckets(spark, monkeypatch, limit):
+    """Copies each a little further from the first, in buckets beyond a task's limits, of rows or of elements."""
+    monkeypatch.setattr(linkage, limit, 8 if limit == "CHUNK" else 900)
     monkeypatch.setattr(linkage, "LEADERS", 5)
     monkeypatch.setattr(linkage, "SALTS", 2)
     monkeypatch.setattr(components, "EDGES", 6)

@@ -105,6 +105,12 @@ def test_containment_and_union(spark):
         fingerprint.containment("a", "b").alias("inside"), fingerprint.containment("a", "c").alias("outside"), fingerprint.likeness("a", "a").alias("same"), fingerprint.likeness(fingerprint.merged("a", "c"), "b").alias("union")
     ).first()
     assert row["inside"] > 0.95 and row["outside"] < 0.1 and row["same"] == 1 and row["union"] > 0.95
+    grouped = spark.createDataFrame([("x", a), ("x", c), ("x", c), ("x", None), (None, b), ("y", fingerprint.sketches(pa.array([""]))[0][0])], "g string, fingerprint string").repartition(3)
+    unions = {r["g"]: r["fingerprint"] for r in fingerprint.merged_by(grouped, ["g"]).collect()}
+    assert fingerprint.retained(unions["x"]).tolist() == sorted({*fingerprint.retained(a).tolist(), *fingerprint.retained(c).tolist()})
+    assert fingerprint.retained(unions[None]).tolist() == fingerprint.retained(b).tolist() and len(fingerprint.retained(unions["y"])) == 0
+    again = spark.createDataFrame([(unions["x"], unions["x"])], "a string, b string").select(fingerprint.merged("a", "b").alias("m"), fingerprint.likeness("a", "b").alias("l")).first()
+    assert again["m"] == unions["x"] and again["l"] == 1
 
 
 # --- PPM
@@ -208,6 +214,43 @@ def test_statistics_of_a_text():
     assert set(got[1].values()) == {0.0} and got[2]["distinct_words"] == pytest.approx(1 / 3) and got[2]["lines_per_word"] == pytest.approx(1 / 3)
 
 
+def scored_by_hand(rules, text):
+    """The rules' score of one text, rule by rule."""
+    import pyarrow as pa
+    from tidemark.llm.text import chunks
+
+    own = dict(zip(quality.STATISTICS, quality.text_statistics(next(iter(chunks(pa.array([text], pa.string())))))[0], strict=True))
+    total = rules.intercept
+    for weight, rule in rules.rules:
+        if all(own[s] > t if above else own[s] <= t for s, above, t in rule):
+            total += weight
+    return 1 / (1 + math.exp(-total))
+
+
+def test_compiled_rules_are_the_rules(spark):
+    docs = documents(spark, 80)
+    rng = random.Random(6)
+    rules = quality.fit_rules(quality.with_statistics(docs.select("text"), "text").withColumn("label", F.lit(rng.random() < 2).cast("double") * (F.col("__q_log_words") > 4.0).cast("double")), trees=8)
+    assert len(rules.rules) > 2
+    for r in quality.with_quality(docs, rules, score_column="component").select("text", "component").collect():
+        assert r["component"] == pytest.approx(scored_by_hand(rules, r["text"]))
+
+
+def test_lasso_weights_are_optimal():
+    """At the optimum the gradient of a standardised column is the penalty against its weight's sign, and no more where the weight is 0."""
+    rng = np.random.default_rng(7)
+    holds = rng.random((600, 30)) < rng.uniform(0.1, 0.9, 30)
+    labels = (rng.random(600) < 1 / (1 + np.exp(-(2.0 * holds[:, 0] - 3.0 * holds[:, 1] + 0.5)))).astype(float)
+    penalty = 0.01
+    b, w = quality._lasso(holds.astype(np.int8), labels, penalty, 3000)
+    chance = 1 / (1 + np.exp(-(holds @ w + b)))
+    z = (holds - holds.mean(axis=0)) / holds.std(axis=0)
+    gradient = z.T @ (chance - labels) / len(labels)
+    used = np.abs(w) > 1e-6
+    assert 2 <= used.sum() < 30 and abs((chance - labels).mean()) < 1e-3
+    assert np.allclose(gradient[used], -penalty * np.sign(w[used]), atol=2e-4) and (np.abs(gradient[~used]) <= penalty + 2e-4).all()
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -243,6 +286,37 @@ def test_language_on_held_out_rows(spark):
     assert language.learn(empty(spark)) is None and language.identify(docs.limit(1), None).first()["lang_pred"] == "und"
 
 
+def test_decisions_are_those_of_a_plain_loop(spark):
+    """Family by family, language by language: most pairs won, then the larger sum of squashed margins, then the earlier name."""
+    import pyarrow as pa
+    from tidemark.llm.text import chunks
+
+    rng = random.Random(14)
+    pool = [w for own in WORDS.values() for w in own]
+    rows = [(i, " ".join(rng.choice(WORDS[sorted(WORDS)[i % 4]] if rng.random() < 0.8 else pool) for _ in range(12)), sorted(WORDS)[i % 4], None, 1, "x", "x", "x", "x") for i in range(200)]
+    tree = language.learn(spark.createDataFrame(rows, SCHEMA))
+    texts = [" ".join(rng.choice(pool) for _ in range(n)) for n in (1, 2, 5, 30, 5000)] + ["", "zzz qqq"]
+    x = language.profiles(next(iter(chunks(pa.array(texts)))))
+    names, score = tree.predict(x)
+    for k, row in enumerate(x):
+        margins = [float(np.float32(row @ tree.weights[:, p]) + tree.biases[p]) for p in range(len(tree.pairs))]
+
+        def decide(level, n):
+            wins, sums = [0.0] * n, [0.0] * n
+            for (at, i, j), m in zip(tree.pairs, margins, strict=True):
+                if at == level:
+                    p = 1 / (1 + math.exp(-max(-30, min(30, 3 * m))))
+                    wins[i if p >= 0.5 else j] += 1
+                    sums[i] += p
+                    sums[j] += 1 - p
+            best = max(range(n), key=lambda i: (wins[i], sums[i]))
+            return best, sums[best] / (n - 1) if n > 1 else 1.0
+
+        family, sure = decide(-1, len(tree.families))
+        language_, inner = decide(family, len(tree.families[family]))
+        assert names[k] == tree.families[family][language_] and score[k] == pytest.approx(sure * inner, abs=1e-4)
+
+
 # --- packing and mixing
 
 
