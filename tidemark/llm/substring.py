@@ -9,16 +9,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .linkage import link
 from .minhash import band_keys, minhash
-from .shared import stage
+from .shared import scratch, side, stage
 from .text import Chunk, U, chunks, column, distinct_sorted, lists, mix64, powers, set_digest, shingle_hashes, word_bounds, word_hashes
 
 BANDS, ROWS = 8, 2  # a pair at 0.8 collides nowhere with probability 2.8e-4, at 0.9 with 1.7e-6
 LEAST_WORDS = 51  # of a repeat
+BLOCK_BYTES = 4_000_000  # of text whose windows are summed up together
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -69,7 +70,7 @@ def _anchors(words: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray,
 
 def _read(docs: DataFrame, width: int, least: int, bands: int, rows: int) -> DataFrame:
     """One pass over the texts: a row for each paragraph of ``least`` words or more, with the digest of its set and the keys of its bands,
-    and for each anchor, with its first word as ``place`` and its digest as ``anchor``."""
+    and for each different anchor of a text, with how often it is one as ``n_words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,12 +81,15 @@ def _read(docs: DataFrame, width: int, least: int, bands: int, rows: int) -> Dat
                 of = np.repeat(np.arange(len(ids)), np.diff(first))
                 _, at, digests = _anchors(word_hashes(c, starts, ends), of, least)
                 at = np.unique(at)
-                none = pa.nulls(len(at), pa.int64())
+                order = np.lexsort((digests[at], of[at]))
+                own, digest = of[at][order], digests[at][order]
+                heads = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (digest[1:] != digest[:-1]))))[: len(own)]
+                none = pa.nulls(len(heads), pa.int64())
                 if len(row):
                     high, low = set_digest(values, offsets)
                     keys = lists(band_keys(minhash(values, offsets, bands * rows), bands, rows))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n_words.astype(np.int32)), pa.array(high), pa.array(low), keys, pa.nulls(len(row), pa.int64())], _READ)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[at])), pa.array((at - first[of[at]]).astype(np.int32)), none.cast(pa.int32()), none, none, pa.nulls(len(at), pa.list_(pa.int64())), pa.array(digests[at].view(np.int64))], _READ)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[heads])), none.cast(pa.int32()), pa.array(np.diff(np.append(heads, len(own))).astype(np.int32)), none, none, pa.nulls(len(heads), pa.list_(pa.int64())), pa.array(digest[heads].view(np.int64))], _READ)
 
     return docs.mapInArrow(run, "doc long, place int, n_words int, high long, low long, keys array<long>, anchor long")
 
@@ -114,62 +118,52 @@ def _sets(docs: DataFrame, width: int, min_words: int) -> DataFrame:
 def _repeated_paragraphs(docs: DataFrame, found: DataFrame, width: int, percent: int, least: int) -> DataFrame:
     """``(doc, place, n_words, keeper, kept)`` of the paragraphs ``found`` that are alike another one."""
     names = ["high", "low"]
-    grouped = found.groupBy(*names).agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    grouped = found.groupBy(*names).agg(F.min(F.struct("doc", "place")).alias("first"), F.first("keys").alias("keys"), F.max("n_words").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = stage(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     repeats = not found.groupBy("doc", "place").count().where("count > 1").isEmpty()
 
     def sets_of(led: DataFrame) -> DataFrame:
         wanted = classes.select("id", "first").join(led, "id").groupBy(F.col("first.doc").alias("id")).agg(F.collect_list(F.struct("id", "leader", F.col("first.place").alias("place"))).alias("wanted"))
+        sets = _sets(docs.join(side(stage(wanted, "wanted"), 32 + 40 * F.size("wanted")), "id"), width, least)
         # where rows repeat an id, the paragraph may be there more than once or not at all
-        return _sets(docs.join(wanted, "id"), width, least).dropDuplicates(["id"]) if repeats else _sets(docs.join(wanted, "id"), width, least)
+        return sets.dropDuplicates(["id"]) if repeats else sets
 
-    labels = link(classes.select("id", "keys"), sets_of, percent=percent)
+    labels = link(classes.select("id", "n", "keys"), sets_of, percent=percent)
     groups = stage(classes.select("id", *names, "first", "copies").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "groups")
     keepers = stage(groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1").drop("copies"), "keepers")
     repeated = stage(groups.select(*names, "component").join(keepers, "component").select(*names, "keeper"), "repeated")
     return stage(found.select("doc", "place", "n_words", *names).join(repeated, names).select("doc", "place", "n_words", "keeper", (F.struct("doc", "place") == F.col("keeper")).alias("kept")), "whole")
 
 
-def _window_rows(marked: DataFrame, size: int) -> DataFrame:
-    """The windows whose anchor is among their row's ``marks``, but for those wholly in paragraphs ``gone``; and a row for each text with its
-    paragraphs' numbers and first words.
+class _Words:
+    """The words of a chunk's rows, with the paragraphs they are in and which of these go."""
 
-    ``alive`` windows hold no word of a gone paragraph. ``again`` ones stand in the same text as an alive one of the same
-    words, ``size`` words or more after the first of these.
-    """
+    def __init__(self, c: Chunk, ids: np.ndarray, gone: dict[int, set[int]]) -> None:
+        lines, owner, self.place = _lines(c)
+        starts, ends, first = word_bounds(lines)
+        self.ids, self.owner, self.n = ids, owner, np.diff(first)
+        self.hashes, self.line = word_hashes(lines, starts, ends), np.repeat(np.arange(len(self.n)), self.n)
+        self.row = owner[self.line]
+        self.line_start = first[:-1]
+        out = np.zeros(len(self.n), bool)
+        for k, i in enumerate(ids.tolist()):
+            if i in gone:
+                own = np.flatnonzero(owner == k)
+                out[own[np.isin(self.place[own], list(gone[i]))]] = True
+        self.dead = np.concatenate(([0], np.cumsum(np.repeat(out, self.n))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(column(batch, "body")):
-                ids, names, marks, gone = (column(batch, k)[c.rows] for k in ("id", "row", "marks", "gone"))
-                lines, owner, place = _lines(c)
-                starts, ends, first = word_bounds(lines)
-                n, top = np.diff(first), np.searchsorted(owner, np.arange(len(ids) + 1))
-                out = np.zeros(len(n), bool)
-                out[np.repeat(top[:-1], gone.value_lengths().fill_null(0).to_numpy()) + gone.flatten().to_numpy()] = True
-                words, row, head = word_hashes(lines, starts, ends), np.repeat(owner, n), first[top]
-                at, anchor, _ = _anchors(words, row, size)
-                hot = np.zeros(len(words) + 1, bool)
-                # where rows repeat an id, a mark may be another row's: windows are compared by their own digest
-                hot[np.minimum(np.repeat(head[:-1], marks.value_lengths().to_numpy()) + marks.flatten().to_numpy(), len(words))] = True
-                dead = np.concatenate(([0], np.cumsum(np.repeat(out, n))))
-                at = at[hot[anchor]]
-                lost = dead[at + size] - dead[at]
-                at, alive = at[lost < size], lost[lost < size] == 0
-                digest = _runs(words, size)[at]
-                again = _again(row[at], digest, at, alive, size)
-                own, none = pa.array(row[at]), pa.nulls(len(at), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids.take(own), names.take(own), pa.array((at - head[row[at]]).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(alive), pa.array(again), none, none], _WINDOWS)
-                has = n > 0
-                cuts = pa.array(np.concatenate(([0], np.cumsum(has)))[top].astype(np.int32))
-                listed = [pa.ListArray.from_arrays(cuts, pa.array(x[has].astype(np.int32))) for x in (place, first[:-1] - head[owner])]
-                nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.int64(), pa.bool_(), pa.bool_())]
-                yield pa.RecordBatch.from_arrays([ids, names, *nothing, *listed], _WINDOWS)
-
-    return marked.select("id", "row", "body", "gone", "marks").mapInArrow(run, "id long, row long, position int, digest long, alive boolean, again boolean, places array<int>, starts array<int>")
-
-
-_WINDOWS = ["id", "row", "position", "digest", "alive", "again", "places", "starts"]
+    def windows(self, size: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of ``size`` words ``keep`` that have a word outside paragraphs that go, and whether all are outside."""
+        lost = self.dead[keep + size] - self.dead[keep]
+        return keep[lost < size], lost[lost < size] == 0
+
+
+def _known(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Each value's place in the ascending array ``among``, -1 where it isn't there."""
+    if not len(among):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return np.where(among[at] == values, at, -1)
 
 
 def _again(row: np.ndarray, digest: np.ndarray, at: np.ndarray, alive: np.ndarray, size: int) -> np.ndarray:
@@ -184,30 +178,103 @@ def _again(row: np.ndarray, digest: np.ndarray, at: np.ndarray, alive: np.ndarra
     return out
 
 
+def _block_of(table: pa.Table, facts: pa.Table):
+    """A block's chunks with their ids, the digests it is told of (ascending, with their keepers), and the paragraphs that go by id."""
+    digest, keeper = facts.column("digest").combine_chunks(), facts.column("keeper").combine_chunks()
+    told = digest.is_valid()
+    values, of = digest.filter(told).to_numpy(zero_copy_only=False).astype(np.int64).view(U), keeper.filter(told).fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    gone: dict[int, set[int]] = {}
+    lost = facts.filter(digest.is_null())
+    for doc, place in zip(lost.column("doc").to_pylist(), lost.column("place").to_pylist(), strict=True):
+        gone.setdefault(doc, set()).add(place)
+    ids, body = table.column("id").to_numpy(), table.column("body").combine_chunks()
+    body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+    return ((c, ids[c.rows]) for c in chunks(body)), values[order], of[order], gone
+
+
+def _summed(size: int):
+    """For a block and the repeated anchors that it has: its windows around these, each once, with the least id that has it alive and how many there are."""
+
+    def run(table: pa.Table, facts: pa.Table) -> pa.Table:
+        digests, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        if table.num_rows and facts.num_rows:
+            parts, marks, _, gone = _block_of(table, facts)
+            for c, ids in parts:
+                w = _Words(c, ids, gone)
+                at, anchor, anchors = _anchors(w.hashes, w.row, size)
+                hot = _known(anchors, marks) >= 0
+                at, alive = w.windows(size, at[hot[anchor]])
+                digests.append(_runs(w.hashes, size)[at])
+                owners.append(np.where(alive, ids[w.row[at]], _NOBODY))
+        digest, owner = np.concatenate(digests), np.concatenate(owners)
+        order = np.argsort(digest, kind="stable")
+        digest, owner = digest[order], owner[order]
+        heads = np.flatnonzero(np.concatenate(([True], digest[1:] != digest[:-1])))[: len(digest)]
+        least = np.minimum.reduceat(owner, heads) if len(heads) else owner
+        block = pa.array(np.full(len(heads), table.column("block")[0].as_py() if table.num_rows else 0, np.int32))
+        return pa.table([block, pa.array(digest[heads].view(np.int64)), pa.array(least, mask=least == _NOBODY), pa.array(np.diff(np.append(heads, len(digest))).astype(np.int64))], ["block", "digest", "least", "n"])
+
+    return run
+
+
+_NOBODY = np.iinfo(np.int64).max
+
+
+def _cut(size: int):
+    """For a block and the keepers of the repeated windows that it has: the runs of words that go, cut at line feeds."""
+
+    def run(table: pa.Table, facts: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if table.num_rows and facts.num_rows:
+            parts, told, keepers, gone = _block_of(table, facts)
+            for c, ids in parts:
+                w = _Words(c, ids, gone)
+                digest = _runs(w.hashes, size)
+                known = _known(digest, told)
+                at, alive = w.windows(size, np.flatnonzero((known >= 0) & (w.row[: len(digest)] == w.row[size - 1 :])) if len(digest) else np.zeros(0, np.int64))
+                keeper = keepers[known[at]] if len(at) else np.zeros(0, np.int64)
+                hit = (ids[w.row[at]] > keeper) | _again(w.row[at], digest[at], at, alive, size)
+                at, keeper = at[hit], keeper[hit]
+                if not len(at):
+                    continue
+                opens = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (keeper[1:] != keeper[:-1]) | (w.row[at[1:]] != w.row[at[:-1]]))))
+                begin, end = at[opens], at[np.append(opens[1:], len(at)) - 1] + size
+                pieces = w.line[end - 1] - w.line[begin] + 1
+                line = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces - w.line[begin], pieces)
+                run_of = np.repeat(np.arange(len(begin)), pieces)
+                start, stop = np.maximum(begin[run_of], w.line_start[line]), np.minimum(end[run_of], w.line_start[line] + w.n[line])
+                some = stop > start
+                line, run_of, start, stop = line[some], run_of[some], start[some], stop[some]
+                out.append((ids[w.owner[line]], w.place[line], start - w.line_start[line], stop - start, keeper[opens][run_of]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        return pa.table([pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(columns, kinds, strict=True)], ["doc", "place", "first_word", "n_words", "keeper_doc"])
+
+    return run
+
+
 def _repeated_windows(docs: DataFrame, anchors: DataFrame, gone: DataFrame, size: int) -> DataFrame:
     """``(doc, place, first_word, n_words, keeper_doc)`` of the repeats of ``size`` words or more in ``docs(id, body)`` that don't stay.
 
-    ``anchors(doc, place, anchor)`` are chosen by content in every window of ``size`` words: equal windows have equal ones. Windows
-    whose anchor occurs again are compared by 64 bits of their own digest, and the words of a run of windows go together.
+    ``anchors(doc, n, anchor)`` are chosen by content in every window of ``size`` words: equal windows have equal ones. Texts are dealt
+    to blocks of about ``BLOCK_BYTES``. A block gets the anchors of its own that occur again anywhere, and gives the windows
+    around them, each once, however many of its texts have it; windows are compared by 64 bits of their digest. It gets their keepers
+    back, and gives the runs of words that go.
     """
-    again = stage(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("anchor"), "again")
-    lost = gone.groupBy("doc").agg(F.collect_set("place").alias("gone"))
-    marks = anchors.join(again, "anchor").groupBy("doc").agg(F.collect_list("place").alias("marks"))
-    marked = stage(marks.join(lost, "doc", "left").withColumnRenamed("doc", "id"), "marks")
-    found = stage(_window_rows(docs.withColumn("row", F.xxhash64("id", "body")).join(marked, "id"), size), "windows")
-    windows = found.where("digest is not null").select("id", "row", "position", "digest", "alive", "again")
-    keepers = windows.groupBy("digest").agg(F.min(F.when(F.col("alive"), F.col("id"))).alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null").drop("copies")
-    hits = windows.join(stage(keepers, "keepers"), "digest").where("id > keeper or again").select("id", "row", "position", "keeper")
-    in_row = Window.partitionBy("row").orderBy("position")
-    follows = (F.lag("position").over(in_row) + 1 == F.col("position")) & (F.lag("keeper").over(in_row) == F.col("keeper"))
-    runs = stage(hits, "hits").withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_row))
-    spans = runs.groupBy("row", "run").agg(F.min("id").alias("doc"), F.min("position").alias("begin"), (F.max("position") + size).alias("end"), F.min("keeper").alias("keeper_doc"))
-    texts = stage(found.where("digest is null").select("row", "places", "starts").dropDuplicates(["row"]), "lines")
-    first, last = F.size(F.filter("starts", lambda x: x <= F.col("begin"))), F.size(F.filter("starts", lambda x: x < F.col("end")))
-    pieces = stage(spans, "spans").join(texts, "row").withColumn("line", F.explode(F.sequence(first, last)))
-    pieces = pieces.withColumns({"start": F.element_at("starts", F.col("line")), "next": F.get("starts", F.col("line")), "place": F.element_at("places", F.col("line"))})
-    pieces = pieces.withColumns({"from": F.greatest("begin", "start"), "to": F.least("end", "next")})
-    return pieces.select("doc", "place", (F.col("from") - F.col("start")).alias("first_word"), (F.col("to") - F.col("from")).alias("n_words"), "keeper_doc")
+    size_of = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    block = lambda of: F.pmod(F.xxhash64(of), F.lit(max(1, -(-size_of // BLOCK_BYTES)))).cast("int").alias("block")
+    pairs = stage(anchors.groupBy(block("doc"), "anchor").agg(F.sum("n").alias("n")), "pairs")
+    again = stage(pairs.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "again")
+    none = F.lit(None)
+    lost = stage(gone.distinct().select(block("doc"), none.cast("long").alias("digest"), none.cast("long").alias("keeper"), "doc", "place"), "lost")
+    nobody = [none.cast("long").alias("doc"), none.cast("int").alias("place")]
+    marks = pairs.join(again, "anchor").select("block", F.col("anchor").alias("digest"), none.cast("long").alias("keeper"), *nobody)
+    texts = docs.select("id", "body", block("id")).groupBy("block")
+    found = stage(texts.cogroup(marks.unionByName(lost).toDF("of", "digest", "keeper", "doc", "place").groupBy("of")).applyInArrow(_summed(size), "block int, digest long, least long, n long"), "windows")
+    keepers = stage(found.groupBy("digest").agg(F.min("least").alias("keeper"), F.sum("n").alias("n")).where("n > 1 and keeper is not null").drop("n"), "keepers")
+    told = found.select("block", "digest").join(keepers, "digest").select("block", "digest", "keeper", *nobody)
+    return texts.cogroup(told.unionByName(lost).toDF("of", "digest", "keeper", "doc", "place").groupBy("of")).applyInArrow(_cut(size), "doc long, place int, first_word int, n_words int, keeper_doc long")
 
 
 SPANS = ["doc_id", "paragraph", "first_word", "n_words", "keeper_doc_id", "keeper_paragraph", "kept"]
@@ -231,9 +298,14 @@ def repeated_spans(docs: DataFrame, *, id_column: str = "doc_id", text_column: s
     the windows' choice: a passage that stands in both stays in both. Of equal rows of an id all are alike. Other columns are not read.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body")).where("id is not null and body is not null")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_spans(docs, width, percent, least_words, bands, rows), "spans")
+
+
+def _spans(docs: DataFrame, width: int, percent: int, least_words: int, bands: int, rows: int) -> DataFrame:
     every = stage(_read(docs, width, least_words, bands, rows), "paragraphs")
     whole = _repeated_paragraphs(docs, every.where("anchor is null").drop("anchor"), width, percent, least_words)
-    windows = _repeated_windows(docs, every.where("anchor is not null").select("doc", "place", "anchor"), whole.where("not kept").select("doc", "place"), least_words)
+    windows = _repeated_windows(docs, every.where("anchor is not null").select("doc", F.col("n_words").alias("n"), "anchor"), whole.where("not kept").select("doc", "place"), least_words)
     paragraphs = whole.select("doc", "place", F.lit(0).alias("first_word"), "n_words", F.col("keeper.doc").alias("keeper_doc"), F.col("keeper.place").alias("keeper_place"), "kept")
     return paragraphs.unionByName(windows.withColumns({"keeper_place": F.lit(None).cast("int"), "kept": F.lit(False)})).toDF(*SPANS)
 
@@ -269,7 +341,7 @@ def cut_repeats(docs: DataFrame, spans: DataFrame, *, id_column: str = "doc_id",
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([_without(t, g) for t, g in zip(texts, gone, strict=True)], dtype=object)
 
-    joined = docs.join(stage(gone, "gone"), F.col(id_column) == F.col("__id"), "left").withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col(text_column)))
+    joined = docs.join(side(stage(gone, "gone"), 32 + 48 * F.size("__gone")), F.col(id_column) == F.col("__id"), "left").withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.col(text_column)))
     return joined.withColumn(text_column, F.when(F.col("__gone").isNull(), F.col(text_column)).otherwise(without("__cut", "__gone"))).drop("__id", "__gone", "__cut")
 
 
