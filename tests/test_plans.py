@@ -211,3 +211,22 @@ def test_moments_refuse_too_many_assets(spark):
     assert cov[1, 2] == pytest.approx(np.cov(x[1][keep], x[2][keep])[0, 1])
     with pytest.raises(ValueError):
         op.moments(df, most=3)
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from tidemark import storage
+
+    def there(df):
+        return os.path.exists(df.inputFiles()[0].removeprefix("file:").rpartition("/")[0])
+
+    with storage.scratch(spark) as keep_outer:
+        with storage.scratch(spark) as keep:
+            inner = storage.stage(spark.range(5), "a")
+            kept = keep(inner.where("id > 1"), "b")
+            files_of = inner.inputFiles()
+        assert not os.path.exists(files_of[0].removeprefix("file:")) and there(kept) and kept.count() == 3
+        last = keep_outer(kept.where("id > 2"), "c")
+        files_of = kept.inputFiles()
+    assert not os.path.exists(files_of[0].removeprefix("file:")) and there(last) and sorted(r["id"] for r in last.collect()) == [3, 4]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -9,7 +10,16 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_FOLDER = "/tmp/checkpoints"
-_scratch: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """The scratch blocks that this thread is in, innermost last, with what was staged in each."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +39,8 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     and joins on the result get plain exchanges that AQE can split when a key is hot."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    if _scratch:
-        _scratch[-1].append(path)
+    if _open.blocks:
+        _open.blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,8 +57,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     """Tables staged inside are deleted at the end, so no DataFrame that outlives the block may read them, but for those staged
     by the function given, which belong to the block around this one."""
     own: list[str] = []
-    outer = _scratch[-1] if _scratch else None
-    _scratch.append(own)
+    outer = _open.blocks[-1] if _open.blocks else None
+    _open.blocks.append(own)
 
     def keep(df: DataFrame, tag: str) -> DataFrame:
         kept = stage(df, tag)
@@ -60,5 +70,5 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     try:
         yield keep
     finally:
-        _scratch.pop()
+        _open.blocks.pop()
         drop(spark, own)
