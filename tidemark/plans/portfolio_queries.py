@@ -11,6 +11,7 @@ from . import analytics as an
 from . import constraints as cs
 from .analysis_queries import _RETURNS, _WEIGHTED, _tidy_sql, returns, tidy, weighted
 from .panels import MONTHLY, MONTHS, MONTHS_SQL, months, table
+from .rigor import expected_best_sharpe, rigor_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,6 +204,12 @@ def _(spark, d):
 
 # --- names and members at a date
 
+def _renames(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's name passes to the next one a day later, in chains of forty."""
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").where(key % 40 != 0).select(key.alias("symbol"), (key + 1).alias("new_symbol"), F.date_add(F.lit("1995-01-01").cast("date"), (key % 40).cast("int")).alias("date"))
+
+
 _RENAMED = "rn AS (SELECT s_suppkey AS symbol, s_suppkey + 1 AS new_symbol, DATE '1995-01-01' + CAST(s_suppkey % 40 AS INT) AS date FROM supplier WHERE s_suppkey % 40 <> 0)"
 
 
@@ -211,10 +218,15 @@ _RENAMED = "rn AS (SELECT s_suppkey AS symbol, s_suppkey + 1 AS new_symbol, DATE
     f"""WITH RECURSIVE {_RENAMED}, lt AS (SELECT * FROM rn WHERE date > DATE '1995-01-15'), k AS (SELECT new_symbol AS symbol, symbol AS name FROM lt UNION ALL SELECT k.symbol, lt.symbol FROM k JOIN lt ON lt.new_symbol = k.name) SELECT symbol, min(name) AS name FROM k GROUP BY symbol""",
 )
 def _(spark, d):
-    """Each supplier's name passes to the next one a day later, in chains of forty."""
-    key = F.col("s_suppkey")
-    renames = table(spark, d, "supplier").where(key % 40 != 0).select(key.alias("symbol"), (key + 1).alias("new_symbol"), F.date_add(F.lit("1995-01-01").cast("date"), (key % 40).cast("int")).alias("date"))
-    return an.symbols_at(renames, "1995-01-15")
+    return an.symbols_at(_renames(spark, d), "1995-01-15")
+
+
+@_query("corporate_actions_in_range", f"WITH {_RENAMED} SELECT symbol, new_symbol, date FROM rn WHERE date BETWEEN DATE '1995-01-10' AND DATE '1995-01-20'")
+def _(spark, d):
+    """Both ends of the range included."""
+    from ..sources.files import between
+
+    return between(_renames(spark, d), "1995-01-10", "1995-01-20", time="date")
 
 
 @_query(
@@ -241,15 +253,13 @@ def _phi(x: str) -> str:
 @_query(
     "rigor_report",
     f"""WITH {_RETURNS}, f AS (SELECT count(*) AS n, avg(ret) AS mean, stddev_pop(ret) AS std FROM pr), st AS (SELECT any_value(n) AS n, any_value(mean / std) AS sharpe, avg(pow((ret - mean) / std, 3)) AS sk, avg(pow((ret - mean) / std, 4)) AS ku FROM pr, f),
- z AS (SELECT *, sqrt(1 - sk * sharpe + (ku - 1) / 4 * sharpe * sharpe) AS spread, abs(sharpe) * sqrt(n) AS t FROM st), q AS (SELECT *, sharpe * sqrt(n - 1) / spread AS z0 FROM z),
- o AS (SELECT n, sharpe, sharpe * sqrt(252) AS annualized_sharpe, {_phi('z0')} AS psr, 2 * (1 - {_phi('t')}) AS p_single, least(20 * (1 - {_phi('t')}), 1.0) AS p_adjusted, CASE WHEN sharpe > 0 THEN 1 + pow(spread * 1.6448536269514722 / sharpe, 2) END AS least_track_record FROM q)
- SELECT n, {_tidy_sql('sharpe annualized_sharpe psr p_single p_adjusted least_track_record', 6)} FROM o""",
+ z AS (SELECT *, sqrt(1 - sk * sharpe + (ku - 1) / 4 * sharpe * sharpe) AS spread, abs(sharpe) * sqrt(n) AS t FROM st), q AS (SELECT *, sharpe * sqrt(n - 1) / spread AS z0, (sharpe - {expected_best_sharpe(10, 0.01)!r}) * sqrt(n - 1) / spread AS z1 FROM z),
+ o AS (SELECT n, sharpe, sharpe * sqrt(252) AS annualized_sharpe, {_phi('z0')} AS psr, {_phi('z1')} AS deflated_sharpe, 2 * (1 - {_phi('t')}) AS p_single, least(20 * (1 - {_phi('t')}), 1.0) AS p_adjusted, CASE WHEN sharpe > 0 THEN 1 + pow(spread * 1.6448536269514722 / sharpe, 2) END AS least_track_record FROM q)
+ SELECT n, {_tidy_sql('sharpe annualized_sharpe psr deflated_sharpe p_single p_adjusted least_track_record', 6)} FROM o""",
 )
 def _(spark, d):
-    from .rigor import rigor_report
-
     told = rigor_report(returns(spark, d), trials=10, variance=0.01)
-    return tidy(told.select("n", "sharpe", "annualized_sharpe", "psr", "p_single", "p_adjusted", "least_track_record"), 6)
+    return tidy(told.select("n", "sharpe", "annualized_sharpe", "psr", "deflated_sharpe", "p_single", "p_adjusted", "least_track_record"), 6)
 
 
 _NATIONS = f"""WITH {MONTHS_SQL}, np AS (SELECT time, sector AS asset, avg(px) AS px FROM m GROUP BY 1, 2), nr AS (SELECT time, asset, px / (lag(px) OVER (PARTITION BY asset ORDER BY time)) - 1 AS ret FROM np),
