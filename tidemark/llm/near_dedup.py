@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .linkage import link
 from .minhash import band_keys, superminhash
-from .shared import stage
+from .shared import side, stage
 from .text import binary, chunks, column, lists, set_digest, shingle_sets
 
 BANDS, ROWS = 24, 6  # a pair at 0.85 collides nowhere with probability 1.2e-5
@@ -55,7 +55,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("body"))
     signed = stage(_signed(docs, width, bands, rows), "signed")
     classes = stage(signed.where("n > 0 and id is not null").groupBy("high", "low").agg(F.min("id").alias("first"), F.first("keys").alias("keys"), F.first("n").alias("n")), "classes")
-    found = link(classes.select(F.col("first").alias("id"), "n", "keys"), lambda led: _sets(docs.join(led, "id"), width), percent=percent)
+    found = link(classes.select(F.col("first").alias("id"), "n", "keys"), lambda led: _sets(docs.join(side(stage(led, "led")), "id"), width), percent=percent)
     labels = stage(classes.select("high", "low", "first").join(found.withColumnRenamed("id", "first"), "first", "left").select("high", "low", F.coalesce("component", "first").alias("component")), "labels")
     return (
         signed.select("id", "n", "high", "low").join(labels, ["high", "low"], "left")
