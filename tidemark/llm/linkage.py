@@ -26,8 +26,9 @@ LEADERS = 512
 CHUNK = 4096
 ELEMENTS = 8_000_000  # of a chunk's sets, 8 bytes each
 SALTS = 16
-CELLS = 16_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
+CELLS = 8_000_000  # of a task's matrix of members and elements; more elements are worked through in blocks
 SLICE = 256  # leading members at a time
+PART = 256  # pairs at a time
 PAIRS = "a long, b long"
 
 
@@ -36,13 +37,14 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(left, right, strict=True):
-                both = np.frombuffer(x + y, U)
-                total, both = len(both), np.sort(both, kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (total - common))
+            for at in range(0, batch.num_rows, PART):
+                left, right = (batch.column(c).slice(at, PART).to_pylist() for c in (2, 3))
+                for x, y in zip(left, right, strict=True):
+                    both = np.frombuffer(x + y, U)
+                    total, both = len(both), np.sort(both, kind="stable")
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(100 * common >= percent * (total - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     leaders = sets.select(F.col("id").alias("leader"), F.col("hashes").alias("leader_set"))
@@ -138,11 +140,11 @@ def _grouped_links(percent: int):
         if not rows.num_rows:
             return []
         key, chunk, ids, components, leads = (rows.column(k).to_numpy() for k in ("key", "chunk", "id", "component", "leads"))
-        sets = rows.column("hashes").to_pylist()
+        hashes = rows.column("hashes")
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(key)]
         found = []
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            found += one(ids[x:y], components[x:y], chunk[x] < 0, leads[x:y], sets[x:y])
+            found += one(ids[x:y], components[x:y], chunk[x] < 0, leads[x:y], hashes.slice(x, y - x).to_pylist())
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
