@@ -102,7 +102,7 @@ def _(spark, d):
     quote = F.array(F.struct(F.transform("x", lambda r: r["c"]["c"]).alias("close")))
     result = F.array(F.struct(F.transform("x", lambda r: r["t"]).alias("timestamp"), F.struct(quote.alias("quote")).alias("indicators")))
     docs = listed.select("asset", F.to_json(F.struct(F.struct(result.alias("result")).alias("chart")), {"ignoreNullFields": "false"}).alias("value"))
-    return tidy(files.parse_chart_json(docs, keep=["asset"]), 6)
+    return tidy(files.parse_chart_json(docs, keep=["asset"]).withColumn("time", F.col("time").cast("timestamp_ntz")), 6)
 
 
 @_query("source_synthetic_prices", f"WITH g AS (SELECT t AS time, a, CAST(('0x' || substr(md5(concat_ws('|', CAST(t AS VARCHAR), CAST(a AS VARCHAR), '1')), 1, 8)) AS BIGINT) / 4294967296.0 AS draw FROM range(0, 252) x(t), range(0, 10) y(a)), o AS (SELECT time, 'asset_' || a AS asset, 100.0 * product(1.0 + (draw - 0.5) * 0.04) OVER (PARTITION BY a ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px FROM g) SELECT time, asset, {_tidy_sql('px', 6)} FROM o")
