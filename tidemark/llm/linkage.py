@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import scratch, stage
-from .text import U
+from .text import U, give_back
 
 LEADERS = 512
 CHUNK = 4096
@@ -46,6 +46,7 @@ def _verified(sets: DataFrame, percent: int) -> DataFrame:
                     common = int(np.count_nonzero(both[1:] == both[:-1]))
                     keep.append(100 * common >= percent * (total - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     leaders = sets.select(F.col("id").alias("leader"), F.col("hashes").alias("leader_set"))
     led = sets.where("id <> leader").join(leaders, "leader")
@@ -158,6 +159,8 @@ def _grouped_links(percent: int):
             rest = rows.slice(cut)  # its group may go on
         if rest is not None:
             yield links(groups(rest))
+        rest = None
+        give_back()
 
     return run
 

@@ -6,6 +6,7 @@ runs and code-point runs are the same words. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -81,6 +82,19 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield Chunk(slice(at, to), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    give_back()
+
+
+@lru_cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks, and an executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
 
 
 def word_bounds(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
