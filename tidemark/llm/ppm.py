@@ -31,7 +31,7 @@ from .text import U, Chunk, chunks, mix64, row_sums, word_bounds, word_hashes
 ORDER = 5
 SYMBOLS = 257
 END = -1  # the end token among the words
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 GROUP_BYTES = 64_000_000  # of text for each group of items
 LEAST_GROUPS = 32
 FAN_IN = 16
