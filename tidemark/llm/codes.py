@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -97,13 +98,16 @@ class Codebooks:
         """Lowercase hex sha256 of all components in decimal, by part, entry and position, joined by commas."""
         return hashlib.sha256(",".join(map(str, self.books.reshape(-1).tolist())).encode()).hexdigest()
 
+    @cached_property
+    def trees(self) -> list[Ball]:
+        return [ball_tree(book) for book in self.books]
+
     def assign(self, values: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """For runs of rows, the entry and the squared distance of each part."""
-        trees = [ball_tree(book) for book in self.books]
         parts, _, width = self.books.shape
         for at in range(0, len(values), BLOCK):
             own = values[at : at + BLOCK].reshape(-1, parts, width)
-            found = [nearest(self.books[p], trees[p], own[:, p]) for p in range(parts)]
+            found = [nearest(self.books[p], self.trees[p], own[:, p]) for p in range(parts)]
             yield slice(at, at + len(own)), np.stack([f[0] for f in found], axis=1), np.stack([f[1] for f in found], axis=1)
 
 
