@@ -18,6 +18,7 @@ _MODULES = {
     "op8_length_buckets": "packing",
     "op9_mix_sources": "mixing",
     "op10_paragraph_dedup": "substring",
+    "op11_ftrl_toxicity": "toxicity",
     "op12_vector_codes": "codes",
     "op13_fill_in_middle": "infill",
 }
