@@ -16,14 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bucket_of, scratch, stage
+from .shared import bucket_of
 from .text import LOWER, Chunk, U, chunks, column, distinct_sorted, mix64, row_sums, word_bounds, word_hashes
 
 SAMPLE = 20_000  # labelled rows that a fit reads at most
 THRESHOLD = 0.7
 BITS = 18  # of a feature's index
 SHARDS = 4
-FIXED = float(1 << 30)  # changes are summed as integers of this unit, so their order does not matter
 # of words i and i + distance: a pair's salt; at distance 0 the word itself
 _GRAMS = ((0, U(1)), (1, U(0x9E3779B97F4A7C15)), (2, U(0xD1B54A32D192ED03)))
 STEMS = (4, 5, 6, 7)  # leading bytes of a longer word: inflected forms share them
@@ -112,9 +111,9 @@ class Weights:
 def fit(labelled: DataFrame, *, epochs: int = 8, shards: int = SHARDS, bits: int = BITS, alpha: float = 1.0, l1: float = 9.0, l2: float = 0.1, refit_l1: float = 0.125) -> Weights:
     """Weights from ``labelled(id, text, label)``; ids are distinct, and the table is bounded by whoever calls.
 
-    Rows are dealt to ``shards`` by a hash of the id, whatever the partitions are. In an epoch every shard learns from its rows, in
-    order of hash, from the state that the last one left, and the shards' changes are averaged: sums by coordinate in Spark, of which the
-    driver gets one row for each coordinate that moved. So runs agree, and a lost executor costs a shard's pass.
+    Rows are dealt to ``shards`` by a hash of the id, whatever the partitions are, and kept by the executors. In an epoch every shard
+    learns from its rows, in order of hash, from the state that the last one left, and the driver averages the shards' states: two doubles for
+    each coordinate and shard, however large the sample. So runs agree, and a lost executor costs a shard's pass.
 
     After ``epochs`` under the penalty ``l1``, as many more go over the coordinates that it left, from zero and under ``refit_l1``: what
     says which features count shrinks all weights, so the weights are fitted without it.
@@ -129,39 +128,42 @@ def fit(labelled: DataFrame, *, epochs: int = 8, shards: int = SHARDS, bits: int
                 yield pa.RecordBatch.from_arrays([column(batch, "place")[c.rows], column(batch, "label")[c.rows], pa.array(packed, pa.binary())], ["place", "label", "features"])
 
     rows = labelled.select(F.xxhash64("id", F.lit(7)).alias("place"), F.col("label").cast("double").alias("label"), "text")
-    with scratch(labelled.sparkSession):
-        dealt = stage(rows.mapInArrow(hashed, "place long, label double, features binary").withColumn("shard", F.pmod("place", F.lit(shards))), "toxic_features")
+    dealt = rows.mapInArrow(hashed, "place long, label double, features binary").withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).repartition(shards, "shard").persist()
+    try:
         free = np.ones((1 << bits) + 1, bool)
         for penalty in (l1, refit_l1):
             state = Ftrl.begun(free, alpha=alpha, l1=penalty, l2=l2)
             for _ in range(epochs):
                 state = _epoch(dealt, state, shards)
             free = state.weights() != 0
+    finally:
+        dealt.unpersist()
     w = state.weights()
     index = np.flatnonzero(w[:-1])
     return Weights(float(w[-1]), index, w[index], bits)
 
 
 def _epoch(dealt: DataFrame, before: Ftrl, shards: int) -> Ftrl:
+    """The mean of the states in which the shards' rows leave ``before``; a shard without rows leaves it as it is."""
     sent = dealt.sparkSession.sparkContext.broadcast(before)
 
-    def run(own: pa.Table) -> pa.Table:
-        own = own.sort_by([("place", "ascending"), ("label", "ascending")])
-        at = sent.value
-        state = replace(at, z=at.z.copy(), n=at.n.copy())
-        for label, found in zip(own["label"].to_pylist(), own["features"].to_pylist(), strict=True):
-            state.update(np.frombuffer(found, np.uint32), label)
-        moved = np.flatnonzero(state.n != at.n)
-        change = [np.rint((new - old)[moved] * FIXED).astype(np.int64) for new, old in ((state.z, at.z), (state.n, at.n))]
-        return pa.table({"at": moved, "z": change[0], "n": change[1]})
-
-    summed = dealt.groupBy("shard").applyInArrow(run, "at long, z long, n long").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("shard", "ascending"), ("place", "ascending"), ("label", "ascending")])
+        states: dict[int, Ftrl] = {}
+        for shard, label, found in zip(*(rows[k].to_pylist() for k in ("shard", "label", "features")), strict=True):
+            if shard not in states:
+                states[shard] = replace(sent.value, z=sent.value.z.copy(), n=sent.value.n.copy())
+            states[shard].update(np.frombuffer(found, np.uint32), label)
+        yield pa.RecordBatch.from_arrays([pa.array(list(states)), *(pa.array([getattr(s, k).tobytes() for s in states.values()], pa.binary()) for k in "zn")], ["shard", "z", "n"])
+
+    told = dealt.mapInArrow(run, "shard long, z binary, n binary").toArrow().sort_by("shard")
     sent.unpersist()
-    after = replace(before, z=before.z.copy(), n=before.n.copy())
-    at = summed["at"].to_numpy()
-    after.z[at] += summed["z"].to_numpy() / (FIXED * shards)
-    after.n[at] += summed["n"].to_numpy() / (FIXED * shards)
-    return after
+    own = [[np.frombuffer(x, float) for x in told[k].to_pylist()] for k in "zn"]
+    rest = shards - told.num_rows
+    return replace(before, z=sum(own[0], rest * before.z) / shards, n=sum(own[1], rest * before.n) / shards)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, **options) -> Weights:
