@@ -3,14 +3,12 @@ where one is named, NaN is kept unless stated."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.elementwise import EPSILON, div, known, n0, nan
 from .axes import Series
+from .scan import Channel, scanned
 
 
 def lag(x: Column, s: Series, n: int = 1) -> Column:
@@ -172,48 +170,37 @@ def scale_vol(x: Column, s: Series, target: float = 0.1, n: int = 20, periods: f
 # Recursive operators: the state after a row depends on all rows before it.
 
 
-def _smoothed(x: pd.Series, alpha: float, seed: float | None = None) -> np.ndarray:
-    if seed is None:
-        return x.ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return pd.concat([pd.Series([seed]), x]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+def _ema(span: int) -> dict[str, Channel]:
+    return {f"x{span}": ("x", 2.0 / (span + 1))}
 
 
-def _ema(x: pd.Series, span: int) -> np.ndarray:
-    return _smoothed(x, 2.0 / (span + 1))
+def _rsi(n: int) -> dict[str, Channel]:
+    return {f"{kind}{n}": (kind, 1.0 / n) for kind in ("gain", "loss")}
 
 
-def _macd(x: pd.Series, fast: int, slow: int) -> np.ndarray:
-    return _ema(x, fast) - _ema(x, slow)
+def _rsi_of(n: int) -> Column:
+    gain, loss = F.col(f"__gain{n}"), F.col(f"__loss{n}")
+    return F.when(loss > EPSILON, 100.0 - 100.0 / (1.0 + gain / loss)).when(gain > EPSILON, 100.0).otherwise(50.0)
 
 
-def _rsi(x: pd.Series, n: int) -> np.ndarray:
-    change = x.diff().fillna(0.0)
-    gain, loss = _smoothed(change.clip(lower=0), 1.0 / n, 0.0), _smoothed((-change).clip(lower=0), 1.0 / n, 0.0)
-    out = np.where(loss > EPSILON, 100 - 100 / (1 + gain / np.where(loss > EPSILON, loss, 1.0)), np.where(gain > EPSILON, 100.0, 50.0))
-    out[0] = 50.0
-    return out
-
-
-def _macd_histogram(x: pd.Series, fast: int, slow: int, signal: int) -> np.ndarray:
-    line = _macd(x, fast, slow)
-    return line - _ema(pd.Series(line), signal)
-
-
-_RECURSIVE = {"ema": _ema, "macd": _macd, "rsi": _rsi, "macd_histogram": _macd_histogram}
+_RECURSIVE = {
+    "ema": (_ema, lambda span: F.col(f"__x{span}")),
+    "macd": (lambda fast, slow: _ema(fast) | _ema(slow), lambda fast, slow: F.col(f"__x{fast}") - F.col(f"__x{slow}")),
+    "rsi": (_rsi, _rsi_of),
+}
 
 
 def recursive(df: DataFrame, column: str, name: str, s: Series, **calls: tuple) -> DataFrame:
     """``df`` with one column for each call, e.g. ``recursive(df, "px", "ema", s, ema20=(20,))``: all calls share one pass.
 
     Names: ``ema(span)``, ``macd(fast, slow)``, ``macd_histogram(fast, slow, signal)`` (both seeded with the first value),
-    ``rsi(window)`` (averages seeded with 0, the first row 50). NULL counts as 0. A task holds one asset's rows.
+    ``rsi(window)`` (averages seeded with 0, the first row 50). NULL and NaN count as 0. An asset is spread over many tasks.
     """
-    run_one = _RECURSIVE[name]
-    schema = T.StructType([*df.schema, *(T.StructField(k, T.DoubleType()) for k in calls)])
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([s.time, *s.ties], kind="stable").reset_index(drop=True)
-        x = own[column].astype(float).fillna(0.0)
-        return own.assign(**{k: run_one(x, *args) for k, args in calls.items()})
-
-    return df.groupBy(s.asset).applyInPandas(run, schema)
+    if name == "macd_histogram":
+        lined = recursive(df, column, "macd", s, **{f"__line_{k}": args[:2] for k, args in calls.items()})
+        for k, args in calls.items():
+            lined = recursive(lined, f"__line_{k}", "ema", s, **{f"__signal_{k}": args[2:]})
+        return lined.select(*df.columns, *((F.col(f"__line_{k}") - F.col(f"__signal_{k}")).alias(k) for k in calls))
+    channels, told = _RECURSIVE[name]
+    wanted = {f"__{k}": v for args in calls.values() for k, v in channels(*args).items()}
+    return scanned(df, column, s, wanted).select(*df.columns, *(told(*args).alias(k) for k, args in calls.items()))
