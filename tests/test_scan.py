@@ -106,8 +106,8 @@ def test_a_replayed_batch_changes_nothing(spark, ticks, tmp_path):
     panel.append(ticks.where("time >= 300"), 2)
     ticks.limit(3).write.parquet(f"{path}/rows/__version=3")  # a batch that failed before its state was there
     panel.stream(source, f"{path}/check").awaitTermination()  # batch 1 is version 2, which is there
-    assert panel.versions() == [1, 2] and by_key(panel).keys() == wanted(ticks.collect()).keys()
-    assert all(by_key(panel)[k] == pytest.approx(v, abs=1e-9) for k, v in wanted(ticks.collect()).items())
+    got, want = by_key(panel), wanted(ticks.collect())
+    assert panel.versions() == [1, 2] and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
 def test_unknown_computation(spark, tmp_path):

@@ -167,23 +167,104 @@ def _(spark, d):
     return tidy(files.compare_results(one("BUILDING", 1), one("MACHINERY", 2)), 7)
 
 
-# --- a stream of all events, in micro-batches of files
+# --- streams of all events, in micro-batches of files
+
+
+def _as_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """Times are made unique by the event's id in microseconds."""
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("asset"), "event_type", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")).alias("time"), F.col("value").alias("x"), "event_id")
+
+
+_TICKS = "e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS asset, event_type, ts + to_microseconds(event_id) AS time, value FROM events)"
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _parts(ticks: DataFrame, n: int = 3) -> list[DataFrame]:
+    """``ticks`` cut in spans of time of equal length."""
+    time = F.unix_micros("time")
+    span = ticks.agg(F.min(time), F.max(time)).first()
+    if span[0] is None:
+        return [ticks] * n
+    cuts = [span[0] + (span[1] + 1 - span[0]) * k // n for k in range(n + 1)]
+    return [ticks.where((time >= a) & (time < b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _streamed(ticks: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``made`` gives of a stream of ``ticks`` that comes in parts, is stopped after each and goes on, told to its end: a last
+    tick far on, of no asset, moves the watermark past all."""
+    spark, path = ticks.sparkSession, new_path(ticks.sparkSession, "stream")
+    end = ticks.agg((F.max("time") + F.expr("INTERVAL 30 DAYS")).alias("time")).where("time is not null")
+    last = end.select(*((F.col(c) if c == "time" else F.lit(None)).cast(ticks.schema[c].dataType).alias(c) for c in ticks.columns))
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        for part in (*_parts(ticks), last):
+            part.write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
+            made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(_ROCKS[0]) if before is None else spark.conf.set(_ROCKS[0], before)
+    return spark.read.parquet(f"{path}/out").where("asset is not null and asset <> 'None'")
+
+
+_STATE = """r AS (SELECT *, list(value) OVER wc AS xs, coalesce(value - lag(value) OVER wc, 0.0) AS ch FROM e WINDOW wc AS (PARTITION BY asset ORDER BY time)),
+ g AS (SELECT *, row_number() OVER wc AS k, list_reduce(list_prepend(0.0, list(greatest(ch, 0.0)) OVER wc), lambda a, q: a + (q - a) / 14.0) AS gain,
+  list_reduce(list_prepend(0.0, list(greatest(-ch, 0.0)) OVER wc), lambda a, q: a + (q - a) / 14.0) AS loss FROM r WINDOW wc AS (PARTITION BY asset ORDER BY time)),
+ o AS (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std, sum(value) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total, list_reduce(xs, lambda a, q: a + 2.0 / 21.0 * (q - a)) AS ema,
+  CASE WHEN k = 1 THEN 50.0 WHEN loss > 1e-10 THEN 100 - 100 / (1 + gain / loss) WHEN gain > 1e-10 THEN 100.0 ELSE 50.0 END AS rsi
+  FROM g WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+_TOLD = ("mean", "std", "total", "ema", "rsi")
+_TOLD_SQL = ", ".join(f"round({c}, 7) + 0.0 AS {c}" for c in _TOLD)
+
+
+@_query("stream_indicators", f"WITH {_TICKS}, {_STATE} SELECT asset, time, round(value, 7) + 0.0 AS x, {_TOLD_SQL} FROM o")
+def _(spark, d):
+    """All indicators of each user, by a stateful stream that reads all there is and ends."""
+    from ..streaming.online import indicators
+
+    told = _streamed(_as_ticks(spark, d).select("asset", "time", "x"), indicators)
+    return told.select("asset", F.col("time").cast("timestamp_ntz").alias("time"), *((F.round(c, 7) + 0.0).alias(c) for c in ("x", *_TOLD)))
+
+
+@_query("stream_append", f"WITH {_TICKS}, {_STATE} SELECT event_id, {_TOLD_SQL} FROM o")
+def _(spark, d):
+    """The same by a panel that grows in three parts: one to begin with, two as batches of a stream that is stopped and goes on."""
+    from ..operators.axes import Series
+    from ..streaming.incremental import IncrementalPanel
+
+    path, ticks = new_path(spark, "append"), _as_ticks(spark, d).select("asset", "time", "event_id", "x")
+    computes = {"mean": ("rolling_mean", 20), "std": ("rolling_std", 20), "total": ("cumsum",), "ema": ("ema", 20), "rsi": ("rsi", 14)}
+    panel = IncrementalPanel(spark, f"{path}/panel", "x", computes, Series("asset", "time", ("event_id",)))
+    for k, part in enumerate(_parts(ticks)):
+        if k == 0:
+            panel.initialize(part)
+        else:
+            part.write.parquet(f"{path}/in/part={k}")
+            panel.stream(spark.readStream.schema(ticks.schema).parquet(f"{path}/in/*"), f"{path}/check").awaitTermination()
+    return panel.rows().select("event_id", *((F.round(c, 7) + 0.0).alias(c) for c in _TOLD))
 
 
 @_query(
-    "stream_indicators",
-    """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS asset, ts + to_microseconds(event_id) AS time, value FROM events),
- o AS (SELECT asset, time, value, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std, sum(value) OVER (PARTITION BY asset ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM e WINDOW w AS (PARTITION BY asset ORDER BY time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
- SELECT asset, time, round(value, 7) AS x, round(mean, 7) + 0.0 AS mean, round(std, 7) + 0.0 AS std, round(total, 7) + 0.0 AS total FROM o""",
+    "stream_window_buffer",
+    f"""WITH {_TICKS} SELECT event_type AS asset, time, round(value, 7) + 0.0 AS x, count(*) OVER w AS n, round(sum(value) OVER w, 6) + 0.0 AS total, round(min(value) OVER w, 7) + 0.0 AS low, round(max(value) OVER w, 7) + 0.0 AS high
+ FROM e WINDOW w AS (PARTITION BY event_type ORDER BY time RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND CURRENT ROW)""",
 )
 def _(spark, d):
-    """Rolling mean and deviation and the running sum of each user, by a stateful stream that reads all there is and ends."""
-    from ..streaming.online import indicators
+    """What the last six hours held at each event of a type, by event-time timers over a buffer of the window."""
+    from ..streaming.online import window_buffer
+
+    told = _streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", "x"), lambda stream: window_buffer(stream, seconds=6 * 3600.0))
+    return told.select("asset", F.col("time").cast("timestamp_ntz").alias("time"), (F.round("x", 7) + 0.0).alias("x"), "n", (F.round("total", 6) + 0.0).alias("total"), *((F.round(c, 7) + 0.0).alias(c) for c in ("low", "high")))
+
+
+@_query(
+    "stream_bars_of_bars",
+    f"""WITH {_TICKS} SELECT date_trunc('hour', time) AS time, event_type AS asset, round(arg_min(value, time), 7) + 0.0 AS open, round(max(value), 7) + 0.0 AS high, round(min(value), 7) + 0.0 AS low, round(arg_max(value, time), 7) + 0.0 AS close,
+ CAST(count(*) AS DOUBLE) AS volume, count(*) AS n FROM e GROUP BY ALL""",
+)
+def _(spark, d):
+    """Bars of an hour, of bars of five minutes, of bars of a minute, in one stream."""
+    from ..streaming.online import bars_of_bars
 
-    path = new_path(spark, "stream")
-    ticks = table(spark, d, "events").select(F.col("user_id").cast("string").alias("asset"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")).alias("time"), F.col("value").alias("x"))
-    ticks.repartitionByRange(4, "time").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(ticks.schema).parquet(f"{path}/in")
-    query = indicators(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("asset", F.col("time").cast("timestamp_ntz").alias("time"), *((F.round(c, 7) + 0.0).alias(c) for c in ("x", "mean", "std", "total")))
+    told = _streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", F.col("x").alias("px")), bars_of_bars)
+    return told.select(F.col("time").cast("timestamp_ntz").alias("time"), "asset", *((F.round(c, 7) + 0.0).alias(c) for c in ("open", "high", "low", "close")), "volume", "n")

@@ -1,14 +1,16 @@
-"""Structured Streaming: online indicators with state for each asset, and bars with watermarks."""
+"""Structured Streaming: online indicators with state for each asset, time-window buffers, bars, and bars of bars, with watermarks."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 OUT = "asset string, time timestamp, x double, mean double, std double, ema double, total double, rsi double"
 STATE = "last array<double>, ema double, total double, gain double, loss double, before double, n bigint"
@@ -55,12 +57,16 @@ def bars(ticks: DataFrame, *, every: str = "5 minutes", late: str = "10 minutes"
     """
     if ticks.isStreaming:
         ticks = ticks.withWatermark(time, late)
+    made = _bars(ticks, every, asset=asset, time=time, price=price, volume=volume, ties=ties)
+    return made.select(F.col("w.start").alias("time"), "asset", "open", "high", "low", "close", "volume", "n")
+
+
+def _bars(ticks: DataFrame, every: str, *, asset: str = "asset", time: str = "time", price: str = "px", volume: str | None = None, ties: str | None = None) -> DataFrame:
     order = F.struct(time, ties or price)
     size = F.sum(volume) if volume else F.count(F.lit(1)).cast("double")
-    grouped = ticks.groupBy(F.window(time, every).alias("w"), F.col(asset).alias("asset")).agg(
+    return ticks.groupBy(F.window(time, every).alias("w"), F.col(asset).alias("asset")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), size.alias("volume"), F.count(F.lit(1)).alias("n"),
     )
-    return grouped.select(F.col("w.start").alias("time"), "asset", "open", "high", "low", "close", "volume", "n")
 
 
 def sessions(ticks: DataFrame, *, gap: str = "1 hour", late: str = "10 minutes", asset: str = "asset", time: str = "time") -> DataFrame:
@@ -69,3 +75,75 @@ def sessions(ticks: DataFrame, *, gap: str = "1 hour", late: str = "10 minutes",
         ticks = ticks.withWatermark(time, late)
     grouped = ticks.groupBy(F.session_window(time, gap).alias("w"), F.col(asset).alias("asset")).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select("asset", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def bars_of_bars(ticks: DataFrame, every: tuple[str, ...] = ("1 minute", "5 minutes", "60 minutes"), **options) -> DataFrame:
+    """Bars of the last length, made of the bars before them: the first of ticks as ``bars`` makes them, each longer one of the shorter.
+
+    In a stream every length is a state of its own, and one watermark passes on through all by the bars' ``window_time``: a bar
+    goes on to the next length when it is closed. A length must be a multiple of the one before.
+    """
+    ticks = ticks.withWatermark(options.get("time", "time"), options.pop("late", "10 minutes")) if ticks.isStreaming else ticks
+    made = _bars(ticks, every[0], **options)
+    for length in every[1:]:
+        made = made.withColumn("at", F.window_time("w")).groupBy(F.window("at", length).alias("w"), "asset").agg(
+            F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("volume").alias("volume"), F.sum("n").alias("n"),
+        )
+    return made.select(F.col("w.start").alias("time"), "asset", "open", "high", "low", "close", "volume", "n")
+
+
+BUFFERED = "asset string, time timestamp, x double, n bigint, total double, low double, high double"
+
+
+class _Buffer(StatefulProcessor):
+    """An asset's rows that later ones may still look back on, and those whose turn hasn't come. Times are microseconds."""
+
+    def __init__(self, span: int, time: str, value: str) -> None:
+        self.span, self.time, self.value = span, time, value
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "at bigint, x double")
+        self.told = handle.getValueState("told", "at bigint")  # rows up to then are out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows))
+        at = own[self.time].to_numpy("datetime64[us]").astype(np.int64)
+        self.kept.appendList([(int(t), float(x)) for t, x in zip(at, own[self.value].fillna(0.0), strict=True)])
+        self.handle.registerTimer(int(at.min()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = timerValues.getCurrentWatermarkInMs() * 1000
+        told = self.told.get()[0] if self.told.exists() else -(1 << 62)
+        rows = sorted(self.kept.get())
+        at, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+        first, last = np.searchsorted(at, told, "right"), np.searchsorted(at, due, "right")
+        out = []
+        for i in range(first, last):
+            own = x[np.searchsorted(at, at[i] - self.span, "left") : np.searchsorted(at, at[i], "right")]
+            out.append((str(key[0]), pd.Timestamp(int(at[i]), unit="us"), x[i], len(own), own.sum(), own.min(), own.max()))
+        if last < len(at):  # what comes next may look back a span
+            self.handle.registerTimer(int(at[last]) // 1000 + 1)
+        keep = rows[np.searchsorted(at, due - self.span, "left") :]
+        if keep:
+            self.kept.put(keep)
+            self.told.update((max(due, told),))
+        else:
+            self.kept.clear()
+            self.told.clear()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in BUFFERED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def window_buffer(ticks: DataFrame, *, seconds: float = 3600.0, late: str = "10 minutes", asset: str = "asset", time: str = "time", value: str = "x") -> DataFrame:
+    """For each tick the count, sum, least and greatest value of the asset's ticks in the ``seconds`` up to it, both ends and equal times included.
+
+    Works on a stream only, whose state store must be RocksDB. A tick is told once the watermark has passed it, so ticks that come
+    out of order within ``late`` are in their places; later ones are dropped. Ticks that no later one can look back on are dropped from the
+    state, so it holds a window and ``late`` of each asset. NULL values count as 0.
+    """
+    return ticks.withWatermark(time, late).groupBy(asset).transformWithStateInPandas(_Buffer(int(seconds * 1e6), time, value), BUFFERED, "Append", "EventTime")
