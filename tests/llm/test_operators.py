@@ -60,6 +60,51 @@ def test_lookups_read_few_blocks(spark, monkeypatch):
     assert got == [("revisit", 329)] * 2
 
 
+def test_lookups_over_many_index_files(spark, monkeypatch):
+    """Twelve files of the index in four read partitions, which take them by size; one key has a third of the rows."""
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = [(i, f"http://h{i % 37}.example/p{i}", f"page {i}") for i in range(600)] + [(i, "http://h3.example/hot", "hot") for i in range(600, 900)]
+        archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6))
+        assert archive.directory.select("file").distinct().count() >= 8
+        urls = [f"http://h{i % 37}.example/p{i}" for i in range(0, 600, 3)]
+        assert sorted(r["page_id"] for r in archive.lookup(urls).collect()) == list(range(0, 600, 3))
+        assert sorted(r["page_id"] for r in archive.lookup(["http://h3.example/hot", urls[1]]).collect()) == [3, *range(600, 900)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def _samples(monkeypatch, module, name, call):
+    """How many rows ``call`` gives to ``module.name``."""
+    seen = []
+    monkeypatch.setattr(module, name, lambda *args, **_: seen.append(args))
+    call()
+    return seen
+
+
+def test_language_sample_is_bounded_and_not_empty(spark, monkeypatch):
+    """Rows without ids or with one id, a language of one row, more languages than the sample, and repeats."""
+    own = next(i for i in range(9) if bucket(i, 3) != 1)
+    rows = [(None if i % 2 else own, f"text number {i} here", "en" if i else "de") for i in range(3000)] + [(own, "the same text", "fr")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    (x, langs), = _samples(monkeypatch, language, "fit_tree", lambda: language.learn(docs, sample=300))
+    counts = Counter(langs)
+    assert counts["de"] == 1 and counts["fr"] == 1 and 60 <= counts["en"] <= 160 and len(x) == len(langs)
+    many = spark.createDataFrame([(None, f"text {i}", f"l{i:03d}") for i in range(50)], "doc_id long, text string, lang string")
+    (x, langs), = _samples(monkeypatch, language, "fit_tree", lambda: language.learn(many, sample=20))
+    assert sorted(langs) == [f"l{i:03d}" for i in range(20)]
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = [(2 if i < 2000 else i, f"text number {i}.") for i in range(2100)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(2100)], "doc_id long, quality int, toxic int")
+    (table,), = _samples(monkeypatch, quality, "fit_rules", lambda: quality.learn(docs, labels))
+    assert table.count() == sum(bucket(i, 4) != 2 for i in (2, *range(2000, 2100)))
+
+
 def test_archive_of_nothing(spark):
     assert warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string")).records().collect() == []
 

@@ -130,18 +130,22 @@ def fit_tree(x: np.ndarray, languages: list[str]) -> Tree:
 
 
 def learn(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample: int = SAMPLE) -> Tree | None:
-    """Fit on rows with text and language whose crc32 bucket of 3 is not 1: about ``sample`` of them, chosen by hash, each language
-    as many as it has up to an equal share. None without such rows.
+    """Fit on rows with text and language whose crc32 bucket of 3 is not 1: about ``sample`` of them, chosen by a hash of id and text,
+    each language as many as it has up to an equal share, and one at least. None without such rows.
 
-    A null id is learnt from. Rows that repeat an id are chosen together. Texts are read as a whole, however long.
+    A null id is learnt from. Rows equal in id, text and language are one row; others that share an id are chosen each by itself, so the
+    sample is bounded and never empty. Of more than ``sample`` languages the most frequent are learnt, ties by name. Texts are
+    read as a whole, however long.
     """
-    known = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("body")).where("lang is not null and body is not null").where(F.coalesce(bucket_of("id", 3) != 1, F.lit(True)))
-    counts = known.groupBy("lang").count().orderBy("lang").collect()
+    named = docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("body")).where("lang is not null and body is not null").where(F.coalesce(bucket_of("id", 3) != 1, F.lit(True)))
+    known = named.withColumn("place", F.xxhash64("id", "body", F.lit(11)))
+    drawn = F.pmod("place", F.lit(1 << 30))
+    counts = known.select("lang", "place").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.min(drawn).alias("least")).orderBy(F.desc("count"), "lang").limit(sample).collect()
     if not counts:
         return None
     share = sample / len(counts)
-    limit = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, share / r["count"]) * (1 << 30)))))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.element_at(limit, F.col("lang")))
+    limit = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], max(int(min(1.0, share / r["count"]) * (1 << 30)), r["least"] + 1))))
+    chosen = known.where(drawn < F.element_at(limit, F.col("lang"))).groupBy("lang", "place").agg(F.min("id").alias("id"), F.min("body").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,12 +162,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     """Fit on the labelled rows whose crc32 bucket of 4 is not 2; of more than ``sample`` of them, those of the least hashes.
 
     Labels with a null id or quality are not read; of several for an id the greatest counts. Documents with a null id have no label;
-    those that repeat an id are each a row of the sample. Null texts are empty ones. Without labelled rows every score is 0.5.
+    of those that repeat an id, one is learnt from, that whose text has the least hash, so the sample is bounded. Null texts are empty
+    ones. Without labelled rows every score is 0.5.
     """
     ids = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of("doc_id", 4) != 2)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
-    texts = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    return fit_rules(with_statistics(texts.join(F.broadcast(chosen), "__id"), "__text").withColumn("label", F.col("label").cast("double")), **options)
+    texts = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")).join(F.broadcast(chosen), "__id")
+    single = texts.groupBy("__id").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"), F.max("label").alias("label"))
+    return fit_rules(with_statistics(single, "__text").withColumn("label", F.col("label").cast("double")), **options)
 
 
 def with_quality(docs: DataFrame, rules: Rules, *, text_column: str = "text", score_column: str = "score") -> DataFrame:

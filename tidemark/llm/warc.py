@@ -122,7 +122,11 @@ class Archive:
         return read_records(self.entries())
 
     def blocks_of(self, urls: list[str]) -> DataFrame:
-        """The rows of the directory whose blocks can hold one of the URLs, each with its ``keys``."""
+        """The rows of the directory whose blocks can hold one of the URLs, each with its ``keys``.
+
+        A task may read several files of the directory, in any order, so it sorts what it has; ranges don't overlap but in equal keys, so
+        last keys ascend with first ones.
+        """
         keys = sorted({url_key(u) for u in urls})
         in_range = self.directory.where((F.col("first_key") <= keys[-1]) & (F.col("last_key") >= keys[0])) if keys else self.directory.limit(0)
 
@@ -138,7 +142,7 @@ class Archive:
                 rows = sorted(wanted)
                 yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array([wanted[i] for i in rows], pa.list_(pa.string()))], [*batch.schema.names, "keys"])
 
-        return in_range.mapInArrow(find, f"{BLOCK}, keys array<string>")
+        return in_range.sortWithinPartitions("first_key", "last_key").mapInArrow(find, f"{BLOCK}, keys array<string>")
 
     def lookup(self, urls: list[str]) -> DataFrame:
         """Records of the given URLs; reads only the blocks and byte ranges that can hold them."""
