@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import EPSILON
 from ..operators.axes import Section, Series
+from ..operators.selection import exact_quantiles, order_statistics
 from ..storage import stage
 from .backtest import YEAR, cumulative
 
@@ -159,22 +160,24 @@ RETURN_SHOCKS = {"2008_crisis": -0.50, "2020_covid": -0.35, "2022_rates": -0.25,
 def value_at_risk(returns: DataFrame, confidence: float = 0.95, ret: str = "ret") -> DataFrame:
     """One row: historical, parametric and Cornish-Fisher value at risk, and historical and parametric expected shortfall.
 
-    The historical quantile is the return at place floor((1 - confidence) n) in ascending order; the tail is that and all below.
+    The historical quantile is the return at place floor((1 - confidence) n) in ascending order, found by selection, so returns of any
+    number are fine; the tail is that and all below, of equal ones as many as stand up to that place. NULL without returns.
     """
     r, z = F.col(ret), Z.get(confidence, 1.645)
     known = returns.where(r.isNotNull() & ~F.isnan(r))
-    facts = known.agg(F.count(r).alias("n"), F.avg(r).alias("m"), F.stddev_pop(r).alias("sd"), F.coalesce(F.skewness(r), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(r), F.lit(0.0)).alias("kurt"))
-    # floor((1 - c) n) in exact decimals: 0.05 * 100 is 5
-    place = F.floor(F.round((1 - confidence) * F.col("n"), 9))
-    tail = known.join(F.broadcast(facts.select(place.alias("cut"), "n")))
-    ordered = tail.withColumn("at", F.row_number().over(Window.orderBy(ret)) - 1).where(F.col("at") <= F.col("cut")).agg(F.max(ret).alias("q"), F.avg(ret).alias("tail"))
+    got = known.agg(F.count(r).alias("n"), F.avg(r).alias("m"), F.stddev_pop(r).alias("sd"), F.coalesce(F.skewness(r), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(r), F.lit(0.0)).alias("kurt"), F.min(r).alias("low"), F.max(r).alias("high")).first()
+    place = int(round((1 - confidence) * got["n"], 9) // 1)  # in exact decimals: 0.05 * 100 is 5
+    found = order_statistics(known, {ret: [place]}, {ret: (got["n"], got["low"], got["high"])}).get((ret, place))
+    q, below = F.lit(found).cast("double"), r < F.lit(found).cast("double")
+    tail = known.agg(((F.coalesce(F.sum(F.when(below, r)), F.lit(0.0)) + F.max(q) * (F.lit(place + 1) - F.count_if(below))) / (place + 1)).alias("tail"))
+    fact = {k: F.lit(got[k]).cast("double") for k in ("m", "sd", "skew", "kurt")}
     density = 0.3989422804014327 * 2.718281828459045 ** (-z * z / 2)
     lower = -z
-    bent = F.lit(lower) + (lower**2 - 1) * F.col("skew") / 6 + (lower**3 - 3 * lower) * F.col("kurt") / 24 - (2 * lower**3 - 5 * lower) * F.col("skew") * F.col("skew") / 36
-    normal = -(F.col("m") - z * F.col("sd"))
-    return facts.join(F.broadcast(ordered)).select(
-        (-F.col("q")).alias("historical"), normal.alias("parametric"), F.when(F.col("n") < 4, normal).otherwise(-(F.col("m") + bent * F.col("sd"))).alias("cornish_fisher"),
-        (-F.col("tail")).alias("historical_shortfall"), (-(F.col("m") - F.col("sd") * density / (1 - confidence))).alias("parametric_shortfall"),
+    bent = F.lit(lower) + (lower**2 - 1) * fact["skew"] / 6 + (lower**3 - 3 * lower) * fact["kurt"] / 24 - (2 * lower**3 - 5 * lower) * fact["skew"] * fact["skew"] / 36
+    normal = -(fact["m"] - z * fact["sd"])
+    return tail.select(
+        (-q).alias("historical"), normal.alias("parametric"), (normal if got["n"] < 4 else -(fact["m"] + bent * fact["sd"])).alias("cornish_fisher"),
+        (-F.col("tail")).alias("historical_shortfall"), (-(fact["m"] - fact["sd"] * density / (1 - confidence))).alias("parametric_shortfall"),
     )
 
 
@@ -321,8 +324,9 @@ def combined_regime(df: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame, columns: list[str], keys: list[str], *, missing: float = 0.05, outliers: float = 0.05, iqr: float = 1.5, z: float = 3.0) -> DataFrame:
-    """Missing values, outliers by interquartile range and by deviation, and repeated keys."""
-    bounds = df.agg(*(x for c in columns for x in (F.percentile(c, F.lit(0.25)).alias(f"{c}_q1"), F.percentile(c, F.lit(0.75)).alias(f"{c}_q3"), F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"))))
+    """Missing values, outliers by interquartile range and by deviation, and repeated keys. Quartiles are exact and of all rows, NaN left out."""
+    quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in columns})
+    bounds = df.agg(*(x for c in columns for x in (*(F.lit(q).cast("double").alias(f"{c}_{k}") for k, q in zip(("q1", "q3"), quartiles[c], strict=True)), F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"))))
     tested = df.join(F.broadcast(bounds))
     hits = [F.count(F.lit(1)).alias("rows")]
     for c in columns:

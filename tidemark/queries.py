@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis_queries, operator_queries, portfolio_queries
+from .plans import analysis_queries, operator_queries, panel_queries, portfolio_queries
 from .sources import source_queries
 
-_SETS = (operator_queries, analysis_queries, portfolio_queries, source_queries)
+_SETS = (operator_queries, analysis_queries, portfolio_queries, panel_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
