@@ -133,7 +133,36 @@ def _sharpe_sql(test: str) -> str:
  e AS (SELECT *, CASE WHEN abs(train_sharpe) > 1e-10 THEN test_sharpe / train_sharpe ELSE 0 END AS efficiency FROM o) SELECT fold, {_tidy_sql('train_sharpe test_sharpe efficiency')}, efficiency < 0.5 AS overfit FROM e""",
 )
 def _(spark, d):
-    return tidy(bt.walk_forward(returns(spark, d), train=24, test=6))
+    return tidy(bt.walk_forward(returns(spark, d), train=24, test=6).select("fold", "train_sharpe", "test_sharpe", "efficiency", "overfit"))
+
+
+_STEPPED = _RETURNS + """, a AS (SELECT *, row_number() OVER (ORDER BY time) - 1 AS pos, count(*) OVER () AS n FROM pr), ks AS (SELECT CAST(fold AS INT) AS fold, a.* FROM a, range(0, 1000) r(fold) WHERE fold <= (n - 30) / 4 AND {first} <= pos AND pos < 30 + fold * 4),
+ ki AS (SELECT *, CASE WHEN pos < 24 + fold * 4 THEN 'train' ELSE 'test' END AS side FROM ks), cu AS (SELECT *, product(1 + ret) OVER (PARTITION BY fold, side ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM ki),
+ de AS (SELECT *, 1 - equity / greatest(1.0, max(equity) OVER (PARTITION BY fold, side ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS drawdown FROM cu),
+ f AS (SELECT fold, side, min(pos) AS first, max(pos) + 1 AS last, count(*) AS n, product(1 + ret) - 1 AS total_return, avg(ret) AS m, stddev_samp(ret) AS sd, max(drawdown) AS max_drawdown, sqrt(sum(CASE WHEN ret < 0 THEN ret * ret ELSE 0 END) / count(*)) AS down,
+ avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, coalesce(avg(CASE WHEN ret > 0 THEN ret END), 0) AS win, coalesce(-avg(CASE WHEN ret < 0 THEN ret END), 0) AS loss, sum(turnover) / count(*) * 252 AS turnover FROM de GROUP BY 1, 2),
+ e AS (SELECT *, pow(1 + total_return, 252.0 / n) - 1 AS annualized_return FROM f),
+ q AS (SELECT fold, side, first, last, total_return, annualized_return, CASE WHEN sd > 1e-10 THEN m / sd ELSE 0 END * sqrt(252) AS sharpe, max_drawdown, CASE WHEN down > 1e-10 THEN m / down ELSE 0 END * sqrt(252) AS sortino,
+ CASE WHEN max_drawdown > 1e-10 THEN annualized_return / max_drawdown ELSE 0 END AS calmar, win_rate, CASE WHEN loss > 1e-10 THEN win / loss ELSE 0 END AS profit_factor, turnover FROM e)"""
+
+
+@_query("backtest_walk_forward_metrics", f"""WITH {_STEPPED.format(first='fold * 4')} SELECT fold, side, CAST(first AS INT) AS start, CAST("last" AS INT) AS "end", {_tidy_sql(' '.join(bt.METRICS), 6)} FROM q""")
+def _(spark, d):
+    """All metrics of each fold's training and test, in steps shorter than the tests."""
+    told = bt.walk_forward(returns(spark, d), train=24, test=6, step=4)
+    sides = [told.select("fold", F.lit(side).alias("side"), *(F.col(f"{side}_{c}").alias(c) for c in ("start", "end", *bt.METRICS))) for side in ("train", "test")]
+    return tidy(sides[0].unionByName(sides[1]), 6)
+
+
+@_query(
+    "backtest_walk_forward_summary",
+    f"""WITH {_STEPPED.format(first='0')}, p AS (SELECT a.fold, a.sharpe AS tr, b.sharpe AS te, CASE WHEN abs(a.sharpe) > 1e-10 THEN b.sharpe / a.sharpe ELSE 0 END AS eff, b.* FROM q a JOIN q b ON a.fold = b.fold AND a.side = 'train' AND b.side = 'test'),
+ o AS (SELECT count(*) AS folds, avg(tr) AS train_sharpe, avg(te) AS test_sharpe, sum(total_return) AS total_return, max(max_drawdown) AS max_drawdown, CAST(sum(CASE WHEN eff < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS overfit, avg(sortino) AS sortino, avg(calmar) AS calmar, avg(win_rate) AS win_rate, avg(profit_factor) AS profit_factor, avg(turnover) AS turnover FROM p)
+ SELECT folds, overfit, {_tidy_sql('train_sharpe test_sharpe total_return max_drawdown sortino calmar win_rate profit_factor turnover', 6)}, {finite_sql('test_sharpe / train_sharpe', 6)} AS efficiency FROM o""",
+)
+def _(spark, d):
+    """Over folds that train on all rows before their tests."""
+    return tidy(bt.walk_forward_summary(bt.walk_forward(returns(spark, d), train=24, test=6, step=4, expanding=True)), 6)
 
 
 @_query(

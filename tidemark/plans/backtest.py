@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -12,9 +14,9 @@ from ..operators.timeseries import ret
 YEAR = 252.0
 
 
-def _along() -> WindowSpec:
-    """A portfolio's own rows: one for each time, so one task orders them."""
-    return Window.orderBy("time")
+def _along(by: Sequence[str] = ()) -> WindowSpec:
+    """A portfolio's own rows: one for each time, so one task orders them; with ``by``, one task for each portfolio or span."""
+    return Window.partitionBy(*by).orderBy("time") if by else Window.orderBy("time")
 
 
 def portfolio_returns(panel: DataFrame, *, price: str = "px", weight: str = "weight", cost_bps: float = 5.0, s: Series = Series()) -> DataFrame:
@@ -33,10 +35,11 @@ def portfolio_returns(panel: DataFrame, *, price: str = "px", weight: str = "wei
     return sums.withColumn("ret", F.col("gross") - F.col("turnover") * (cost_bps / 10_000.0))
 
 
-def cumulative(returns: DataFrame) -> DataFrame:
-    """``(time, ret, equity, peak, drawdown)``; the peak starts at 1."""
-    grown = returns.withColumn("equity", F.product(1.0 + F.col("ret")).over(_along().rowsBetween(Window.unboundedPreceding, 0)))
-    return grown.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(_along().rowsBetween(Window.unboundedPreceding, 0)))).withColumn("drawdown", 1.0 - F.col("equity") / F.col("peak"))
+def cumulative(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(time, ret, equity, peak, drawdown)``; the peak starts at 1. ``by``: columns of which each value has its own."""
+    so_far = _along(by).rowsBetween(Window.unboundedPreceding, 0)
+    grown = returns.withColumn("equity", F.product(1.0 + F.col("ret")).over(so_far))
+    return grown.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(so_far))).withColumn("drawdown", 1.0 - F.col("equity") / F.col("peak"))
 
 
 def rolling_sharpe(returns: DataFrame, n: int = 20) -> DataFrame:
@@ -51,10 +54,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > EPSILON, a / b).otherwise(0.0)
 
 
-def metrics(returns: DataFrame) -> DataFrame:
-    """One row: returns, Sharpe, drawdown, Sortino, Calmar, hit rate, average win over average loss, and annual turnover."""
+def metrics(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: returns, Sharpe, drawdown, Sortino, Calmar, hit rate, average win over average loss, and annual turnover."""
     r = F.col("ret")
-    facts = cumulative(returns).agg(
+    facts = cumulative(returns, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), (F.product(1.0 + r) - 1.0).alias("total_return"), F.avg(r).alias("m"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("sd"),
         F.max("drawdown").alias("max_drawdown"), F.sqrt(F.sum(F.when(r < 0, r * r).otherwise(0.0)) / F.count(F.lit(1))).alias("down"),
         F.avg((r > 0).cast("double")).alias("win_rate"), F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("win"),
@@ -63,7 +66,7 @@ def metrics(returns: DataFrame) -> DataFrame:
     annual = facts.withColumn("annualized_return", F.pow(1.0 + F.col("total_return"), YEAR / F.col("n")) - 1.0)
     root = F.sqrt(F.lit(YEAR))
     return annual.select(
-        "n", "total_return", "annualized_return", (_ratio(F.col("m"), F.col("sd")) * root).alias("sharpe"), "max_drawdown",
+        *by, "n", "total_return", "annualized_return", (_ratio(F.col("m"), F.col("sd")) * root).alias("sharpe"), "max_drawdown",
         (_ratio(F.col("m"), F.col("down")) * root).alias("sortino"), _ratio(F.col("annualized_return"), F.col("max_drawdown")).alias("calmar"),
         "win_rate", _ratio(F.col("win"), F.col("loss")).alias("profit_factor"), "turnover",
     )
@@ -95,19 +98,43 @@ def rolling_against(returns: DataFrame, benchmark: DataFrame, n: int = 20) -> Da
     return joined.select("time", F.when(full & (var > EPSILON), cov / var).otherwise(0.0).alias("beta"), F.when(full & (both > EPSILON), cov / both).otherwise(0.0).alias("correlation"))
 
 
-def walk_forward(returns: DataFrame, *, train: int, test: int, expanding: bool = False) -> DataFrame:
-    """``(fold, train_sharpe, test_sharpe, efficiency, overfit)``: fold k tests the ``test`` rows after its ``train`` rows (or all before)."""
-    placed = returns.withColumn("at", F.row_number().over(_along()) - 1)
-    n = placed.agg(F.count(F.lit(1))).first()[0]
-    folds = max(0, (n - train) // test)
-    cuts = returns.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"), (F.lit(0) if expanding else F.col("id") * test).alias("from"), (train + F.col("id") * test).alias("cut"), (train + (F.col("id") + 1) * test).alias("to"))
-    inside = placed.join(F.broadcast(cuts), (F.col("at") >= F.col("from")) & (F.col("at") < F.col("to")))
-    root = F.sqrt(F.lit(YEAR))
+METRICS = ("total_return", "annualized_return", "sharpe", "max_drawdown", "sortino", "calmar", "win_rate", "profit_factor", "turnover")
 
-    def sharpe(rows: Column) -> Column:
-        r = F.when(rows, F.col("ret"))
-        return _ratio(F.avg(r), F.coalesce(F.stddev_samp(r), F.lit(0.0))) * root
 
-    told = inside.groupBy("fold").agg(sharpe(F.col("at") < F.col("cut")).alias("train_sharpe"), sharpe(F.col("at") >= F.col("cut")).alias("test_sharpe"))
+def folds(returns: DataFrame, *, train: int, test: int, step: int | None = None, expanding: bool = False) -> DataFrame:
+    """``(fold, side, at, *returns)``: the rows of each fold, ``side`` being train or test and ``at`` a row's number from 0.
+
+    Fold k tests the ``test`` rows that follow the first ``train`` + k ``step`` rows (``step``: ``test`` by default), and trains on the
+    ``train`` rows before them, or on all with ``expanding``. Only whole folds count.
+    """
+    step = test if step is None else step
+    if min(train, test, step) < 1:
+        raise ValueError("train, test and step must be at least 1")
+    at, last = F.col("at"), F.floor((F.col("__n") - train - test) / step)
+    placed = returns.withColumn("at", F.row_number().over(_along()) - 1).join(F.broadcast(returns.agg(F.count(F.lit(1)).alias("__n"))))
+    # a row is in a span of folds: from the first whose test reaches it to the last whose training has begun
+    lowest = F.greatest(F.ceil((at - (train + test) + 1) / step), F.lit(0))
+    highest = last if expanding else F.least(F.floor(at / step), last)
+    each = placed.where(highest >= lowest).withColumn("fold", F.explode(F.sequence(lowest.cast("int"), highest.cast("int"))))
+    side = F.when(at < train + F.col("fold") * step, "train").otherwise("test")
+    return each.drop("__n").withColumn("side", side).select("fold", "side", "at", *returns.columns)
+
+
+def walk_forward(returns: DataFrame, *, train: int, test: int, step: int | None = None, expanding: bool = False) -> DataFrame:
+    """A row for each of the ``folds``: its first and last row numbers, ``train_`` and ``test_`` of all metrics, efficiency and overfit.
+
+    Efficiency is the Sharpe ratio in the test over that in training (0 where that is 0); below a half the fold counts as overfit.
+    """
+    rows = folds(returns, train=train, test=test, step=step, expanding=expanding)
+    spans = rows.groupBy("fold", "side").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end"))
+    told = metrics(rows, ("fold", "side")).join(spans, ["fold", "side"])
+    own = [told.where(F.col("side") == side).select("fold", *(F.col(c).alias(f"{side}_{c}") for c in ("start", "end", *METRICS))) for side in ("train", "test")]
     efficiency = F.when(F.abs("train_sharpe") > EPSILON, F.col("test_sharpe") / F.col("train_sharpe")).otherwise(0.0)
-    return told.withColumn("efficiency", efficiency).withColumn("overfit", F.col("efficiency") < 0.5)
+    return own[0].join(own[1], "fold").withColumn("efficiency", efficiency).withColumn("overfit", F.col("efficiency") < 0.5)
+
+
+def walk_forward_summary(told: DataFrame) -> DataFrame:
+    """One row from ``walk_forward``'s: folds, mean Sharpe ratios, their ratio, and over the tests the sum of returns, the worst drawdown, means of the rest."""
+    mean = {c: F.avg(f"test_{c}").alias(c) for c in ("sortino", "calmar", "win_rate", "profit_factor", "turnover")}
+    sharpe = told.agg(F.count(F.lit(1)).alias("folds"), F.avg("train_sharpe").alias("train_sharpe"), F.avg("test_sharpe").alias("test_sharpe"), F.sum("test_total_return").alias("total_return"), F.max("test_max_drawdown").alias("max_drawdown"), F.sum(F.col("overfit").cast("int")).alias("overfit"), *mean.values())
+    return sharpe.withColumn("efficiency", F.when(F.abs("train_sharpe") > EPSILON, F.col("test_sharpe") / F.col("train_sharpe")).otherwise(0.0))

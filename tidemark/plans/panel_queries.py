@@ -156,3 +156,29 @@ def _(spark, d):
     factors = moves.groupBy("time").agg(F.avg("r").alias("mk"), (F.avg(F.when(F.col("sector") < 12, F.col("r"))) - F.avg(F.when(F.col("sector") >= 12, F.col("r")))).alias("sp"))
     told = joint_exposures(moves.join(factors, "time"), "r", ["mk", "sp"], MONTHLY, _N)
     return tidy(told.select("time", "asset", "alpha", "beta_mk", "beta_sp", "r2"), 5)
+
+
+_MOVE = "(0.95 * q + 0.05 * (1 - q))"
+
+
+@_query(
+    "regime_filtered",
+    f"""WITH {TICKS_SQL}, l AS (SELECT *, exp(-0.5 * pow((coalesce(x, 0) - 15) / 40, 2) + 0.5 * pow((coalesce(x, 0) + 25) / 20, 2) + ln(20) - ln(40)) AS rho FROM t),
+ f AS (SELECT event_id, list_reduce(list_prepend(0.5, list(rho) OVER w), lambda q, r: {_MOVE} * r / ({_MOVE} * r + 1 - {_MOVE})) AS q FROM l WINDOW w AS (PARTITION BY asset ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT event_id, CAST(CASE WHEN q > 0.5 THEN 1 ELSE 0 END AS INT) AS state, round(1 - q, 6) + 0.0 AS low, round(q, 6) + 0.0 AS high FROM f""",
+)
+def _(spark, d):
+    """The chances of a calm and a wild state at each event of a user, given those before, by a scan of state matrices."""
+    from .regimes import Regimes, filtered_regimes
+
+    told = filtered_regimes(ticks(spark, d).select("asset", "time", "event_id", "x"), Regimes.sticky((-25.0, 15.0), (20.0, 40.0)), "x", s=TICKS)
+    return told.select("event_id", "state", (F.round(F.col("chances")[0], 6) + 0.0).alias("low"), (F.round(F.col("chances")[1], 6) + 0.0).alias("high"))
+
+
+@_query("regime_fitted")
+def _(spark, d):
+    """Means and deviations of three states, fitted to all users' events at once."""
+    from .regimes import fitted_regimes
+
+    found = fitted_regimes(ticks(spark, d).select("asset", "time", "event_id", "x"), "x", states=3, rounds=4, s=TICKS)
+    return spark.createDataFrame([(i, round(m, 6), round(v, 6)) for i, (m, v) in enumerate(zip(found.mean, found.std, strict=True))], "state int, mean double, std double")

@@ -1,9 +1,13 @@
-"""Hidden regimes of return series: a two- or three-state Gaussian filter for each asset, and clusters of mean and volatility."""
+"""Hidden regimes of return series: Gaussian filters of few states, fitted for each asset or for all at once, and clusters of mean and volatility."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -11,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.axes import Series
+from ..operators.selection import exact_quantiles
+from ..storage import scratch, stage
 
 
 def _filtered(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
@@ -52,6 +58,118 @@ def hidden_regimes(df: DataFrame, ret: str = "ret", *, states: int = 2, rounds:
     return df.groupBy(s.asset).applyInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Regimes:
+    """A Gaussian for each state, the chances of the first state, and those of moving from state to state."""
+
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+    start: tuple[float, ...]
+    move: tuple[tuple[float, ...], ...]
+
+    @staticmethod
+    def sticky(mean: tuple[float, ...], std: tuple[float, ...], stay: float = 0.95) -> Regimes:
+        """Every state starts alike and is left with the same chance."""
+        k = len(mean)
+        return Regimes(mean, std, (1 / k,) * k, tuple(tuple(stay if i == j else (1 - stay) / max(k - 1, 1) for j in range(k)) for i in range(k)))
+
+    def density(self, x: np.ndarray) -> np.ndarray:
+        """Up to a factor of each value: the greatest of a row is 1."""
+        mean, std = np.array(self.mean), np.array(self.std)
+        log = -0.5 * ((x[:, None] - mean) / std) ** 2 - np.log(std)
+        return np.exp(log - log.max(axis=1, keepdims=True))
+
+
+def _products(steps: np.ndarray) -> np.ndarray:
+    """Each matrix becomes the product of all up to it, each scaled to a sum of 1: chances need no more, and nothing under- or overflows."""
+    out, reach = steps / steps.sum(axis=(1, 2), keepdims=True), 1
+    while reach < len(out):
+        joined = out[:-reach] @ out[reach:]
+        out = np.concatenate((out[:reach], joined / joined.sum(axis=(1, 2), keepdims=True)))
+        reach *= 2
+    return out
+
+
+def filtered_regimes(df: DataFrame, regimes: Regimes, ret: str = "ret", *, s: Series = Series()) -> DataFrame:
+    """``df`` with ``state``, the likeliest of each row given the asset's rows up to it (of equals the first), and ``chances`` of all states.
+
+    The filter is a product of matrices along an asset's rows, so it is a scan: the panel is sorted over all tasks, a task multiplies the
+    matrices of its block, one row for each block tells the chances that the block begins with, and Columns put them in. An asset of
+    any length is many blocks. NULL and NaN count as 0; a NULL asset is an asset.
+    """
+    k = len(regimes.mean)
+    order = [s.asset, s.time, *s.ties]
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__block", F.spark_partition_id()).withColumn("__x", F.coalesce(F.nanvl(F.col(ret).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    move, start = np.array(regimes.move), np.array(regimes.start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen, state = None, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            assets = batch.column(batch.schema.get_field_index(s.asset)).to_pandas()
+            codes = pd.factorize(pd.concat([pd.Series([last], dtype=object), assets.astype(object)]), use_na_sentinel=False)[0]
+            begins = codes[1:] != codes[:-1]
+            density = regimes.density(batch.column(batch.schema.get_field_index("__x")).to_numpy())
+            steps = move[None] * density[:, None, :]
+            steps[begins] = np.broadcast_to((start * density[begins])[:, None, :], (begins.sum(), k, k))  # whatever was before
+            if not seen:  # the block's first row may go on from the block before; which it is is told later
+                steps[0] = np.eye(k)
+            else:
+                steps[0] = state @ steps[0]
+            out = _products(steps)
+            place = np.arange(seen, seen + len(density))
+            last, seen, state = assets.iloc[-1], seen + len(density), out[-1]
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), k * k).cast(pa.list_(pa.float64()))
+            own = pa.FixedSizeListArray.from_arrays(pa.array(density.reshape(-1)), k).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), own, flat], [*batch.schema.names, "__place", "__density", "__product"])
+
+    schema = T.StructType([*spread.schema, T.StructField("__place", T.LongType()), T.StructField("__density", T.ArrayType(T.DoubleType())), T.StructField("__product", T.ArrayType(T.DoubleType()))])
+    blocks = stage(spread.mapInArrow(run, schema), "regimes")
+    ends = F.struct(F.col(s.asset).alias("asset"), "__density", "__product")
+    told = blocks.groupBy("__block").agg(F.min_by(ends, "__place").alias("first"), F.max_by(ends, "__place").alias("last")).orderBy("__block").collect()
+    begun, before = [], None
+    for block in told:
+        first, last = block["first"], block["last"]
+        prior = before[1] @ move if before is not None and before[0] == first["asset"] else start
+        entered = prior * np.array(first["__density"])
+        entered = entered / entered.sum()
+        begun.append((block["__block"], entered.tolist()))
+        after = entered @ np.array(last["__product"]).reshape(k, k)
+        before = (last["asset"], after / after.sum())
+    table = df.sparkSession.createDataFrame(begun, "__block int, __in array<double>")
+    raw = [sum((F.col("__in")[i] * F.col("__product")[i * k + j] for i in range(k)), F.lit(0.0)) for j in range(k)]
+    total = sum(raw[1:], raw[0])
+    chances = blocks.join(F.broadcast(table), "__block").select(*(F.col(f"`{c}`") for c in df.columns if c not in ("state", "chances")), F.array(*(x / total for x in raw)).alias("chances"))
+    return chances.withColumn("state", (F.array_position("chances", F.array_max("chances")) - 1).cast("int"))
+
+
+def fitted_regimes(df: DataFrame, ret: str = "ret", *, states: int = 2, rounds: int = 5, stay: float = 0.95, s: Series = Series()) -> Regimes:
+    """One set of regimes for all assets' rows: Gaussians re-estimated ``rounds`` times from the filtered chances, in order of means.
+
+    They begin at the middles of ``states`` equal parts of the values, exact quantiles of all rows, with the deviation of all. A round
+    is one scan, and sums of three numbers a state in the tasks; nothing but these comes to the driver. NULL and NaN count as 0.
+    """
+    x = F.coalesce(F.nanvl(F.col(ret).cast("double"), F.lit(0.0)), F.lit(0.0))
+    own = df.select(*dict.fromkeys((s.asset, s.time, *s.ties)), x.alias("__ret"))
+    spread = own.agg(F.stddev_pop("__ret")).first()[0]
+    if spread is None:
+        raise ValueError("no rows to fit")
+    now = Regimes.sticky(tuple(exact_quantiles(own, {"__ret": [(i + 0.5) / states for i in range(states)]})["__ret"]), (max(spread, 1e-6),) * states, stay)
+    for _ in range(rounds):
+        with scratch(df.sparkSession):
+            p = filtered_regimes(own, now, "__ret", s=s)
+            weight = [F.col("chances")[i] for i in range(states)]
+            row = p.agg(*(f(w).alias(f"{k}{i}") for i, w in enumerate(weight) for k, f in (("n", F.sum), ("m", lambda w: F.sum(w * F.col("__ret"))), ("q", lambda w, i=i: F.sum(w * (F.col("__ret") - now.mean[i]) * (F.col("__ret") - now.mean[i])))))).first()
+        n = [row[f"n{i}"] + 1e-12 for i in range(states)]
+        mean = [row[f"m{i}"] / n[i] for i in range(states)]
+        # squares about the mean before, moved to the new one
+        std = [max(row[f"q{i}"] / n[i] - (mean[i] - now.mean[i]) ** 2, 0.0) ** 0.5 for i in range(states)]
+        now = replace(now, mean=tuple(mean), std=tuple(max(v, 1e-6) for v in std))
+    order = np.argsort(now.mean, kind="stable").tolist()
+    return replace(now, mean=tuple(now.mean[i] for i in order), std=tuple(now.std[i] for i in order))
+
+
 def clustered_regimes(df: DataFrame, ret: str = "ret", *, clusters: int = 3, n: int = 20, s: Series = Series(), seed: int = 3) -> DataFrame:
     """``df`` with the cluster (0: lowest mean return) of its window's mean and volatility, over the rows with a full window."""
     full = df.withColumns({"__mean": F.avg(ret).over(s.last(n)), "__vol": F.stddev_pop(ret).over(s.last(n)), "__n": F.count(ret).over(s.last(n))}).where(F.col("__n") >= n)

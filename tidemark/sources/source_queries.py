@@ -167,6 +167,32 @@ def _(spark, d):
     return tidy(files.compare_results(one("BUILDING", 1), one("MACHINERY", 2)), 7)
 
 
+@_query(
+    "results_upsert",
+    f"""WITH {_RESULTS} SELECT strategy, c_nationkey, {finite_sql('CASE WHEN c_nationkey % 3 = 0 THEN sharpe + 1 ELSE sharpe END', 7)} AS sharpe, CASE WHEN c_nationkey % 3 = 0 THEN 3 WHEN c_nationkey % 2 = 0 THEN 2 ELSE 1 END AS round FROM rs""",
+)
+def _(spark, d):
+    """Saved whole, then every second result anew, then every third with another Sharpe ratio: one row for each at the end."""
+    from .results import stored_results, upsert_results
+
+    path, first = new_path(spark, "upsert"), _stored(spark, d).withColumn("round", F.lit(1))
+    upsert_results(first, path, order="round")
+    upsert_results(first.where("c_nationkey % 2 = 0").withColumn("round", F.lit(2)), path, order="round")
+    upsert_results(first.where("c_nationkey % 3 = 0").withColumns({"round": F.lit(3), "sharpe": F.col("sharpe") + 1}), path, order="round")
+    return tidy(stored_results(spark, path).select("strategy", "c_nationkey", "sharpe", "round"), 7)
+
+
+@_query("source_arrow", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) + 0.0 AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'F'")
+def _(spark, d):
+    """Written to Arrow files and read back, four columns of all, with filters."""
+    from .arrow import read_arrow, write_arrow
+
+    path = new_path(spark, "arrow")
+    write_arrow(table(spark, d, "orders"), path.removeprefix("file://"))
+    found = read_arrow(spark, path.removeprefix("file://"), columns=["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    return found.where("o_totalprice > 150000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 2) + 0.0).alias("o_totalprice"), F.to_date("o_orderdate").alias("o_orderdate"))
+
+
 # --- streams of all events, in micro-batches of files
 
 
