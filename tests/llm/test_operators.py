@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,25 @@ def test_edits_and_sketches(spark):
     assert fingerprint.fingerprints_with_edits(empty(spark)).collect() == []
 
 
+def test_sketches_of_another_fraction(spark):
+    """Counts, unions and likeness of sketches that retain one in 2, 4 and 8."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(9000)]
+    rng.shuffle(words)
+    a, b = " ".join(words[:6000]), " ".join(words[3000:])
+    made = {f: [fingerprint.sketches(pa.array([t]), fraction=f)[0][0] for t in (a, b)] for f in (2, 4, 8)}
+    assert [fingerprint.fraction_of(s) for f in made for s in made[f]] == [2, 2, 4, 4, 8, 8]
+    rows = [(f, g, made[f][0], made[g][1]) for f in made for g in made]
+    df = spark.createDataFrame(rows, "f int, g int, a string, b string")
+    for r in df.select("*", fingerprint.merged("a", "b").alias("u"), fingerprint.likeness("a", "b").alias("l"), fingerprint.containment("a", "b").alias("c")).collect():
+        assert fingerprint.fraction_of(r["u"]) == max(r["f"], r["g"])
+        assert int(r["u"].split(".")[0], 16) == pytest.approx(9000, rel=0.1) and r["l"] == pytest.approx(1 / 3, abs=0.06) and r["c"] == pytest.approx(0.5, abs=0.08)
+    grouped = df.selectExpr("f + g as k", "a as fingerprint").union(df.selectExpr("f + g as k", "b as fingerprint"))
+    for r in fingerprint.merged_by(grouped, ["k"]).collect():
+        most = {4: 2, 6: 4, 8: 4, 10: 8, 12: 8, 16: 8}[r["k"]]
+        assert fingerprint.fraction_of(r["fingerprint"]) == most and int(r["fingerprint"].split(".")[0], 16) == pytest.approx(9000, rel=0.1)
+
+
 def test_containment_and_union(spark):
     rng = random.Random(2)
     small, large = prose(rng, 400, 9999), prose(rng, 6000, 9999)
@@ -241,6 +261,28 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("most_cells", [4096, 4])
+def test_neighbours_through_cells_slices_and_blocks(spark, monkeypatch, most_cells):
+    """Many cells, few cells of many slices, and several blocks of queries, on clusters and a third of equal vectors."""
+    for name, value in (("SHARD_ROWS", 120), ("QUERY_ROWS", 16), ("SAMPLE_ROWS", 400), ("MOST_CELLS", most_cells)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1800, 16)) + 3 * rng.normal(size=(30, 16))[rng.integers(0, 30, 1800)]
+    x[600:1200] = x[600]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1800)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 1800, 20))
+    hits = 0
+    for q, found in got.items():
+        scores = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(1800), -scores.round(9))) if i != q][:20]
+        assert [k for k, _, _ in sorted(found)] == list(range(1, 21)) and all(s == pytest.approx(scores[i]) for _, i, s in found)
+        hits += sum(scores[i] >= scores[order[-1]] - 1e-9 for _, i, _ in found)
+    assert hits / (20 * len(got)) >= 0.95
+
+
 def test_chi_square_quantiles():
     assert neighbours.chi_square_quantile(0.95, 1) == pytest.approx(3.841459, abs=1e-5)
     assert neighbours.chi_square_quantile(0.98, 16) == pytest.approx(29.6332, abs=1e-3)

@@ -37,12 +37,33 @@ def sketches(texts: pa.Array, width: int = WIDTH, fraction: int = FRACTION) -> t
         raw = np.ascontiguousarray(short.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
         for i, n in enumerate(np.diff(offsets).tolist()):
             a, b = int(total[i]), int(total[i + 1])
-            words.append(f"{n:x}.{int(digest[i]) & 0xFFFFFFFFFFFFFFFF:016x}.{b64encode(raw[6 * a : 6 * b]).decode()}")
+            words.append(f"{n:x}.{int(digest[i]) & 0xFFFFFFFFFFFFFFFF:016x}.{b64encode(raw[6 * a : 6 * b]).decode()}{_tag(fraction)}")
             kept.append(short[a:b])
         digests.append(digest)
     return words, kept, np.concatenate(digests) if digests else np.zeros(0, np.int64)
 
 
+def _tag(fraction: int) -> str:
+    """What a sketch of another fraction than ``FRACTION`` ends with."""
+    return "" if fraction == FRACTION else f".{fraction}"
+
+
+def fraction_of(sketch: str) -> int:
+    parts = sketch.split(".")
+    return int(parts[3]) if len(parts) > 3 else FRACTION
+
+
+def _below(hashes: np.ndarray, fraction: int) -> np.ndarray:
+    """Those of the retained hashes that a sketch of ``fraction`` retains."""
+    return hashes[hashes < U((1 << 64) // fraction >> 16)]
+
+
+def _paired(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    """Both sketches' hashes below the lower of their thresholds."""
+    fraction = max(fraction_of(a), fraction_of(b))
+    return _below(retained(a), fraction), _below(retained(b), fraction)
+
+
 def retained(sketch: str) -> np.ndarray:
     raw = np.frombuffer(b64decode(sketch.split(".")[2]), np.uint8).reshape(-1, 6)
     return np.concatenate((np.zeros((len(raw), 2), np.uint8), raw), axis=1).copy().view(">u8").reshape(-1).astype(U)
@@ -64,29 +85,31 @@ def _likeness(a: np.ndarray, b: np.ndarray, same: bool) -> float:
 @F.pandas_udf(T.DoubleType())
 def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     """Estimated Jaccard similarity of two sketches; equal shingle sets: 1, nothing retained in common: 0."""
-    return pd.Series([_likeness(retained(a), retained(b), a.split(".")[:2] == b.split(".")[:2]) for a, b in zip(left, right, strict=True)], dtype=float)
+    return pd.Series([_likeness(*_paired(a, b), a.split(".")[:2] == b.split(".")[:2]) for a, b in zip(left, right, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def containment(part: pd.Series, whole: pd.Series) -> pd.Series:
     """Estimated share of the first sketch's shingles that the second has; null if the first retains none."""
-    return pd.Series([_common(x, retained(b)) / len(x) if len(x := retained(a)) else None for a, b in zip(part, whole, strict=True)], dtype=float)
+    pairs = (_paired(a, b) for a, b in zip(part, whole, strict=True))
+    return pd.Series([_common(x, y) / len(x) if len(x) else None for x, y in pairs], dtype=float)
 
 
-def _sketch_of(hashes: np.ndarray) -> str:
+def _sketch_of(hashes: np.ndarray, fraction: int) -> str:
     """The sketch of a union: its count is an estimate, and its digest is that of the retained hashes, so equal unions have equal sketches."""
     digest = int(mix64(hashes + U(1)).sum(dtype=U))
-    return f"{len(hashes) * FRACTION:x}.{digest:016x}.{b64encode(hashes.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}"
+    return f"{len(hashes) * fraction:x}.{digest:016x}.{b64encode(hashes.astype('>u8').view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()).decode()}{_tag(fraction)}"
 
 
 @F.pandas_udf(T.StringType())
 def merged(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sketch of the union of two sketches' texts; two equal sketches are their own union."""
-    return pd.Series([a if a == b else _sketch_of(np.union1d(retained(a), retained(b))) for a, b in zip(left, right, strict=True)], dtype=object)
+    """Sketch of the union of two sketches' texts; two equal sketches are their own union. Of two fractions the union has the smaller share."""
+    return pd.Series([a if a == b else _sketch_of(np.union1d(*_paired(a, b)), max(fraction_of(a), fraction_of(b))) for a, b in zip(left, right, strict=True)], dtype=object)
 
 
 def merged_by(sketched: DataFrame, keys: list[str], *, sketch_column: str = "fingerprint") -> DataFrame:
-    """``(keys, sketch_column)``: the sketch of the union of each group's texts; null sketches count for nothing.
+    """``(keys, sketch_column)``: the sketch of the union of each group's texts; null sketches count for nothing. Of
+    several fractions in a group the union has the smallest share.
 
     The retained hashes are summed up as sets: distinct before they move and after, then packed by ranges of the hash, so no task holds
     more of a group than its distinct hashes, which are the sketch itself.
@@ -102,14 +125,15 @@ def merged_by(sketched: DataFrame, keys: list[str], *, sketch_column: str = "fin
     schema = T.StructType([*(sketched.schema[k] for k in keys), T.StructField("hash", T.LongType())])
 
     @F.pandas_udf(T.StringType())
-    def packed(sets: pd.Series) -> pd.Series:
-        return pd.Series([_sketch_of(np.sort(np.asarray(x, np.int64)).view(U)) for x in sets], dtype=object)
+    def packed(sets: pd.Series, fractions: pd.Series) -> pd.Series:
+        return pd.Series([_sketch_of(_below(np.sort(np.asarray(x, np.int64)).view(U), int(f)), int(f)) for x, f in zip(sets, fractions, strict=True)], dtype=object)
 
     unions = named.mapInArrow(hashes, schema).distinct().groupBy(*keys).agg(F.collect_list("hash").alias("__hashes"))
-    every = named.select(*keys).distinct()
+    own = F.coalesce(F.try_element_at(F.split(sketch_column, "[.]"), F.lit(4)).cast("int"), F.lit(FRACTION))
+    every = named.groupBy(*keys).agg(F.max(own).alias("__fraction"))
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     joined = every.join(unions.withColumnsRenamed({k: f"__{k}" for k in keys}), same, "left")
-    return joined.select(*keys, packed(F.coalesce("__hashes", F.array().cast("array<long>"))).alias(sketch_column))
+    return joined.select(*keys, packed(F.coalesce("__hashes", F.array().cast("array<long>")), "__fraction").alias(sketch_column))
 
 
 def _with_next(docs: DataFrame) -> DataFrame:
