@@ -19,6 +19,7 @@ from tidemark.llm.quality import THRESHOLD, learn, with_quality
 from tidemark.llm.ranking import ranked
 from tidemark.llm.shared import side, stage
 from tidemark.llm.substring import cut_repeats, repeated_spans
+from tidemark.storage import drop, new_path, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,9 +87,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage(docs, name)
-    return docs
+    """The last stage's rows. A stage's table, and what it staged on the way, is deleted as soon as the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, apply in STAGES[:-1]:
+        path = new_path(spark, name)
+        with scratch(spark):
+            made = apply(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            drop(spark, [before])
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
