@@ -530,9 +530,12 @@ def _(spark, d):
  FROM events GROUP BY 1, 2""",
 )
 def _(spark, d):
+    """Daily bars of each type, by a stream that comes in parts."""
+    from ..sources.source_queries import streamed
     from ..streaming.online import bars
 
-    return bars(table(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("ts").alias("time"), F.col("value").alias("px"), "event_id"), every="1 day", ties="event_id")
+    ticks = table(spark, d, "events").select(F.col("event_type").alias("asset"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("px"), "event_id")
+    return streamed(ticks, lambda stream: bars(stream, every="1 day", ties="event_id")).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @_query(
@@ -541,9 +544,13 @@ def _(spark, d):
  SELECT user_id AS asset, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def _(spark, d):
+    """Each user's sessions, by a stream that comes in parts."""
+    from ..sources.source_queries import streamed
     from ..streaming.online import sessions
 
-    return sessions(table(spark, d, "events").select(F.col("user_id").alias("asset"), F.col("ts").alias("time")), gap="6 hours")
+    ticks = table(spark, d, "events").select(F.col("user_id").alias("asset"), F.col("ts").cast("timestamp").alias("time"))
+    told = streamed(ticks, lambda stream: sessions(stream, gap="6 hours"))
+    return told.withColumns({k: F.col(k).cast("timestamp_ntz") for k in ("start", "end")})
 
 
 _SIGNAL = "SELECT time, asset, CASE WHEN q IS NULL THEN NULL WHEN (stddev_pop(q) OVER s) > 1e-10 THEN (q - avg(q) OVER s) / (stddev_pop(q) OVER s) ELSE 0 END AS signal FROM q WINDOW s AS (PARTITION BY time)"

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import crosssection as xs
 from . import analytics as an
 from . import constraints as cs
-from .analysis_queries import _RETURNS, _WEIGHTED, _tidy_sql, returns, tidy, weighted
-from .panels import MONTHLY, MONTHS, MONTHS_SQL, months, table
+from .analysis_queries import _KINDS, _RETURNS, _WEIGHTED, _tidy_sql, returns, tidy, weighted
+from .panels import DAYS_SQL, MONTHLY, MONTHS, MONTHS_SQL, days, months, table
 from .rigor import expected_best_sharpe, rigor_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,17 +301,18 @@ def _(spark, d):
     return tidy(spark.createDataFrame([(int(a), float(x), float(y)) for a, x, y in zip(names, prior, posterior, strict=True)], "asset int, prior double, posterior double"))
 
 
-def _held(spark: SparkSession, d: str) -> DataFrame:
-    own = Window.partitionBy("asset").orderBy("time")
-    return weighted(spark, d).select("time", "asset", F.lag("weight").over(own).alias("weight"), F.col("r").alias("ret"))
+_DAILY = _RETURNS.replace(MONTHS_SQL, DAYS_SQL).replace("FROM m)", "FROM d)")
 
 
 @_query(
     "report_positions",
-    f"""WITH {_RETURNS} SELECT time AS date, {', '.join(f'round(coalesce(max(CASE WHEN asset = {a} THEN held END), 0), 6) + 0.0 AS "{a}_weight", round(coalesce(max(CASE WHEN asset = {a} THEN r END), 0), 6) + 0.0 AS "{a}_return"' for a in range(1, 6))} FROM legs GROUP BY time""",
+    f"""WITH {_DAILY} SELECT time AS date, {', '.join(f"round(coalesce(max(CASE WHEN asset = '{a}' THEN held END), 0), 6) + 0.0 AS {a}_weight, round(coalesce(max(CASE WHEN asset = '{a}' THEN r END), 0), 6) + 0.0 AS {a}_return" for a in _KINDS)} FROM legs GROUP BY time""",
 )
 def _(spark, d):
-    """A column pair for each of five assets named; every time has its row."""
+    """A column pair for each event type, long yesterday's best and short its worst; every day has its row."""
+    from ..operators import timeseries as ts
     from ..sources.files import position_history
 
-    return tidy(position_history(_held(spark, d), assets=["1", "2", "3", "4", "5"]), 6)
+    moves = days(spark, d).withColumn("r", ts.ret(F.col("px"), MONTHLY))
+    held = moves.withColumn("weight", xs.extreme_weights(F.col("r"), MONTHS)).withColumn("weight", F.lag("weight").over(MONTHLY.rows()))
+    return tidy(position_history(held, ret="r", assets=list(_KINDS)), 6)

@@ -215,7 +215,7 @@ def _parts(ticks: DataFrame, n: int = 3) -> list[DataFrame]:
     return [ticks.where((time >= a) & (time < b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _streamed(ticks: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def streamed(ticks: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``made`` gives of a stream of ``ticks`` that comes in parts, is stopped after each and goes on, told to its end: a last
     tick far on, of no asset, moves the watermark past all."""
     spark, path = ticks.sparkSession, new_path(ticks.sparkSession, "stream")
@@ -230,7 +230,7 @@ def _streamed(ticks: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataF
             made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(_ROCKS[0]) if before is None else spark.conf.set(_ROCKS[0], before)
-    return spark.read.parquet(f"{path}/out").where("asset is not null and asset <> 'None'")
+    return spark.read.parquet(f"{path}/out").where("asset is not null and cast(asset as string) <> 'None'")
 
 
 _STATE = """r AS (SELECT *, list(value) OVER wc AS xs, coalesce(value - lag(value) OVER wc, 0.0) AS ch FROM e WINDOW wc AS (PARTITION BY asset ORDER BY time)),
@@ -248,7 +248,7 @@ def _(spark, d):
     """All indicators of each user, by a stateful stream that reads all there is and ends."""
     from ..streaming.online import indicators
 
-    told = _streamed(_as_ticks(spark, d).select("asset", "time", "x"), indicators)
+    told = streamed(_as_ticks(spark, d).select("asset", "time", "x"), indicators)
     return told.select("asset", F.col("time").cast("timestamp_ntz").alias("time"), *((F.round(c, 7) + 0.0).alias(c) for c in ("x", *_TOLD)))
 
 
@@ -279,7 +279,7 @@ def _(spark, d):
     """What the last six hours held at each event of a type, by event-time timers over a buffer of the window."""
     from ..streaming.online import window_buffer
 
-    told = _streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", "x"), lambda stream: window_buffer(stream, seconds=6 * 3600.0))
+    told = streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", "x"), lambda stream: window_buffer(stream, seconds=6 * 3600.0))
     return told.select("asset", F.col("time").cast("timestamp_ntz").alias("time"), (F.round("x", 7) + 0.0).alias("x"), "n", (F.round("total", 6) + 0.0).alias("total"), *((F.round(c, 7) + 0.0).alias(c) for c in ("low", "high")))
 
 
@@ -292,5 +292,5 @@ def _(spark, d):
     """Bars of an hour, of bars of five minutes, of bars of a minute, in one stream."""
     from ..streaming.online import bars_of_bars
 
-    told = _streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", F.col("x").alias("px")), bars_of_bars)
+    told = streamed(_as_ticks(spark, d).select(F.col("event_type").alias("asset"), "time", F.col("x").alias("px")), bars_of_bars)
     return told.select(F.col("time").cast("timestamp_ntz").alias("time"), "asset", *((F.round(c, 7) + 0.0).alias(c) for c in ("open", "high", "low", "close")), "volume", "n")
