@@ -171,3 +171,42 @@ def test_hidden_and_clustered_regimes_tell_calm_from_wild(spark, series):
         rows = [r for r in told.collect() if r["time"] % 200 >= 40]
         right = sum((r[name] == 1) == ((r["time"] // 200) % 2 == 0) for r in rows)
         assert right / len(rows) >= 0.85
+
+
+def test_load_options(spark, tmp_path):
+    from tidemark.sources.loading import load
+
+    path = f"{tmp_path}/p.csv"
+    spark.createDataFrame([("10.5", "2024-01-01", "x"), ("8", "2024-01-02", "7.9"), (None, "no date", "3"), ("4", "2024-01-03 10:00:00", None)], "a string, day string, b string").coalesce(1).write.csv(path, header=True)
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    days = [date(2024, 1, i) for i in (1, 2, 3)]
+    assert key(load(spark, path, date_col="day").collect()) == key([(days[0], 10.5, None), (days[1], 8.0, 7.9), (None, None, 3.0), (days[2], 4.0, None)])
+    assert key(load(spark, path, date_col="day", dtype="int64").collect()) == key([(days[0], 10, None), (days[1], 8, 7), (None, None, 3), (days[2], 4, None)])
+    got = load(spark, path, date_col="day", dtype="category", columns=["b"])
+    assert key(got.collect()) == key([(days[0], "x", 2), (days[1], "7.9", 1), (None, "3", 0), (days[2], None, None)])
+    assert load(spark, path, date_col="day", dtype="float32", columns=["a"]).schema["a"].dataType.typeName() == "float"
+    actions = spark.createDataFrame([("a", days[1], "split", 2.0), ("a", days[2], "dividend", 10.0), ("b", days[2], "reverse_split", 3.0)], "symbol string, date date, action string, value double")
+    split = {r["date"]: (r["a"], r["b"]) for r in load(spark, path, date_col="day", adjust="split", actions=actions).collect()}
+    assert split == {days[0]: (5.25, None), days[1]: (8.0, pytest.approx(23.7)), None: (None, 3.0), days[2]: (4.0, None)}
+    both = {r["date"]: r["a"] for r in load(spark, path, date_col="day", adjust="split_div", actions=actions).collect()}
+    assert both == {days[0]: pytest.approx(5.25 * 0.9), days[1]: pytest.approx(7.2), None: None, days[2]: 4.0}
+    for options in ({"dtype": "decimal"}, {"adjust": "all"}, {"adjust": "split"}, {"date_col": "nope"}):
+        with pytest.raises(ValueError):
+            load(spark, path, **options)
+
+
+def test_frontier_and_greatest_sharpe_beat_random_weights():
+    from tidemark.plans import optimise as op
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 5)) @ rng.standard_normal((5, 5)) * 0.01
+    mean, cov = np.array([0.001, 0.0004, 0.0008, -0.0002, 0.0006]), np.cov(x.T)
+    tried = rng.dirichlet(np.ones(5) * 0.5, 4000)
+    returns, vols = tried @ mean * 252, np.sqrt(np.einsum("ij,jk,ik->i", tried, cov, tried) * 252)
+    best = op.max_sharpe(mean, cov)
+    assert best.sum() == pytest.approx(1) and best.min() >= 0 and (mean @ best * 252) / np.sqrt(best @ cov @ best * 252) >= 0.98 * (returns / vols).max()
+    points = op.efficient_frontier(mean, cov)
+    assert len(points) == 20 and all(a[1] <= b[1] + 1e-9 and a[0] <= b[0] + 1e-9 for a, b in zip(points, points[1:], strict=False))
+    for told, vol, w in points:
+        assert w.sum() == pytest.approx(1) and w.min() >= -1e-12
+        assert not np.any((returns > told + 0.01) & (vols < vol - 0.005))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.analysis_queries import _CUMULATIVE, _tidy_sql, returns, tidy
+from ..plans.analysis_queries import _CUMULATIVE, _KINDS, _tidy_sql, returns, tidy
 from ..plans.panels import DAYS_SQL, days, finite_sql, table
 from ..storage import new_path
 from . import files
@@ -193,6 +193,44 @@ def _(spark, d):
     return found.where("o_totalprice > 150000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 2) + 0.0).alias("o_totalprice"), F.to_date("o_orderdate").alias("o_orderdate"))
 
 
+_SPLITS = "ac AS (SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS date, CASE WHEN day(ts) = 10 THEN 'split' ELSE 'dividend' END AS action, CASE WHEN day(ts) = 10 THEN 2.0 ELSE 5.0 END AS value FROM events WHERE day(ts) IN (10, 20) AND event_type <> 'view')"
+
+
+def _load_sql(which: str) -> str:
+    factor = f"(SELECT coalesce(product(CASE action WHEN 'split' THEN 1 / value ELSE 1 - value / 100 END), 1) FROM ac WHERE symbol = d.asset AND ac.date > d.time AND action IN ({which}))"
+    return f"WITH {DAYS_SQL}, {_SPLITS}, p AS (SELECT time, asset, px * {factor} AS px FROM d) SELECT time AS date, {', '.join(f'{finite_sql(f"max(CASE WHEN asset = {k!r} THEN px END)", 6)} AS {k}' for k in _KINDS)} FROM p GROUP BY time"
+
+
+def _load_query(adjust: str) -> None:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """The daily prices of all event types, written as CSV with their dates in the last column, loaded and adjusted."""
+        from .loading import load
+
+        path = f"{new_path(spark, 'load')}.csv"
+        wide = files.to_wide(days(spark, d).select("time", "asset", "px"), assets=list(_KINDS))
+        wide.select(*_KINDS, F.col("time").cast("string").alias("day")).write.csv(path, header=True)
+        events, day = table(spark, d, "events").where("event_type <> 'view'"), F.dayofmonth("ts")
+        actions = events.where(day.isin(10, 20)).select(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date"), F.when(day == 10, "split").otherwise("dividend").alias("action"), F.when(day == 10, 2.0).otherwise(5.0).alias("value")).distinct()
+        return tidy(load(spark, path, date_col="day", adjust=adjust, actions=actions), 6)
+
+    which = {"none": "''", "split": "'split'", "split_div": "'split', 'dividend'"}[adjust]
+    QUERIES[f"source_load_{adjust}"], ORACLES[f"source_load_{adjust}"] = query, _load_sql(which)
+
+
+for _adjust in ("none", "split", "split_div"):
+    _load_query(_adjust)
+
+
+@_query(
+    "source_load_category",
+    """SELECT CAST(o_orderdate AS DATE) AS date, o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INT) AS o_orderstatus_code, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INT) AS o_custkey_code FROM orders""",
+)
+def _(spark, d):
+    from .loading import load
+
+    return load(spark, f"{d}/orders.parquet", date_col="o_orderdate", dtype="category", columns=["o_orderstatus", "o_custkey"])
+
+
 # --- streams of all events, in micro-batches of files
 
 
