@@ -216,7 +216,10 @@ def brute_ppm(train, order):
     return score
 
 
-def test_scores_are_those_of_a_trie(spark):
+@pytest.mark.parametrize("answer_bytes", [ppm.ANSWER_BYTES, 100])
+def test_scores_are_those_of_a_trie(spark, monkeypatch, answer_bytes):
+    """With groups answered at once, and in many slices."""
+    monkeypatch.setattr(ppm, "ANSWER_BYTES", answer_bytes)
     rng = random.Random(6)
     texts = {i: rng.choice([None, "", "abra cadabra", "Abc abd", prose(rng, 6, 9), "é\x00z"]) for i in range(30)}
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, item string")

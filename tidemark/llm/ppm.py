@@ -11,7 +11,8 @@ Neither trie nor vocabulary is held in one place. Documents are dealt to blocks;
 (context and symbol) that it holds, and brings their counts in training texts. Items travel as packed sorted arrays, one for
 each block and group: grams are grouped by a hash of the last two context bytes, words by their own. However hot a group is, a task
 merges its counts of ``FAN_IN`` blocks, then of as many merged parts, until one part holds each distinct item once; grams
-turn into log-probabilities there. Blocks are answered from it by ``ANSWERS`` at a time, in the order of the block's own items.
+turn into log-probabilities there. Blocks are answered from it, in the order of the block's own items, by slices that ask for about
+``ANSWER_BYTES``: groups grow in number with the corpus and not in size, so a group's copies for its slices stay few, and a hot group has more.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bucket_of, stage
+from .shared import bucket_of, side, stage
 from .text import U, Chunk, chunks, mix64, row_sums, word_bounds, word_hashes
 
 ORDER = 5
@@ -35,7 +36,7 @@ BLOCK_BYTES = 12_000_000
 GROUP_BYTES = 64_000_000  # of text for each group of items
 LEAST_GROUPS = 32
 FAN_IN = 16
-ANSWERS = 64
+ANSWER_BYTES = 24_000_000  # of items that a task answers, about
 TRAIN_PARTS, HELD_OUT_PART = 5, 1
 
 
@@ -267,8 +268,9 @@ def score(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
         first_order[pair >> 9, pair & 511] = n
     zero_order = (first_order > 0).sum(axis=0)
     valued = stage(merged.groupBy("group").applyInArrow(_valuer(groups, first_order, zero_order), "of int, known binary, value binary"), "values")
-    sliced = valued.withColumn("of_slice", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // ANSWERS))))
-    asks = asked.select("block", "group", "items", F.floor(F.col("block") / ANSWERS).cast("int").alias("slice"))
+    slices = stage(asked.groupBy("group").agg(F.ceil(F.sum(F.octet_length("items")) / ANSWER_BYTES).cast("int").alias("slices")), "slices")
+    sliced = valued.join(side(slices.withColumnRenamed("group", "of"), 8), "of").withColumn("of_slice", F.explode(F.sequence(F.lit(0), F.greatest("slices", F.lit(1)) - 1))).drop("slices")
+    asks = asked.join(side(slices, 8), "group").select("block", "group", "items", F.pmod(F.xxhash64("block", F.lit(3)), F.greatest("slices", F.lit(1))).cast("int").alias("slice"))
     told = asks.groupBy("group", "slice").cogroup(sliced.groupBy("of", "of_slice")).applyInArrow(_answerer(groups), "block int, group int, answer binary")
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
