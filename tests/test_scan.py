@@ -92,6 +92,8 @@ def test_appending_equals_one_pass(spark, ticks, tmp_path, many_blocks):
     got, want = by_key(panel), wanted(ticks.collect())
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert panel.state().agg(F.sum("n")).first()[0] == len(want) and panel.state().count() == 5
+    states = {v: len(list((tmp_path / "p" / "state" / f"__version={v}").glob("part-*"))) for v in panel.versions()}
+    assert list(states) == [0, 1, 2, 3, 4] and all(bool(n) == (v >= 3) for v, n in states.items())
     with pytest.raises(ValueError, match="already"):
         panel.initialize(ticks)
 

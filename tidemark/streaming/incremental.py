@@ -49,12 +49,10 @@ class IncrementalPanel:
         found = [x.getPath() for x in fs.listStatus(at)]
         return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{VERSION}=") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def state(self, version: int | None = None) -> DataFrame | None:
-        """A row for each asset as of a version, by default the last."""
+    def state(self) -> DataFrame | None:
+        """A row for each asset as of the last version; of earlier states only the one before is kept."""
         found = self.versions()
-        if not found:
-            return None
-        return self.spark.read.parquet(f"{self.path}/state/{VERSION}={found[-1] if version is None else version}")
+        return self.spark.read.parquet(f"{self.path}/state/{VERSION}={found[-1]}") if found else None
 
     def rows(self) -> DataFrame:
         """All rows appended, with their computations."""
@@ -82,6 +80,16 @@ class IncrementalPanel:
             told = stage(self._computed(df, before), "append")
             told.select(*df.columns, *self.computes).write.mode("overwrite").parquet(f"{self.path}/rows/{VERSION}={version}")
             self._next_state(told, before).write.mode("overwrite").parquet(f"{self.path}/state/{VERSION}={version}")
+        self._forget(found[:-1])
+
+    def _forget(self, versions: list[int]) -> None:
+        """Empties states: their folders stay as marks of whole versions."""
+        for version in versions:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/{VERSION}={version}")
+            fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for file in fs.listStatus(at):
+                if file.getPath().getName().startswith("part-"):
+                    fs.delete(file.getPath(), False)
 
     def _computed(self, df: DataFrame, before: DataFrame | None) -> DataFrame:
         """The rows with all computations, and the state after each."""
