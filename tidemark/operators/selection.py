@@ -73,23 +73,21 @@ def _narrow(df: DataFrame, where: dict[tuple[str, int], _Range]) -> None:
     inside = [F.when(_value(c).between(a, b), _value(c)) for c, a, b, _ in spans]
     steps = [F.lit((k + 1) / (SPLITTERS + 1)) for k in range(SPLITTERS)]
     row = df.agg(*(F.percentile_approx(x, F.array(*steps), 2_000).alias(f"s{i}") for i, x in enumerate(inside))).first()
-    told = []
     cuts = [sorted(set(row[f"s{i}"])) for i in range(len(spans))]
-    for i, (x, own) in enumerate(zip(inside, cuts, strict=True)):
-        for k, cut in enumerate(own):
-            between = (x > (F.lit(own[k - 1]) if k else F.lit(-math.inf))) if k else x >= F.lit(spans[i][1])
-            told += [F.count_if(between & (x < cut)).alias(f"n{i}_{k}"), F.min(F.when(between & (x < cut), x)).alias(f"a{i}_{k}"), F.max(F.when(between & (x < cut), x)).alias(f"b{i}_{k}"), F.count_if(x == cut).alias(f"e{i}_{k}")]
-        told += [F.count_if(x > own[-1]).alias(f"n{i}_z"), F.min(F.when(x > own[-1], x)).alias(f"a{i}_z"), F.max(F.when(x > own[-1], x)).alias(f"b{i}_z")]
-    got = df.agg(*told).first()
+    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("span"), x.alias("x")) for i, x in enumerate(inside)))).alias("p")).select("p.*").where("x is not null")
+    own = F.element_at(F.array(*(F.array(*(F.lit(c) for c in x)) for x in cuts)), F.col("span") + 1)
+    # 2k: below the k-th splitter and above those before it; 2k + 1: equal to it
+    part = 2 * F.size(F.filter(own, lambda c: c < F.col("x"))) + F.array_contains(own, F.col("x")).cast("int")
+    got = pairs.groupBy("span", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("span", "part").collect()
     for key, x in where.items():
-        i = spans.index((key[0], x.low, x.high, x.base))
-        base = x.base
-        parts = [p for k, cut in enumerate(cuts[i]) for p in ((got[f"a{i}_{k}"], got[f"b{i}_{k}"], got[f"n{i}_{k}"]), (cut, cut, got[f"e{i}_{k}"]))]
-        for low, high, n in (*parts, (got[f"a{i}_z"], got[f"b{i}_z"], got[f"n{i}_z"])):
-            if key[1] < base + n:
-                where[key] = _Range(low, high, base, n)
+        i, base = spans.index((key[0], x.low, x.high, x.base)), x.base
+        for r in got:
+            if r["span"] != i:
+                continue
+            if key[1] < base + r["n"]:
+                where[key] = _Range(r["low"], r["high"], base, r["n"])
                 break
-            base += n
+            base += r["n"]
 
 
 def exact_quantiles(df: DataFrame, fractions: dict[str, list[float]]) -> dict[str, list[float | None]]:
