@@ -61,10 +61,14 @@ def _(spark, d):
 
 @_query("source_jdbc", f"SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) + 0.0 AS balance FROM ({_CUSTOMERS}) x GROUP BY c_mktsegment")
 def _(spark, d):
-    """Through a database in Spark's own process (local sessions)."""
-    url = f"jdbc:derby:memory:{new_path(spark, 'db').rpartition('/')[2].replace('-', '_')};create=true"
-    _customers(spark, d).write.format("jdbc").options(url=url, dbtable="customers", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    read = files.read_query(spark, url, 'SELECT "c_custkey", "c_acctbal", "c_mktsegment" FROM customers', partition_column='"c_custkey"', bounds=(0, 1500), partitions=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    """Through databases that tasks make and other tasks read."""
+    from .embedded import DRIVER, write_databases
+
+    rows = _customers(spark, d)
+    bounds = rows.agg(F.min("c_custkey"), F.max("c_custkey") + 1).first()
+    query, read = 'SELECT "c_custkey", "c_acctbal", "c_mktsegment" FROM customers', rows.select("c_custkey", "c_acctbal", "c_mktsegment").limit(0)
+    for url in write_databases(rows, "customers"):
+        read = read.union(files.read_query(spark, url, query, partition_column='"c_custkey"', bounds=None if bounds[0] is None else tuple(bounds), partitions=4, driver=DRIVER))
     return read.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum("c_acctbal"), 2) + 0.0).alias("balance"))
 
 
