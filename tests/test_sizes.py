@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pyspark
+from tidemark.plans import backtest as bt
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 CLUSTER = """
@@ -39,3 +40,13 @@ def test_database_keeps_nulls_and_quotes(spark):
     urls = write_databases(spark.createDataFrame(rows, "k long, s string, x double"), "things", parts=2)
     got = [tuple(r) for url in urls for r in files.read_query(spark, url, 'SELECT "k", "s", "x" FROM things', driver=DRIVER).collect()]
     assert len(urls) == 2 and sorted(got) == rows
+
+
+def test_plain_benchmark_ratios_are_null_without_a_denominator(spark):
+    df = lambda *xs: spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "time int, ret double")
+    up, flat = df(0.01, 0.02, 0.04), df(0.01, 0.01, 0.01)
+    told, plain = bt.against_benchmark(df(0.02, -0.01, 0.05), up).first(), bt.against_benchmark(df(0.02, -0.01, 0.05), up, plain=True).first()
+    assert told["down_capture"] == 1.0 and plain["down_capture"] is None and plain["up_capture"] == told["up_capture"] and plain["beta"] == told["beta"]
+    told, plain = bt.against_benchmark(flat, flat).first(), bt.against_benchmark(flat, flat, plain=True).first()
+    assert (told["beta"], told["correlation"], told["information_ratio"]) == (1.0, 0.0, 0.0)
+    assert plain["beta"] is None and plain["correlation"] is None and plain["information_ratio"] is None

@@ -72,20 +72,29 @@ def metrics(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def against_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row from ``(time, ret)`` of both, joined by time: beta, annual alpha, correlation, tracking error, information and capture ratios."""
+def against_benchmark(returns: DataFrame, benchmark: DataFrame, *, plain: bool = False) -> DataFrame:
+    """One row from ``(time, ret)`` of both, joined by time: beta, annual alpha, correlation, tracking error, information and capture ratios.
+
+    Where nothing varies, or the benchmark never rises or falls, beta and capture are 1 and the other ratios 0; with ``plain`` such a ratio is NULL.
+    """
     joined = returns.select("time", F.col("ret").alias("p")).join(benchmark.select("time", F.col("ret").alias("b")), "time")
     p, b, active = F.col("p"), F.col("b"), F.col("p") - F.col("b")
     facts = joined.agg(
         F.avg(p).alias("mp"), F.avg(b).alias("mb"), F.covar_samp(p, b).alias("cov"), F.var_samp(b).alias("var"), F.stddev_samp(p).alias("sp"),
         F.stddev_samp(active).alias("te"), F.avg(active).alias("ma"), F.avg(F.when(b > 0, p)).alias("pu"), F.avg(F.when(b > 0, b)).alias("bu"), F.avg(F.when(b < 0, p)).alias("pd"), F.avg(F.when(b < 0, b)).alias("bd"),
     )
-    known = facts.withColumn("beta", F.when(F.col("var") > EPSILON, F.col("cov") / F.col("var")).otherwise(1.0))
-    both = F.col("sp") * F.sqrt("var")
+
+    def ratio(a: Column, b: Column, other: float) -> Column:
+        return F.try_divide(a, b) if plain else F.when(b > EPSILON, a / b).otherwise(other)
+
+    def capture(a: str, b: str) -> Column:
+        return F.try_divide(a, b) if plain else F.coalesce(F.try_divide(a, b), F.lit(1.0))
+
+    known = facts.withColumn("beta", ratio(F.col("cov"), F.col("var"), 1.0))
     return known.select(
-        "beta", ((F.col("mp") - F.col("beta") * F.col("mb")) * YEAR).alias("alpha"), F.when(both > EPSILON, F.col("cov") / both).otherwise(0.0).alias("correlation"),
-        (F.col("te") * F.sqrt(F.lit(YEAR))).alias("tracking_error"), F.when(F.col("te") > EPSILON, F.col("ma") / F.col("te") * F.sqrt(F.lit(YEAR))).otherwise(0.0).alias("information_ratio"),
-        F.coalesce(F.try_divide("pu", "bu"), F.lit(1.0)).alias("up_capture"), F.coalesce(F.try_divide("pd", "bd"), F.lit(1.0)).alias("down_capture"),
+        "beta", ((F.col("mp") - F.col("beta") * F.col("mb")) * YEAR).alias("alpha"), ratio(F.col("cov"), F.col("sp") * F.sqrt("var"), 0.0).alias("correlation"),
+        (F.col("te") * F.sqrt(F.lit(YEAR))).alias("tracking_error"), (ratio(F.col("ma"), F.col("te"), 0.0) * F.sqrt(F.lit(YEAR))).alias("information_ratio"),
+        capture("pu", "bu").alias("up_capture"), capture("pd", "bd").alias("down_capture"),
     )
 
 
