@@ -1,12 +1,16 @@
 """Queries on a cluster and on many assets, against plain loops."""
 
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pyspark
+import pytest
 from tidemark.plans import backtest as bt
+from tidemark.plans import rigor
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 CLUSTER = """
@@ -50,3 +54,25 @@ def test_plain_benchmark_ratios_are_null_without_a_denominator(spark):
     told, plain = bt.against_benchmark(flat, flat).first(), bt.against_benchmark(flat, flat, plain=True).first()
     assert (told["beta"], told["correlation"], told["information_ratio"]) == (1.0, 0.0, 0.0)
     assert plain["beta"] is None and plain["correlation"] is None and plain["information_ratio"] is None
+
+
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_adjusted_p_values_by_blocks(spark, n):
+    rng = random.Random(n)
+    tests = [(i, None if n > 1 and i % 37 == 0 else rng.choice([rng.random() ** 3, 0.01])) for i in range(n)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several blocks
+    try:
+        df = rigor.adjusted_p_values(spark.createDataFrame(tests, "test int, p double"))
+        got = {r["test"]: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    ranked = sorted(tests, key=lambda t: (t[1] is None, t[1] or 0.0, t[0]))
+    c, top = sum(1 / i for i in range(1, n + 1)), 0.0
+    down = [np.inf if p is None else p * n * c / k for k, (_, p) in enumerate(ranked, 1)]
+    least = np.minimum.accumulate(down[::-1])[::-1]
+    for k, (i, p) in enumerate(ranked, 1):
+        top = top if p is None else max(top, (n - k + 1) * p)
+        assert got[i]["holm"] == pytest.approx(min(top, 1.0)) and got[i]["bhy"] == pytest.approx(min(least[k - 1], 1.0))
+        assert got[i]["bonferroni"] == (1.0 if p is None else pytest.approx(min(n * p, 1.0)))
+    assert "UnboundedFollowing" not in df._jdf.queryExecution().toString() and len(got) == n

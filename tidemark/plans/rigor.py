@@ -9,6 +9,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 _NORMAL = NormalDist()
 EULER = 0.5772156649015329
 
@@ -53,19 +55,34 @@ def least_track_record(sharpe: float, benchmark: float, skew: float, kurtosis: f
 
 
 def adjusted_p_values(tests: DataFrame, p: str = "p", name: str = "test") -> DataFrame:
-    """``bonferroni``, ``holm`` and ``bhy`` columns beside each p-value; equal values rank by name. One row a test: one task orders them."""
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    up = Window.orderBy(p, name)
-    ranked = tests.withColumn("__k", F.row_number().over(up)).withColumn("__m", m)
-    c = F.aggregate(F.sequence(F.lit(1), F.col("__m").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
+    """``bonferroni``, ``holm`` and ``bhy`` columns beside each p-value; equal values rank by name, NULLs last.
+
+    The tests are sorted over all tasks. One row for each block of them tells the others how many tests are before it, the greatest of Holm's products
+    before and the least of the other products after it; so no task holds more than a block.
+    """
+    order = [F.col(p).asc_nulls_last(), F.col(name)]
+    blocks = stage(tests.repartitionByRange(*order).withColumn("__block", F.spark_partition_id()), "tests")
+    own = Window.partitionBy("__block")
+    sizes = blocks.groupBy("__block").agg(F.count(F.lit(1)).cast("long").alias("n")).orderBy("__block").collect()
+    m = sum(r["n"] for r in sizes)
+    if not m:
+        return tests.withColumns({k: F.lit(None).cast("double") for k in ("bonferroni", "holm", "bhy")})
+    starts = [(r["__block"], sum(x["n"] for x in sizes[:i])) for i, r in enumerate(sizes)]
+    c = tests.sparkSession.range(1, m + 1).agg(F.sum(1.0 / F.col("id"))).first()[0]
+    k = F.col("__start") + F.row_number().over(own.orderBy(*order))
+    placed = blocks.join(F.broadcast(tests.sparkSession.createDataFrame(starts, "__block int, __start long")), "__block")
+    placed = placed.withColumn("__k", k).withColumns({"__up": (m - F.col("__k") + 1) * F.col(p), "__down": F.col(p) * m * c / F.col("__k")})
+    ends = placed.groupBy("__block").agg(F.max("__up").alias("__above"), F.min("__down").alias("__below"))
+    before = Window.unboundedPreceding  # what follows is met first in falling order: a frame that ends at the last row is summed anew for each row
+    across = [Window.orderBy(x).rowsBetween(before, -1) for x in (F.col("__block"), F.col("__block").desc())]  # a row for each block
+    ends = ends.select("__block", F.max("__above").over(across[0]).alias("__above"), F.min("__below").over(across[1]).alias("__below"))
     one = F.lit(1.0)
-    so_far = up.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = up.rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumns({
-        "bonferroni": F.least(F.col(p) * F.col("__m"), one),
-        "holm": F.least(F.max((F.col("__m") - F.col("__k") + 1) * F.col(p)).over(so_far), one),
-        "bhy": F.least(F.min(F.col(p) * F.col("__m") * c / F.col("__k")).over(from_here), one),
-    }).drop("__k", "__m")
+    told = placed.join(F.broadcast(ends), "__block").withColumns({
+        "bonferroni": F.least(F.col(p) * m, one),
+        "holm": F.least(F.greatest(F.max("__up").over(own.orderBy("__k").rowsBetween(before, 0)), "__above"), one),
+        "bhy": F.least(F.least(F.min("__down").over(own.orderBy(F.col("__k").desc()).rowsBetween(before, 0)), "__below"), one),
+    })
+    return told.select(*(F.col(f"`{c}`") for c in tests.columns), "bonferroni", "holm", "bhy")
 
 
 def bonferroni_haircut(sharpe: float, n: int, trials: int) -> dict[str, float]:
