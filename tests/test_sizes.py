@@ -9,8 +9,10 @@ from pathlib import Path
 import numpy as np
 import pyspark
 import pytest
+from pyspark.sql import functions as F
 from tidemark.plans import backtest as bt
 from tidemark.plans import rigor
+from tidemark.streaming import online
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 CLUSTER = """
@@ -76,3 +78,38 @@ def test_adjusted_p_values_by_blocks(spark, n):
         assert got[i]["holm"] == pytest.approx(min(top, 1.0)) and got[i]["bhy"] == pytest.approx(min(least[k - 1], 1.0))
         assert got[i]["bonferroni"] == (1.0 if p is None else pytest.approx(min(n * p, 1.0)))
     assert "UnboundedFollowing" not in df._jdf.queryExecution().toString() and len(got) == n
+
+
+def test_sums_and_extremes_of_ranges():
+    rng = np.random.default_rng(1)
+    x, first = rng.normal(size=5000), rng.integers(0, 4999, 3000)
+    end = np.minimum(first + rng.integers(1, 3000, 3000), 5000)
+    total, low, high = online._over_ranges(x, first, end)
+    assert np.allclose(total, [x[a:b].sum() for a, b in zip(first, end, strict=True)], atol=1e-9)
+    assert (low == [x[a:b].min() for a, b in zip(first, end, strict=True)]).all() and (high == [x[a:b].max() for a, b in zip(first, end, strict=True)]).all()
+    # each row's window holds 50,000: 10^10 values, were they added for each row
+    x = np.ones(200_000)
+    total, *_ = online._over_ranges(x, np.maximum(np.arange(200_000) - 50_000, 0), np.arange(200_000) + 1)
+    assert total.max() == 50_001 and online._over_ranges(x[:0], np.zeros(0, int), np.zeros(0, int))[0].size == 0
+
+
+def test_window_buffer_states_are_slots(spark, tmp_path):
+    """A dense asset is spread over many keys, and a window reaches back over the border of a slot, both ends included."""
+    base, hour = 1_704_067_200, 3600
+    times = [base, base + 1, base + hour - 1, base + hour, base + hour + 1, base + 3 * hour, base + 4 * hour, base + 4 * hour + 1]
+    spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(times)] + [(None, base + 99 * hour, 0.0)], "asset string, t long, x double").select("asset", F.timestamp_seconds("t").alias("time"), "x").coalesce(1).write.parquet(f"{tmp_path}/in")
+    end = spark.createDataFrame([(None, base + 199 * hour, 0.0)], "asset string, t long, x double").select("asset", F.timestamp_seconds("t").alias("time"), "x")
+    rocks = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for _ in range(2):
+            stream = online.window_buffer(spark.readStream.schema(end.schema).parquet(f"{tmp_path}/in"), seconds=float(hour))
+            query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            query.awaitTermination()
+            end.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert "__slot" in str(query._jsq.toString()) or "__slot" in stream._jdf.queryExecution().logical().toString()
+    finally:
+        spark.conf.unset(rocks)
+    got = [(r["x"], r["n"], r["total"], r["low"], r["high"]) for r in spark.read.parquet(f"{tmp_path}/out").where("asset = 'a'").orderBy("x").collect()]
+    own = [[j for j, u in enumerate(times) if t - hour <= u <= t] for t in times]
+    assert got == [(float(i), len(o), float(sum(o)), float(o[0]), float(o[-1])) for i, o in enumerate(own)]

@@ -95,45 +95,65 @@ def bars_of_bars(ticks: DataFrame, every: tuple[str, ...] = ("1 minute", "5 minu
 BUFFERED = "asset string, time timestamp, x double, n bigint, total double, low double, high double"
 
 
+def _over_ranges(x: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum, least and greatest of each ``x[first:end]``, none of them empty: a range is put together of spans of 1, 2, 4... values, one for each bit of its length."""
+    size, at = end - first, first.copy()
+    total, low, high = np.zeros(len(first)), np.full(len(first), np.inf), np.full(len(first), -np.inf)
+    sums, lows, highs, reach = x, x, x, 1
+    while True:
+        own = np.flatnonzero(size & reach)
+        total[own] += sums[at[own]]
+        low[own], high[own] = np.minimum(low[own], lows[at[own]]), np.maximum(high[own], highs[at[own]])
+        at[own] += reach
+        if 2 * reach > size.max(initial=0):
+            return total, low, high
+        sums, lows, highs = sums[:-reach] + sums[reach:], np.minimum(lows[:-reach], lows[reach:]), np.maximum(highs[:-reach], highs[reach:])
+        reach *= 2
+
+
 class _Buffer(StatefulProcessor):
-    """An asset's rows that later ones may still look back on, and those whose turn hasn't come. Times are microseconds."""
+    """An asset's rows of one slot, a ``span`` long, and of the slot before, which they look back on. Times are microseconds; rows are kept as arrays."""
 
     def __init__(self, span: int, time: str, value: str) -> None:
         self.span, self.time, self.value = span, time, value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("kept", "at bigint, x double")
+        self.kept = handle.getListState("kept", "at binary, x binary")
         self.told = handle.getValueState("told", "at bigint")  # rows up to then are out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows))
-        at = own[self.time].to_numpy("datetime64[us]").astype(np.int64)
-        self.kept.appendList([(int(t), float(x)) for t, x in zip(at, own[self.value].fillna(0.0), strict=True)])
-        self.handle.registerTimer(int(at.min()) // 1000 + 1)
+        begin, kept, soonest = key[1] * self.span, [], (key[1] + 1) * self.span
+        for own in rows:
+            at = own[self.time].to_numpy("datetime64[us]").astype(np.int64)
+            kept.append((at.tobytes(), own[self.value].fillna(0.0).to_numpy(float).tobytes()))
+            soonest = min(soonest, int(at[at >= begin].min(initial=soonest)))
+        self.kept.appendList(kept)
+        self.handle.registerTimer(soonest // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = timerValues.getCurrentWatermarkInMs() * 1000
-        told = self.told.get()[0] if self.told.exists() else -(1 << 62)
-        rows = sorted(self.kept.get())
-        at, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+        due, begin = timerValues.getCurrentWatermarkInMs() * 1000, key[1] * self.span
+        told = self.told.get()[0] if self.told.exists() else begin - 1
+        if told >= due or not self.kept.exists():
+            return
+        chunks = list(self.kept.get())
+        at, x = np.concatenate([np.frombuffer(c[0], np.int64) for c in chunks]), np.concatenate([np.frombuffer(c[1], float) for c in chunks])
+        order = np.lexsort((x, at))
+        at, x = at[order], x[order]
         first, last = np.searchsorted(at, told, "right"), np.searchsorted(at, due, "right")
-        out = []
-        for i in range(first, last):
-            own = x[np.searchsorted(at, at[i] - self.span, "left") : np.searchsorted(at, at[i], "right")]
-            out.append((str(key[0]), pd.Timestamp(int(at[i]), unit="us"), x[i], len(own), own.sum(), own.min(), own.max()))
-        if last < len(at):  # what comes next may look back a span
-            self.handle.registerTimer(int(at[last]) // 1000 + 1)
-        keep = rows[np.searchsorted(at, due - self.span, "left") :]
-        if keep:
-            self.kept.put(keep)
-            self.told.update((max(due, told),))
-        else:
+        if due >= begin + self.span:
             self.kept.clear()
             self.told.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in BUFFERED.split(", ")])
+        else:  # what comes next may look back a span
+            keep = np.searchsorted(at, due - self.span, "left")
+            self.kept.put([(at[keep:].tobytes(), x[keep:].tobytes())])
+            self.told.update((due,))
+            self.handle.registerTimer(int(at[last] if last < len(at) else begin + self.span) // 1000 + 1)
+        if first < last:
+            since, upto = np.searchsorted(at, at[first:last] - self.span, "left"), np.searchsorted(at, at[first:last], "right")
+            total, low, high = _over_ranges(x, since, upto)
+            yield pd.DataFrame({"asset": str(key[0]), "time": at[first:last].view("datetime64[us]"), "x": x[first:last], "n": upto - since, "total": total, "low": low, "high": high})
 
     def close(self) -> None:
         pass
@@ -143,7 +163,11 @@ def window_buffer(ticks: DataFrame, *, seconds: float = 3600.0, late: str = "10
     """For each tick the count, sum, least and greatest value of the asset's ticks in the ``seconds`` up to it, both ends and equal times included.
 
     Works on a stream only, whose state store must be RocksDB. A tick is told once the watermark has passed it, so ticks that come
-    out of order within ``late`` are in their places; later ones are dropped. Ticks that no later one can look back on are dropped from the
-    state, so it holds a window and ``late`` of each asset. NULL values count as 0.
+    out of order within ``late`` are in their places; later ones are dropped. Time is cut in slots of ``seconds``, each with a state of its own: a tick
+    goes to its slot and to the next, which may look back on it. So an asset's slots are spread over the tasks, and a slot's
+    state, two windows at most, goes when the watermark has passed it. NULL values count as 0.
     """
-    return ticks.withWatermark(time, late).groupBy(asset).transformWithStateInPandas(_Buffer(int(seconds * 1e6), time, value), BUFFERED, "Append", "EventTime")
+    span = int(seconds * 1e6)
+    slot = F.floor(F.unix_micros(time) / F.lit(span)).cast("long")
+    slots = ticks.withWatermark(time, late).withColumn("__slot", F.explode(F.array(slot, slot + 1)))
+    return slots.groupBy(asset, "__slot").transformWithStateInPandas(_Buffer(span, time, value), BUFFERED, "Append", "EventTime")
