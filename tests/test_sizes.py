@@ -7,10 +7,12 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyspark
 import pytest
 from pyspark.sql import functions as F
 from tidemark.plans import backtest as bt
+from tidemark.plans import regimes as rg
 from tidemark.plans import rigor
 from tidemark.streaming import online
 
@@ -113,3 +115,42 @@ def test_window_buffer_states_are_slots(spark, tmp_path):
     got = [(r["x"], r["n"], r["total"], r["low"], r["high"]) for r in spark.read.parquet(f"{tmp_path}/out").where("asset = 'a'").orderBy("x").collect()]
     own = [[j for j, u in enumerate(times) if t - hour <= u <= t] for t in times]
     assert got == [(float(i), len(o), float(sum(o)), float(o[0]), float(o[-1])) for i, o in enumerate(own)]
+
+
+def plain_regimes(x, states, rounds):
+    mean, std = np.quantile(x, (np.arange(states) + 0.5) / states), np.full(states, max(float(x.std()), 1e-6))
+    move = np.full((states, states), 0.05 / (states - 1))
+    np.fill_diagonal(move, 0.95)
+    for k in range(rounds + 1):
+        p, now = [], None
+        for v in x:
+            now = (np.full(states, 1 / states) if now is None else now @ move) * np.maximum(np.exp(-0.5 * ((v - mean) / std) ** 2) / std, 1e-300)
+            now = now / now.sum()
+            p.append(now)
+        p = np.array(p)
+        if k < rounds:
+            weight = p.sum(axis=0) + 1e-12
+            mean = (p * x[:, None]).sum(axis=0) / weight
+            std = np.maximum(np.sqrt((p * (x[:, None] - mean) ** 2).sum(axis=0) / weight), 1e-6)
+            if k == rounds - 1:
+                order = np.argsort(mean, kind="stable")
+                mean, std = mean[order], std[order]
+    return p
+
+
+@pytest.mark.parametrize("states", [2, 3])
+def test_regimes_of_many_assets_at_once(states):
+    rng = np.random.default_rng(states)
+    own = [rng.normal(rng.choice([-0.02, 0.03], n), 0.01) for n in (40, 1, 7, 90, 7, 2)] + [np.zeros(5)]
+    got = rg._fit(np.concatenate(own), np.cumsum([0, *map(len, own)])[:-1], states, 6)
+    assert np.allclose(got, np.concatenate([plain_regimes(x, states, 6) for x in own]), atol=1e-8)
+
+
+def test_assets_stay_whole(monkeypatch):
+    monkeypatch.setattr(rg, "ROWS", 10)
+    assets = [None] * 3 + ["a"] * 25 + ["b"] * 2 + ["c"] * 9 + ["d"]
+    batches = [pa.record_batch({"asset": pa.array(assets[i : i + 4], pa.string())}) for i in range(0, len(assets), 4)]
+    told = list(rg._whole_assets(iter(batches), "asset"))
+    assert [v for t, _ in told for v in t.column("asset").to_pylist()] == assets and len(told) > 1
+    found = [t.column("asset").to_pylist()[a] for t, begins in told for a in begins]
+    assert found == [None, "a", "b", "c", "d"]

@@ -19,43 +19,100 @@ from ..operators.selection import exact_quantiles
 from ..storage import scratch, stage
 
 
-def _filtered(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
-    """Each state's chance after each value, given the values up to it."""
-    density = np.exp(-0.5 * ((x[:, None] - mean) / std) ** 2) / std
-    out, now = np.empty_like(density), start
-    for i, d in enumerate(density):
-        now = (now if i == 0 else now @ move) * np.maximum(d, 1e-300)
-        now = now / now.sum()
-        out[i] = now
+ROWS = 200_000  # of whole assets, that a task fits together
+
+
+def _filtered(x: np.ndarray, begins: np.ndarray, sizes: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Each state's chance after each value, given the asset's values up to it; ``mean`` and ``std`` are of each asset, the longest first."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    out, now = np.empty((len(x), len(start))), np.broadcast_to(start, (len(sizes), len(start)))
+    rows = np.repeat(begins - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(len(x))
+    out[rows] = np.maximum(np.exp(-0.5 * ((x[rows][:, None] - mean[own]) / std[own]) ** 2) / std[own], 1e-300)
+    left = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")  # assets that have more values than so many
+    for i, n in enumerate(left):  # all assets' i-th values at once
+        at = begins[:n] + i
+        now = (now[:n] if i == 0 else now[:n] @ move) * out[at]
+        now = now / now.sum(axis=1, keepdims=True)
+        out[at] = now
     return out
 
 
-def _fit(x: np.ndarray, states: int, rounds: int) -> np.ndarray:
-    """Means and deviations re-estimated from filtered chances; staying in a state has chance 0.95. States are in order of their means."""
-    mean = np.quantile(x, (np.arange(states) + 0.5) / states)
-    std = np.full(states, max(float(x.std()), 1e-6))
+def _fit(x: np.ndarray, begins: np.ndarray, states: int, rounds: int) -> np.ndarray:
+    """Chances for several assets, one from each of ``begins`` on, each with means and deviations of its own, re-estimated from filtered chances;
+    staying in a state has chance 0.95. States are in order of their means."""
+    sizes = np.diff(np.append(begins, len(x)))
+
+    def sums(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v, begins, axis=0)
+
+    def each(v: np.ndarray) -> np.ndarray:
+        return np.repeat(v, sizes, axis=0)
+
+    ranked = x[np.lexsort((x, each(np.arange(len(sizes)))))]
+    place = (sizes[:, None] - 1) * ((np.arange(states) + 0.5) / states)
+    low = np.floor(place).astype(int)
+    below, above = ranked[begins[:, None] + low], ranked[begins[:, None] + np.minimum(low + 1, sizes[:, None] - 1)]
+    mean = below + (above - below) * (place - low)
+    spread = np.sqrt(sums((x - each(sums(x) / sizes)) ** 2) / sizes)
+    std = np.repeat(np.maximum(spread, 1e-6)[:, None], states, axis=1)
     move = np.full((states, states), 0.05 / max(states - 1, 1))
     np.fill_diagonal(move, 0.95)
     start = np.full(states, 1 / states)
+    longest = np.argsort(-sizes, kind="stable")
+
+    def filtered() -> np.ndarray:
+        return _filtered(x, begins[longest], sizes[longest], start, move, mean[longest], std[longest])
+
     for _ in range(rounds):
-        p = _filtered(x, start, move, mean, std)
-        weight = p.sum(axis=0) + 1e-12
-        mean = (p * x[:, None]).sum(axis=0) / weight
-        std = np.maximum(np.sqrt((p * (x[:, None] - mean) ** 2).sum(axis=0) / weight), 1e-6)
-    order = np.argsort(mean, kind="stable")
-    return _filtered(x, start, move, mean[order], std[order])
+        p = filtered()
+        weight = sums(p) + 1e-12
+        mean = sums(p * x[:, None]) / weight
+        std = np.maximum(np.sqrt(sums(p * (x[:, None] - each(mean)) ** 2) / weight), 1e-6)
+    order = np.argsort(mean, axis=1, kind="stable")
+    mean, std = np.take_along_axis(mean, order, 1), np.take_along_axis(std, order, 1)
+    return filtered()
+
+
+def _whole_assets(batches: Iterator[pa.RecordBatch], asset: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come sorted by asset, in tables of whole assets of about ``ROWS`` rows, and where each asset begins."""
+    held, size, enough = [], 0, ROWS
+
+    def cut() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        codes = table.column(asset).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return table, np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= enough:
+            table, begins = cut()
+            if len(begins) > 1:  # the last may go on
+                yield table[: begins[-1]], begins[:-1]
+                held = table[begins[-1] :].to_batches()
+                size = len(table) - begins[-1]
+            enough = max(ROWS, 2 * size)
+    if held:
+        yield cut()
 
 
 def hidden_regimes(df: DataFrame, ret: str = "ret", *, states: int = 2, rounds: int = 20, s: Series = Series()) -> DataFrame:
-    """``df`` with the likeliest state of each row (0: lowest mean) and its chance. NULL counts as 0; a task fits one asset's series."""
+    """``df`` with the likeliest state of each row (0: lowest mean) and its chance. NULL and NaN count as 0; a task fits whole assets, many at once,
+    so it holds ``ROWS`` rows, or twice the longest asset's."""
     schema = T.StructType([*df.schema, T.StructField("state", T.IntegerType()), T.StructField("chance", T.DoubleType())])
+    order = [F.col(c).asc_nulls_last() for c in (s.time, *s.ties)]
+    x = F.coalesce(F.nanvl(F.col(ret).cast("double"), F.lit(0.0)), F.lit(0.0))
+    dealt = df.repartition(s.asset).sortWithinPartitions(s.asset, *order).withColumn("__x", x)
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([s.time, *s.ties], kind="stable").reset_index(drop=True)
-        p = _fit(own[ret].astype(float).fillna(0.0).to_numpy(), states, rounds)
-        return own.assign(state=p.argmax(axis=1).astype("int32"), chance=p.max(axis=1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begins in _whole_assets(batches, s.asset):
+            p = _fit(table.column("__x").to_numpy(), begins, states, rounds)
+            told = table.drop_columns("__x").append_column("state", pa.array(p.argmax(axis=1).astype("int32"))).append_column("chance", pa.array(p.max(axis=1)))
+            yield from told.to_batches(max_chunksize=10_000)
 
-    return df.groupBy(s.asset).applyInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
