@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark
 import pytest
@@ -154,3 +155,24 @@ def test_assets_stay_whole(monkeypatch):
     assert [v for t, _ in told for v in t.column("asset").to_pylist()] == assets and len(told) > 1
     found = [t.column("asset").to_pylist()[a] for t, begins in told for a in begins]
     assert found == [None, "a", "b", "c", "d"]
+
+
+@pytest.mark.parametrize("window", [1, 4, 20])
+def test_indicators_of_many_assets_at_once(window):
+    """In two parts, against a step for each row; the third asset comes with the second part, the fourth's rows are many."""
+    rng = np.random.default_rng(window)
+    parts = [{0: 3, 1: 40, 3: 500}, {0: 30, 1: 1, 2: 5, 3: 400}]
+    states = {a: ([], 0.0, 0.0, 0.0, 0.0, 0.0, 0) for a in range(4)}
+    held = pd.DataFrame({"ema": 0.0, "total": 0.0, "gain": 0.0, "loss": 0.0, "before": 0.0, "last": [np.zeros(0)] * 4, "n": 0})
+    for sizes in parts:
+        codes = np.concatenate([np.full(n, k) for k, n in enumerate(sizes.values())])
+        x, assets = rng.normal(50, 20, len(codes)), list(sizes)
+        told, after = online.told_at_once(held.iloc[assets].reset_index(drop=True), codes, x, window, 20, 14)
+        want = []
+        for k, v in zip(codes, x, strict=True):
+            states[assets[k]], row = online.step(states[assets[k]], float(v), window, 20, 14)
+            want.append(row)
+        assert np.allclose(np.column_stack([told[c] for c in ("mean", "std", "ema", "total", "rsi")]), want, atol=1e-9)
+        for k, a in enumerate(assets):
+            held = pd.DataFrame([after.iloc[k] if i == a else held.iloc[i] for i in range(4)])[list(held.columns)].reset_index(drop=True)
+            assert np.allclose(held["last"][a], states[a][0]) and held["n"][a] == states[a][6]

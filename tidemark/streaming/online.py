@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from ..operators.scan import _composed
+
 OUT = "asset string, time timestamp, x double, mean double, std double, ema double, total double, rsi double"
-STATE = "last array<double>, ema double, total double, gain double, loss double, before double, n bigint"
+GROUPS = 512  # of assets, each with one state
+RUNNING = ("ema", "total", "gain", "loss", "before")
 
 
 def step(state: tuple, x: float, window: int, span: int, rsi_window: int) -> tuple[tuple, tuple]:
@@ -34,20 +38,73 @@ def step(state: tuple, x: float, window: int, span: int, rsi_window: int) -> tup
     return (last, ema, total, gain, loss, x, n + 1), (mean, std, ema, total, rsi)
 
 
+def told_at_once(held: pd.DataFrame, codes: np.ndarray, x: np.ndarray, window: int, span: int, rsi_window: int) -> tuple[dict[str, np.ndarray], pd.DataFrame]:
+    """What ``step`` tells of each row, and the states after, for many assets without a step for each row.
+
+    Rows come by asset, ``codes`` from 0, in their order; ``held`` has a row for each code: ``RUNNING``, the ``last`` values and ``n``, 0 for a new asset.
+    """
+    starts = np.concatenate(([True], codes[1:] != codes[:-1]))
+    begins, first = np.flatnonzero(starts), codes[starts]
+    known = {c: held[c].to_numpy(float)[first] for c in RUNNING}
+    new = held["n"].to_numpy()[first] == 0
+    before = np.concatenate(([0.0], x[:-1]))
+    before[begins] = np.where(new, x[begins], known["before"])
+
+    def running(share: float, added: np.ndarray, kept: float, name: str, of_new: np.ndarray) -> np.ndarray:
+        slope, offset = np.where(starts, 0.0, kept), share * added
+        offset[begins] = np.where(new, of_new, kept * known[name] + offset[begins])
+        _composed(slope, offset)
+        return offset
+
+    alpha, up = 2.0 / (span + 1), 1.0 / rsi_window
+    change, zero = x - before, np.zeros(len(begins))
+    ema, total = running(alpha, x, 1.0 - alpha, "ema", x[begins]), running(1.0, x, 1.0, "total", x[begins])
+    gain, loss = running(up, np.maximum(change, 0.0), 1.0 - up, "gain", zero), running(up, np.maximum(-change, 0.0), 1.0 - up, "loss", zero)
+    rsi = np.where(loss > 1e-10, 100 - 100 / (1 + gain / np.where(loss > 1e-10, loss, 1.0)), np.where(gain > 1e-10, 100.0, 50.0))
+    # the values held of each asset, put before its own
+    tails = [np.asarray(v, float)[1 - window :] if window > 1 else np.zeros(0) for v in held["last"].to_numpy()[first]]
+    sizes, more = np.diff(np.append(begins, len(x))), np.array([len(t) for t in tails])
+    at = np.arange(len(x)) + np.repeat(np.cumsum(more), sizes)
+    line = np.empty(len(x) + more.sum())
+    line[at] = x
+    line[np.repeat(begins + np.cumsum(more) - more, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)] = np.concatenate(tails)
+    place = np.arange(len(x)) - np.repeat(begins, sizes) + np.repeat(more, sizes)  # of a row among its asset's
+    n = np.minimum(place + 1, window)
+    inside = [(at - k, n > k) for k in reversed(range(window))]
+    mean = sum(np.where(m, line[np.where(m, i, 0)], 0.0) for i, m in inside) / n
+    std = np.sqrt(sum(np.where(m, (line[np.where(m, i, 0)] - mean) ** 2, 0.0) for i, m in inside) / n)
+    ends = begins + sizes - 1
+    after = pd.DataFrame({"ema": ema[ends], "total": total[ends], "gain": gain[ends], "loss": loss[ends], "before": x[ends]})
+    after["last"] = [line[i + 1 - k : i + 1] for i, k in zip(at[ends], n[ends], strict=True)]
+    after["n"] = held["n"].to_numpy()[first] + sizes
+    return {"mean": mean, "std": std, "ema": ema, "total": total, "rsi": rsi}, after
+
+
 def indicators(ticks: DataFrame, *, asset: str = "asset", time: str = "time", value: str = "x", window: int = 20, span: int = 20, rsi_window: int = 14) -> DataFrame:
-    """A row with all indicators for each tick, in time order within each micro-batch; NULL values count as 0. Works on a stream only."""
+    """A row with all indicators for each tick, in time order within each micro-batch; NULL values count as 0. Works on a stream only.
+
+    Assets are dealt to ``GROUPS`` groups by hash. A group has one state, with a row for each of its assets, and all its rows are told at once.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ([], 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        own = pd.concat(list(batches)).sort_values(time, kind="stable")
-        out = []
-        for t, x in zip(own[time], own[value].fillna(0.0), strict=True):
-            now, told = step((list(now[0]), *now[1:]), float(x), window, span, rsi_window)
-            out.append((str(key[0]), t, float(x), *told))
-        state.update(now)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return ticks.groupBy(asset).applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        own = pd.concat(list(batches))
+        held = pickle.loads(state.get[0]) if state.exists else pd.DataFrame({"asset": pd.Series(dtype=object), **{c: pd.Series(dtype=float) for c in RUNNING}, "last": pd.Series(dtype=object), "n": pd.Series(dtype="int64")})
+        codes, assets = pd.factorize(own["__asset"].astype(object), use_na_sentinel=False)
+        order = np.lexsort((own[time].to_numpy(), codes))
+        codes, x = codes[order], own[value].fillna(0.0).to_numpy(float)[order]
+        places = pd.Index(held["asset"]).get_indexer(pd.Index(assets, dtype=object))
+        mine = held.take(places).reset_index(drop=True) if len(held) else held.reindex(range(len(assets)))  # -1, a new asset, takes any row
+        mine["n"] = np.where(places < 0, 0, mine["n"].fillna(0)).astype("int64")
+        mine["last"] = [np.zeros(0) if i < 0 else v for i, v in zip(places, mine["last"], strict=True)]
+        told, after = told_at_once(mine, codes, x, window, span, rsi_window)
+        after.insert(0, "asset", assets)
+        others = held.drop(index=held.index[places[places >= 0]])
+        state.update((pickle.dumps(pd.concat([others, after], ignore_index=True) if len(others) else after),))
+        made = pd.DataFrame({"asset": np.where(pd.isna(assets), "None", assets)[codes], "time": own[time].to_numpy()[order], "x": x, **told})
+        yield made[[c.split()[0] for c in OUT.split(", ")]]
+
+    dealt = ticks.withColumn("__asset", F.col(asset).cast("string")).select("__asset", time, value, F.pmod(F.xxhash64("__asset"), F.lit(GROUPS)).alias("__group"))
+    return dealt.groupBy("__group").applyInPandasWithState(run, OUT, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def bars(ticks: DataFrame, *, every: str = "5 minutes", late: str = "10 minutes", asset: str = "asset", time: str = "time", price: str = "px", volume: str | None = None, ties: str | None = None) -> DataFrame:
