@@ -115,3 +115,28 @@ def test_a_replayed_batch_changes_nothing(spark, ticks, tmp_path):
 def test_unknown_computation(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         IncrementalPanel(spark, str(tmp_path), "x", {"q": ("quantile", 3)})
+
+
+def test_a_growing_panel_is_one_sort_of_rows_and_states(spark, ticks, tmp_path, many_blocks):
+    """No window along an asset, whose rows would be one task; moving windows longer than a block, over parts; results named as states are."""
+    computes = {"total": ("rolling_mean", 900), "n": ("rolling_std", 7), "last": ("cumsum",), "tail": ("ema", 5)}
+    panel = IncrementalPanel(spark, f"{tmp_path}/p", "x", computes, S)
+    assert "Window" not in panel._computed(ticks, None)._jdf.queryExecution().toString()
+    for a, b in ((0, 250), (250, 260), (260, 700)):
+        panel.append(ticks.where(f"time >= {a} and time < {b}"))
+    got, own = {r["k"]: (r["total"], r["n"], r["last"], r["tail"]) for r in panel.rows().collect()}, {}
+    for r in sorted(ticks.collect(), key=lambda r: (r["time"], r["k"])):
+        own.setdefault(r["asset"], []).append((r["k"], 0.0 if r["x"] is None or r["x"] != r["x"] else r["x"]))
+    for rows in own.values():
+        ema, total = rows[0][1], 0.0
+        for i, (k, x) in enumerate(rows):
+            long, short = ([v for _, v in rows[max(0, i + 1 - n) : i + 1]] for n in (900, 7))
+            mean, ema, total = sum(short) / len(short), ema + 2 / 6 * (x - ema), total + x
+            assert got.pop(k) == pytest.approx((sum(long) / len(long), (sum((v - mean) ** 2 for v in short) / len(short)) ** 0.5, total, ema), abs=1e-8)
+    assert not got and {(r["asset"], r["n"], len(r["tail"]), r["last"]) for r in panel.state().collect()} == {(a, len(rows), min(len(rows), 900), rows[-1][1]) for a, rows in own.items()}
+
+
+def test_an_infinite_value_stays_with_its_asset(spark, many_blocks):
+    rows = [(a, i, i, float("inf") if a == "a" and i == 2 else 1.0) for a in "abc" for i in range(40)]
+    got = ts.recursive(spark.createDataFrame(rows, "asset string, time int, k long, x double"), "x", "ema", S, o=(5,)).where("asset <> 'a'")
+    assert [r["o"] for r in got.collect()] == pytest.approx([1.0] * 80)

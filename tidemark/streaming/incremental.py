@@ -8,10 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.elementwise import EPSILON
 from ..operators.axes import Series
-from ..operators.scan import Channel, scanned
-from ..storage import scratch, stage
+from ..operators.scan import Channel, scanned_on
+from ..storage import scratch
 
 VERSION = "__version"
+STATED = {"__total": "total", "__n": "n"}  # channels under the names that states have for them
 KINDS = ("rolling_mean", "rolling_std", "cumsum", "ema", "rsi")
 
 
@@ -29,16 +30,17 @@ class IncrementalPanel:
         if unknown:
             raise ValueError(f"unknown computations: {sorted(unknown)}")
         self.spark, self.path, self.column, self.computes, self.s = spark, path.rstrip("/"), column, computes, s
-        self.width = max([args[0] for kind, *args in computes.values() if kind.startswith("rolling")], default=1)
+        self.windows = tuple(sorted({args[0] for kind, *args in computes.values() if kind.startswith("rolling")}))
+        self.width = max(self.windows, default=1)
 
     def _channels(self) -> dict[str, Channel]:
-        found: dict[str, Channel] = {}
+        found: dict[str, Channel] = {"__total": ("sum", 1.0), "__n": ("count", 1.0)}
         for kind, *args in self.computes.values():
             if kind == "ema":
                 found[f"__x{args[0]}"] = ("x", 2.0 / (args[0] + 1))
             if kind == "rsi":
                 found |= {f"__{k}{args[0]}": (k, 1.0 / args[0]) for k in ("gain", "loss")}
-        return found or {"__x1": ("x", 1.0)}
+        return found
 
     def versions(self) -> list[int]:
         """Those that are whole, ascending."""
@@ -77,9 +79,9 @@ class IncrementalPanel:
             raise ValueError(f"version {version} comes after {found[-1]}")
         before = self.state()
         with scratch(self.spark):
-            told = stage(self._computed(df, before), "append")
-            told.select(*df.columns, *self.computes).write.mode("overwrite").parquet(f"{self.path}/rows/{VERSION}={version}")
-            self._next_state(told, before).write.mode("overwrite").parquet(f"{self.path}/state/{VERSION}={version}")
+            told = self._computed(df, before)
+            told.where("__row").select(*df.columns, *self.computes).write.mode("overwrite").parquet(f"{self.path}/rows/{VERSION}={version}")
+            self._next_state(told).write.mode("overwrite").parquet(f"{self.path}/state/{VERSION}={version}")
         self._forget(found[:-1])
 
     def _forget(self, versions: list[int]) -> None:
@@ -92,17 +94,9 @@ class IncrementalPanel:
                     fs.delete(file.getPath(), False)
 
     def _computed(self, df: DataFrame, before: DataFrame | None) -> DataFrame:
-        """The rows with all computations, and the state after each."""
-        s, channels = self.s, self._channels()
-        x = F.coalesce(F.nanvl(F.col(self.column).cast("double"), F.lit(0.0)), F.lit(0.0))
-        if before is None:
-            joined = df.withColumns({"__tail0": F.array().cast("array<double>"), "__total0": F.lit(0.0), "__last0": F.lit(None).cast("double"), **{f"{c}_0": F.lit(None).cast("double") for c in channels}})
-        else:
-            held = before.select(F.col("asset").alias("__asset"), F.col("tail").alias("__tail0"), F.col("total").alias("__total0"), F.col("last").alias("__last0"), *(F.col(c).alias(f"{c}_0") for c in channels))
-            joined = df.join(held, F.col(s.asset).eqNullSafe(F.col("__asset")), "left").drop("__asset").withColumns({"__tail0": F.coalesce("__tail0", F.array().cast("array<double>")), "__total0": F.coalesce("__total0", F.lit(0.0))})
-        told = scanned(joined, self.column, s, channels, {c: f"{c}_0" for c in channels}, "__last0")
-        told = told.withColumns({"__last": x, "__total": F.col("__total0") + F.sum(x).over(s.so_far()), "__tail": F.concat("__tail0", F.collect_list(x).over(s.last(self.width))), "__place": F.row_number().over(s.rows())})
-        told = told.withColumn("__tail", _newest("__tail", self.width))
+        """The rows with all computations, and the states before and after them, by one sort of both."""
+        before = before and before.withColumnsRenamed({k: c for c, k in STATED.items()})
+        told = scanned_on(df, self.column, self.s, self._channels(), self.windows, self.width, before)
         return told.withColumns({name: self._one(kind, *args) for name, (kind, *args) in self.computes.items()})
 
     @staticmethod
@@ -114,28 +108,14 @@ class IncrementalPanel:
         if kind == "rsi":
             gain, loss = F.col(f"__gain{n}"), F.col(f"__loss{n}")
             return F.when(loss > EPSILON, 100.0 - 100.0 / (1.0 + gain / loss)).when(gain > EPSILON, 100.0).otherwise(50.0)
-        rows = _newest("__tail", n)
-        mean = F.aggregate(rows, F.lit(0.0), lambda a, v: a + v) / F.size(rows)
-        if kind == "rolling_mean":
-            return mean
-        return F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(rows))
-
-    def _next_state(self, told: DataFrame, before: DataFrame | None) -> DataFrame:
-        kept = {"tail": "__tail", "total": "__total", "last": "__last", **{c: c for c in self._channels()}}
-        ends = told.groupBy(F.col(self.s.asset).alias("asset")).agg(F.max_by(F.struct(*(F.col(c).alias(k) for k, c in kept.items())), "__place").alias("end"), F.count(F.lit(1)).alias("more"))
-        new = ends.select("asset", *(f"end.{k}" for k in kept), F.col("more").alias("n"))
-        if before is None:
-            return new
-        old = before.select(*new.columns)
-        both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-        latest = both.groupBy("asset").agg(F.max_by(F.struct(*kept), "__new").alias("end"), F.sum("n").alias("n"))
-        return latest.select("asset", *(f"end.{k}" for k in kept), "n")
+        return F.col(f"__mean_{n}" if kind == "rolling_mean" else f"__std_{n}")
+
+    def _next_state(self, told: DataFrame) -> DataFrame:
+        kept = {"tail": "__tail", "last": "__x", **{STATED.get(c, c): c for c in self._channels()}}
+        ends = told.where("__end").groupBy(F.col(self.s.asset).alias("asset")).agg(F.max_by(F.struct(*(F.col(c).alias(k) for k, c in kept.items())), F.struct("__block", "__place")).alias("end"))
+        return ends.select("asset", *(f"end.{k}" for k in kept)).withColumn("n", F.col("n").cast("long"))
 
     def stream(self, source: DataFrame, checkpoint: str) -> StreamingQuery:
         """Appends what the stream has, batch by batch, and ends; a later call with the same checkpoint goes on."""
         return source.writeStream.foreachBatch(lambda batch, i: self.append(batch, i + 1)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def _newest(rows: str, n: int) -> Column:
-    size = F.size(rows)
-    return F.slice(rows, F.greatest(size - n, F.lit(0)) + 1, F.least(size, F.lit(n)))
